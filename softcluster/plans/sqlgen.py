@@ -146,3 +146,54 @@ def fuzzy_step(out: str, src: str, cname: str, k: int, d: int, m: float) -> list
         for j in range(k) for i in range(d))
     body = f"SELECT {cols} FROM {out}_u_m, {cname}"
     return mem + [cte(out, body)]
+
+
+# --- k-means ------------------------------------------------------------------
+
+def with_done(name: str, src: str, k: int, d: int) -> str:
+    """Start centres + run-state columns: done flag and cost."""
+    cols = ", ".join(ccol(j, i) for j in range(k) for i in range(d))
+    return cte(name, f"SELECT {cols}, false AS done, CAST('inf' AS DOUBLE) AS cost FROM {src}")
+
+
+def assign_ctes(name: str, src: str, cname: str, k: int, d: int, keep: list[str],
+                weight: str | None = None) -> list[str]:
+    """Rows of ``src`` with d_j, nearest cluster ``a`` and its distance ``dmin``."""
+    kx = ", ".join(keep + [f"x{i}" for i in range(d)] + ([weight] if weight else []))
+    least = f"least({', '.join(f'd{j}' for j in range(k))})" if k > 1 else "d0"
+    return [cte(f"{name}_d", f"SELECT {kx}, {dist_select(k, d)} FROM {src}, {cname}"),
+            cte(name, f"SELECT *, {argmin_expr(k)} AS a, {least} AS dmin FROM {name}_d")]
+
+
+def kmeans_step(out: str, src: str, prev: str, k: int, d: int, eps: float,
+                weight: str | None = None) -> list[str]:
+    """One Lloyd pass with the stop rule carried in ``done``.
+
+    A finished run keeps its centres and its last cost; an empty cluster
+    keeps its centre; the run finishes when no centre moved more than eps.
+    """
+    w = weight or "1.0"
+    a = assign_ctes(f"{out}_a", src, prev, k, d, keep=[], weight=weight)
+    newc = ", ".join(
+        f"CASE WHEN sum(CASE WHEN a = {j} THEN {w} ELSE 0.0 END) > 0 "
+        f"THEN sum(CASE WHEN a = {j} THEN {w} * x{i} ELSE 0.0 END) / "
+        f"sum(CASE WHEN a = {j} THEN {w} ELSE 0.0 END) "
+        f"ELSE max({ccol(j, i)}) END AS {ccol(j, i)}"
+        for j in range(k) for i in range(d))
+    n = cte(f"{out}_n", f"SELECT {newc}, sum({w} * dmin) AS cost FROM {out}_a, {prev}")
+    moved = " OR ".join(
+        "(" + " + ".join(f"(n.{ccol(j, i)} - p.{ccol(j, i)}) * (n.{ccol(j, i)} - p.{ccol(j, i)})"
+                         for i in range(d)) + f") > {eps * eps!r}" for j in range(k))
+    keepc = ", ".join(f"CASE WHEN p.done THEN p.{ccol(j, i)} ELSE n.{ccol(j, i)} END AS {ccol(j, i)}"
+                      for j in range(k) for i in range(d))
+    body = (f"SELECT {keepc}, p.done OR NOT ({moved}) AS done, "
+            f"CASE WHEN p.done THEN p.cost ELSE n.cost END AS cost FROM {prev} p, {out}_n n")
+    return [*a, n, cte(out, body)]
+
+
+def kmeans_chain(prefix: str, src: str, start: str, k: int, d: int, steps: int,
+                 eps: float, weight: str | None = None) -> tuple[list[str], str]:
+    ctes = [with_done(f"{prefix}0", start, k, d)]
+    for s in range(1, steps + 1):
+        ctes += kmeans_step(f"{prefix}{s}", src, f"{prefix}{s - 1}", k, d, eps, weight)
+    return ctes, f"{prefix}{steps}"
