@@ -21,4 +21,4 @@ def query(name: str, oracle: Callable[[], str] | None = None):
 
 def load_all() -> None:
     # Importing the modules registers their queries.
-    from . import fuzzy_queries, kmeans_queries  # noqa: F401
+    from . import fuzzy_queries, kmeans_queries, stream_queries  # noqa: F401

@@ -197,3 +197,61 @@ def kmeans_chain(prefix: str, src: str, start: str, k: int, d: int, steps: int,
     for s in range(1, steps + 1):
         ctes += kmeans_step(f"{prefix}{s}", src, f"{prefix}{s - 1}", k, d, eps, weight)
     return ctes, f"{prefix}{steps}"
+
+
+# --- streaming k-means -----------------------------------------------------------
+
+def ev_blocks(name: str = "p", days: int = 10) -> str:
+    return cte(name, "SELECT event_id, user_id, value / 100.0 AS x0, hour(ts) / 24.0 AS x1, "
+                     f"CAST(floor(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), "
+                     f"CAST(ts AS DATE)) / {days}) AS INTEGER) AS blk "
+                     "FROM events WHERE value IS NOT NULL AND ts IS NOT NULL")
+
+
+def stream_state(name: str, centers: str, k: int, d: int, weights: list[str]) -> str:
+    cols = ", ".join(ccol(j, i) for j in range(k) for i in range(d))
+    ws = ", ".join(f"CAST({w} AS DOUBLE) AS w{j}" for j, w in enumerate(weights))
+    return cte(name, f"SELECT {cols}, {ws} FROM {centers}")
+
+
+def stream_update(out: str, src: str, prev: str, blk: int, k: int, d: int,
+                  decay: float, unit: str) -> list[str]:
+    """One micro-batch: assign, discount, move, split a dying cluster."""
+    a = assign_ctes(f"{out}_a", f"(SELECT * FROM {src} WHERE blk = {blk})", prev, k, d, keep=[])
+    stats = ", ".join([f"CAST(count(*) FILTER (WHERE a = {j}) AS DOUBLE) AS n{j}" for j in range(k)]
+                      + [f"coalesce(sum(x{i}) FILTER (WHERE a = {j}), 0.0) AS s{j}_{i}"
+                         for j in range(k) for i in range(d)])
+    n = cte(f"{out}_n", f"SELECT {stats} FROM {out}_a")
+    total = " + ".join(f"n{j}" for j in range(k))
+    disc = repr(float(decay)) if unit == "batches" else f"pow({float(decay)!r}, {total})"
+    sel = []
+    for j in range(k):
+        wd = f"(p.w{j} * {disc})"
+        upd = f"({wd} + n{j})"
+        lam = f"(n{j} / greatest({upd}, 1e-16))"
+        sel.append(f"CASE WHEN n{j} > 0 THEN {upd} ELSE {wd} END AS w{j}")
+        for i in range(d):
+            sel.append(f"CASE WHEN n{j} > 0 THEN p.{ccol(j, i)} * (1.0 - {lam}) + "
+                       f"({lam} / n{j}) * s{j}_{i} ELSE p.{ccol(j, i)} END AS {ccol(j, i)}")
+    m = cte(f"{out}_m", f"SELECT {', '.join(sel)} FROM {prev} p, {out}_n")
+    ws = ", ".join(f"w{j}" for j in range(k))
+    g = cte(f"{out}_g", f"SELECT *, {argmax_expr(k, 'w')} AS big, {argmin_expr(k, 'w')} AS small, "
+                        f"greatest({ws}) AS wmax, least({ws}) AS wmin FROM {out}_m")
+    fin = []
+    for j in range(k):
+        fin.append(f"CASE WHEN wmin < 1e-8 * wmax AND (big = {j} OR small = {j}) "
+                   f"THEN (wmax + wmin) / 2.0 ELSE w{j} END AS w{j}")
+        for i in range(d):
+            xl = "CASE big " + " ".join(f"WHEN {l} THEN {ccol(l, i)}" for l in range(k)) + " END"
+            pl = f"1e-14 * greatest(abs({xl}), 1.0)"
+            fin.append(f"CASE WHEN wmin < 1e-8 * wmax AND big = {j} THEN ({xl}) + {pl} "
+                       f"WHEN wmin < 1e-8 * wmax AND small = {j} THEN ({xl}) - {pl} "
+                       f"ELSE {ccol(j, i)} END AS {ccol(j, i)}")
+    return [*a, n, m, g, cte(out, f"SELECT {', '.join(fin)} FROM {out}_g")]
+
+
+def state_long(name: str, k: int, d: int) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT CAST({j} AS INTEGER) AS cluster, CAST(round(w{j}, 4) AS DOUBLE) AS weight, "
+        f"CAST({i} AS INTEGER) AS dim, CAST(round({ccol(j, i)}, 6) AS DOUBLE) AS value FROM {name}"
+        for j in range(k) for i in range(d))

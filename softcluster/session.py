@@ -57,4 +57,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_table_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint root for written state tables."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, "tables", name)
+    return f"{root.rstrip('/')}/tables/{name}"
