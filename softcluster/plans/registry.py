@@ -21,4 +21,5 @@ def query(name: str, oracle: Callable[[], str] | None = None):
 
 def load_all() -> None:
     # Importing the modules registers their queries.
-    from . import bisect_queries, fuzzy_queries, kmeans_queries, stream_queries  # noqa: F401
+    from . import (bisect_queries, fuzzy_queries, kmeans_queries, pic_queries,  # noqa: F401
+                   stream_queries)
