@@ -22,5 +22,6 @@ def query(name: str, oracle: Callable[[], str] | None = None):
 def load_all() -> None:
     # Importing the modules registers their queries.
     from . import (bisect_queries, fuzzy_queries, gmm_queries, kmeans_queries,  # noqa: F401
+                   lda_queries,
                    pic_queries,
                    stream_queries)
