@@ -321,3 +321,119 @@ def lda_state_roundtrip(spark, sf_dir):
     path = store.save_lda_state(m.tokens, m.doc_topics, m.term_topics, K, V, [ALPHA] * K, ETA)
     _, doc, term, _ = store.load_lda_state(spark, path)
     return _state_out(doc, term)
+
+
+# H14 - H21, H1 online ----------------------------------------------------------------------
+
+from ..operators import topics_online as OL  # noqa: E402
+
+OK_TOPICS, OFRACTION, OITERS = 3, 0.05, 4
+
+
+def _bags(spark, sf_dir):
+    return OL.bags(term_counts(spark, sf_dir))
+
+
+def _online_model(spark, sf_dir, iters=OITERS, optimize_alpha=False):
+    return OL.train_online(term_counts(spark, sf_dir), k=OK_TOPICS, max_iter=iters,
+                           vocab_size=V, fraction=OFRACTION, seed=5,
+                           optimize_alpha=optimize_alpha)
+
+
+@query("lda_minibatch")
+def lda_minibatch(spark, sf_dir):
+    """Documents drawn with replacement, fraction 0.05."""
+    return OL.minibatch(_bags(spark, sf_dir), OFRACTION, True, seed=3).select("doc_id")
+
+
+@query("lda_infer")
+def lda_infer(spark, sf_dir):
+    """H15 over the whole corpus: variational gamma per document from the
+    Gamma(100, 1/100) start lambda."""
+    tc = term_counts(spark, sf_dir)
+    a, e = OL.online_priors(OK_TOPICS)
+    lam = OL.init_lambda(spark, OK_TOPICS, V, seed=1)
+    model = OL.OnlineLDAModel(lam, OK_TOPICS, V, a, e)
+    th = model.transform(OL.bags(tc))
+    return th.select("doc_id", F.posexplode("theta").alias("topic", "theta"))
+
+
+@query("lda_online_stats")
+def lda_online_stats(spark, sf_dir):
+    """One mini-batch's statistics x exp(E[log beta]) per (topic, term)."""
+    docs = _bags(spark, sf_dir)
+    a, _ = OL.online_priors(OK_TOPICS)
+    lam = OL.init_lambda(spark, OK_TOPICS, V, seed=1)
+    eb = OL.to_matrix(OL.exp_elog_beta(lam), OK_TOPICS, V, "e")
+    return OL.batch_stats(OL.minibatch(docs, OFRACTION, True, 3), eb, a, 100.0, seed=9)
+
+
+def _online_lambda_sql():
+    import math as _m
+    d = "(SELECT count(DISTINCT doc_id) FROM tok)"
+    rho = _m.pow(1024.0 + 1, -0.51)
+    eta = 1.0 / K
+    body = "\nUNION ALL\n".join(
+        f"SELECT CAST({j} AS INTEGER) AS topic, l.term_id, CAST(round({1.0 - rho!r} * l.n{j} + "
+        f"{rho!r} * (coalesce(s.n{j}, 0.0) * ({d} / ceil({OFRACTION!r} * {d})) + {eta!r}), 6) "
+        f"AS DOUBLE) AS weight FROM tt0 l LEFT JOIN tt1 s USING (term_id)" for j in range(K))
+    return S.with_(_em(1), body)
+
+
+@query("lda_online_lambda", _online_lambda_sql)
+def lda_online_lambda(spark, sf_dir):
+    """H17 on data-derived tables: lambda = the hash-start term-topic table,
+    stat = the table after one EM step; D documents, B = ceil(0.05 D),
+    rho = (1024 + 1)^-0.51, eta = 1/k."""
+    import math as _m
+    tokens = TP.token_table(term_counts(spark, sf_dir))
+    _, term0 = TP.init_hash(tokens, K)
+    m = em_model(spark, sf_dir, 1)
+
+    def long(df, name):
+        pairs = ", ".join(f"{j}, n_{j}" for j in range(K))
+        return df.select("term_id", F.expr(f"stack({K}, {pairs}) AS (topic, {name})")).select(
+            F.col("topic").cast("int"), "term_id", name)
+
+    lam = long(term0, "weight")
+    stats = long(m.term_topics, "value")
+    docs = tokens.select("doc_id").distinct().count()
+    out = OL.update_lambda(lam, stats, _m.pow(1024.0 + 1, -0.51), docs,
+                           int(_m.ceil(OFRACTION * docs)), 1.0 / K)
+    return out.select("topic", "term_id", F.round("weight", 6).alias("weight"))
+
+
+@query("lda_online_alpha")
+def lda_online_alpha(spark, sf_dir):
+    """Alpha after mini-batches with the Newton step switched on."""
+    m = _online_model(spark, sf_dir, optimize_alpha=True)
+    return spark.createDataFrame([(j, float(v)) for j, v in enumerate(m.alpha)],
+                                 "topic int, alpha double")
+
+
+@query("lda_train_online")
+def lda_train_online(spark, sf_dir):
+    """H1 (online): 4 mini-batches, k = 3; the lambda table."""
+    return _online_model(spark, sf_dir).topics()
+
+
+@query("lda_transform")
+def lda_transform(spark, sf_dir):
+    """Topic mix of every document under the trained online model."""
+    m = _online_model(spark, sf_dir)
+    return m.transform(_bags(spark, sf_dir))
+
+
+@query("lda_bound")
+def lda_bound(spark, sf_dir):
+    """Variational bound of the corpus under the online model."""
+    m = _online_model(spark, sf_dir)
+    return spark.createDataFrame([(m.log_likelihood(_bags(spark, sf_dir)),)], "bound double")
+
+
+@query("lda_perplexity")
+def lda_perplexity(spark, sf_dir):
+    """-bound / tokens."""
+    m = _online_model(spark, sf_dir)
+    return spark.createDataFrame([(m.log_perplexity(_bags(spark, sf_dir)),)],
+                                 "log_perplexity double")
