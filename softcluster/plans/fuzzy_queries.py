@@ -182,3 +182,17 @@ def fcm_init_random(spark, sf_dir):
 def fcm_init_membership(spark, sf_dir):
     pts = X.points_ev(spark, sf_dir)
     return fuzzy.init_membership(pts, K, seed=11, id_col="event_id")
+
+
+# A7 ---------------------------------------------------------------------------
+
+@query("fcm_model_roundtrip", _fcm_train_sql)
+def fcm_model_roundtrip(spark, sf_dir):
+    """Fuzzy centres saved with m and epsilon in meta, loaded with checks."""
+    from ..sources import store
+    pts, start = li_start(spark, sf_dir)
+    model = fuzzy.train(pts, k=K, m=M, max_iter=STEPS, epsilon=0.0, init=start)
+    path = store.save_fuzzy(model.centers_df(spark), model.m, model.epsilon)
+    centers, meta = store.load_fuzzy(spark, path)
+    assert meta["m"] == M and meta["k"] == K
+    return C.long_form(centers)

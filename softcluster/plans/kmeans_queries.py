@@ -247,3 +247,38 @@ def kmeans_init_random(spark, sf_dir):
 def kmeans_init_parallel(spark, sf_dir):
     pts = X.points_li(spark, sf_dir)
     return C.long_form(C.to_df(spark, kmeans.init_parallel(pts, K, 5, seed=5)))
+
+
+# A1 / A6 / C5 sample --------------------------------------------------------------
+
+def _norms_sql():
+    return S.with_([S.li_points("p")],
+                   "SELECT l_orderkey, l_linenumber, CAST(round(sqrt(" +
+                   " + ".join(f"x{i} * x{i}" for i in range(D)) + "), 6) AS DOUBLE) AS norm FROM p")
+
+
+@query("points_norms", _norms_sql)
+def points_norms(spark, sf_dir):
+    """A1: points table with L2 norms (JVM-side aggregate over the array)."""
+    pts = P.with_norms(X.points_li(spark, sf_dir))
+    return pts.select(*LI_KEEP, F.round("norm", 6).alias("norm"))
+
+
+@query("kmeans_model_roundtrip", _train_sql)
+def kmeans_model_roundtrip(spark, sf_dir):
+    """Trained centres saved as parquet + meta, loaded with checks."""
+    from ..sources import store
+    pts, start = li_start(spark, sf_dir)
+    model = kmeans.train(pts, k=K, max_iter=STEPS, epsilon=0.0, init=start)
+    path = store.save_centers(model.centers_df(spark))
+    centers, meta = store.load_centers(spark, path)
+    assert meta["k"] == K
+    return C.long_form(centers)
+
+
+@query("kmeans_oversample")
+def kmeans_oversample(spark, sf_dir):
+    """C5 draw: rows kept with probability 2k * cost / sum(cost)."""
+    pts, start = li_start(spark, sf_dir)
+    cost = kmeans.cost_column(pts.select(P.FEATURES), start[:1])
+    return C.long_form(C.to_df(spark, kmeans.oversample(cost, K, seed=21)))

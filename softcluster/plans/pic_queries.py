@@ -121,3 +121,15 @@ def pic_graph_run(spark, sf_dir):
     directed = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"),
                                       "weight"))
     return pic.run(directed, k=2, max_iter=100, init="degree", symmetric=True)
+
+
+@query("pic_assignments_roundtrip")
+def pic_assignments_roundtrip(spark, sf_dir):
+    """(id, cluster) assignments saved and loaded."""
+    from ..sources import store
+    e = supp_edges(spark, sf_dir)
+    res = pic.power_iteration(pic.normalize(e), pic.init_degree(pic._mirrored(e)),
+                              max_iter=STEPS, fixed_steps=True)
+    assign = pic.assign(res.v, k=2)
+    path = store.save_assignments(assign, 2)
+    return store.load_assignments(spark, path)
