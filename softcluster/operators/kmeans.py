@@ -33,30 +33,39 @@ def _weights(b, weight):
 
 
 def step_sums(points: DataFrame, centers: np.ndarray, features: str = P.FEATURES,
-              weight: str | None = None) -> np.ndarray:
+              weight: str | None = None, run_col: str | None = None) -> np.ndarray:
     """C9 kernel for r runs at once.
 
     ``centers`` is (r, k, d) or (k, d).  Returns (r*k, d + 2):
     [sum w x | sum w | sum w dist2] per (run, cluster), key = run*k + cluster.
+    Every row counts in every run, unless ``run_col`` names the run a row
+    belongs to (candidate tables of several runs).  Centres padded with inf
+    never attract a row.
     """
     cs = centers if centers.ndim == 3 else centers[None]
     r, k, d = cs.shape
-    cols = [features] + ([weight] if weight else [])
+    cols = [features] + ([weight] if weight else []) + ([run_col] if run_col else [])
 
     def batch(b):
         x = batch_matrix(b, features, d)
         w = _weights(b, weight)
+        ww = np.ones(x.shape[0]) if w is None else w
+        rid = (np.asarray(b.column(b.schema.get_field_index(run_col)).to_numpy(
+            zero_copy_only=False), dtype=np.int64) if run_col else None)
         out = np.zeros((r * k, d + 2))
-        idx = np.arange(x.shape[0])
         for run in range(r):
-            dist = sqdist(x, cs[run])
+            rows = np.arange(x.shape[0]) if rid is None else np.nonzero(rid == run)[0]
+            if rows.size == 0:
+                continue
+            with np.errstate(invalid="ignore"):
+                dist = sqdist(x[rows], cs[run])
             a = np.argmin(dist, axis=1)  # first minimum: lowest index on ties
-            cost = dist[idx, a]
-            ww = np.ones(x.shape[0]) if w is None else w
+            cost = dist[np.arange(rows.size), a]
             keys = run * k + a
-            np.add.at(out[:, :d], keys, x * ww[:, None])
-            out[:, d] += np.bincount(keys, weights=ww, minlength=r * k)
-            out[:, d + 1] += np.bincount(keys, weights=cost * ww, minlength=r * k)
+            wr = ww[rows]
+            np.add.at(out[:, :d], keys, x[rows] * wr[:, None])
+            out[:, d] += np.bincount(keys, weights=wr, minlength=r * k)
+            out[:, d + 1] += np.bincount(keys, weights=cost * wr, minlength=r * k)
         return out
 
     return partial_sums(points.select(*cols), (r * k, d + 2), batch)
@@ -134,8 +143,7 @@ def _initial(data, k, runs, init, init_steps, seed, features, weight):
         return arr
     if init == "random":
         return init_random(data, k, runs, seed, features)
-    return np.stack([init_parallel(data, k, init_steps, seed + r, features, weight)
-                     for r in range(runs)])
+    return init_parallel_runs(data, k, runs, init_steps, seed, features, weight)
 
 
 def lloyd(data: DataFrame, starts: np.ndarray, max_iter: int, epsilon: float,
@@ -218,84 +226,174 @@ def candidate_weights(points: DataFrame, candidates: np.ndarray,
 
 def init_parallel(points: DataFrame, k: int, init_steps: int = 5, seed: int = 0,
                   features: str = P.FEATURES, weight: str | None = None) -> np.ndarray:
-    """C4: k-means|| seeding, then weighted k-means++ + weighted Lloyd
-    over the candidate table."""
+    """C4 for one run: (k, d) start centres."""
+    return init_parallel_runs(points, k, 1, init_steps, seed, features, weight)[0]
+
+
+def _run_costs(points: DataFrame, news: list, features: str, prev: str | None) -> DataFrame:
+    """Cost array column: per run, min over that run's new centres (and the
+    previous cost).  One projection for all runs."""
+    flat = [c for cs in news for c in cs]
+    keep = [c for c in points.columns if c not in (features, "cost")]
+    base = points if prev is None else points
+    dd = with_sqdists(base, features, np.array(flat), keep + ([prev] if prev else []))
+    out, pos = [], 0
+    for r, cs in enumerate(news):
+        ds = [F.col(f"_d{pos + i}") for i in range(len(cs))]
+        pos += len(cs)
+        m = None if not ds else (F.least(*ds) if len(ds) > 1 else ds[0])
+        if prev is not None:
+            old = F.col(prev)[r]
+            m = old if m is None else F.least(old, m)
+        out.append(m)
+    return dd.select(*keep, features, F.array(*out).alias("cost"))
+
+
+def init_parallel_runs(points: DataFrame, k: int, runs: int = 1, init_steps: int = 5,
+                       seed: int = 0, features: str = P.FEATURES,
+                       weight: str | None = None) -> np.ndarray:
+    """C4: k-means|| for all runs in shared passes over the data.
+
+    Per round: one aggregate for the r cost totals, one scan keeping a row for
+    run r with probability 2k*cost_r/total_r (independent draws per run), one
+    projection updating the r running minima.  Candidates (2k per round and
+    run in expectation) are weighed in one kernel pass (C6) and reduced to k
+    per run by weighted k-means++ and Lloyd over the run-keyed candidate
+    table (C7)."""
     spark = points.sparkSession
-    first = points.select(features).orderBy(F.rand(seed)).limit(1).collect()
-    if not first:
-        raise ValueError("empty points table")
-    cands = np.array([first[0][0]], dtype=np.float64)
-    cur = cost_column(points.select(features), cands, features).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    new = cands
+    first = points.select(features).orderBy(F.rand(seed)).limit(runs).collect()
+    if len(first) < runs:
+        raise ValueError("fewer rows than runs")
+    cands = [[np.array(first[r][0], dtype=np.float64)] for r in range(runs)]
+    cur = _run_costs(points.select(features), [[c[0]] for c in cands], features, None
+                     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for step in range(init_steps):
-            picked = oversample(cur, k, seed * 7919 + step + 1, features)
-            if picked.size == 0:
+            tot = cur.agg(*[F.sum(F.col("cost")[r]).alias(f"t{r}") for r in range(runs)]).first()
+            picks = [F.rand(seed * 7919 + 104729 * (step + 1) + r) * F.lit(float(tot[f"t{r}"] or 0.0))
+                     < F.lit(2.0 * k) * F.col("cost")[r] for r in range(runs)]
+            rows = cur.select(features, F.array(*picks).alias("_sel")).where(
+                F.exists("_sel", lambda v: v)).collect()
+            news = [[np.array(rw[0], dtype=np.float64) for rw in rows if rw[1][r]]
+                    for r in range(runs)]
+            if not any(news):
                 break
-            new = picked
-            cands = np.vstack([cands, new])
-            nxt = cost_column(cur, new, features, prev="cost").persist(
-                StorageLevel.MEMORY_AND_DISK)
+            for r in range(runs):
+                cands[r].extend(news[r])
+            nxt = _run_costs(cur, news, features, "cost").persist(StorageLevel.MEMORY_AND_DISK)
             nxt.count()
             cur.unpersist()
             cur = nxt
     finally:
         cur.unpersist()
-    cands = np.unique(cands, axis=0)
-    if len(cands) <= k:
-        if len(cands) < k:
-            log.warning("k-means||: only %d distinct candidates for k=%d (Q10)", len(cands), k)
-        return cands
-    w = candidate_weights(points, cands, features, weight)
-    ctab = C.to_df(spark, cands, weight=w).withColumnRenamed("center", features)
-    return weighted_kmeans(ctab, k, seed=seed, features=features, weight="weight")
+    uniq = [np.unique(np.array(c), axis=0) for c in cands]
+    d = uniq[0].shape[1]
+    cmax = max(len(u) for u in uniq)
+    padded = np.full((runs, cmax, d), np.inf)
+    for r, u in enumerate(uniq):
+        padded[r, :len(u)] = u
+    w = step_sums(points, padded, features, weight)[:, d].reshape(runs, cmax)
+    rows = [(r, [float(v) for v in uniq[r][i]], float(w[r, i]))
+            for r in range(runs) for i in range(len(uniq[r]))]
+    table = spark.createDataFrame(rows, f"run int, {features} array<double>, weight double")
+    out = weighted_kmeans_runs(table, k, runs, seed=seed, features=features)
+    for r, u in enumerate(uniq):
+        if len(u) < k:
+            log.warning("k-means||: only %d distinct candidates for k=%d (Q10)", len(u), k)
+    return out
 
 
 def kmeans_pp(table: DataFrame, k: int, seed: int = 0, features: str = P.FEATURES,
               weight: str = "weight") -> np.ndarray:
-    """C7 seeding: weighted k-means++ as Spark jobs over a (small) weighted
-    table.  The draw proportional to weight*cost is an exponential race:
-    argmin of -ln(U)/(w*cost) selects row i with probability w_i c_i / sum."""
-    t = table.select(features, weight).where(F.col(weight) > 0)
-    pick = t.orderBy(-F.log(F.rand(seed)) / F.col(weight)).limit(1).collect()
-    centers = np.array([pick[0][features]], dtype=np.float64)
-    cur = cost_column(t, centers, features)
+    """C7 seeding for one weighted table."""
+    t = table.select(F.lit(0).alias("run"), features, weight)
+    return kmeans_pp_runs(t, k, 1, seed, features, weight)[0]
+
+
+def kmeans_pp_runs(table: DataFrame, k: int, runs: int, seed: int = 0,
+                   features: str = P.FEATURES, weight: str = "weight") -> list:
+    """C7 seeding, all runs per job: weighted k-means++ over a run-keyed
+    (small) table.  The draw proportional to weight*cost is an exponential
+    race: per run, argmin of -ln(U)/(w*cost) picks row i with probability
+    w_i c_i / sum.  Returns per run a (<= k, d) array (Q10)."""
+    from pyspark.sql.window import Window
+
+    t = table.select("run", features, weight).where(F.col(weight) > 0).persist()
+    win = Window.partitionBy("run").orderBy("_race")
+
+    def draw(df, race):
+        return {r["run"]: np.array(r[features], dtype=np.float64) for r in
+                df.withColumn("_race", race).withColumn("_rk", F.row_number().over(win))
+                .where("_rk = 1").select("run", features).collect()}
+
+    picked = draw(t, -F.log(F.rand(seed)) / F.col(weight))
+    centers = [[picked[r]] if r in picked else [] for r in range(runs)]
     for i in range(1, k):
-        race = -F.log(F.rand(seed + i)) / (F.col(weight) * F.col("cost"))
-        pick = cur.where(F.col("cost") > 0).orderBy(race).limit(1).collect()
-        if not pick:
-            log.warning("k-means++: fewer than k distinct weighted rows (Q10)")
+        arrs = {r: np.array(c) for r, c in enumerate(centers) if c}
+        cost = _cost_by_run(arrs, features)
+        live = t.withColumn("cost", cost).where(F.col("cost") > 0)
+        picked = draw(live, -F.log(F.rand(seed + i)) / (F.col(weight) * F.col("cost")))
+        if not picked:
             break
-        c = np.array([pick[0][features]], dtype=np.float64)
-        centers = np.vstack([centers, c])
-        cur = cost_column(cur, c, features, prev="cost")
-    return centers
+        for r, c in picked.items():
+            centers[r].append(c)
+    t.unpersist()
+    return [np.array(c) for c in centers]
+
+
+def _cost_by_run(arrs: dict, features: str):
+    """min squared distance to the row's own run's centres (CASE on run)."""
+    from ..functions.columns import sqdist_cols
+    expr = None
+    for r, cs in arrs.items():
+        ds = sqdist_cols(features, cs)
+        m = F.least(*ds) if len(ds) > 1 else ds[0]
+        expr = F.when(F.col("run") == r, m) if expr is None else expr.when(F.col("run") == r, m)
+    return expr
 
 
 def weighted_kmeans(table: DataFrame, k: int, max_iter: int = 30, seed: int = 0,
                     features: str = P.FEATURES, weight: str = "weight") -> np.ndarray:
-    """Weighted k-means++ then weighted Lloyd; an empty cluster restarts
-    at a random row of the table."""
-    centers = kmeans_pp(table, k, seed, features, weight)
+    """C7 for one weighted table: weighted k-means++ then weighted Lloyd."""
+    t = table.select(F.lit(0).alias("run"), features, weight)
+    return weighted_kmeans_runs(t, k, 1, max_iter, seed, features, weight)[0]
+
+
+def weighted_kmeans_runs(table: DataFrame, k: int, runs: int, max_iter: int = 30,
+                         seed: int = 0, features: str = P.FEATURES,
+                         weight: str = "weight") -> np.ndarray:
+    """C7 for all runs at once; an empty cluster restarts at a random row of
+    its run.  A run with fewer than k distinct candidates returns them all
+    (padded by repeating none: the caller sees fewer distinct centres)."""
+    seeds = kmeans_pp_runs(table, k, runs, seed, features, weight)
+    if any(len(c) < k for c in seeds):
+        if runs == 1:
+            return np.array([seeds[0]])
+        # pad short runs with their first centre so every run has k rows
+        seeds = [np.vstack([c] + [c[:1]] * (k - len(c))) if len(c) < k else c for c in seeds]
+    cs = np.stack(seeds)
+    t = table.persist()
+    d = cs.shape[2]
     for it in range(max_iter):
-        sums = step_sums(table, centers, features, weight)
-        d = centers.shape[1]
+        sums = step_sums(t, cs, features, weight, run_col="run").reshape(runs, k, d + 2)
+        new = cs.copy()
         moved = False
-        new = centers.copy()
-        for j in range(len(centers)):
-            if sums[j, d] > 0:
-                c = sums[j, :d] / sums[j, d]
-                moved |= bool(np.sum((c - centers[j]) ** 2) > 0)
-                new[j] = c
-            else:
-                row = table.select(features).orderBy(F.rand(seed + 1000 + it)).limit(1).collect()
-                new[j] = np.array(row[0][0])
-                moved = True
-        centers = new
+        for r in range(runs):
+            for j in range(k):
+                if sums[r, j, d] > 0:
+                    c = sums[r, j, :d] / sums[r, j, d]
+                    moved |= bool(np.sum((c - cs[r, j]) ** 2) > 0)
+                    new[r, j] = c
+                else:
+                    row = t.where(F.col("run") == r).select(features).orderBy(
+                        F.rand(seed + 1000 + it)).limit(1).collect()
+                    new[r, j] = np.array(row[0][0])
+                    moved = True
+        cs = new
         if not moved:
             break
-    return centers
+    t.unpersist()
+    return cs
 
 
 def weighted_step(table: DataFrame, centers: np.ndarray, features: str = P.FEATURES,

@@ -31,25 +31,30 @@ BROADCAST_MAX_VERTICES = 20_000_000  # ~320 MB of (id, v) rows
 DEFAULTS = dict(k=2, max_iter=100, init="random")
 
 
-def normalize(edges: DataFrame) -> DataFrame:
+def normalize(edges: DataFrame, with_degrees: bool = False):
     """mirror every pair, drop self pairs (duplicates add up), then
-    w = s / max(rowsum(src), EPS)."""
-    e = checked(edges)
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return _row_normalize(both.where(F.col("src") != F.col("dst")))
+    w = s / max(rowsum(src), EPS).  With ``with_degrees`` also returns the
+    (id, degree) row sums, computed once and reused by the degree start."""
+    both = _mirrored(edges)
+    return _row_normalize(both, with_degrees)
 
 
-def normalize_directed(edges: DataFrame) -> DataFrame:
+def normalize_directed(edges: DataFrame, with_degrees: bool = False):
     """a given directed graph, row-normalised as is (self edges dropped,
     quirk Q15)."""
-    return _row_normalize(checked(edges).where(F.col("src") != F.col("dst")))
+    return _row_normalize(checked(edges).where(F.col("src") != F.col("dst")), with_degrees)
 
 
-def _row_normalize(e: DataFrame) -> DataFrame:
-    rows = e.groupBy("src").agg(F.sum("weight").alias("_rowsum"))
+def _row_normalize(e: DataFrame, with_degrees: bool = False):
+    e = e.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = e.groupBy("src").agg(F.sum("weight").alias("_rowsum")).persist(
+        StorageLevel.MEMORY_AND_DISK)
     j = _join_small(e, rows, "src", "src")
-    return j.select("src", "dst", (F.col("weight") / F.greatest(
+    w = j.select("src", "dst", (F.col("weight") / F.greatest(
         F.col("_rowsum"), F.lit(EPSILON))).alias("weight"))
+    if with_degrees:
+        return w, rows.select(F.col("src").alias("id"), F.col("_rowsum").alias("degree"))
+    return w
 
 
 def _join_small(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
@@ -68,9 +73,10 @@ def degrees(w: DataFrame) -> DataFrame:
     return w.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
 
 
-def init_degree(a: DataFrame) -> DataFrame:
-    """v0 = rowsum / total, over the mirrored affinity table ``a``."""
-    d = degrees(a)
+def init_degree(a: DataFrame = None, degrees_df: DataFrame | None = None) -> DataFrame:
+    """v0 = rowsum / total, over the mirrored affinity table ``a`` or
+    from row sums already computed by ``normalize(..., with_degrees=True)``."""
+    d = degrees_df if degrees_df is not None else degrees(a)
     total = d.agg(F.sum("degree")).first()[0]
     return d.select("id", (F.col("degree") / F.lit(total)).alias("v"))
 
@@ -155,12 +161,8 @@ def run(edges: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEFAULTS["max_
         return PIC(k=k, maxIter=max_iter, initMode=init, srcCol="src", dstCol="dst",
                    weightCol="weight").assignClusters(e).select(
             "id", F.col("cluster").cast("int"))
-    w = normalize_directed(edges) if symmetric else normalize(edges)
-    if init == "degree":
-        v0 = (init_degree(checked(edges).where(F.col("src") != F.col("dst")))
-              if symmetric else init_degree(_mirrored(edges)))
-    else:
-        v0 = init_random(w, seed)
+    w, deg = (normalize_directed(edges, True) if symmetric else normalize(edges, True))
+    v0 = init_degree(degrees_df=deg) if init == "degree" else init_random(w, seed)
     res = power_iteration(w, v0, max_iter)
     return assign(res.v, k)
 

@@ -19,7 +19,9 @@ EPS = pic.EPSILON
 
 
 def supp_edges(spark, sf_dir):
-    return E.supplier_part_edges(X.table(spark, sf_dir, "lineitem"))
+    from pyspark import StorageLevel
+    return E.supplier_part_edges(X.table(spark, sf_dir, "lineitem")).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
 
 def _base():
@@ -85,10 +87,9 @@ def _power_sql():
 @query("pic_power_iter", _power_sql)
 def pic_power_iter(spark, sf_dir):
     """5 power steps from the degree vector."""
-    e = supp_edges(spark, sf_dir)
-    w = pic.normalize(e)
-    v0 = pic.init_degree(pic._mirrored(e))
-    res = pic.power_iteration(w, v0, max_iter=STEPS, fixed_steps=True)
+    w, deg = pic.normalize(supp_edges(spark, sf_dir), with_degrees=True)
+    res = pic.power_iteration(w, pic.init_degree(degrees_df=deg), max_iter=STEPS,
+                              fixed_steps=True)
     return _v_out(res.v)
 
 
@@ -102,9 +103,9 @@ def pic_init_random(spark, sf_dir):
 @query("pic_assign")
 def pic_assign(spark, sf_dir):
     """k-means (5 runs, seed 0) on the embedding after 5 steps."""
-    e = supp_edges(spark, sf_dir)
-    res = pic.power_iteration(pic.normalize(e), pic.init_degree(pic._mirrored(e)),
-                              max_iter=STEPS, fixed_steps=True)
+    w, deg = pic.normalize(supp_edges(spark, sf_dir), with_degrees=True)
+    res = pic.power_iteration(w, pic.init_degree(degrees_df=deg), max_iter=STEPS,
+                              fixed_steps=True)
     return pic.assign(res.v, k=2)
 
 
@@ -127,9 +128,9 @@ def pic_graph_run(spark, sf_dir):
 def pic_assignments_roundtrip(spark, sf_dir):
     """(id, cluster) assignments saved and loaded."""
     from ..sources import store
-    e = supp_edges(spark, sf_dir)
-    res = pic.power_iteration(pic.normalize(e), pic.init_degree(pic._mirrored(e)),
-                              max_iter=STEPS, fixed_steps=True)
+    w, deg = pic.normalize(supp_edges(spark, sf_dir), with_degrees=True)
+    res = pic.power_iteration(w, pic.init_degree(degrees_df=deg), max_iter=STEPS,
+                              fixed_steps=True)
     assign = pic.assign(res.v, k=2)
     path = store.save_assignments(assign, 2)
     return store.load_assignments(spark, path)

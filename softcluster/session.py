@@ -30,6 +30,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ensure_importable(spark)
     return spark
 
 
@@ -58,3 +59,34 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint root for written state tables."""
     root = ensure_checkpoint_dir(spark)
     return f"{root.rstrip('/')}/tables/{name}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a narrow input at least one partition per core.
+
+    A small source (one parquet row group) arrives as one partition and would
+    run every pass in one task.  Only then is it repartitioned; a large input
+    already has more partitions than cores and is returned untouched, so no
+    shuffle is ever added at scale.
+    """
+    n = df.rdd.getNumPartitions()
+    p = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(p) if n < p else df
+
+
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers import this package.
+
+    Arrow kernels and pandas UDFs are pickled by reference to their module,
+    so every worker must find ``softcluster``.  Spark adds the PYTHONPATH of
+    ``sc.environment`` to each worker it starts; this sets it once per
+    context.  (On a cluster the package is deployed with the job, e.g.
+    ``--py-files`` or an installed wheel, and this is a no-op there.)
+    """
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGE_ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT] + paths)

@@ -14,6 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 FEATURES = "features"
 
 
@@ -79,7 +81,7 @@ def prepare(points: DataFrame, col: str = FEATURES, *, persist: bool = True):
     blocks from the parquet scan, so no state is lost with it.
     """
     stats = validate(points, col)
-    df = clean(points, col)
+    df = spread(clean(points, col))
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     return df, stats
