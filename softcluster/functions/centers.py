@@ -55,11 +55,12 @@ def from_df(df: DataFrame, expected_k: int | None = None) -> np.ndarray:
     return mat
 
 
-def group_means(points: DataFrame, group: "F.Column", features: str = "features"
-                ) -> DataFrame:
+def group_means(points: DataFrame, group: "F.Column", features: str = "features",
+                dim: int | None = None) -> DataFrame:
     """Start centres: per-group feature means, group ids re-numbered 0..g-1."""
     g = points.withColumn("_g", group)
-    dim = len(g.select(features).first()[0])
+    if dim is None:
+        dim = len(g.select(features).first()[0])
     means = g.groupBy("_g").agg(
         *[F.avg(F.col(features)[i]).alias(f"_m{i}") for i in range(dim)])
     # k rows after the aggregate: a global order over them is cheap.

@@ -123,10 +123,13 @@ def power_iteration(w: DataFrame, v0: DataFrame, max_iter: int = 100,
         raw = power_step(w, v, n_vertices=n).persist(StorageLevel.MEMORY_AND_DISK)
         norm = raw.agg(F.sum(F.abs("v"))).first()[0]
         new = raw.select("id", (F.col("v") / F.lit(norm)).alias("v"))
-        delta = new.join(v.select("id", F.col("v").alias("_old")), "id").agg(
-            F.sum(F.abs(F.col("_old") - F.col("v")))).first()[0] or 0.0
-        diff_delta = abs(delta - prev_delta)
-        prev_delta = delta
+        if fixed_steps:
+            delta = float("nan")  # only the stop rule needs it: one job saved
+        else:
+            delta = new.join(v.select("id", F.col("v").alias("_old")), "id").agg(
+                F.sum(F.abs(F.col("_old") - F.col("v")))).first()[0] or 0.0
+            diff_delta = abs(delta - prev_delta)
+            prev_delta = delta
         it += 1
         if it % checkpoint_every == 0:
             new = cut_lineage(new)

@@ -19,14 +19,14 @@ GROUP_SQL = "floor(x0 / 13)"
 
 def li_start(spark, sf_dir):
     pts = X.points_li(spark, sf_dir)
-    start = C.from_df(C.group_means(pts, X.quantity_groups(pts)))
+    start = C.from_df(C.group_means(pts, X.quantity_groups(pts), dim=D))
     return pts, start
 
 
 def ev_start(spark, sf_dir):
     """events start centres: per 6-hour block of the day (4 groups)."""
     pts = X.points_ev(spark, sf_dir)
-    start = C.from_df(C.group_means(pts, F.floor(F.col(P.FEATURES)[1] * 4.0)))
+    start = C.from_df(C.group_means(pts, F.floor(F.col(P.FEATURES)[1] * 4.0), dim=2))
     return pts, start
 
 

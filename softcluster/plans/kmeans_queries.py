@@ -19,7 +19,7 @@ ALT_GROUP_SQL = "floor(x1 / 27.0)"
 
 def li_alt_start(spark, sf_dir):
     pts = X.points_li(spark, sf_dir)
-    return C.from_df(C.group_means(pts, F.floor(F.col(P.FEATURES)[1] / 27.0)))
+    return C.from_df(C.group_means(pts, F.floor(F.col(P.FEATURES)[1] / 27.0), dim=D))
 
 
 def _li():

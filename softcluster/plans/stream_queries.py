@@ -31,7 +31,7 @@ def ev_feed(spark, sf_dir):
 
 def start_centers(spark, sf_dir):
     feed = ev_feed(spark, sf_dir)
-    return feed, C.from_df(C.group_means(feed, F.floor(F.col(P.FEATURES)[1] * 4.0)))
+    return feed, C.from_df(C.group_means(feed, F.floor(F.col(P.FEATURES)[1] * 4.0), dim=D))
 
 
 def run_static(model: StreamingKMeans, feed):

@@ -69,9 +69,15 @@ def spread(df: DataFrame) -> DataFrame:
     already has more partitions than cores and is returned untouched, so no
     shuffle is ever added at scale.
     """
+    from pyspark.sql import functions as F
+
     n = df.rdd.getNumPartitions()
     p = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(p) if n < p else df
+    if n >= p:
+        return df
+    # Hash on a per-row id: even, deterministic on recompute, and no
+    # per-partition sort (which a round-robin repartition needs).
+    return df.repartition(p, F.monotonically_increasing_id())
 
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

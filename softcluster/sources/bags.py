@@ -24,11 +24,22 @@ def tokens(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                             F.explode(words).alias("word"))
 
 
-def vocabulary(toks: DataFrame, vocab_size: int) -> DataFrame:
-    """(word, term_id INT, doc_freq): the top ``vocab_size`` words."""
+def word_counts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
+                ) -> DataFrame:
+    """(doc_id, word, n): ONE tokenizing pass over the whole texts, combined
+    map-side per (document, word)."""
+    from ..session import spread
+
+    return tokens(spread(documents.select(doc_id, text)), text, doc_id).groupBy(
+        "doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def vocabulary(wc: DataFrame, vocab_size: int) -> DataFrame:
+    """(word, term_id INT, doc_freq): the top ``vocab_size`` words of a
+    (doc_id, word, n) table; document frequency = rows per word."""
     if vocab_size > MAX_BROADCAST_VOCAB:
         raise ValueError("vocabulary too large for a broadcast lookup")
-    dfreq = toks.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"))
+    dfreq = wc.groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"))
     top = dfreq.orderBy(F.col("doc_freq").desc(), "word").limit(vocab_size)
     w = Window.orderBy(F.col("doc_freq").desc(), "word")  # over <= vocab_size rows
     return top.select("word", (F.row_number().over(w) - 1).cast("int").alias("term_id"),
@@ -37,11 +48,17 @@ def vocabulary(toks: DataFrame, vocab_size: int) -> DataFrame:
 
 def term_counts(documents: DataFrame, vocab_size: int = 200, text: str = "text",
                 doc_id: str = "doc_id", vocab: DataFrame | None = None):
-    """-> (term_counts(doc_id, term_id, cnt DOUBLE), vocabulary)."""
-    toks = tokens(documents, text, doc_id)
-    vocab = vocab if vocab is not None else vocabulary(toks, vocab_size)
-    tc = (toks.join(F.broadcast(vocab.select("word", "term_id")), "word")
-          .groupBy("doc_id", "term_id").agg(F.count(F.lit(1)).cast("double").alias("cnt")))
+    """-> (term_counts(doc_id, term_id, cnt DOUBLE), vocabulary).
+
+    The per-(document, word) counts are persisted once and feed both the
+    vocabulary and the term counts, so the text is tokenized only once.
+    """
+    from pyspark import StorageLevel
+
+    wc = word_counts(documents, text, doc_id).persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = vocab if vocab is not None else vocabulary(wc, vocab_size)
+    tc = wc.join(F.broadcast(vocab.select("word", "term_id")), "word").select(
+        "doc_id", "term_id", F.col("n").cast("double").alias("cnt"))
     return tc, vocab
 
 

@@ -48,12 +48,13 @@ class PointStats:
 def validate(points: DataFrame, col: str = FEATURES) -> PointStats:
     """One pass: row count, null-row count, dimension; unequal lengths raise."""
     c = F.col(col)
-    bad = c.isNull() | F.exists(c, lambda x: x.isNull())
-    r = points.agg(
+    flagged = points.select((c.isNull() | F.exists(c, lambda x: x.isNull())).alias("_bad"),
+                            F.size(c).alias("_size"))
+    r = flagged.agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(bad, 1).otherwise(0)).alias("bad"),
-        F.min(F.when(~bad, F.size(c))).alias("lo"),
-        F.max(F.when(~bad, F.size(c))).alias("hi"),
+        F.sum(F.col("_bad").cast("int")).alias("bad"),
+        F.min(F.when(~F.col("_bad"), F.col("_size"))).alias("lo"),
+        F.max(F.when(~F.col("_bad"), F.col("_size"))).alias("hi"),
     ).first()
     n, nbad = int(r["n"]), int(r["bad"] or 0)
     if n - nbad == 0:
