@@ -262,3 +262,19 @@ def test_online_transform_empty_doc_gets_zeros(spark, sf_dir):
 def test_centres_table_roundtrip(spark):
     c = np.array([[1.0, 2.0], [3.0, 4.0]])
     assert np.array_equal(C.from_df(C.to_df(spark, c)), c)
+
+
+def test_online_join_path_matches_broadcast_path(spark, sf_dir, monkeypatch):
+    from softcluster.operators import topics_online as OL
+    from softcluster.plans import lda_queries as LQ
+    docs = OL.bags(LQ.term_counts(spark, sf_dir))
+    a, e = OL.online_priors(3)
+    m = OL.OnlineLDAModel(OL.init_lambda(spark, 3, 200, seed=1), 3, 200, a, e)
+    b1 = m.log_likelihood(docs)
+    t1 = {r[0]: np.array(r[1]) for r in m.transform(docs).collect()}
+    monkeypatch.setattr(OL, "MAX_BROADCAST_VALUES", 10)  # force the join path
+    b2 = m.log_likelihood(docs)
+    t2 = {r[0]: np.array(r[1]) for r in m.transform(docs).collect()}
+    assert b2 == pytest.approx(b1, rel=1e-9)
+    assert t1.keys() == t2.keys()
+    assert max(np.max(np.abs(t1[d] - t2[d])) for d in t1) < 1e-9
