@@ -177,16 +177,15 @@ def init_from_sample(sample: DataFrame, k: int, features: str = P.FEATURES,
 
 def draw_sample(points: DataFrame, k: int, n_samples: int = DEFAULTS["n_samples"],
                 seed: int = 0, features: str = P.FEATURES) -> DataFrame:
-    """E2 draw: k * n_samples rows with replacement, as k independent random
-    top-n_samples draws (per-partition top-n, no full sort), with slices."""
-    parts = []
-    for j in range(k):
-        parts.append(points.select(features).orderBy(F.rand(seed * 1009 + j)).limit(n_samples)
-                     .withColumn("slice", F.lit(j)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """E2 draw: k * n_samples random rows in ONE pass (per-partition top-n by
+    a random key, then an n-row merge), cut into k slices of n_samples.
+    Rows are distinct positions (like the decision for Q4)."""
+    from pyspark.sql.window import Window
+
+    smp = points.select(features, F.rand(seed).alias("_r")).orderBy("_r").limit(k * n_samples)
+    w = Window.orderBy("_r")  # k * n_samples rows only
+    return smp.select(features, ((F.row_number().over(w) - 1) / n_samples).cast("int")
+                      .alias("slice"))
 
 
 def train(points: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEFAULTS["max_iter"],

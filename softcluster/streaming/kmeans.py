@@ -76,6 +76,7 @@ class StreamingKMeans:
     time_unit: str = BATCHES
     state_dir: str | None = None
     features: str = P.FEATURES
+    keep_states: int | None = 2  # newest states kept (None: keep all)
 
     def __post_init__(self):
         if self.time_unit not in (BATCHES, POINTS):
@@ -129,6 +130,25 @@ class StreamingKMeans:
         return (np.array([r["center"] for r in rows], dtype=np.float64),
                 np.array([r["weight"] for r in rows], dtype=np.float64), int(last))
 
+    def _prune(self, spark: SparkSession, before: int) -> None:
+        """Drop state folders with id < ``before`` (Hadoop FileSystem API, so
+        any shared file system works).  A replay of batch N needs only the
+        state of N-1, which is kept."""
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self._dir(spark))
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return
+        for st in fs.listStatus(root):
+            name = st.getPath().getName()
+            if name.startswith("batch_id="):
+                try:
+                    bid = int(name.split("=", 1)[1])
+                except ValueError:
+                    continue
+                if bid < before:
+                    fs.delete(st.getPath(), True)
+
     # G2
     def update(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -139,6 +159,8 @@ class StreamingKMeans:
         new_c, new_w, _ = apply_update(centers, weights, sums[:, :d], sums[:, d],
                                        self.decay, self.time_unit)
         self._write(spark, batch_id, new_c, new_w)
+        if self.keep_states is not None:
+            self._prune(spark, batch_id - self.keep_states + 1)
 
     # G1
     def train_on(self, stream: DataFrame, checkpoint: str | None = None,

@@ -278,3 +278,22 @@ def test_online_join_path_matches_broadcast_path(spark, sf_dir, monkeypatch):
     assert b2 == pytest.approx(b1, rel=1e-9)
     assert t1.keys() == t2.keys()
     assert max(np.max(np.abs(t1[d] - t2[d])) for d in t1) < 1e-9
+
+
+def test_stream_state_retention(spark, sf_dir):
+    import glob
+    from softcluster.plans import stream_queries as SQ
+    from softcluster.sources.stream import local_path
+    from softcluster.streaming.kmeans import StreamingKMeans
+    feed, start = SQ.start_centers(spark, sf_dir)
+    m = StreamingKMeans(k=4, decay=1.0).set_initial_centers(spark, start, 1.0)
+    SQ.run_static(m, feed)
+    left = sorted(p.rsplit("=", 1)[1] for p in glob.glob(local_path(m.state_dir) + "/batch_id=*"))
+    assert left == ["1", "2"]
+
+
+def test_gmm_default_start(spark, sf_dir):
+    pts = X.points_li2(spark, sf_dir)
+    fit = mixture.train(pts, k=2, max_iter=3, seed=4)
+    assert np.isclose(fit.weights.sum(), 1.0) and len(fit.trace) >= 1
+    assert np.all(np.isfinite(fit.mus))
