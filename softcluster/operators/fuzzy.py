@@ -153,8 +153,11 @@ def train(points: DataFrame, k: int = DEFAULTS["k"], m: float = DEFAULTS["m"],
     data, stats = P.prepare(points.select(
         *([features] + ([weight] if weight else []))), features)
     try:
+        if runs <= 1:  # nothing to compare: no extra scoring pass
+            c0 = _initial(data, k, init, seed, features)
+            return _lloyd_fuzzy(data, c0, m, max_iter, epsilon, features, weight)
         best = None
-        for r in range(max(1, runs)):
+        for r in range(runs):
             c0 = _initial(data, k, init, seed + r, features)
             model = _lloyd_fuzzy(data, c0, m, max_iter, epsilon, features, weight)
             score = objective(data, model.centers, m, features)

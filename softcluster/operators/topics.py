@@ -104,16 +104,20 @@ def gamma_cols(k: int, n_k: np.ndarray, vocab_size: int, alpha: float, eta: floa
 
 
 def joined(tokens: DataFrame, doc_topics: DataFrame, term_topics: DataFrame, k: int,
-           vocab_rows: int | None = None) -> DataFrame:
+           doc_rows: int | None = None, vocab_rows: int | None = None) -> DataFrame:
+    """Tokens with their document's and term's topic counts.  Each state
+    table is broadcast only when its (given or counted) row count is under
+    the limit; the counts do not change across EM steps."""
     d = doc_topics.select("doc_id", *[F.col(f"n_{j}").alias(f"d_{j}") for j in range(k)])
     w = term_topics.select("term_id", *[F.col(f"n_{j}").alias(f"w_{j}") for j in range(k)])
-    return tokens.join(_maybe_broadcast(d), "doc_id").join(_maybe_broadcast(w, vocab_rows),
-                                                           "term_id")
+    return tokens.join(_maybe_broadcast(d, doc_rows), "doc_id").join(
+        _maybe_broadcast(w, vocab_rows), "term_id")
 
 
-def gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta):
+def gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta,
+                doc_rows=None, vocab_rows=None):
     """Per token: normalised gamma_j as columns g_0.. (staged projections)."""
-    j = joined(tokens, doc_topics, term_topics, k)
+    j = joined(tokens, doc_topics, term_topics, k, doc_rows, vocab_rows)
     g = j.select("doc_id", "term_id", "cnt", *[c.alias(f"_g{i}") for i, c in enumerate(
         gamma_cols(k, n_k, vocab_size, alpha, eta))])
     tot = reduce(add, [F.col(f"_g{i}") for i in range(k)])
@@ -121,9 +125,11 @@ def gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta)
                     *[(F.col(f"_g{i}") / tot).alias(f"g_{i}") for i in range(k)])
 
 
-def em_step(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta):
+def em_step(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta,
+            doc_rows=None, vocab_rows=None):
     """H4: one EM step -> (doc_topics, term_topics)."""
-    g = gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta)
+    g = gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta,
+                    doc_rows, vocab_rows)
     scaled = g.select("doc_id", "term_id",
                       *[(F.col(f"g_{i}") * F.col("cnt")).alias(f"_h{i}") for i in range(k)])
     return _sum_back(scaled, k, [f"_h{i}" for i in range(k)])
@@ -250,10 +256,11 @@ def train_em(term_counts: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEF
     doc, term = init_hash(tokens, k) if init == "hash" else init_random(tokens, k, seed)
     doc, term = doc.persist(StorageLevel.MEMORY_AND_DISK), term.persist(StorageLevel.MEMORY_AND_DISK)
     n_k = topic_totals(term, k)
+    doc_rows, term_rows = doc.count(), term.count()  # fixed across steps
     trace = []
     for it in range(1, max_iter + 1):
         t0 = time.time()
-        nd, nt = em_step(tokens, doc, term, k, n_k, vocab_size, a, e)
+        nd, nt = em_step(tokens, doc, term, k, n_k, vocab_size, a, e, doc_rows, term_rows)
         if it % checkpoint_interval == 0:
             nd, nt = cut_lineage(nd), cut_lineage(nt)
         else:

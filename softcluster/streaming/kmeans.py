@@ -118,15 +118,19 @@ class StreamingKMeans:
          .parquet(f"{self._dir(spark)}/batch_id={batch_id}"))
 
     def _read(self, spark, before: int | None = None):
-        """Newest state with id < ``before`` (all ids when None)."""
+        """Newest state with id < ``before`` (all ids when None): one top-k
+        query over the state folders (each holds exactly k rows)."""
         root = self._dir(spark)
         st = spark.read.parquet(root)
         if before is not None:
             st = st.where(F.col("batch_id") < before)
-        last = st.agg(F.max("batch_id")).first()[0]
-        if last is None:
+        rows = st.orderBy(F.col("batch_id").desc(), "cluster").limit(self.k).collect()
+        if not rows:
             raise ValueError("no state: set initial or random centres first")
-        rows = st.where(F.col("batch_id") == last).orderBy("cluster").collect()
+        last = rows[0]["batch_id"]
+        if len(rows) != self.k or any(r["batch_id"] != last for r in rows):
+            raise ValueError(f"state of batch {last} does not hold k = {self.k} rows")
+        rows = sorted(rows, key=lambda r: r["cluster"])
         return (np.array([r["center"] for r in rows], dtype=np.float64),
                 np.array([r["weight"] for r in rows], dtype=np.float64), int(last))
 
