@@ -24,23 +24,21 @@ def points_li(spark, sf_dir) -> DataFrame:
     (l_orderkey, l_linenumber) is carried along but is NOT a key.
     """
     li = table(spark, sf_dir, "lineitem")
-    return P.clean(P.assemble(
+    return P.assemble(
         li, ["l_quantity", F.col("l_extendedprice") / 1000.0, "l_discount", "l_tax"],
-        keep=["l_orderkey", "l_linenumber"]))
+        keep=["l_orderkey", "l_linenumber"])
 
 
 def points_li2(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return P.clean(P.assemble(
-        li, ["l_quantity", F.col("l_extendedprice") / 1000.0],
-        keep=["l_orderkey", "l_linenumber"]))
+    return P.assemble(li, ["l_quantity", F.col("l_extendedprice") / 1000.0],
+                      keep=["l_orderkey", "l_linenumber"])
 
 
 def points_ev(spark, sf_dir) -> DataFrame:
     """events -> (event_id, features [value/100, hour(ts)/24])."""
     ev = table(spark, sf_dir, "events")
-    return P.clean(P.assemble(
-        ev, [F.col("value") / 100.0, F.hour("ts") / 24.0], keep=["event_id"]))
+    return P.assemble(ev, [F.col("value") / 100.0, F.hour("ts") / 24.0], keep=["event_id"])
 
 
 def points_emb(spark, sf_dir) -> DataFrame:

@@ -20,9 +20,18 @@ FEATURES = "features"
 
 
 def assemble(df: DataFrame, columns: list, *, keep: list[str] | tuple = (),
-             out: str = FEATURES) -> DataFrame:
-    """Numeric columns (names or Column expressions) -> one ARRAY<DOUBLE>."""
+             out: str = FEATURES, drop_nulls: bool = True) -> DataFrame:
+    """Numeric columns (names or Column expressions) -> one ARRAY<DOUBLE>.
+
+    Rows with a null input are dropped by a filter on the source columns,
+    which Catalyst pushes into the scan (IsNotNull) and keeps in codegen; the
+    array then never holds a null element, so ``clean`` is not needed."""
     exprs = [F.col(c) if isinstance(c, str) else c for c in columns]
+    if drop_nulls:
+        cond = None
+        for e in exprs:
+            cond = e.isNotNull() if cond is None else cond & e.isNotNull()
+        df = df.where(cond)
     return df.select(*keep, F.array(*[e.cast("double") for e in exprs]).alias(out))
 
 
