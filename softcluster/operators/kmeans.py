@@ -297,59 +297,84 @@ def init_parallel_runs(points: DataFrame, k: int, runs: int = 1, init_steps: int
             for r in range(runs) for i in range(len(uniq[r]))]
     table = spark.createDataFrame(rows, f"run int, {features} array<double>, weight double")
     out = weighted_kmeans_runs(table, k, runs, seed=seed, features=features)
-    for r, u in enumerate(uniq):
-        if len(u) < k:
-            log.warning("k-means||: only %d distinct candidates for k=%d (Q10)", len(u), k)
-    return out
+    for r, cs in enumerate(out):
+        if len(cs) < k:
+            log.warning("k-means||: only %d distinct candidates for k=%d (Q10)", len(cs), k)
+    if runs == 1:
+        return np.array([out[0]])
+    # every run needs k rows: a short run repeats its first centre (the
+    # duplicate attracts no rows and restarts in Lloyd's empty-cluster rule)
+    return np.stack([np.vstack([c] + [c[:1]] * (k - len(c))) if len(c) < k else c
+                     for c in out])
+
+
+def _reduce_candidates(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator,
+                       max_iter: int, pp_only: bool = False) -> np.ndarray:
+    """Weighted k-means++ then weighted Lloyd on one run's candidates (numpy
+    inside one task; the candidate set is model-sized).  The k-means++ draw
+    is an exponential race: argmin of -ln(U)/(w*cost) picks row i with
+    probability w_i c_i / sum.  An empty cluster restarts at a random row."""
+    live = w > 0
+    x, w = x[live], w[live]
+    if len(x) == 0:
+        return np.zeros((0, 0))
+    centers = [x[np.argmin(-np.log(rng.random(len(x))) / w)]]
+    cost = np.sum((x - centers[0]) ** 2, axis=1)
+    while len(centers) < k:
+        ok = cost > 0
+        if not ok.any():
+            break  # Q10: fewer distinct candidates than k
+        race = np.full(len(x), np.inf)
+        race[ok] = -np.log(rng.random(int(ok.sum()))) / (w[ok] * cost[ok])
+        c = x[np.argmin(race)]
+        centers.append(c)
+        cost = np.minimum(cost, np.sum((x - c) ** 2, axis=1))
+    cs = np.array(centers)
+    if pp_only:
+        return cs
+    for _ in range(max_iter):
+        a = np.argmin(sqdist(x, cs), axis=1)
+        new = cs.copy()
+        for j in range(len(cs)):
+            m = a == j
+            if m.any():
+                new[j] = (w[m, None] * x[m]).sum(axis=0) / w[m].sum()
+            else:
+                new[j] = x[rng.integers(len(x))]
+        moved = bool(np.any(new != cs))
+        cs = new
+        if not moved:
+            break
+    return cs
+
+
+def _reduce_runs(table: DataFrame, k: int, max_iter: int, seed: int, features: str,
+                 weight: str, pp_only: bool = False) -> dict:
+    """C7 for every run in ONE job: ``applyInPandas`` grouped by run over the
+    run-keyed candidate table."""
+    import pandas as pd
+
+    def per_run(pdf: pd.DataFrame) -> pd.DataFrame:
+        run = int(pdf["run"].iloc[0])
+        x = np.array(pdf[features].tolist(), dtype=np.float64)
+        w = pdf[weight].to_numpy(dtype=np.float64)
+        cs = _reduce_candidates(x, w, k, np.random.default_rng([seed, run]), max_iter, pp_only)
+        return pd.DataFrame({"run": [run] * len(cs), "cluster": list(range(len(cs))),
+                             "center": [c.tolist() for c in cs]})
+
+    rows = table.select("run", features, weight).groupBy("run").applyInPandas(
+        per_run, "run int, cluster int, center array<double>").collect()
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: (r["run"], r["cluster"])):
+        out.setdefault(r["run"], []).append(r["center"])
+    return {r: np.array(c, dtype=np.float64) for r, c in out.items()}
 
 
 def kmeans_pp(table: DataFrame, k: int, seed: int = 0, features: str = P.FEATURES,
               weight: str = "weight") -> np.ndarray:
-    """C7 seeding for one weighted table."""
+    """C7 seeding for one weighted table: (<= k, d) centres (Q10)."""
     t = table.select(F.lit(0).alias("run"), features, weight)
-    return kmeans_pp_runs(t, k, 1, seed, features, weight)[0]
-
-
-def kmeans_pp_runs(table: DataFrame, k: int, runs: int, seed: int = 0,
-                   features: str = P.FEATURES, weight: str = "weight") -> list:
-    """C7 seeding, all runs per job: weighted k-means++ over a run-keyed
-    (small) table.  The draw proportional to weight*cost is an exponential
-    race: per run, argmin of -ln(U)/(w*cost) picks row i with probability
-    w_i c_i / sum.  Returns per run a (<= k, d) array (Q10)."""
-    from pyspark.sql.window import Window
-
-    t = table.select("run", features, weight).where(F.col(weight) > 0).persist()
-    win = Window.partitionBy("run").orderBy("_race")
-
-    def draw(df, race):
-        return {r["run"]: np.array(r[features], dtype=np.float64) for r in
-                df.withColumn("_race", race).withColumn("_rk", F.row_number().over(win))
-                .where("_rk = 1").select("run", features).collect()}
-
-    picked = draw(t, -F.log(F.rand(seed)) / F.col(weight))
-    centers = [[picked[r]] if r in picked else [] for r in range(runs)]
-    for i in range(1, k):
-        arrs = {r: np.array(c) for r, c in enumerate(centers) if c}
-        cost = _cost_by_run(arrs, features)
-        live = t.withColumn("cost", cost).where(F.col("cost") > 0)
-        picked = draw(live, -F.log(F.rand(seed + i)) / (F.col(weight) * F.col("cost")))
-        if not picked:
-            break
-        for r, c in picked.items():
-            centers[r].append(c)
-    t.unpersist()
-    return [np.array(c) for c in centers]
-
-
-def _cost_by_run(arrs: dict, features: str):
-    """min squared distance to the row's own run's centres (CASE on run)."""
-    from ..functions.columns import sqdist_cols
-    expr = None
-    for r, cs in arrs.items():
-        ds = sqdist_cols(features, cs)
-        m = F.least(*ds) if len(ds) > 1 else ds[0]
-        expr = F.when(F.col("run") == r, m) if expr is None else expr.when(F.col("run") == r, m)
-    return expr
+    return _reduce_runs(t, k, 0, seed, features, weight, pp_only=True).get(0, np.zeros((0, 0)))
 
 
 def weighted_kmeans(table: DataFrame, k: int, max_iter: int = 30, seed: int = 0,
@@ -361,39 +386,11 @@ def weighted_kmeans(table: DataFrame, k: int, max_iter: int = 30, seed: int = 0,
 
 def weighted_kmeans_runs(table: DataFrame, k: int, runs: int, max_iter: int = 30,
                          seed: int = 0, features: str = P.FEATURES,
-                         weight: str = "weight") -> np.ndarray:
-    """C7 for all runs at once; an empty cluster restarts at a random row of
-    its run.  A run with fewer than k distinct candidates returns them all
-    (padded by repeating none: the caller sees fewer distinct centres)."""
-    seeds = kmeans_pp_runs(table, k, runs, seed, features, weight)
-    if any(len(c) < k for c in seeds):
-        if runs == 1:
-            return np.array([seeds[0]])
-        # pad short runs with their first centre so every run has k rows
-        seeds = [np.vstack([c] + [c[:1]] * (k - len(c))) if len(c) < k else c for c in seeds]
-    cs = np.stack(seeds)
-    t = table.persist()
-    d = cs.shape[2]
-    for it in range(max_iter):
-        sums = step_sums(t, cs, features, weight, run_col="run").reshape(runs, k, d + 2)
-        new = cs.copy()
-        moved = False
-        for r in range(runs):
-            for j in range(k):
-                if sums[r, j, d] > 0:
-                    c = sums[r, j, :d] / sums[r, j, d]
-                    moved |= bool(np.sum((c - cs[r, j]) ** 2) > 0)
-                    new[r, j] = c
-                else:
-                    row = t.where(F.col("run") == r).select(features).orderBy(
-                        F.rand(seed + 1000 + it)).limit(1).collect()
-                    new[r, j] = np.array(row[0][0])
-                    moved = True
-        cs = new
-        if not moved:
-            break
-    t.unpersist()
-    return cs
+                         weight: str = "weight") -> list:
+    """C7 for all runs in one job.  A run with fewer than k distinct
+    candidates returns them all (Q10); the caller pads if it needs k."""
+    got = _reduce_runs(table, k, max_iter, seed, features, weight)
+    return [got.get(r, np.zeros((0, 0))) for r in range(runs)]
 
 
 def weighted_step(table: DataFrame, centers: np.ndarray, features: str = P.FEATURES,
