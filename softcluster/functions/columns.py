@@ -64,11 +64,34 @@ def with_fuzzy_u(df: DataFrame, features: str, centers: np.ndarray, m: float,
     dmin = F.least(*d) if k > 1 else d[0]
     staged = dd.select(*base, *d, dmin.alias("_dmin"))
     p = 1.0 / (m - 1.0)
+    # On the ratio branch dmin > 0 and d_j >= dmin, so the plain division is
+    # safe (CASE evaluates it only there); pow is skipped when p == 1 (m = 2).
+    def ratio(x):
+        q = F.col("_dmin") / x
+        return q if p == 1.0 else F.pow(q, F.lit(p))
     r = [F.when(F.col("_dmin") <= 0.0,
                 F.when(x <= 0.0, F.lit(1.0)).otherwise(F.lit(0.0)))
-         .otherwise(F.pow(F.try_divide(F.col("_dmin"), x), F.lit(p)))
+         .otherwise(ratio(x))
          for x in d]
     staged = staged.select(*base, *[v.alias(f"_r{j}") for j, v in enumerate(r)])
     rr = [F.col(f"_r{j}") for j in range(k)]
     staged = staged.select(*base, *rr, reduce(add, rr).alias("_tot"))
-    return staged.select(*base, F.array(*[x / F.col("_tot") for x in rr]).alias(out))
+    # transform() keeps a later posexplode from re-inlining every element
+    # expression into the generator (which overflows the 64 KB method limit).
+    return staged.select(*base, F.transform(F.array(*rr), lambda x: x / F.col("_tot"))
+                         .alias(out))
+
+
+def explode_clusters(df: DataFrame, keep: list, k: int, arr: str = "u",
+                     out: str | None = None, extra: list | tuple = ()) -> DataFrame:
+    """Long form of a per-row k-array: (keep.., extra.., cluster INT, value).
+
+    The generator runs over the constant sequence 0..k-1 and indexes the
+    array, which is computed once per input row.  A posexplode of the
+    computed array itself lets Catalyst fold the element expressions into
+    the generator (much slower, and past the 64 KB method limit)."""
+    out = out or arr
+    g = df.select(*keep, *extra, arr,
+                  F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cluster"))
+    return g.select(*keep, *extra, F.col("cluster").cast("int").alias("cluster"),
+                    F.col(arr)[F.col("cluster")].alias(out))

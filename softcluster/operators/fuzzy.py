@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import centers as C
-from ..functions.columns import first_argmax, with_fuzzy_u
+from ..functions.columns import explode_clusters, first_argmax, with_fuzzy_u
 from ..functions.kernels import batch_matrix, fuzzy_u, partial_sums, sqdist
 from ..sources import points as P
 
@@ -213,7 +213,7 @@ def center_step_columns(points: DataFrame, centers: np.ndarray, m: float,
     (cluster, u^m), then one partial+final aggregate per cluster."""
     k, d = centers.shape
     wide = with_fuzzy_u(points, features, centers, m)
-    long = wide.select(features, F.posexplode("u").alias("cluster", "u")).select(
+    long = explode_clusters(wide, [features], k).select(
         features, "cluster", F.pow("u", F.lit(m)).alias("um"))
     agg = long.groupBy("cluster").agg(
         F.sum("um").alias("weight"),
@@ -244,9 +244,8 @@ def membership(points: DataFrame, centers: np.ndarray, m: float, keep=(),
     wide = with_fuzzy_u(points, features, centers, m, keep=list(keep))
     if not long:
         return wide
-    return wide.select(*keep, F.posexplode("u").alias("cluster", "u")).select(
-        *keep, F.col("cluster").cast("int").alias("cluster"), "u",
-        F.pow("u", F.lit(m)).alias("u_m"))
+    return explode_clusters(wide, list(keep), len(centers)).select(
+        *keep, "cluster", "u", F.pow("u", F.lit(m)).alias("u_m"))
 
 
 def predict(points: DataFrame, centers: np.ndarray, m: float,
@@ -283,9 +282,8 @@ def init_membership(points: DataFrame, k: int, seed: int = 0, id_col: str = "id"
     raw = [F.rand(seed + j) + F.lit(1e-12) for j in range(k)]
     wide = points.select(id_col, F.array(*raw).alias("r"))
     total = F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x)
-    return wide.select(id_col, F.posexplode(F.transform("r", lambda x: x / total))
-                       .alias("cluster", "u")).withColumn(
-        "cluster", F.col("cluster").cast("int"))
+    norm = wide.select(id_col, F.transform("r", lambda x: x / total).alias("u"))
+    return explode_clusters(norm, [id_col], k)
 
 
 def step_from_membership(points: DataFrame, membership_df: DataFrame, m: float,

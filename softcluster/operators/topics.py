@@ -173,9 +173,10 @@ class EMLDAModel:
 
     # H8
     def top_documents_per_topic(self, max_docs: int) -> DataFrame:
-        th = self.topic_distributions().select(
-            "doc_id", F.posexplode("theta").alias("topic", "weight"))
-        return top_n(th.select(F.col("topic").cast("int"), "doc_id", "weight"), "topic",
+        from ..functions.columns import explode_clusters
+        th = explode_clusters(self.topic_distributions(), ["doc_id"], self.k, arr="theta",
+                              out="weight")
+        return top_n(th.select(F.col("cluster").alias("topic"), "doc_id", "weight"), "topic",
                      "doc_id", max_docs)
 
     # H9

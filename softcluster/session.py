@@ -43,7 +43,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        # Only reached in tests / local runs: nothing configured.
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a shared folder (HDFS/S3/NFS): lineage is "
+                "cut with reliable checkpoints and state tables are written there")
+        # Local runs and tests only: nothing configured, one machine.
         conf_dir = tempfile.mkdtemp(prefix="softcluster-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
