@@ -297,3 +297,30 @@ def test_gmm_default_start(spark, sf_dir):
     fit = mixture.train(pts, k=2, max_iter=3, seed=4)
     assert np.isclose(fit.weights.sum(), 1.0) and len(fit.trace) >= 1
     assert np.all(np.isfinite(fit.mus))
+
+
+def test_pic_separates_two_cliques(spark):
+    edges = []
+    for base in (0, 10):
+        for i in range(base, base + 5):
+            for j in range(i + 1, base + 5):
+                edges.append((i, j, 1.0))
+    edges.append((0, 10, 0.01))  # one weak bridge
+    e = spark.createDataFrame(edges, "src long, dst long, weight double")
+    # a random start: with equal degrees the degree vector is already the
+    # walk's fixed point (constant), which carries no cluster signal
+    labels = {r["id"]: r["cluster"]
+              for r in pic.run(e, k=2, max_iter=50, init="random", seed=3).collect()}
+    a = {labels[i] for i in range(0, 5)}
+    b = {labels[i] for i in range(10, 15)}
+    assert len(a) == 1 and len(b) == 1 and a != b
+
+
+def test_gmm_recovers_separated_blobs(spark):
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal([0, 0], 0.5, (200, 2)), rng.normal([10, 10], 0.5, (200, 2))])
+    df = pts_df(spark, x.tolist())
+    fit = mixture.train(df, k=2, max_iter=30, seed=2)
+    mus = sorted(map(tuple, np.round(fit.mus)))
+    assert mus == [(0.0, 0.0), (10.0, 10.0)]
+    assert np.allclose(sorted(fit.weights), [0.5, 0.5], atol=0.02)
