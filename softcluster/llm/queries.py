@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softcluster.llm import decontaminate, simhash, sql
+from softcluster.llm import decontaminate, packing, simhash, sql
 from softcluster.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -34,3 +39,9 @@ def op4_simhash(spark, sf_dir):
 
 
 ORACLES["op3_decontaminate"] = sql.DECONTAMINATE
+
+
+@query
+def op7_pack(spark, sf_dir):
+    """Pieces of every document in windows of 2,048 ids."""
+    return packing.pack(load(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("ids", "queue")
