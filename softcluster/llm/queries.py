@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softcluster.llm import decontaminate, packing, simhash, sql
+from softcluster.llm import decontaminate, packing, secrets, simhash, sql
 from softcluster.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,14 @@ ORACLES["op3_decontaminate"] = sql.DECONTAMINATE
 def op7_pack(spark, sf_dir):
     """Pieces of every document in windows of 2,048 ids."""
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("ids", "queue")
+
+
+@query
+def op8_secrets(spark, sf_dir):
+    """Secrets in every document."""
+    found = secrets.scan(load(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.KINDS))
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(secrets.KINDS)],
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))

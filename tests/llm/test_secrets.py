@@ -1,0 +1,74 @@
+"""Secret scans against Python regular expressions and plain counts."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from softcluster.llm import queries, secrets
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def base(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def entropy(s):
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
+def spans(text):
+    found = base(text)
+    for m in re.finditer(secrets.CANDIDATE.pattern, text):
+        s = m[0]
+        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or any(re.search(p, s) for p in secrets.ALLOWED):
+            continue
+        least = next(bits for _, p, bits in secrets.CLASSES if re.search(p, s))
+        best = max(entropy(s[i:i + 20]) for i in range(max(1, len(s) - 19)))
+        assert abs(best - least) > 1e-9
+        if best > least and not any(a < m.end() and m.start() < b for a, _, b in base(text)):
+            found.append((m.start(), 3, m.end()))
+    return sorted(found)
+
+
+def text_of(found):
+    names = [k.name for k in secrets.KINDS] + ["entropy"]
+    return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in found)
+
+
+ODD = [
+    None, "", "secret:token:abcdefgh", "Secret = 'abc' token==abcde API_KEY: \"x.y-z/0=\" passwd=12345",
+    "é日本 password=abcdef\U0001F600 AKIA" + "B" * 15 + " AKIA" + "C7" * 9, "0" * 24 + "f" * 30 + "g" + "a1" * 11,
+    "x" * 30 + "7", "kJ8sQ2mZx0Lw4Vt9Rb6Yd1Nc", "see 123e4567-e89b-12d3-a456-426614174000 and examplekJ8sQ2mZx0Lw4Vt9",
+    "A7K2M9Q4X1Z8B3N6V5C0 " * 40, "token='" + "Zq9" * 4000, "abcdef0123 " * 9000 + "key kJ8sQ2mZx0Lw4Vt9Rb6Yd1Nc/+" * 50,
+]
+
+
+def test_matches_python(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-i, t, i) for i, t in enumerate(ODD)] + [(None, "token: abcdefgh", 0)] * 2, "doc_id long, text string, row long")
+    both = docs.unionAll(odd.select("doc_id", "text")).repartition(4)
+    got = [(r.doc_id, text_of([tuple(s) for s in r.spans])) for r in secrets.scan(both.withColumn("row", F.lit(1))).collect()]
+    assert sorted(got, key=str) == sorted(((r.doc_id, text_of(spans(r.text or ""))) for r in both.collect()), key=str)
+    assert secrets.scan(odd.where("false")).collect() == []
+
+
+def test_query_columns(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op8_secrets(spark, sf_dir).collect():
+        own = base(texts[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in own) for i in range(3)]
+        assert r.base_sha256 == hashlib.sha256(text_of(own).encode()).hexdigest()
+
+
+def test_redact(spark):
+    rows = [(1, "a token=abcdefgh b " + "é" * 3, "x", 3), (2, None, None, None), (3, "clean", "y", 99),
+            (4, "password=" + "0a" * 20 + "!", "z", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
+    got = sorted(tuple(r) for r in secrets.redact(df).collect())
+    assert got == [(1, "a [secret] b ééé", "x", 16), (2, None, None, None), (3, "clean", "y", 99), (4, "[secret]!", "z", 9)]
