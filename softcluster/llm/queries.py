@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softcluster.llm import decontaminate, packing, secrets, simhash, sql
+from softcluster.llm import decontaminate, packing, quality_rules, secrets, simhash, sql
 from softcluster.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op8_secrets(spark, sf_dir):
         "doc_id",
         *[F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(secrets.KINDS)],
         F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_quality_rules(spark, sf_dir):
+    """Counts and verdict of every document."""
+    return quality_rules.quality_rules(load(spark, sf_dir, "documents"))
