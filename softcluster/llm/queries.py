@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softcluster.llm import decontaminate, packing, quality_rules, secrets, simhash, sql
+from softcluster.llm import decontaminate, packing, quality_classifier, quality_rules, secrets, simhash, sql
 from softcluster.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,9 @@ def op8_secrets(spark, sf_dir):
 def op10_quality_rules(spark, sf_dir):
     """Counts and verdict of every document."""
     return quality_rules.quality_rules(load(spark, sf_dir, "documents"))
+
+
+@query
+def op2_quality_classifier(spark, sf_dir):
+    """Scores and verdict of every document."""
+    return quality_classifier.quality_classifier(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
