@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from softcluster.llm import words as W
 from softcluster.llm.tables import bitmap, in_bitmap, written
@@ -67,9 +68,10 @@ def _found(lo, hi, data, offsets, bits, sizes):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3,
-                  log2_bits: int = 24) -> DataFrame:
+                  log2_bits: int = 24, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items (the ids
-    as sorted strings), contaminated, row (unique).
+    as sorted strings), contaminated, row (unique), and the columns of ``keep``
+    as k0, k1, ...
 
     A document word inside any occurrence of an item's window is hit.  Null
     and blank texts have no words and no hits; items without words, or with a
@@ -115,18 +117,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
                         got[r].append({"key": k, "pos": p, "from": x - int(first[r]),
                                        "words": [raw[s:e].decode() for s, e in
                                                  zip(starts[x:y].tolist(), ends[x:y].tolist())]})
+                part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(got, found)],
-                    names=["doc_id", "n_words", "found"])
+                    [part.column(0), *part.columns[2:], pa.array(np.diff(first)), pa.array(got, found)], names=schema.names)
 
     found = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int64()), ("from", pa.int64()),
                                 ("words", pa.list_(pa.string()))]))
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(
-        docs.select("doc_id", "text").mapInArrow(
-            match, f"doc_id {doc_type}, n_words long, "
-                   "found array<struct<key:long,pos:long,from:long,words:array<string>>>")
-        .withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    schema = docs.select("doc_id", *kept).schema.add("n_words", "long").add(
+        "found", T.DataType.fromDDL("array<struct<key:long,pos:long,from:long,words:array<string>>>"))
+    rows = written(docs.select("doc_id", "text", *kept).mapInArrow(match, schema)
+                   .withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     seen = rows.where("size(found) > 0").select("row", "n_words", F.explode("found").alias("x")).select("row", "n_words", "x.*")
     hits = (seen.join(prefixes, "key")
             .withColumn("start", F.col("pos") - F.col("at"))
@@ -139,8 +140,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     reach = F.max("end").over(Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     covered = (ends.withColumn("reach", F.coalesce(reach, F.lit(0)))
                .groupBy("row").agg(F.sum(F.expr("greatest(end - greatest(start, reach), 0)")).alias("n_hit")))
-    return (rows.select("row", "doc_id", "n_words").join(covered, "row", "left").join(items_hit, "row", "left")
+    return (rows.drop("found").join(covered, "row", "left").join(items_hit, "row", "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-                    (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "row"))
+                    (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "row",
+                    *[f"k{i}" for i in range(len(keep))]))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of docs that hold no window of an item."""
+    out = decontaminate(docs, items, keep=tuple(docs.columns), **options).where("not contaminated")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
