@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softcluster.llm import chat, decontaminate, packing, quality_classifier, quality_rules, secrets, simhash, sql, warc
+from softcluster.llm import chat, decontaminate, licenses, packing, quality_classifier, quality_rules, secrets, simhash, sql, warc
 from softcluster.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ ORACLES["op5_chat_format"] = sql.CHAT
 def op6_warc(spark, sf_dir):
     """The records of every page, without their blocks' texts."""
     return warc.derive(load(spark, sf_dir, "pages")).drop("block").withColumn("headers_sha256", F.sha2("headers", 256)).drop("headers")
+
+
+@query
+def op9_licenses(spark, sf_dir):
+    """License notices in every document."""
+    return licenses.scan(load(spark, sf_dir, "documents"))
