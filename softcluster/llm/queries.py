@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softcluster.llm import chat, decontaminate, licenses, packing, quality_classifier, quality_rules, secrets, simhash, sql, warc
+from softcluster.llm import chat, decontaminate, licenses, packing, quality_classifier, quality_rules, secrets, simhash, sql, substring_dedup, warc
 from softcluster.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op6_warc(spark, sf_dir):
 def op9_licenses(spark, sf_dir):
     """License notices in every document."""
     return licenses.scan(load(spark, sf_dir, "documents"))
+
+
+@query
+def op1_substring_dedup(spark, sf_dir):
+    """Documents with passages of 50 words or more that other documents have."""
+    return substring_dedup.passages(load(spark, sf_dir, "documents"))
