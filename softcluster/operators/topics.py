@@ -7,10 +7,11 @@ State is three tables (section 1 of the survey):
 An EM step joins tokens with both state tables, computes the k smoothed
 topic shares gamma as generated columns (JVM codegen), scales them by the
 count and sums them back per document and per term (partial+final
-aggregates, so a hot document or term is combined map-side).  A state table
-is broadcast only if its row count is checked small; otherwise the join is a
-shuffle join where adaptive execution splits hot keys.  Lineage is cut with
-a reliable checkpoint every ``checkpoint_interval`` steps.
+aggregates, so a hot document or term is combined map-side).  Adaptive
+execution broadcasts a state table whose measured bytes are under the
+session's limit and splits hot keys of the others.  Each step reads both
+tables of the step before, so their lineage is cut with a reliable checkpoint
+every step: plan and time per step stay the same however many there are.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import number_rows
 from ..session import cut_lineage
 
-BROADCAST_MAX_ROWS = 5_000_000
-DEFAULTS = dict(k=10, max_iter=20, checkpoint_interval=10, optimizer="em")
+DEFAULTS = dict(k=10, max_iter=20, optimizer="em")
 
 
 def ncols(k: int, prefix: str = "n_") -> list[str]:
@@ -53,11 +54,6 @@ def token_table(term_counts: DataFrame) -> DataFrame:
                               F.col("cnt").cast("double")).where(F.col("cnt") != 0)
 
 
-def _maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
-
-
 def _sum_back(scaled: DataFrame, k: int, cols: list[str]):
     doc = scaled.groupBy("doc_id").agg(*[F.sum(c).alias(f"n_{j}") for j, c in enumerate(cols)])
     term = scaled.groupBy("term_id").agg(*[F.sum(c).alias(f"n_{j}") for j, c in enumerate(cols)])
@@ -74,10 +70,10 @@ def init_hash(tokens: DataFrame, k: int):
 
 def init_random(tokens: DataFrame, k: int, seed: int = 0):
     """H3: a random topic split per token (uniform draws, normalised)."""
-    base = tokens.select("doc_id", "term_id", "cnt",
-                         *[F.rand(seed * 7919 + j).alias(f"_u{j}") for j in range(k)]
-                         ).persist(StorageLevel.MEMORY_AND_DISK)
-    return _split_init(base, k, [F.col(f"_u{j}") for j in range(k)])
+    # Draws are hashes of document, term and topic: the same on any cluster.
+    us = [(F.pmod(F.xxhash64("doc_id", "term_id", F.lit(j), F.lit(seed)), F.lit(1 << 40)) + 1)
+          / float(1 << 40) for j in range(k)]
+    return _split_init(tokens, k, us)
 
 
 def _split_init(tokens, k, ws):
@@ -103,21 +99,17 @@ def gamma_cols(k: int, n_k: np.ndarray, vocab_size: int, alpha: float, eta: floa
             F.lit(float(n_k[j]) + vocab_size * e1) for j in range(k)]
 
 
-def joined(tokens: DataFrame, doc_topics: DataFrame, term_topics: DataFrame, k: int,
-           doc_rows: int | None = None, vocab_rows: int | None = None) -> DataFrame:
-    """Tokens with their document's and term's topic counts.  Each state
-    table is broadcast only when its (given or counted) row count is under
-    the limit; the counts do not change across EM steps."""
+def joined(tokens: DataFrame, doc_topics: DataFrame, term_topics: DataFrame, k: int
+           ) -> DataFrame:
+    """Tokens with their document's and term's topic counts."""
     d = doc_topics.select("doc_id", *[F.col(f"n_{j}").alias(f"d_{j}") for j in range(k)])
     w = term_topics.select("term_id", *[F.col(f"n_{j}").alias(f"w_{j}") for j in range(k)])
-    return tokens.join(_maybe_broadcast(d, doc_rows), "doc_id").join(
-        _maybe_broadcast(w, vocab_rows), "term_id")
+    return tokens.join(d, "doc_id").join(w, "term_id")
 
 
-def gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta,
-                doc_rows=None, vocab_rows=None):
+def gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta):
     """Per token: normalised gamma_j as columns g_0.. (staged projections)."""
-    j = joined(tokens, doc_topics, term_topics, k, doc_rows, vocab_rows)
+    j = joined(tokens, doc_topics, term_topics, k)
     g = j.select("doc_id", "term_id", "cnt", *[c.alias(f"_g{i}") for i, c in enumerate(
         gamma_cols(k, n_k, vocab_size, alpha, eta))])
     tot = reduce(add, [F.col(f"_g{i}") for i in range(k)])
@@ -125,11 +117,9 @@ def gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta,
                     *[(F.col(f"_g{i}") / tot).alias(f"g_{i}") for i in range(k)])
 
 
-def em_step(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta,
-            doc_rows=None, vocab_rows=None):
+def em_step(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta):
     """H4: one EM step -> (doc_topics, term_topics)."""
-    g = gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta,
-                    doc_rows, vocab_rows)
+    g = gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta)
     scaled = g.select("doc_id", "term_id",
                       *[(F.col(f"g_{i}") * F.col("cnt")).alias(f"_h{i}") for i in range(k)])
     return _sum_back(scaled, k, [f"_h{i}" for i in range(k)])
@@ -162,7 +152,13 @@ class EMLDAModel:
         n_k = F.array(*[F.lit(float(v)) for v in self.n_k])
         t = self.topics_matrix().select("topic", "term_id",
                                         (F.col("weight") / n_k[F.col("topic")]).alias("weight"))
-        return top_n(t, "topic", "term_id", max_terms)
+        if max_terms is not None:
+            return top_n(t, "topic", "term_id", max_terms)
+        # Every topic ranks all terms, so they follow one another in one sorted order.
+        placed = number_rows(t, [F.col("topic"), F.col("weight").desc(), F.col("term_id")])
+        terms = self.term_topics.count()
+        return placed.select("topic", "term_id", "weight", (
+            F.col("position") - F.col("topic") * F.lit(terms) + 1).cast("int").alias("rank"))
 
     # H12
     def topic_distributions(self) -> DataFrame:
@@ -232,45 +228,33 @@ class EMLDAModel:
                         F.transform("_top", lambda s: F.when(F.col("_tot") != 0, s["w"] / F.col(
                             "_tot")).otherwise(s["w"])).alias("weights"))
 
-    def doc_topics_table(self) -> DataFrame:
-        return self.doc_topics
-
 
-def top_n(df: DataFrame, group: str, tie: str, n: int | None) -> DataFrame:
-    """Rank rows within ``group`` by weight desc, ``tie`` asc; keep n."""
+def top_n(df: DataFrame, group: str, tie: str, n: int) -> DataFrame:
+    """Rank rows within ``group`` by weight desc, ``tie`` asc; keep n (each
+    task keeps its own first n before the shuffle)."""
     w = Window.partitionBy(group).orderBy(F.col("weight").desc(), F.col(tie))
-    ranked = df.withColumn("rank", F.row_number().over(w).cast("int"))
-    return ranked if n is None else ranked.where(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= n)
 
 
 def train_em(term_counts: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEFAULTS["max_iter"],
              alpha: float = -1.0, eta: float = -1.0, vocab_size: int | None = None,
-             seed: int = 0, init: str = "random",
-             checkpoint_interval: int = DEFAULTS["checkpoint_interval"]) -> EMLDAModel:
+             seed: int = 0, init: str = "random") -> EMLDAModel:
     """H1 (EM).  ``init`` = "random" or "hash" (deterministic start).
 
     Documents without any term drop out of the state (quirk Q19)."""
     a, e = em_priors(k, alpha, eta)
-    tokens = token_table(term_counts).persist(StorageLevel.MEMORY_AND_DISK)
+    # By document once: the document side of every step then stays in place.
+    tokens = token_table(term_counts).repartition("doc_id").persist(StorageLevel.MEMORY_AND_DISK)
     if vocab_size is None:
         vocab_size = int(tokens.agg(F.max("term_id")).first()[0]) + 1
-    doc, term = init_hash(tokens, k) if init == "hash" else init_random(tokens, k, seed)
-    doc, term = doc.persist(StorageLevel.MEMORY_AND_DISK), term.persist(StorageLevel.MEMORY_AND_DISK)
+    start = init_hash(tokens, k) if init == "hash" else init_random(tokens, k, seed)
+    doc, term = map(cut_lineage, start)
     n_k = topic_totals(term, k)
-    doc_rows, term_rows = doc.count(), term.count()  # fixed across steps
     trace = []
     for it in range(1, max_iter + 1):
         t0 = time.time()
-        nd, nt = em_step(tokens, doc, term, k, n_k, vocab_size, a, e, doc_rows, term_rows)
-        if it % checkpoint_interval == 0:
-            nd, nt = cut_lineage(nd), cut_lineage(nt)
-        else:
-            nd = nd.persist(StorageLevel.MEMORY_AND_DISK)
-            nt = nt.persist(StorageLevel.MEMORY_AND_DISK)
-        n_k = topic_totals(nt, k)
-        doc.unpersist()
-        term.unpersist()
-        doc, term = nd, nt
+        doc, term = map(cut_lineage, em_step(tokens, doc, term, k, n_k, vocab_size, a, e))
+        n_k = topic_totals(term, k)
         trace.append(dict(iteration=it, seconds=time.time() - t0))
     return EMLDAModel(tokens, doc, term, k, vocab_size, a, e, n_k, trace)
 
@@ -278,5 +262,3 @@ def train_em(term_counts: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEF
 def model_from_state(tokens, doc_topics, term_topics, k, vocab_size, alpha, eta) -> EMLDAModel:
     return EMLDAModel(tokens, doc_topics, term_topics, k, vocab_size, alpha, eta,
                       topic_totals(term_topics, k))
-
-

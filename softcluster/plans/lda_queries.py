@@ -1,8 +1,10 @@
-"""Registered topic-model queries (section H, EM part; A2, A10, A11).
+"""Registered topic-model queries (section H; A2, A10, A11).
 
-Corpus: English ``documents``, whole texts, words = [A-Za-z]+ lower-cased,
-vocabulary = top 200 by document frequency.  EM oracles start from the hash
-weights 1 + (doc*31 + term*17 + topic*7) % 10 and use k = 3 topics.
+Corpus: all ``documents``, whole texts, words = runs of letters, lower-cased,
+every word in the vocabulary.  EM oracles start from the hash weights
+1 + (doc*31 + term*17 + topic*7) % 10 and use k = 3 topics.  Online oracles
+start from a lambda made from the term ids, a constant gamma and a fixed
+number of inner passes.
 """
 
 from __future__ import annotations
@@ -15,22 +17,22 @@ from . import fixtures as X
 from . import sqlgen as S
 from .registry import query
 
-K, V, STEPS = 3, 200, 2
+K, STEPS, MANY_STEPS = 3, 2, 10
 ALPHA, ETA = TP.em_priors(K)
+V = "(SELECT count(*) FROM vocab)"
 
 
-def en_docs(spark, sf_dir):
-    return X.table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+def corpus(spark, sf_dir):
+    """(term counts, vocabulary) of every word of every document."""
+    return bags.term_counts(X.table(spark, sf_dir, "documents"))
 
 
 def term_counts(spark, sf_dir):
-    tc, _ = bags.term_counts(en_docs(spark, sf_dir), vocab_size=V)
-    return tc
+    return corpus(spark, sf_dir)[0]
 
 
 def em_model(spark, sf_dir, steps=STEPS):
-    return TP.train_em(term_counts(spark, sf_dir), k=K, max_iter=steps, vocab_size=V,
-                       init="hash")
+    return TP.train_em(term_counts(spark, sf_dir), k=K, max_iter=steps, init="hash")
 
 
 # --- SQL -----------------------------------------------------------------------
@@ -38,11 +40,11 @@ def em_model(spark, sf_dir, steps=STEPS):
 def _corpus():
     return [
         S.cte("toks", "SELECT CAST(doc_id AS BIGINT) AS doc_id, "
-                      "lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word "
-                      "FROM documents WHERE lang = 'en'"),
+                      "lower(unnest(regexp_extract_all(text, '\\p{L}+'))) AS word "
+                      "FROM documents"),
         S.cte("dfreq", "SELECT word, count(DISTINCT doc_id) AS doc_freq FROM toks GROUP BY word"),
         S.cte("vocab", "SELECT word, CAST(row_number() OVER (ORDER BY doc_freq DESC, word) - 1 "
-                       f"AS INTEGER) AS term_id FROM dfreq ORDER BY doc_freq DESC, word LIMIT {V}"),
+                       "AS INTEGER) AS term_id FROM dfreq"),
         S.cte("tc", "SELECT doc_id, term_id, CAST(count(*) AS DOUBLE) AS cnt FROM toks "
                     "JOIN vocab USING (word) GROUP BY doc_id, term_id"),
         S.cte("tok", "SELECT * FROM tc WHERE cnt <> 0"),
@@ -74,7 +76,7 @@ def _sum_back(t, src):
 
 def _step(t):
     e1, a1 = ETA - 1.0, ALPHA - 1.0
-    g = [f"(w.n{j} + {e1!r}) * (d.n{j} + {a1!r}) / (nk.N{j} + {V * e1!r}) AS g{j}" for j in range(K)]
+    g = [f"(w.n{j} + {e1!r}) * (d.n{j} + {a1!r}) / (nk.N{j} + {V} * {e1!r}) AS g{j}" for j in range(K)]
     tot = " + ".join(f"g{j}" for j in range(K))
     p = t - 1
     return [S.cte(f"s{t}_g", f"SELECT tok.doc_id, tok.term_id, tok.cnt, {', '.join(g)} FROM tok "
@@ -115,7 +117,7 @@ def _state_out(doc, term):
 
 @query("lda_term_counts", lambda: S.with_(_corpus(), "SELECT doc_id, term_id, cnt FROM tc"))
 def lda_term_counts(spark, sf_dir):
-    """A2: whole English texts -> (doc_id, term_id, cnt) over a 200-word vocabulary."""
+    """A2: whole texts -> (doc_id, term_id, cnt) over every word."""
     return term_counts(spark, sf_dir)
 
 
@@ -163,6 +165,19 @@ def lda_train_em(spark, sf_dir):
     return _state_out(m.doc_topics, m.term_topics)
 
 
+@query("lda_train_em_many", lambda: S.with_(_em(MANY_STEPS), _state_sql(MANY_STEPS)))
+def lda_train_em_many(spark, sf_dir):
+    """H1 (EM): 10 steps from the hash start."""
+    m = em_model(spark, sf_dir, MANY_STEPS)
+    return _state_out(m.doc_topics, m.term_topics)
+
+
+@query("lda_em_init_random")
+def lda_em_init_random(spark, sf_dir):
+    """H3: the random split of every token's count (rows-only)."""
+    return _state_out(*TP.init_random(TP.token_table(term_counts(spark, sf_dir)), K, seed=4))
+
+
 # H6 / H7 / H8 ---------------------------------------------------------------------------
 
 def _topics_sql():
@@ -245,9 +260,9 @@ def lda_topic_assignments(spark, sf_dir):
 def _loglik_sql():
     e1, a1 = ETA - 1.0, ALPHA - 1.0
     dsum = " + ".join(f"(d.n{j} + {a1!r})" for j in range(K))
-    dot = " + ".join(f"(w.n{j} + {e1!r}) / (nk.N{j} + {V * e1!r}) * ((d.n{j} + {a1!r}) / ({dsum}))"
+    dot = " + ".join(f"(w.n{j} + {e1!r}) / (nk.N{j} + {V} * {e1!r}) * ((d.n{j} + {a1!r}) / ({dsum}))"
                      for j in range(K))
-    body = (f"SELECT CAST(round(sum(tok.cnt * ln({dot})), 4) AS DOUBLE) AS log_likelihood FROM tok "
+    body = (f"SELECT CAST(round(sum(tok.cnt * ln({dot})), 1) AS DOUBLE) AS log_likelihood FROM tok "
             f"JOIN dt{STEPS} d USING (doc_id) JOIN tt{STEPS} w USING (term_id), nk{STEPS} nk")
     return S.with_(_em(STEPS), body)
 
@@ -255,24 +270,24 @@ def _loglik_sql():
 @query("lda_log_likelihood", _loglik_sql)
 def lda_log_likelihood(spark, sf_dir):
     m = em_model(spark, sf_dir)
-    return spark.createDataFrame([(round(m.log_likelihood(), 4),)], "log_likelihood double")
+    return spark.createDataFrame([(round(m.log_likelihood(), 1),)], "log_likelihood double")
 
 
 def _prior_sql():
     e1, a1 = ETA - 1.0, ALPHA - 1.0
-    terms = " + ".join(f"ln((n{j} + {e1!r}) / ((SELECT N{j} FROM nk{STEPS}) + {V * e1!r}))"
+    terms = " + ".join(f"ln((n{j} + {e1!r}) / ((SELECT N{j} FROM nk{STEPS}) + {V} * {e1!r}))"
                        for j in range(K))
     dsum = " + ".join(f"(n{j} + {a1!r})" for j in range(K))
     docs = " + ".join(f"ln((n{j} + {a1!r}) / ({dsum}))" for j in range(K))
     body = (f"SELECT CAST(round({e1!r} * (SELECT sum({terms}) FROM tt{STEPS}) + "
-            f"{a1!r} * (SELECT sum({docs}) FROM dt{STEPS}), 4) AS DOUBLE) AS log_prior")
+            f"{a1!r} * (SELECT sum({docs}) FROM dt{STEPS}), 1) AS DOUBLE) AS log_prior")
     return S.with_(_em(STEPS), body)
 
 
 @query("lda_log_prior", _prior_sql)
 def lda_log_prior(spark, sf_dir):
     m = em_model(spark, sf_dir)
-    return spark.createDataFrame([(round(m.log_prior(), 4),)], "log_prior double")
+    return spark.createDataFrame([(round(m.log_prior(), 1),)], "log_prior double")
 
 
 @query("lda_doc_topics", lambda: S.with_(
@@ -308,9 +323,9 @@ def lda_top_topics_per_doc(spark, sf_dir):
 def lda_topics_roundtrip(spark, sf_dir):
     """A10: topics table + meta (k, vocabulary size, alpha, eta) saved and loaded."""
     m = em_model(spark, sf_dir)
-    path = store.save_topics(m.topics_matrix(), K, V, [ALPHA] * K, ETA)
+    path = store.save_topics(m.topics_matrix(), K, m.vocab_size, [ALPHA] * K, ETA)
     topics, meta = store.load_topics(spark, path)
-    assert meta["k"] == K and meta["vocab_size"] == V
+    assert meta["k"] == K and meta["vocab_size"] == m.vocab_size
     return topics.select("topic", "term_id", F.round("weight", 6).alias("weight"))
 
 
@@ -318,7 +333,7 @@ def lda_topics_roundtrip(spark, sf_dir):
 def lda_state_roundtrip(spark, sf_dir):
     """The three training-state tables saved and loaded."""
     m = em_model(spark, sf_dir)
-    path = store.save_lda_state(m.tokens, m.doc_topics, m.term_topics, K, V, [ALPHA] * K, ETA)
+    path = store.save_lda_state(m.tokens, m.doc_topics, m.term_topics, K, m.vocab_size, [ALPHA] * K, ETA)
     _, doc, term, _ = store.load_lda_state(spark, path)
     return _state_out(doc, term)
 
@@ -327,17 +342,110 @@ def lda_state_roundtrip(spark, sf_dir):
 
 from ..operators import topics_online as OL  # noqa: E402
 
-OK_TOPICS, OFRACTION, OITERS = 3, 0.05, 4
+OK_TOPICS, OFRACTION, OITERS, PASSES = 3, 0.05, 4, 3
+RHO = (1024.0 + 1) ** -0.51
+HOW = OL.Inference(start=1.0, passes=PASSES)
 
 
 def _bags(spark, sf_dir):
     return OL.bags(term_counts(spark, sf_dir))
 
 
-def _online_model(spark, sf_dir, iters=OITERS, optimize_alpha=False):
-    return OL.train_online(term_counts(spark, sf_dir), k=OK_TOPICS, max_iter=iters,
-                           vocab_size=V, fraction=OFRACTION, seed=5,
-                           optimize_alpha=optimize_alpha)
+def _given(spark, sf_dir):
+    """(bags, model): lambda = 1 + (term * 17 + topic * 7) % 10 / 10."""
+    tc, vocab = corpus(spark, sf_dir)
+    lam = vocab.select("term_id", F.array(*[
+        F.lit(1.0) + (F.col("term_id") * 17 + 7 * j) % 10 / F.lit(10.0) for j in range(K)]).alias("w"))
+    a, e = OL.online_priors(K)
+    return OL.bags(tc), OL.OnlineLDAModel(lam, K, vocab.count(), a, e)
+
+
+def _online_model(spark, sf_dir, optimize_alpha=False):
+    return OL.train_online(term_counts(spark, sf_dir), k=OK_TOPICS, max_iter=OITERS,
+                           fraction=OFRACTION, seed=5, optimize_alpha=optimize_alpha)
+
+
+# --- SQL: digamma and trigamma by eight recurrences and the asymptotic series
+
+def _psi(x):
+    y = f"({x} + 8)"
+    back = " + ".join(f"1.0 / ({x} + {i})" for i in range(8))
+    return (f"(ln({y}) - 0.5 / {y} - 1.0 / (12 * {y} ** 2) + 1.0 / (120 * {y} ** 4) - 1.0 / (252 * {y} ** 6) "
+            f"+ 1.0 / (240 * {y} ** 8) - 1.0 / (132 * {y} ** 10) + 691.0 / (32760 * {y} ** 12) - ({back}))")
+
+
+def _psi1(x):
+    y = f"({x} + 8)"
+    back = " + ".join(f"1.0 / ({x} + {i}) ** 2" for i in range(8))
+    return (f"(1.0 / {y} + 0.5 / {y} ** 2 + 1.0 / (6 * {y} ** 3) - 1.0 / (30 * {y} ** 5) + 1.0 / (42 * {y} ** 7) "
+            f"- 1.0 / (30 * {y} ** 9) + 5.0 / (66 * {y} ** 11) + {back})")
+
+
+def _each(form, sep=", "):
+    return sep.join(form.format(j=j) for j in range(K))
+
+
+def _theta_of(t):
+    """E[log theta] (o0..) and its exponentials (h0..) of gamma table g{t}."""
+    return [S.cte(f"q{t}", f"SELECT *, {_each('g{j}', ' + ')} AS gs FROM g{t}"),
+            S.cte(f"o{t}", f"SELECT *, {', '.join(f'{_psi(f"g{j}")} - {_psi("gs")} AS o{j}' for j in range(K))} FROM q{t}"),
+            S.cte(f"h{t}", f"SELECT *, {_each('exp(o{j}) AS h{j}')} FROM o{t}")]
+
+
+def _inferred():
+    ctes = _corpus() + [
+        S.cte("lam", "SELECT term_id, " + ", ".join(
+            f"1.0::DOUBLE + (term_id * 17 + {7 * j}) % 10 / 10.0::DOUBLE AS l{j}" for j in range(K)) + " FROM vocab"),
+        S.cte("ls", f"SELECT {_each('sum(l{j}) AS s{j}')} FROM lam"),
+        S.cte("el", "SELECT term_id, " + ", ".join(f"{_psi(f'l{j}')} - {_psi(f's{j}')} AS e{j}" for j in range(K)) + " FROM lam, ls"),
+        S.cte("be", f"SELECT term_id, {_each('e{j}')}, {_each('exp(e{j}) AS b{j}')} FROM el"),
+        S.cte("g0", f"SELECT doc_id, {_each('1.0::DOUBLE AS g{j}')} FROM (SELECT DISTINCT doc_id FROM tok)"),
+    ]
+    dot = _each("b{j} * h{j}", " + ")
+    for t in range(PASSES):
+        ctes += _theta_of(t)
+        pulled = ", ".join(f"any_value(h{j}) * sum(b{j} * cnt / ({dot} + 1e-100)) + {1.0 / K!r} AS g{j}" for j in range(K))
+        ctes.append(S.cte(f"g{t + 1}", f"SELECT doc_id, {pulled} FROM tok JOIN be USING (term_id) "
+                                       f"JOIN h{t} USING (doc_id) GROUP BY doc_id"))
+    return ctes + _theta_of(PASSES)
+
+
+def _long(value, key, source, name, digits=6):
+    return "\nUNION ALL\n".join(
+        f"SELECT {key}, CAST({j} AS INTEGER) AS topic, CAST(round({value.format(j=j)}, {digits}) AS DOUBLE) AS {name} "
+        f"FROM {source}" for j in range(K))
+
+
+def _stats_ctes():
+    dot = _each("b{j} * h{j}", " + ")
+    return _inferred() + [S.cte("st", "SELECT term_id, " + ", ".join(
+        f"any_value(b{j}) * sum(h{j} * cnt / ({dot} + 1e-100)) AS v{j}" for j in range(K)) +
+        f" FROM tok JOIN be USING (term_id) JOIN h{PASSES} USING (doc_id) GROUP BY term_id")]
+
+
+def _alpha_sql():
+    a = 1.0 / K
+    ctes = _inferred() + [
+        S.cte("ml", f"SELECT {_each('avg(o{j}) AS m{j}')} FROM o{PASSES}"),
+        S.cte("gr", "SELECT " + ", ".join(
+            f"m{j} - ({_psi(repr(a))} - {_psi(repr(a * K))}) AS r{j}" for j in range(K)) +
+            f", {_psi1(repr(a * K))} AS z, 1.0 / {_psi1(repr(a))} AS d FROM ml"),
+        S.cte("nw", "SELECT " + ", ".join(
+            f"{a!r} + {RHO!r} * d * (r{j} + z * d * ({_each('r{j}', ' + ')}) / (1.0 - z * d * {K})) AS a{j}" for j in range(K)) + " FROM gr")]
+    return S.with_(ctes, "\nUNION ALL\n".join(
+        f"SELECT CAST({j} AS INTEGER) AS topic, CAST(round(a{j}, 6) AS DOUBLE) AS alpha FROM nw" for j in range(K)))
+
+
+def _bound_ctes():
+    words = f"ln({_each('exp(h.o{j} + e{j})', ' + ')})"
+    a, e = 1.0 / K, 1.0 / K
+    docs = " + ".join(f"({a!r} - g{j}) * o{j} + lgamma(g{j}) - lgamma({a!r})" for j in range(K))
+    cells = " + ".join(f"({e!r} - l{j}) * e{j} + lgamma(l{j}) - lgamma({e!r})" for j in range(K))
+    return _inferred() + [S.cte("bd", f"""SELECT
+(SELECT sum(cnt * {words}) FROM tok JOIN be USING (term_id) JOIN h{PASSES} h USING (doc_id))
++ (SELECT sum({docs} + lgamma({a * K!r}) - lgamma(gs)) FROM h{PASSES})
++ (SELECT sum({cells}) FROM lam JOIN be USING (term_id))
++ {K} * lgamma({e!r} * {V}) - (SELECT {_each('lgamma(s{j})', ' + ')} FROM ls) AS bound""")]
 
 
 @query("lda_minibatch")
@@ -346,36 +454,30 @@ def lda_minibatch(spark, sf_dir):
     return OL.minibatch(_bags(spark, sf_dir), OFRACTION, True, seed=3).select("doc_id")
 
 
-@query("lda_infer")
+@query("lda_infer", lambda: S.with_(_inferred(), _long("g{j}", "doc_id", f"g{PASSES}", "gamma")))
 def lda_infer(spark, sf_dir):
-    """H15 over the whole corpus: variational gamma per document from the
-    Gamma(100, 1/100) start lambda."""
-    tc = term_counts(spark, sf_dir)
-    a, e = OL.online_priors(OK_TOPICS)
-    lam = OL.init_lambda(spark, OK_TOPICS, V, seed=1)
-    model = OL.OnlineLDAModel(lam, OK_TOPICS, V, a, e)
-    th = model.transform(OL.bags(tc))
-    return th.select("doc_id", F.posexplode("theta").alias("topic", "theta"))
+    """H15 over the whole corpus: variational gamma per document, 3 passes
+    from gamma = 1 under the given lambda."""
+    docs, model = _given(spark, sf_dir)
+    return model.gammas(docs, HOW).select("doc_id", F.posexplode("gamma").alias("topic", "gamma")).select(
+        "doc_id", "topic", F.round("gamma", 6).alias("gamma"))
 
 
-@query("lda_online_stats")
+@query("lda_online_stats", lambda: S.with_(_stats_ctes(), _long("v{j}", "term_id", "st", "value")))
 def lda_online_stats(spark, sf_dir):
-    """One mini-batch's statistics x exp(E[log beta]) per (topic, term)."""
-    docs = _bags(spark, sf_dir)
-    a, _ = OL.online_priors(OK_TOPICS)
-    lam = OL.init_lambda(spark, OK_TOPICS, V, seed=1)
-    eb = OL.to_matrix(OL.exp_elog_beta(lam), OK_TOPICS, V, "e")
-    return OL.batch_stats(OL.minibatch(docs, OFRACTION, True, 3), eb, a, 100.0, seed=9)
+    """The corpus's statistics x exp(E[log beta]) per (topic, term)."""
+    docs, model = _given(spark, sf_dir)
+    stats = OL.batch_stats(docs, OL.elog_beta(model.lam, K), model.alpha, HOW).where("term_id >= 0")
+    return stats.select("term_id", F.posexplode("value").alias("topic", "value")).select(
+        "term_id", "topic", F.round("value", 6).alias("value"))
 
 
 def _online_lambda_sql():
-    import math as _m
     d = "(SELECT count(DISTINCT doc_id) FROM tok)"
-    rho = _m.pow(1024.0 + 1, -0.51)
     eta = 1.0 / K
     body = "\nUNION ALL\n".join(
-        f"SELECT CAST({j} AS INTEGER) AS topic, l.term_id, CAST(round({1.0 - rho!r} * l.n{j} + "
-        f"{rho!r} * (coalesce(s.n{j}, 0.0) * ({d} / ceil({OFRACTION!r} * {d})) + {eta!r}), 6) "
+        f"SELECT CAST({j} AS INTEGER) AS topic, l.term_id, CAST(round({1.0 - RHO!r} * l.n{j} + "
+        f"{RHO!r} * (coalesce(s.n{j}, 0.0) * ({d} / ceil({OFRACTION!r} * {d})) + {eta!r}), 6) "
         f"AS DOUBLE) AS weight FROM tt0 l LEFT JOIN tt1 s USING (term_id)" for j in range(K))
     return S.with_(_em(1), body)
 
@@ -385,55 +487,52 @@ def lda_online_lambda(spark, sf_dir):
     """H17 on data-derived tables: lambda = the hash-start term-topic table,
     stat = the table after one EM step; D documents, B = ceil(0.05 D),
     rho = (1024 + 1)^-0.51, eta = 1/k."""
-    import math as _m
+    import math
     tokens = TP.token_table(term_counts(spark, sf_dir))
     _, term0 = TP.init_hash(tokens, K)
     m = em_model(spark, sf_dir, 1)
-
-    def long(df, name):
-        pairs = ", ".join(f"{j}, n_{j}" for j in range(K))
-        return df.select("term_id", F.expr(f"stack({K}, {pairs}) AS (topic, {name})")).select(
-            F.col("topic").cast("int"), "term_id", name)
-
-    lam = long(term0, "weight")
-    stats = long(m.term_topics, "value")
+    wide = F.array(*[F.col(f"n_{j}") for j in range(K)])
     docs = tokens.select("doc_id").distinct().count()
-    out = OL.update_lambda(lam, stats, _m.pow(1024.0 + 1, -0.51), docs,
-                           int(_m.ceil(OFRACTION * docs)), 1.0 / K)
-    return out.select("topic", "term_id", F.round("weight", 6).alias("weight"))
+    out = OL.update_lambda(term0.select("term_id", wide.alias("w")), m.term_topics.select("term_id", wide.alias("value")),
+                           RHO, docs, int(math.ceil(OFRACTION * docs)), 1.0 / K)
+    return out.select("term_id", F.posexplode("w").alias("topic", "weight")).select(
+        "topic", "term_id", F.round("weight", 6).alias("weight"))
 
 
-@query("lda_online_alpha")
+@query("lda_online_alpha", _alpha_sql)
 def lda_online_alpha(spark, sf_dir):
-    """Alpha after mini-batches with the Newton step switched on."""
-    m = _online_model(spark, sf_dir, optimize_alpha=True)
-    return spark.createDataFrame([(j, float(v)) for j, v in enumerate(m.alpha)],
+    """Alpha after one Newton step on the whole corpus."""
+    docs, model = _given(spark, sf_dir)
+    stats = OL.batch_stats(docs, OL.elog_beta(model.lam, K), model.alpha, HOW)
+    new = OL.update_alpha(model.alpha, OL.mean_elog(stats), RHO)
+    return spark.createDataFrame([(j, round(float(v), 6)) for j, v in enumerate(new)],
                                  "topic int, alpha double")
 
 
 @query("lda_train_online")
 def lda_train_online(spark, sf_dir):
-    """H1 (online): 4 mini-batches, k = 3; the lambda table."""
-    return _online_model(spark, sf_dir).topics()
+    """H1 (online): 4 mini-batches, k = 3, alpha moving; the lambda table."""
+    return _online_model(spark, sf_dir, optimize_alpha=True).topics()
 
 
-@query("lda_transform")
+@query("lda_transform", lambda: S.with_(_inferred(), _long("g{j} / gs", "doc_id", f"q{PASSES}", "theta")))
 def lda_transform(spark, sf_dir):
-    """Topic mix of every document under the trained online model."""
-    m = _online_model(spark, sf_dir)
-    return m.transform(_bags(spark, sf_dir))
+    """Topic mix of every document under the given lambda."""
+    docs, model = _given(spark, sf_dir)
+    return model.transform(docs, how=HOW).select("doc_id", F.posexplode("theta").alias("topic", "theta")).select(
+        "doc_id", "topic", F.round("theta", 6).alias("theta"))
 
 
-@query("lda_bound")
+@query("lda_bound", lambda: S.with_(_bound_ctes(), "SELECT CAST(round(bound, 1) AS DOUBLE) AS bound FROM bd"))
 def lda_bound(spark, sf_dir):
-    """Variational bound of the corpus under the online model."""
-    m = _online_model(spark, sf_dir)
-    return spark.createDataFrame([(m.log_likelihood(_bags(spark, sf_dir)),)], "bound double")
+    """Variational bound of the corpus under the given lambda."""
+    docs, model = _given(spark, sf_dir)
+    return spark.createDataFrame([(round(model.log_likelihood(docs, how=HOW), 1),)], "bound double")
 
 
-@query("lda_perplexity")
+@query("lda_perplexity", lambda: S.with_(
+    _bound_ctes(), "SELECT CAST(round(-bound / (SELECT sum(cnt) FROM tok), 6) AS DOUBLE) AS log_perplexity FROM bd"))
 def lda_perplexity(spark, sf_dir):
     """-bound / tokens."""
-    m = _online_model(spark, sf_dir)
-    return spark.createDataFrame([(m.log_perplexity(_bags(spark, sf_dir)),)],
-                                 "log_perplexity double")
+    docs, model = _given(spark, sf_dir)
+    return spark.createDataFrame([(round(model.log_perplexity(docs, how=HOW), 6),)], "log_perplexity double")

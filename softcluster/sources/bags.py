@@ -1,63 +1,58 @@
 """Bag-of-words source (A2): documents -> term_counts(doc_id, term_id, cnt).
 
-Tokens are maximal runs of ASCII letters, lower-cased, taken from the WHOLE
-text.  The vocabulary is the top-V words by document frequency (ties by the
-word), term ids 0..V-1 in that order.  Every step is a partial+final
-aggregate (a word in a third of all documents is still combined map-side);
-the V-row vocabulary is broadcast after its size is checked.
+Tokens are maximal runs of letters of any script, lower-cased, taken from the
+WHOLE text.  Every word is in the vocabulary unless the caller names a bound;
+term ids 0..V-1 go by document frequency, ties by the word.  Every step is a
+partial+final aggregate (a word in a third of all documents is still combined
+map-side); ids come from a range-partitioned sort, each partition counting on
+from the rows before it; the lookup of ids is a plain join.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-TOKEN_PATTERN = "[A-Za-z]+"
-MAX_BROADCAST_VOCAB = 5_000_000
+from ..functions.ranking import number_rows
+from ..session import spread
+
+TOKEN_PATTERN = r"\p{L}+"
 
 
 def tokens(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    words = F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN_PATTERN), 0),
-                        lambda w: F.lower(w))
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"),
-                            F.explode(words).alias("word"))
+    found = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.explode(
+        F.regexp_extract_all(F.col(text), F.lit(TOKEN_PATTERN), F.lit(0))).alias("word"))
+    return found.select("doc_id", F.lower("word").alias("word"))
 
 
 def word_counts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
                 ) -> DataFrame:
     """(doc_id, word, n): ONE tokenizing pass over the whole texts, combined
     map-side per (document, word)."""
-    from ..session import spread
-
     return tokens(spread(documents.select(doc_id, text)), text, doc_id).groupBy(
         "doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary(wc: DataFrame, vocab_size: int) -> DataFrame:
-    """(word, term_id INT, doc_freq): the top ``vocab_size`` words of a
-    (doc_id, word, n) table; document frequency = rows per word."""
-    if vocab_size > MAX_BROADCAST_VOCAB:
-        raise ValueError("vocabulary too large for a broadcast lookup")
-    dfreq = wc.groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"))
-    top = dfreq.orderBy(F.col("doc_freq").desc(), "word").limit(vocab_size)
-    w = Window.orderBy(F.col("doc_freq").desc(), "word")  # over <= vocab_size rows
-    return top.select("word", (F.row_number().over(w) - 1).cast("int").alias("term_id"),
-                      "doc_freq")
+def vocabulary(wc: DataFrame, vocab_size: int | None = None) -> DataFrame:
+    """(word, term_id INT, doc_freq) of a (doc_id, word, n) table; document
+    frequency = rows per word.  All words, or the first ``vocab_size``."""
+    freq = wc.groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"))
+    out = number_rows(freq, [F.col("doc_freq").desc(), F.col("word")]).select(
+        "word", F.col("position").cast("int").alias("term_id"), "doc_freq")
+    return out if vocab_size is None else out.where(F.col("term_id") < vocab_size)
 
 
-def term_counts(documents: DataFrame, vocab_size: int = 200, text: str = "text",
+def term_counts(documents: DataFrame, vocab_size: int | None = None, text: str = "text",
                 doc_id: str = "doc_id", vocab: DataFrame | None = None):
     """-> (term_counts(doc_id, term_id, cnt DOUBLE), vocabulary).
 
     The per-(document, word) counts are persisted once and feed both the
     vocabulary and the term counts, so the text is tokenized only once.
     """
-    from pyspark import StorageLevel
-
     wc = word_counts(documents, text, doc_id).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = vocab if vocab is not None else vocabulary(wc, vocab_size)
-    tc = wc.join(F.broadcast(vocab.select("word", "term_id")), "word").select(
+    tc = wc.join(vocab.select("word", "term_id"), "word").select(
         "doc_id", "term_id", F.col("n").cast("double").alias("cnt"))
     return tc, vocab
 

@@ -230,7 +230,7 @@ def test_em_conserves_tokens(spark, sf_dir):
     from softcluster.plans import lda_queries as LQ
     tc = LQ.term_counts(spark, sf_dir)
     total = tc.agg(F.sum("cnt")).first()[0]
-    m = TP.train_em(tc, k=3, max_iter=2, vocab_size=200, init="hash")
+    m = TP.train_em(tc, k=3, max_iter=2, init="hash")
     doc_total = m.doc_topics.agg(sum(F.sum(c) for c in TP.ncols(3))).first()[0]
     assert doc_total == pytest.approx(total, rel=1e-12)
     assert m.n_k.sum() == pytest.approx(total, rel=1e-12)
@@ -264,20 +264,49 @@ def test_centres_table_roundtrip(spark):
     assert np.array_equal(C.from_df(C.to_df(spark, c)), c)
 
 
-def test_online_join_path_matches_broadcast_path(spark, sf_dir, monkeypatch):
-    from softcluster.operators import topics_online as OL
+def test_em_plan_and_lineage_do_not_grow(spark, sf_dir):
     from softcluster.plans import lda_queries as LQ
-    docs = OL.bags(LQ.term_counts(spark, sf_dir))
-    a, e = OL.online_priors(3)
-    m = OL.OnlineLDAModel(OL.init_lambda(spark, 3, 200, seed=1), 3, 200, a, e)
-    b1 = m.log_likelihood(docs)
-    t1 = {r[0]: np.array(r[1]) for r in m.transform(docs).collect()}
-    monkeypatch.setattr(OL, "MAX_BROADCAST_VALUES", 10)  # force the join path
-    b2 = m.log_likelihood(docs)
-    t2 = {r[0]: np.array(r[1]) for r in m.transform(docs).collect()}
-    assert b2 == pytest.approx(b1, rel=1e-9)
-    assert t1.keys() == t2.keys()
-    assert max(np.max(np.abs(t1[d] - t2[d])) for d in t1) < 1e-9
+    tc = LQ.term_counts(spark, sf_dir).persist()
+    size = [len(TP.train_em(tc, k=2, max_iter=n, init="random", seed=1).doc_topics
+                ._jdf.queryExecution().logical().toString()) for n in (1, 4)]
+    assert size[0] == size[1] < 2000
+
+
+def test_all_terms_ranked_without_a_window_over_all(spark, sf_dir):
+    from softcluster.plans import lda_queries as LQ
+    m = LQ.em_model(spark, sf_dir, 1)
+    every, top = m.describe_topics(), m.describe_topics(7)
+    assert every.count() == 3 * m.vocab_size
+    key = lambda df: sorted(map(tuple, df.select("topic", "rank", "term_id").collect()))
+    assert key(every.where("rank <= 7")) == key(top)
+
+
+def test_inference_of_many_documents_is_that_of_each():
+    from softcluster.operators import topics_online as OL
+    rng = np.random.default_rng(1)
+    sizes = np.array([1, 40, 3, 200])
+    el = np.log(rng.dirichlet(np.ones(5), sizes.sum()))
+    counts, alpha = rng.integers(1, 6, sizes.sum()).astype(float), np.full(5, 0.2)
+    how = OL.Inference(seed=3)
+    all_ = OL.Batch(np.arange(4), sizes, np.arange(sizes.sum()), counts, el).infer(alpha, how)
+    ends = np.cumsum(sizes)
+    for i in range(4):
+        part = slice(ends[i] - sizes[i], ends[i])
+        one = OL.Batch(np.array([i]), sizes[i:i + 1], np.arange(sizes[i]), counts[part], el[part]).infer(alpha, how)
+        assert np.allclose(one[0], all_[i], rtol=1e-12)
+
+
+def test_newton_step_climbs(spark):
+    from softcluster.operators import topics_online as OL
+    from softcluster.functions.special import dirichlet_expectation
+    rng = np.random.default_rng(2)
+    true = np.array([0.5, 2.0, 4.0])
+    mean = np.log(rng.dirichlet(true, 20000)).mean(axis=0)
+    a = np.full(3, 1.0)
+    for _ in range(60):
+        a = OL.update_alpha(a, mean, 0.5)
+    assert np.allclose(a, true, rtol=0.05) and np.allclose(dirichlet_expectation(a), mean, atol=1e-6)
+    assert np.array_equal(OL.update_alpha(np.full(3, 0.01), np.array([-900.0, -0.1, -0.1]), 1.0), np.full(3, 0.01))
 
 
 def test_stream_state_retention(spark, sf_dir):
