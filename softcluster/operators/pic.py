@@ -4,30 +4,28 @@ W = D^-1 A is kept as an edge table; one power step is
     v'(src) = sum over edges of w * v(dst)
 i.e. a join of edges with v on dst and a partial+final aggregate on src
 (map-side combine: a hot source vertex never lands whole in one task).
-The vertex vector is broadcast only after its row count is checked; beyond
-the limit the join is a shuffle join, where adaptive execution splits a hot
-destination vertex.  Lineage is cut with a reliable checkpoint every few
-steps, so a lost executor only replays the steps since the last one.
+Edges are partitioned by dst once, so a step moves only the vertex vector to
+the join; adaptive execution broadcasts it while its measured bytes are small
+and splits a hot destination vertex otherwise.  Every step's vector is
+written by a reliable checkpoint before its parents go, so a step costs the
+same however many came before it, and a lost executor replays one step.
 """
 
 from __future__ import annotations
 
-import logging
+import math
+import time
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.edges import checked
 from . import kmeans
 
-log = logging.getLogger(__name__)
-
 EPSILON = 2.220446049250313e-16
-BROADCAST_MAX_VERTICES = 20_000_000  # ~320 MB of (id, v) rows
 DEFAULTS = dict(k=2, max_iter=100, init="random")
 
 
@@ -46,28 +44,16 @@ def normalize_directed(edges: DataFrame, with_degrees: bool = False):
 
 
 def _row_normalize(e: DataFrame, with_degrees: bool = False):
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = e.groupBy("src").agg(F.sum("weight").alias("_rowsum")).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    j = _join_small(e, rows, "src", "src")
-    w = j.select("src", "dst", (F.col("weight") / F.greatest(
+    # One checkpointed table: the row sums and the weights both read it.
+    e = cut_lineage(e)
+    rows = cut_lineage(e.groupBy("src").agg(F.sum("weight").alias("_rowsum")))
+    w = e.join(rows, "src").select("src", "dst", (F.col("weight") / F.greatest(
         F.col("_rowsum"), F.lit(EPSILON))).alias("weight"))
     if with_degrees:
         return w, rows.select(F.col("src").alias("id"), F.col("_rowsum").alias("degree"))
     return w
 
 
-def _join_small(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
-                limit: int = BROADCAST_MAX_VERTICES) -> DataFrame:
-    """Join with a per-vertex table: broadcast when its row count is under
-    ``limit`` (checked), else a shuffle join (AQE splits skewed keys)."""
-    n = small.count()
-    s = F.broadcast(small) if n <= limit else small
-    if big_key == small_key:
-        return big.join(s, big_key)
-    return big.join(s, big[big_key] == s[small_key])
-
-
 def degrees(w: DataFrame) -> DataFrame:
     """Row sums of a (normalised or raw) edge table: (id, degree)."""
     return w.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
@@ -82,20 +68,20 @@ def init_degree(a: DataFrame = None, degrees_df: DataFrame | None = None) -> Dat
 
 
 def init_random(w: DataFrame, seed: int = 0) -> DataFrame:
-    """a gaussian per vertex divided by the L1 norm (drawn once and
-    persisted: the draw depends on the partitioning)."""
-    ids = w.select(F.col("src").alias("id")).distinct()
-    r = ids.select("id", F.randn(seed).alias("r")).persist(StorageLevel.MEMORY_AND_DISK)
+    """a gaussian per vertex divided by the L1 norm.  The draw is made of
+    two hashes of vertex and seed (Box-Muller): the same on any cluster."""
+    def uniform(salt):
+        return (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 1) / float(1 << 52)
+
+    r = w.select(F.col("src").alias("id")).distinct().select(
+        "id", (F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))).alias("r"))
     total = r.agg(F.sum(F.abs("r"))).first()[0]
     return r.select("id", (F.col("r") / F.lit(total)).alias("v"))
 
 
-def power_step(w: DataFrame, v: DataFrame, limit: int = BROADCAST_MAX_VERTICES,
-               n_vertices: int | None = None) -> DataFrame:
+def power_step(w: DataFrame, v: DataFrame) -> DataFrame:
     """v' = W v (unnormalised), as (id, v)."""
-    n = n_vertices if n_vertices is not None else v.count()
     vv = v.select(F.col("id").alias("_dst"), F.col("v").alias("_v"))
-    vv = F.broadcast(vv) if n <= limit else vv
     return (w.join(vv, w["dst"] == vv["_dst"])
             .groupBy(F.col("src").alias("id"))
             .agg(F.sum(F.col("weight") * F.col("_v")).alias("v")))
@@ -109,18 +95,18 @@ class PowerResult:
 
 
 def power_iteration(w: DataFrame, v0: DataFrame, max_iter: int = 100,
-                    tol: float | None = None, fixed_steps: bool = False,
-                    checkpoint_every: int = 5) -> PowerResult:
+                    tol: float | None = None, fixed_steps: bool = False) -> PowerResult:
     """v' = Wv / |Wv|_1, delta = sum |v' - v|; stop when the change of
     delta <= max(1e-5/n, 1e-8) (unless ``fixed_steps``)."""
-    w = w.persist(StorageLevel.MEMORY_AND_DISK)
-    n = v0.count()
-    tol = max(1e-5 / n, 1e-8) if tol is None else tol
-    v = v0.persist(StorageLevel.MEMORY_AND_DISK)
+    w = w.repartition("dst").persist(StorageLevel.MEMORY_AND_DISK)
+    v = cut_lineage(v0)
+    if tol is None:
+        tol = max(1e-5 / v.count(), 1e-8)
     prev_delta, diff_delta = float("inf"), float("inf")
     trace, it = [], 0
     while it < max_iter and (fixed_steps or abs(diff_delta) > tol):
-        raw = power_step(w, v, n_vertices=n).persist(StorageLevel.MEMORY_AND_DISK)
+        t0 = time.time()
+        raw = cut_lineage(power_step(w, v))
         norm = raw.agg(F.sum(F.abs("v"))).first()[0]
         new = raw.select("id", (F.col("v") / F.lit(norm)).alias("v"))
         if fixed_steps:
@@ -131,14 +117,9 @@ def power_iteration(w: DataFrame, v0: DataFrame, max_iter: int = 100,
             diff_delta = abs(delta - prev_delta)
             prev_delta = delta
         it += 1
-        if it % checkpoint_every == 0:
-            new = cut_lineage(new)
-        else:
-            new = new.persist(StorageLevel.MEMORY_AND_DISK)
-        v.unpersist()
-        raw.unpersist()
         v = new
-        trace.append(dict(iteration=it, norm=float(norm), delta=float(delta)))
+        trace.append(dict(iteration=it, norm=float(norm), delta=float(delta), seconds=time.time() - t0))
+    w.unpersist()
     return PowerResult(v=v, iterations=it, trace=trace)
 
 
@@ -151,19 +132,11 @@ def assign(v: DataFrame, k: int, runs: int = 5, seed: int = 0) -> DataFrame:
 
 
 def run(edges: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEFAULTS["max_iter"],
-        init: str = DEFAULTS["init"], symmetric: bool = False, seed: int = 0,
-        engine: str = "own") -> DataFrame:
+        init: str = DEFAULTS["init"], symmetric: bool = False, seed: int = 0) -> DataFrame:
     """edges -> (id, cluster).  ``symmetric=True`` takes the table as a
-    directed graph (A4, F2); ``engine="builtin"`` uses pyspark.ml with the
-    reference's 100 iterations."""
+    directed graph (A4, F2)."""
     if init not in ("random", "degree"):
         raise ValueError(f"unknown init mode {init!r}")
-    if engine == "builtin":
-        from pyspark.ml.clustering import PowerIterationClustering as PIC
-        e = checked(edges)
-        return PIC(k=k, maxIter=max_iter, initMode=init, srcCol="src", dstCol="dst",
-                   weightCol="weight").assignClusters(e).select(
-            "id", F.col("cluster").cast("int"))
     w, deg = (normalize_directed(edges, True) if symmetric else normalize(edges, True))
     v0 = init_degree(degrees_df=deg) if init == "degree" else init_random(w, seed)
     res = power_iteration(w, v0, max_iter)
