@@ -41,18 +41,16 @@ def to_df(spark: SparkSession, centers: np.ndarray, **extra) -> DataFrame:
 
 def from_df(df: DataFrame, expected_k: int | None = None) -> np.ndarray:
     """Centres DataFrame -> numpy (k, d), ordered by cluster id."""
-    k = df.count()
+    k, values = df.agg(F.count(F.lit(1)), F.sum(F.size("center"))).first()
     if expected_k is not None and k != expected_k:
         raise ValueError(f"expected {expected_k} centres, got {k}")
-    rows = df.select("cluster", "center").orderBy("cluster").limit(
-        MAX_STATE_VALUES).collect()
+    if (values or 0) > MAX_STATE_VALUES:
+        raise ValueError("centre table too large to hold as model state")
+    rows = df.select("cluster", "center").orderBy("cluster").collect()
     ids = [r["cluster"] for r in rows]
     if ids != list(range(len(rows))):
         raise ValueError(f"cluster ids must be 0..k-1, got {ids[:10]}...")
-    mat = np.array([r["center"] for r in rows], dtype=np.float64)
-    if mat.size > MAX_STATE_VALUES:
-        raise ValueError("centre table too large to hold as model state")
-    return mat
+    return np.array([r["center"] for r in rows], dtype=np.float64)
 
 
 def group_means(points: DataFrame, group: "F.Column", features: str = "features",

@@ -1,95 +1,18 @@
-"""JVM-side column expressions for one-shot scoring against k small centres.
-
-Centres are literals inside generated arithmetic, so the whole projection
-stays in whole-stage codegen: no Python, no join, no cross product.
-"""
+"""JVM-side column expressions on arrays of one value per cluster."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many k*d terms the generated expression gets too wide for
-# codegen; callers switch to the Arrow kernel.
-MAX_LITERAL_TERMS = 4096
-
-
-def sqdist_cols(features: str, centers: np.ndarray) -> list[Column]:
-    """One squared-distance column per centre: sum_i (x_i - c_ji)^2."""
-    f = F.col(features)
-    out = []
-    for c in np.asarray(centers, dtype=np.float64):
-        terms = [(f[i] - F.lit(float(v))) * (f[i] - F.lit(float(v)))
-                 for i, v in enumerate(c)]
-        out.append(reduce(add, terms))
-    return out
-
-
-def first_argmin(cols: list[Column]) -> Column:
-    """Index of the smallest value, lowest index on ties (0-based, INT)."""
-    arr = F.array(*cols)
-    return (F.array_position(arr, F.array_min(arr)) - 1).cast("int")
-
 
 def first_argmax(arr: Column) -> Column:
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
 
 
-def with_sqdists(df: DataFrame, features: str, centers: np.ndarray,
-                 keep: list[str] | tuple, prefix: str = "_d") -> DataFrame:
-    """Stage 1: keep.. + features + one squared-distance column per centre."""
-    ds = sqdist_cols(features, centers)
-    return df.select(*keep, features,
-                     *[d.alias(f"{prefix}{j}") for j, d in enumerate(ds)])
-
-
-def with_fuzzy_u(df: DataFrame, features: str, centers: np.ndarray, m: float,
-                 keep: list[str] | tuple = (), out: str = "u") -> DataFrame:
-    """keep.. + features + ``u ARRAY<DOUBLE>`` of memberships (sum to 1).
-
-    Built as staged projections (distances, min, ratios, total, u) so each
-    generated expression stays small; Catalyst will not re-inline a
-    non-trivial expression into several consumers, so nothing is recomputed
-    and each stage stays in whole-stage codegen.
-    """
-    k = len(centers)
-    keep = [c for c in keep if c != features]
-    base = keep + [features]
-    dd = with_sqdists(df, features, centers, keep)
-    d = [F.col(f"_d{j}") for j in range(k)]
-    dmin = F.least(*d) if k > 1 else d[0]
-    staged = dd.select(*base, *d, dmin.alias("_dmin"))
-    p = 1.0 / (m - 1.0)
-    # On the ratio branch dmin > 0 and d_j >= dmin, so the plain division is
-    # safe (CASE evaluates it only there); pow is skipped when p == 1 (m = 2).
-    def ratio(x):
-        q = F.col("_dmin") / x
-        return q if p == 1.0 else F.pow(q, F.lit(p))
-    r = [F.when(F.col("_dmin") <= 0.0,
-                F.when(x <= 0.0, F.lit(1.0)).otherwise(F.lit(0.0)))
-         .otherwise(ratio(x))
-         for x in d]
-    staged = staged.select(*base, *[v.alias(f"_r{j}") for j, v in enumerate(r)])
-    rr = [F.col(f"_r{j}") for j in range(k)]
-    staged = staged.select(*base, *rr, reduce(add, rr).alias("_tot"))
-    # transform() keeps a later posexplode from re-inlining every element
-    # expression into the generator (which overflows the 64 KB method limit).
-    return staged.select(*base, F.transform(F.array(*rr), lambda x: x / F.col("_tot"))
-                         .alias(out))
-
-
 def explode_clusters(df: DataFrame, keep: list, k: int, arr: str = "u",
                      out: str | None = None, extra: list | tuple = ()) -> DataFrame:
-    """Long form of a per-row k-array: (keep.., extra.., cluster INT, value).
-
-    The generator runs over the constant sequence 0..k-1 and indexes the
-    array, which is computed once per input row.  A posexplode of the
-    computed array itself lets Catalyst fold the element expressions into
-    the generator (much slower, and past the 64 KB method limit)."""
+    """Long form of a per-row k-array: (keep.., extra.., cluster INT, value)."""
     out = out or arr
     g = df.select(*keep, *extra, arr,
                   F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cluster"))

@@ -2,9 +2,9 @@
 
 Training loops need, per pass, a handful of sums per cluster.  Each task
 reads its Arrow batches, accumulates a small dense (keys x slots) array with
-numpy and emits it as long rows ``(key, slot, value)``; Spark then sums the
-partials with one tiny shuffle.  Only keys x slots numbers per partition ever
-cross the shuffle, whatever the row count.
+numpy and emits one row ``(key, values)`` per key; one small shuffle by key
+then sums the partials.  Only keys x slots numbers per partition ever cross
+it, whatever the row count.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-PARTIAL_SCHEMA = "key int, slot int, value double"
+PARTIAL_SCHEMA = "key int, values array<double>"
 # Cap on the rows x k x d difference block held in memory per task.
 BLOCK_CELLS = 1 << 21
 
@@ -63,22 +62,36 @@ def fuzzy_u(dist: np.ndarray, m: float) -> np.ndarray:
     return r / r.sum(axis=1, keepdims=True)
 
 
-def emit_dense(acc: np.ndarray) -> pa.RecordBatch:
-    keys, slots = np.indices(acc.shape)
+def sums_by_key(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """(n, d) sums of the (rows, d) matrix by key."""
+    out = np.zeros((n, rows.shape[1]))
+    order = np.argsort(keys, kind="stable")
+    found, first = np.unique(keys[order], return_index=True)
+    if len(found):
+        out[found] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+def _keyed(acc: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, values) of the keys that are not all zero."""
+    keys = np.flatnonzero(acc.any(axis=1))
+    part = acc[keys]
+    ends = np.arange(0, part.size + 1, acc.shape[1], dtype=np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys.ravel().astype(np.int32)),
-         pa.array(slots.ravel().astype(np.int32)),
-         pa.array(acc.ravel().astype(np.float64))],
-        names=["key", "slot", "value"])
+        [pa.array(keys.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(part.reshape(-1)))],
+        names=["key", "values"])
 
 
 def partial_sums(df: DataFrame, shape: tuple[int, int], batch_fn) -> np.ndarray:
     """Run ``batch_fn(batch) -> ndarray[shape]`` over every Arrow batch, sum
-    per partition, then across partitions with one small aggregate.
+    per partition, then per key over the partitions.
 
-    Returns the dense (keys, slots) total on the driver (keys x slots is the
-    model size, never the data size).
+    A task emits one array per key; tasks that each hold some of the keys
+    combine them.  Returns the dense (keys, slots) total on the driver (the
+    model's size, never the data's).
     """
+    slots = shape[1]
+
     def run(batches):
         acc = None
         for b in batches:
@@ -87,12 +100,22 @@ def partial_sums(df: DataFrame, shape: tuple[int, int], batch_fn) -> np.ndarray:
             part = batch_fn(b)
             acc = part if acc is None else acc + part
         if acc is not None:
-            yield emit_dense(acc)
+            yield _keyed(acc)
 
-    rows = (df.mapInArrow(run, PARTIAL_SCHEMA)
-            .groupBy("key", "slot").agg(F.sum("value").alias("value"))
-            .collect())
+    def combine(batches):
+        acc = {}
+        for b in batches:
+            values = b.column(1).flatten().to_numpy().reshape(-1, slots)
+            for key, row in zip(b.column(0).to_pylist(), values):
+                acc[key] = row + acc[key] if key in acc else row
+        if acc:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(acc), pa.int32()), pa.array([v.tolist() for v in acc.values()], pa.list_(pa.float64()))],
+                names=["key", "values"])
+
+    rows = df.mapInArrow(run, PARTIAL_SCHEMA).repartition("key").mapInArrow(combine, PARTIAL_SCHEMA).toArrow()
     total = np.zeros(shape)
-    for r in rows:
-        total[r["key"], r["slot"]] = r["value"]
+    if rows.num_rows:
+        rows = rows.combine_chunks()
+        total[rows["key"].to_numpy()] = rows["values"].combine_chunks().flatten().to_numpy().reshape(-1, slots)
     return total

@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import centers as C
-from ..functions.columns import explode_clusters, first_argmax, with_fuzzy_u
+from ..functions.columns import explode_clusters, first_argmax
 from ..functions.kernels import batch_matrix, fuzzy_u, partial_sums, sqdist
+from ..functions.scoring import memberships
 from ..sources import points as P
 
 DEFAULTS = dict(k=2, max_iter=20, epsilon=1e-4, m=2.0)
@@ -209,10 +210,10 @@ def center_step(points: DataFrame, centers: np.ndarray, m: float,
 
 def center_step_columns(points: DataFrame, centers: np.ndarray, m: float,
                         features: str = P.FEATURES) -> DataFrame:
-    """B3 readable twin, all JVM-side: memberships as columns, posexplode to
-    (cluster, u^m), then one partial+final aggregate per cluster."""
+    """B3 readable twin: memberships per row, exploded to (cluster, u^m), then
+    one partial+final aggregate per cluster."""
     k, d = centers.shape
-    wide = with_fuzzy_u(points, features, centers, m)
+    wide = memberships(points, features, centers, m, [features])
     long = explode_clusters(wide, [features], k).select(
         features, "cluster", F.pow("u", F.lit(m)).alias("um"))
     agg = long.groupBy("cluster").agg(
@@ -241,7 +242,7 @@ def membership(points: DataFrame, centers: np.ndarray, m: float, keep=(),
     """Soft assignment of every row.  Long form (keep.., cluster, u, u_m);
     wide form keeps ``u ARRAY<DOUBLE>`` (quirk Q2: both u and u^m are given)."""
     _check_m(m)
-    wide = with_fuzzy_u(points, features, centers, m, keep=list(keep))
+    wide = memberships(points, features, centers, m, list(keep) if long else [*keep, features])
     if not long:
         return wide
     return explode_clusters(wide, list(keep), len(centers)).select(
@@ -252,7 +253,7 @@ def predict(points: DataFrame, centers: np.ndarray, m: float,
             features: str = P.FEATURES, out: str = "prediction", keep=None) -> DataFrame:
     """Index of the largest membership, lowest on ties."""
     keep = list(keep) if keep is not None else [c for c in points.columns if c != features]
-    wide = with_fuzzy_u(points, features, centers, m, keep=keep)
+    wide = memberships(points, features, centers, m, [*keep, features])
     return wide.withColumn(out, first_argmax(F.col("u"))).drop("u")
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import centers as C
-from ..functions.columns import first_argmin, with_sqdists
-from ..functions.kernels import batch_matrix, batch_vector, partial_sums, sqdist
+from ..functions.kernels import batch_matrix, batch_vector, partial_sums, sqdist, sums_by_key
+from ..functions.scoring import least_distances, nearest
 from ..sources import points as P
 
 log = logging.getLogger(__name__)
@@ -63,7 +63,7 @@ def step_sums(points: DataFrame, centers: np.ndarray, features: str = P.FEATURES
             cost = dist[np.arange(rows.size), a]
             keys = run * k + a
             wr = ww[rows]
-            np.add.at(out[:, :d], keys, x[rows] * wr[:, None])
+            out[:, :d] += sums_by_key(keys, x[rows] * wr[:, None], r * k)
             out[:, d] += np.bincount(keys, weights=wr, minlength=r * k)
             out[:, d + 1] += np.bincount(keys, weights=cost * wr, minlength=r * k)
         return out
@@ -110,19 +110,15 @@ class KMeansModel:
 def train(points: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEFAULTS["max_iter"],
           runs: int = DEFAULTS["runs"], init=DEFAULTS["init"],
           init_steps: int = DEFAULTS["init_steps"], epsilon: float = DEFAULTS["epsilon"],
-          seed: int = 0, features: str = P.FEATURES, weight: str | None = None,
-          engine: str = "own") -> KMeansModel:
+          seed: int = 0, features: str = P.FEATURES, weight: str | None = None
+          ) -> KMeansModel:
     """Lloyd's algorithm.  ``init`` is "random", "k-means||", a
     numpy (k, d) / (r, k, d) array or a centres DataFrame (warm start: forces
-    one run).  ``engine="builtin"`` delegates to ``pyspark.ml`` with the
-    reference defaults (initSteps 5)."""
+    one run)."""
     if isinstance(init, str) and init not in INIT_MODES:
         raise ValueError(f"unknown init mode {init!r} (quirk Q8: no silent fallback)")
     if k < 1 or runs < 1:
         raise ValueError("k and runs must be >= 1")
-    if engine == "builtin":
-        return _train_builtin(points, k, max_iter, init, init_steps, epsilon, seed,
-                              features, weight)
     data, _ = P.prepare(points.select(*([features] + ([weight] if weight else []))),
                         features)
     try:
@@ -193,13 +189,10 @@ def cost_column(points: DataFrame, centers: np.ndarray, features: str = P.FEATUR
                 prev: str | None = None, out: str = "cost") -> DataFrame:
     """C5 cost: min squared distance to ``centers``, as a running minimum
     with an existing cost column ``prev`` (only new centres are compared)."""
-    keep = [c for c in points.columns if c != features]
-    dd = with_sqdists(points, features, centers, keep)
-    ds = [F.col(f"_d{j}") for j in range(len(centers))]
-    m = F.least(*ds) if len(ds) > 1 else ds[0]
-    if prev is not None:
-        m = F.least(F.col(prev), m)
-    return dd.select(*[c for c in keep if c != out], features, m.alias(out))
+    keep = [c for c in points.columns if c != out]
+    old = points if prev is None else points.withColumn("_prev", F.array(prev))
+    least = least_distances(old, features, [np.asarray(centers)], keep, None if prev is None else "_prev", "_new")
+    return least.select(*[c for c in keep if c != features], features, F.col("_new")[0].alias(out))
 
 
 def oversample(points_with_cost: DataFrame, k: int, seed: int,
@@ -233,20 +226,9 @@ def init_parallel(points: DataFrame, k: int, init_steps: int = 5, seed: int = 0,
 def _run_costs(points: DataFrame, news: list, features: str, prev: str | None) -> DataFrame:
     """Cost array column: per run, min over that run's new centres (and the
     previous cost).  One projection for all runs."""
-    flat = [c for cs in news for c in cs]
-    keep = [c for c in points.columns if c not in (features, "cost")]
-    base = points if prev is None else points
-    dd = with_sqdists(base, features, np.array(flat), keep + ([prev] if prev else []))
-    out, pos = [], 0
-    for r, cs in enumerate(news):
-        ds = [F.col(f"_d{pos + i}") for i in range(len(cs))]
-        pos += len(cs)
-        m = None if not ds else (F.least(*ds) if len(ds) > 1 else ds[0])
-        if prev is not None:
-            old = F.col(prev)[r]
-            m = old if m is None else F.least(old, m)
-        out.append(m)
-    return dd.select(*keep, features, F.array(*out).alias("cost"))
+    keep = [c for c in points.columns if c != "cost"]
+    d = len(next(c for cs in news for c in cs))
+    return least_distances(points, features, [np.array(cs).reshape(len(cs), d) for cs in news], keep, prev, "cost")
 
 
 def init_parallel_runs(points: DataFrame, k: int, runs: int = 1, init_steps: int = 5,
@@ -406,12 +388,9 @@ def weighted_step(table: DataFrame, centers: np.ndarray, features: str = P.FEATU
 
 def assign(points: DataFrame, centers: np.ndarray, features: str = P.FEATURES,
            keep=None) -> DataFrame:
-    """Nearest centre and its squared distance, JVM-side codegen."""
+    """Nearest centre and its squared distance."""
     keep = list(keep) if keep is not None else [c for c in points.columns if c != features]
-    dd = with_sqdists(points, features, centers, keep)
-    ds = [F.col(f"_d{j}") for j in range(len(centers))]
-    return dd.select(*keep, features, first_argmin(ds).alias("cluster"),
-                     (F.least(*ds) if len(ds) > 1 else ds[0]).alias("dist2"))
+    return nearest(points, features, centers, [*keep, features])
 
 
 def step_table(points: DataFrame, centers: np.ndarray, features: str = P.FEATURES
@@ -445,20 +424,3 @@ def compute_cost(points: DataFrame, centers: np.ndarray, features: str = P.FEATU
                  ) -> float:
     """Sum of squared distances to the nearest centre."""
     return float(assign(points, centers, features, keep=[]).agg(F.sum("dist2")).first()[0])
-
-
-def _train_builtin(points, k, max_iter, init, init_steps, epsilon, seed, features, weight):
-    from pyspark.ml.clustering import KMeans as MLKMeans
-    from pyspark.ml.functions import array_to_vector
-
-    if not isinstance(init, str):
-        raise ValueError("the built-in engine takes no start centres (use engine='own')")
-    df = P.clean(points, features).select(
-        array_to_vector(features).alias("_v"), *([weight] if weight else []))
-    est = MLKMeans(k=k, maxIter=max_iter, initMode=init, initSteps=init_steps,
-                   tol=epsilon, seed=seed, featuresCol="_v")
-    if weight:
-        est = est.setWeightCol(weight)
-    m = est.fit(df)
-    cs = np.array([c.toArray() for c in m.clusterCenters()])
-    return KMeansModel(centers=cs, cost=float(m.summary.trainingCost))

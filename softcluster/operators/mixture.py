@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.centers import MAX_STATE_VALUES
 from ..functions.kernels import batch_matrix, partial_sums
 from ..sources import points as P
 
@@ -52,6 +53,9 @@ class Mixture:
 
     @staticmethod
     def from_df(df: DataFrame) -> "Mixture":
+        values = df.agg(F.sum(F.size("mu") * (F.size("mu") + 1))).first()[0] or 0
+        if values > MAX_STATE_VALUES:
+            raise ValueError("components table too large to hold as model state")
         rows = df.orderBy("component").collect()
         if [r["component"] for r in rows] != list(range(len(rows))):
             raise ValueError("component ids must be 0..k-1")
@@ -82,9 +86,14 @@ def gaussian_constants(mu: np.ndarray, sigma: np.ndarray):
     return root, -0.5 * (d * math.log(2.0 * math.pi) + log_pdet)
 
 
-def responsibilities(x: np.ndarray, mix: Mixture):
+def constants(mix: Mixture) -> list:
+    """gaussian_constants of all components: once per pass, on the driver."""
+    return [gaussian_constants(mix.mus[j], mix.sigmas[j]) for j in range(mix.k)]
+
+
+def responsibilities(x: np.ndarray, mix: Mixture, consts: list | None = None):
     """p_ij = EPS + w_j pdf_j(x_i), normalised per row; also log(sum p)."""
-    consts = [gaussian_constants(mix.mus[j], mix.sigmas[j]) for j in range(mix.k)]
+    consts = constants(mix) if consts is None else consts
     p = np.empty((x.shape[0], mix.k))
     for j, (root, u) in enumerate(consts):
         z = (x - mix.mus[j]) @ root.T
@@ -97,18 +106,17 @@ def estep_sums(points: DataFrame, mix: Mixture, features: str = P.FEATURES) -> n
     """E-step partial sums, (k + 1, 1 + d + d*d); row k slot 0 = llh."""
     k, d = mix.k, mix.mus.shape[1]
     width = 1 + d + d * d
+    consts = constants(mix)
 
     def batch(b):
         x = batch_matrix(b, features, d)
+        p, logs = responsibilities(x, mix, consts)
         out = np.zeros((k + 1, width))
-        step = max(1, (1 << 20) // max(1, k * d * d))
-        for s in range(0, x.shape[0], step):
-            xb = x[s:s + step]
-            p, logs = responsibilities(xb, mix)
-            out[:k, 0] += p.sum(axis=0)
-            out[:k, 1:1 + d] += p.T @ xb
-            out[:k, 1 + d:] += np.einsum("nk,ni,nj->kij", p, xb, xb).reshape(k, d * d)
-            out[k, 0] += logs.sum()
+        out[:k, 0] = p.sum(axis=0)
+        out[:k, 1:1 + d] = p.T @ x
+        for j in range(k):
+            out[j, 1 + d:] = ((x * p[:, j:j + 1]).T @ x).reshape(-1)
+        out[k, 0] = logs.sum()
         return out
 
     return partial_sums(points.select(features), (k + 1, width), batch)
@@ -190,11 +198,9 @@ def draw_sample(points: DataFrame, k: int, n_samples: int = DEFAULTS["n_samples"
 
 def train(points: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEFAULTS["max_iter"],
           tol: float = DEFAULTS["tol"], init=None, seed: int = 0,
-          features: str = P.FEATURES, engine: str = "own") -> Mixture:
+          features: str = P.FEATURES) -> Mixture:
     """E1/E4.  ``init``: None (E2 sample start), a ``Mixture`` or a
     components DataFrame (warm start; never modified, quirk Q14)."""
-    if engine == "builtin":
-        return _train_builtin(points, k, max_iter, tol, seed, features)
     data, stats = P.prepare(points.select(features), features)
     try:
         if init is None:
@@ -229,12 +235,14 @@ def _soft(points, mix, features, keep):
     out_fields = fields + [T.StructField("probability", T.ArrayType(T.DoubleType())),
                            T.StructField("prediction", T.IntegerType())]
 
+    consts = constants(mix)
+
     def run(batches):
         for b in batches:
             if b.num_rows == 0:
                 continue
             x = batch_matrix(b, features, d)
-            p, _ = responsibilities(x, mix)
+            p, _ = responsibilities(x, mix, consts)
             offsets = pa.array(np.arange(0, p.size + 1, mix.k, dtype=np.int32))
             prob = pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))
             cols = [b.column(b.schema.get_field_index(c)) for c in keep]
@@ -265,14 +273,3 @@ def trace_df(spark: SparkSession, mix: Mixture) -> DataFrame:
     return spark.createDataFrame(
         [(int(t["iteration"]), float(t["llh"]), float(t["seconds"])) for t in mix.trace],
         "iteration int, llh double, seconds double")
-
-
-def _train_builtin(points, k, max_iter, tol, seed, features):
-    from pyspark.ml.clustering import GaussianMixture as MLGMM
-    from pyspark.ml.functions import array_to_vector
-
-    df = P.clean(points, features).select(array_to_vector(features).alias("_v"))
-    m = MLGMM(k=k, maxIter=max_iter, tol=tol, seed=seed, featuresCol="_v").fit(df)
-    g = m.gaussians
-    return Mixture(np.array(m.weights), np.array([x.mean.toArray() for x in g]),
-                   np.array([x.cov.toArray() for x in g]))

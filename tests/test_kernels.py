@@ -39,12 +39,14 @@ def test_digamma_trigamma_recurrences(x):
 
 
 def test_row_order_and_partitioning_do_not_matter():
-    from softcluster.functions.kernels import emit_dense
+    from softcluster.functions.kernels import _keyed, sums_by_key
     rng = np.random.default_rng(3)
     x = rng.random((50, 2))
     c = np.array([[0.2, 0.2], [0.8, 0.8]])
     full = fuzzy_u(sqdist(x, c), 2.0)
     perm = rng.permutation(50)
     assert np.allclose(fuzzy_u(sqdist(x[perm], c), 2.0), full[perm])
-    batch = emit_dense(np.arange(6.0).reshape(2, 3))
-    assert batch.num_rows == 6
+    batch = _keyed(np.array([[0.0, 0.0], [1.0, 2.0]]))
+    assert batch.to_pylist() == [{"key": 1, "values": [1.0, 2.0]}]
+    keys = rng.integers(0, 5, 50)
+    assert np.allclose(sums_by_key(keys, x, 7), [x[keys == j].sum(axis=0) for j in range(7)])
