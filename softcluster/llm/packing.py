@@ -15,58 +15,153 @@ start in each queue, and one more pass places every piece.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Sequence
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from softcluster.llm import words as W
 from softcluster.llm.tables import written
 
 #: Credits are kept in fractions of an id of this many bits.
 FRACTION = 16
-MEMO = 600_000
+#: Pieces that a worker remembers at most.
+MEMO = 3_000_000
 
-_loaded: dict[str, tuple] = {}
-#: A point or comma between a letter and white space: ids are cut there in any case.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
+_LETTERS = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
+_SIGNS = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
 
 
-def _tokenizer(path: str):
-    """(tokenizer, ids of white-space-free pieces seen so far), once per worker."""
-    if path not in _loaded:
-        from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_file(path)
-        _loaded[path] = tokenizer, {}
-    return _loaded[path]
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of lower-cased texts' runs between white space, and each
+    row's first; runs are cut between a-z and ASCII signs but apostrophes."""
+    solid, letter, sign = W.SOLID[data], _LETTERS[data], _SIGNS[data]
+    opens, closes = solid.copy(), solid.copy()
+    inner = solid[1:] & solid[:-1] & ~(letter[1:] & sign[:-1] | sign[1:] & letter[:-1])
+    inner[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))] - 1] = False
+    opens[1:] &= ~inner
+    closes[:-1] &= ~inner
+    starts = np.flatnonzero(opens)
+    return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
+
 
+def _one_word(piece: str) -> bool:
+    if piece.isascii():
+        return piece.isalpha() or not any(map(str.isalnum, piece)) and "'" not in piece and piece.isprintable()
+    return piece.isalpha() and piece.lower() == piece and is_normalized("NFC", piece)
 
-def encode(texts: Sequence[bytes], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers.
 
-    For a tokenizer that lower-cases, drops white space and never joins pieces
-    across it: every piece between white space is encoded once and remembered.
-    Special tokens are found before lower-casing, so texts that may hold one
-    are encoded whole.
+class Encoder:
+    """Ids of texts, for a tokenizer that lower-cases, drops white space, never
+    joins pieces across it and parts letters from signs.
+
+    A piece between white space is encoded once and remembered by a 64-bit
+    hash, with its length and first eight bytes as a check.  Special tokens
+    are found before lower-casing, so texts that may hold one are encoded
+    whole.
     """
-    tokenizer, memo = _tokenizer(path)
-    special = {i: tokenizer.encode(t.decode(), add_special_tokens=False).ids for i, t in enumerate(texts) if b"<|" in t}
-    split = [[] if i in special else _STOP.sub(rb" \1", t.lower()).split() for i, t in enumerate(texts)]
-    new = list(set().union(*split) - memo.keys())
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = list(set().union(*split))
-    for i in range(0, len(new), 10_000):
-        part = new[i:i + 10_000]
-        for piece, got in zip(part, tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
-            memo[piece] = np.array(got.ids, "<u4").tobytes()
-    return [np.array(special[i], "<u4").tobytes() if i in special else b"".join(map(memo.__getitem__, pieces))
-            for i, pieces in enumerate(split)]
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted; the others in the same order
+        self.checks = np.zeros(0, np.uint64)
+        self.first = np.zeros(0, np.int64)  # of the piece's ids in the pool
+        self.sizes = np.zeros(0, np.int32)
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
+        """Remembers pieces.  A piece of letters, or of signs, alone is one word
+        to the tokenizer and has one id that ends a word, so many of them are
+        encoded as one text and parted by it; others go one by one."""
+        one = np.fromiter((_one_word(p) for p in pieces), bool, len(pieces)) if self.ends.any() else np.zeros(len(pieces), bool)
+        words, rest = np.flatnonzero(one), np.flatnonzero(~one)
+        texts = [" ".join(pieces[i] for i in words[k:k + 1000].tolist()) for k in range(0, len(words), 1000)]
+        ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(sizes) != len(words):
+            raise ValueError("the tokenizer parts words in another way")
+        odd = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([pieces[i] for i in rest.tolist()], add_special_tokens=False)]
+        order = np.concatenate([words, rest])
+        back = np.argsort(order)
+        ids = np.concatenate([ids, *odd])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, odd), np.int64, len(odd))])
+        first = self.used + np.cumsum(sizes) - sizes
+        self._keep(keys, checks, ids, first[back], sizes[back].astype(np.int32))
+
+    def _keep(self, keys, checks, ids, first, sizes) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.checks, self.first, self.sizes = (
+            np.insert(old, at, new) for old, new in
+            ((self.keys, keys), (self.checks, checks), (self.first, first), (self.sizes, sizes)))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All rows' ids end to end, and where each row's begin (and the end)."""
+        raw = data.tobytes()
+        special = {r: self.ids(raw[a:b].decode()) for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+                   if raw.find(b"<|", a, b) >= 0} if b"<|" in raw else {}
+        low = W.LOWER[data]
+        starts, ends, first = _pieces(low, offsets)
+        keys, at, where = np.unique(W.hashes(low, starts, ends), return_index=True, return_inverse=True)
+        a, b = starts[at], ends[at]
+        # The first eight bytes, zeros beyond the piece's end, and the length.
+        padded = np.concatenate([low, np.zeros(8, np.uint8)])
+        head = np.lib.stride_tricks.sliding_window_view(padded, 8)[a].copy() if len(a) else np.zeros((0, 8), np.uint8)
+        head[np.arange(8) >= (b - a)[:, None]] = 0
+        checks = W.mix(head.view("<u8").reshape(-1)) + (b - a).astype(np.uint64)
+        if len(self.keys) + len(keys) > MEMO:
+            self._forget()
+        slot = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[slot] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            text = low.tobytes()
+            self._learn(keys[new], checks[new], [text[x:y].decode() for x, y in zip(a[new].tolist(), b[new].tolist())])
+            slot = np.searchsorted(self.keys, keys)
+        if (self.checks[slot] != checks).any():
+            raise ValueError("two pieces of one 64-bit hash")
+        n = self.sizes[slot][where].astype(np.int64)
+        if special:
+            row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+            n[np.isin(row, list(special))] = 0
+        ends_at = np.cumsum(n)
+        ids = self.pool[np.repeat(self.first[slot][where] - (ends_at - n), n) + np.arange(ends_at[-1] if len(n) else 0)]
+        cuts = np.concatenate([[0], ends_at])[first]
+        if special:
+            rows = [special[r] if r in special else ids[cuts[r]:cuts[r + 1]] for r in range(len(offsets) - 1)]
+            ids = np.concatenate([np.asarray(x, np.uint32) for x in rows])
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        return ids, cuts
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker and file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, queue: str | None) -> DataFrame:
@@ -74,24 +169,24 @@ def tokenized(docs: DataFrame, path: str, end_id: int, queue: str | None) -> Dat
     before the document in its task."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", (F.lit("") if queue is None else F.coalesce(F.col(queue).cast("string"), F.lit(""))).alias("queue"))
-    tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         task, at = TaskContext.get().partitionId(), {}
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                texts = pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist()
-                ids = [x + tail for x in encode(texts, path)]
-                n, starts = [len(x) // 4 for x in ids], []
-                for q, m in zip(batch.column(2).to_pylist(), n):
+        for batch in batches:
+            for lo, hi, data, offsets in W.chunks(batch.column(1), 1 << 21):
+                ids, cuts = encoder(path).encode(data, offsets)
+                n = np.diff(cuts) + 1
+                every = np.insert(ids, cuts[1:], np.uint32(end_id)).astype("<u4")
+                starts, part = [], batch.slice(lo, hi - lo)
+                for q, m in zip(part.column(2).to_pylist(), n.tolist()):
                     starts.append(at.get(q, 0))
                     at[q] = starts[-1] + m
+                ends = np.concatenate([[0], np.cumsum(n)]) * 4
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(n, pa.int64()),
-                     pa.array([task] * len(n), pa.int32()), pa.array(starts, pa.int64())],
+                    [part.column(0), part.column(2),
+                     pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(every)]).cast(pa.binary()),
+                     pa.array(n), pa.array(np.full(len(n), task, np.int32)), pa.array(starts, pa.int64())],
                     names=["doc_id", "queue", "ids", "n", "task", "start"])
 
     return rows.mapInArrow(run, f"doc_id {doc_type}, queue string, ids binary, n long, task int, start long")
@@ -113,37 +208,46 @@ class Schedule:
         earned = (r * self.credit) >> FRACTION
         return np.where(earned >= self.sizes, self.sizes, earned // self.quantum * self.quantum)
 
-    def blocks(self, q: int, first: int, end: int) -> np.ndarray:
-        """The place in the whole order of blocks first to end - 1 of queue q."""
-        j = np.arange(first, end, dtype=np.int64)
+    def places(self, q: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The place in the whole order of block j of queue q."""
         ends = np.minimum((j + 1) * self.quantum, self.sizes[q])
-        r = -(-(ends << FRACTION) // self.credit[q])
-        unique, back = np.unique(r, return_inverse=True)
-        before, after = self.served(unique - 1), self.served(unique)
-        ahead = after[:, :q].sum(axis=1) + before[:, q:].sum(axis=1) - before[:, q]
-        return ahead[back] + j * self.quantum
+        rounds, back = np.unique(-(-(ends << FRACTION) // self.credit[q]), return_inverse=True)
+        out = np.empty(len(j), np.int64)
+        # A table of rounds by queues, some rounds at a time.
+        step = max(1, (1 << 21) // len(self.sizes))
+        for i in range(0, len(rounds), step):
+            before, after = self.served(rounds[i:i + step] - 1), self.served(rounds[i:i + step])
+            ahead = np.cumsum(after - before, axis=1) - (after - before) + before.sum(axis=1)[:, None] - before
+            own = np.flatnonzero((back >= i) & (back < i + step))
+            out[own] = ahead[back[own] - i, q[own]]
+        return out + j * self.quantum
 
 
-def pieces(schedule: Schedule, q: int, start: int, n: int, window: int) -> list[tuple[int, int, int, int]]:
-    """(start in the document, length, sequence, offset) of a document's ids
-    that lie at start .. start + n in queue q."""
+def pieces(schedule: Schedule, q: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(document, start in it, length, sequence, offset) of every piece of
+    documents whose ids lie at start .. start + n in their queues q."""
     k = schedule.quantum
-    first, end = start // k, (start + n - 1) // k + 1
-    place = schedule.blocks(q, first, end)
-    cuts = np.maximum(np.arange(first, end, dtype=np.int64) * k, start)
-    goes = place + (cuts - np.arange(first, end, dtype=np.int64) * k)
-    lengths = np.diff(np.append(cuts, start + n))
-    out = []
-    for at, to, length in zip((cuts - start).tolist(), goes.tolist(), lengths.tolist()):
-        while length:
-            take = min(length, window - to % window)
-            if out and to % window and out[-1][2] == to // window and out[-1][3] + out[-1][1] == to % window \
-                    and out[-1][0] + out[-1][1] == at:
-                out[-1] = (out[-1][0], out[-1][1] + take, *out[-1][2:])
-            else:
-                out.append((at, take, to // window, to % window))
-            at, to, length = at + take, to + take, length - take
-    return out
+    first = start // k
+    count = (start + n - 1) // k + 1 - first
+    doc = np.repeat(np.arange(len(n)), count)
+    j = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
+    begin = np.maximum(j * k, start[doc])
+    length = np.minimum((j + 1) * k, start[doc] + n[doc]) - begin
+    place = schedule.places(q[doc], j) + begin - j * k
+    # Cut at the windows' borders.
+    parts = (place + length - 1) // window - place // window + 1
+    own = np.repeat(np.arange(len(place)), parts)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)
+    sequence = place[own] // window + nth
+    at = np.maximum(sequence * window, place[own])
+    to = np.minimum((sequence + 1) * window, place[own] + length[own])
+    doc, inside = doc[own], begin[own] - start[doc[own]] + at - place[own]
+    # Neighbours that follow one another in document and window are one piece.
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (sequence[1:] != sequence[:-1]) | (at[1:] != to[:-1])
+    head = np.flatnonzero(new)
+    total = np.add.reduceat(to - at, head) if len(head) else head
+    return doc[head], inside[head], total, sequence[head], at[head] - sequence[head] * window
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, queue: str | None = "source",
@@ -185,16 +289,18 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     def run(batches):
         schedule, number, last = shared.value
         for batch in batches:
-            out = []
-            for i, (q, ids, n, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)))):
-                out += [(i, a, m, zlib.crc32(ids[4 * a:4 * (a + m)]), n, s, o, q, ids[4 * a:4 * (a + m)])
-                        for a, m, s, o in pieces(schedule, number.get(q, last), start, n, window)]
-            if out:
-                at, *cols = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in cols[:6]),
-                     pa.array(cols[6], pa.string()), pa.array(cols[7], pa.binary())],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
+            if not batch.num_rows:
+                continue
+            q = np.array([number.get(x, last) for x in batch.column(1).to_pylist()], np.int64)
+            n, start = (batch.column(i).to_numpy() for i in (3, 4))
+            ids = batch.column(2).to_pylist()
+            doc, at, length, sequence, offset = pieces(schedule, q, start, n, window)
+            parts = [ids[d][4 * a:4 * (a + m)] for d, a, m in zip(doc.tolist(), at.tolist(), length.tolist())]
+            owner = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(owner), pa.array(at), pa.array(length), pa.array(list(map(zlib.crc32, parts)), pa.int64()),
+                 pa.array(n[doc]), pa.array(sequence), pa.array(offset), batch.column(1).take(owner), pa.array(parts, pa.binary())],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
 
     return placed.mapInArrow(run, f"doc_id {doc_type}, start long, length long, ids_crc32 long, doc_tokens long, "
                                   "sequence_id long, offset long, queue string, ids binary")

@@ -78,6 +78,19 @@ def test_weights_and_the_shared_queue(spark, sf_dir, tokenizer):
         packing.pack(docs, PATH, weights={"none": 1.0})
 
 
+def test_encoder_matches_the_tokenizer(tokenizer):
+    import random
+    import pyarrow as pa
+    rng = random.Random(9)
+    signs = ["'", "'s", "'t", "'re", "!", "-", "\x01", " ", "\n", ".", ",", "a", "bc", "S", "1", "23", "é", "\u0301", "日", "_", "<|", "\x1c", "İ", "\xa0", "\u3000"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["", "<|endoftext|>x", "a<|ENDOFTEXT|>"]
+    encoder = packing.Encoder(PATH)
+    for part in (texts[:1000], texts[1000:], texts):
+        ids, cuts = encoder.encode(*packing.W.flat(pa.array(part)))
+        for i, t in enumerate(part):
+            assert ids[cuts[i]:cuts[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_edge_rows(spark, tokenizer):
     odd = "Don't we'll É́ é İ ΑΣ, x.y,, ... a b\x1cc 日本語。123 <|startoftext|> <|STARTOFTEXT|> a.\n.b, c,"
     docs = {1: None, 2: "", 3: odd, 4: odd * 900, 5: "a", 6: " \n\t "}
