@@ -352,18 +352,52 @@ def _reduce_runs(table: DataFrame, k: int, max_iter: int, seed: int, features: s
     return {r: np.array(c, dtype=np.float64) for r, c in out.items()}
 
 
+def _uniform(features: str, seed: int):
+    """step -> a uniform draw in (0, 1] of every row, by a hash of its point."""
+    def draw(step: int):
+        return (F.pmod(F.xxhash64(features, F.lit(seed), F.lit(step)), F.lit(1 << 52)) + 1) / float(1 << 52)
+    return draw
+
+
 def kmeans_pp(table: DataFrame, k: int, seed: int = 0, features: str = P.FEATURES,
-              weight: str = "weight") -> np.ndarray:
-    """C7 seeding for one weighted table: (<= k, d) centres (Q10)."""
-    t = table.select(F.lit(0).alias("run"), features, weight)
-    return _reduce_runs(t, k, 0, seed, features, weight, pp_only=True).get(0, np.zeros((0, 0)))
+              weight: str = "weight", draws=None) -> np.ndarray:
+    """C7 seeding of a weighted table of any size: (<= k, d) centres (Q10).
+
+    An exponential race: the row of the least -ln(u) / (weight * cost) is
+    drawn with probability weight * cost / sum, so a step is a top-1 over the
+    rows and a map that lowers their cost.  ``draws``: step -> column of u.
+    """
+    draws = draws or _uniform(features, seed)
+    centers: list[np.ndarray] = []
+    rows = table.where(F.col(weight) > 0).withColumn("cost", F.lit(1.0))
+    for step in range(k):
+        if centers:  # all centres anew: no table of costs is kept
+            rows = cost_column(table.where(F.col(weight) > 0), np.array(centers), features)
+        race = -F.log(draws(step)) / (F.col(weight) * F.col("cost"))
+        first = rows.where("cost > 0").select(features, race.alias("race")).orderBy("race", features).limit(1).collect()
+        if not first:
+            break  # Q10: fewer distinct candidates than k
+        centers.append(np.array(first[0][0], dtype=np.float64))
+    return np.array(centers)
 
 
 def weighted_kmeans(table: DataFrame, k: int, max_iter: int = 30, seed: int = 0,
-                    features: str = P.FEATURES, weight: str = "weight") -> np.ndarray:
-    """C7 for one weighted table: weighted k-means++ then weighted Lloyd."""
-    t = table.select(F.lit(0).alias("run"), features, weight)
-    return weighted_kmeans_runs(t, k, 1, max_iter, seed, features, weight)[0]
+                    features: str = P.FEATURES, weight: str = "weight", draws=None) -> np.ndarray:
+    """C7 for a weighted table of any size: weighted k-means++, then weighted
+    Lloyd passes; an empty cluster restarts at a drawn row."""
+    draws = draws or _uniform(features, seed)
+    cs = kmeans_pp(table, k, seed, features, weight, draws)
+    for it in range(max_iter if len(cs) else 0):
+        new, _, _, count = update(cs, step_sums(table.where(F.col(weight) > 0), cs, features, weight), 0.0)
+        empty = np.flatnonzero(count <= 0)
+        if len(empty):
+            drawn = table.select(features).orderBy(draws(k + it), features).limit(len(empty)).collect()
+            new[empty[:len(drawn)]] = [r[0] for r in drawn]
+        done = np.array_equal(new, cs)
+        cs = new
+        if done:
+            break
+    return cs
 
 
 def weighted_kmeans_runs(table: DataFrame, k: int, runs: int, max_iter: int = 30,

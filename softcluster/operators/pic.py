@@ -123,24 +123,29 @@ def power_iteration(w: DataFrame, v0: DataFrame, max_iter: int = 100,
     return PowerResult(v=v, iterations=it, trace=trace)
 
 
-def assign(v: DataFrame, k: int, runs: int = 5, seed: int = 0) -> DataFrame:
-    """k-means on the 1-d embedding (5 runs, seed 0) -> (id, cluster)."""
+def assign(v: DataFrame, k: int, runs: int = 5, seed: int = 0, starts=None, max_iter: int = 20
+           ) -> DataFrame:
+    """k-means on the 1-d embedding (5 runs, seed 0; or one run from the
+    given (k, 1) starts) -> (id, cluster)."""
     pts = v.select("id", F.array(F.col("v")).alias("features"))
-    model = kmeans.train(pts, k=k, runs=runs, seed=seed)
+    given = {} if starts is None else dict(init=starts, epsilon=0.0)
+    model = kmeans.train(pts, k=k, runs=runs, seed=seed, max_iter=max_iter, **given)
     return kmeans.predict(pts, model.centers).select(
         "id", F.col("prediction").alias("cluster"))
 
 
 def run(edges: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEFAULTS["max_iter"],
-        init: str = DEFAULTS["init"], symmetric: bool = False, seed: int = 0) -> DataFrame:
+        init: str = DEFAULTS["init"], symmetric: bool = False, seed: int = 0,
+        fixed_steps: bool = False, starts=None, kmeans_iter: int = 20) -> DataFrame:
     """edges -> (id, cluster).  ``symmetric=True`` takes the table as a
-    directed graph (A4, F2)."""
+    directed graph (A4, F2); ``fixed_steps`` makes all ``max_iter`` steps;
+    ``starts`` maps the embedding to k-means' first centres."""
     if init not in ("random", "degree"):
         raise ValueError(f"unknown init mode {init!r}")
     w, deg = (normalize_directed(edges, True) if symmetric else normalize(edges, True))
     v0 = init_degree(degrees_df=deg) if init == "degree" else init_random(w, seed)
-    res = power_iteration(w, v0, max_iter)
-    return assign(res.v, k)
+    v = power_iteration(w, v0, max_iter, fixed_steps=fixed_steps).v
+    return assign(v, k, starts=None if starts is None else starts(v), max_iter=kmeans_iter)
 
 
 def _mirrored(edges: DataFrame) -> DataFrame:

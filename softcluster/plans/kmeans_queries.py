@@ -156,6 +156,46 @@ def kmeans_weighted_step(spark, sf_dir):
         F.round("value", 6).alias("value"))
 
 
+PP_PASSES = 8
+
+
+def _draw(step):
+    """Given draws: a fixed function of the point's group and the step."""
+    return f"(CAST((g * 37 + {step} * 11) % 101 AS DOUBLE) + 1.0) / 102.0"
+
+
+def _weighted_kmeans_sql():
+    means = ", ".join(f"avg(x{i}) AS x{i}" for i in range(D))
+    xs = ", ".join(f"x{i}" for i in range(D))
+    ctes = _li() + [S.cte("wp", f"SELECT CAST(floor(x0 / 5.0) AS BIGINT) AS g, {means}, "
+                                f"CAST(count(*) AS DOUBLE) AS w FROM p GROUP BY 1")]
+    cost = "1.0"
+    for t in range(K):
+        src = "wp" + "".join(f", q{j}" for j in range(t))
+        if t:
+            each = [" + ".join(f"(x{i} - {S.ccol(j, i)}) * (x{i} - {S.ccol(j, i)})" for i in range(D)) for j in range(t)]
+            cost = f"least({', '.join(each)})" if t > 1 else each[0]
+        ctes.append(S.cte(f"q{t}", "SELECT " + ", ".join(f"x{i} AS {S.ccol(t, i)}" for i in range(D)) + " FROM ("
+                                   f"SELECT {xs}, -ln({_draw(t)}) / (w * ({cost})) AS race FROM {src} WHERE {cost} > 0 "
+                                   f"ORDER BY race, {xs} LIMIT 1)"))
+    ctes.append(S.cte("q", "SELECT * FROM " + ", ".join(f"q{t}" for t in range(K))))
+    chain, last = S.kmeans_chain("pp", "wp", "q", K, D, PP_PASSES, 0.0, weight="w")
+    return S.with_(ctes + chain, _long(last, K, D))
+
+
+@query("kmeans_weighted", _weighted_kmeans_sql)
+def kmeans_weighted(spark, sf_dir):
+    """Weighted k-means++ with given draws, then weighted Lloyd passes."""
+    wp = weighted_points(spark, sf_dir).withColumn("g", F.col("cluster").cast("long"))
+
+    def draws(step):
+        x = F.floor(F.col(P.FEATURES)[0] / 5.0)
+        return ((x * 37 + step * 11) % 101 + 1.0) / 102.0
+
+    cs = kmeans.weighted_kmeans(wp, K, max_iter=PP_PASSES, draws=draws)
+    return C.long_form(C.to_df(spark, cs))
+
+
 # C8 / C9 ------------------------------------------------------------------------
 
 def _assign_sql():
@@ -282,3 +322,48 @@ def kmeans_oversample(spark, sf_dir):
     pts, start = li_start(spark, sf_dir)
     cost = kmeans.cost_column(pts.select(P.FEATURES), start[:1])
     return C.long_form(C.to_df(spark, kmeans.oversample(cost, K, seed=21)))
+
+
+# 64 dimensions, 64 centres --------------------------------------------------------
+
+WIDE = 64
+
+
+def emb_start(spark, sf_dir):
+    pts = X.points_emb(spark, sf_dir).persist()
+    return pts, C.from_df(C.group_means(pts, F.col("vec_id") % WIDE, dim=WIDE))
+
+
+def _emb_near():
+    """Every vector's nearest of the 64 group means: n(vec_id, cluster, dist2)."""
+    means = ", ".join(f"avg(CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(WIDE))
+    return [S.cte("p", "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL "
+                       "AND list_count(embedding) = len(embedding)"),
+            S.cte("c", f"SELECT CAST(row_number() OVER (ORDER BY vec_id % {WIDE}) - 1 AS INTEGER) AS cluster, [{means}] AS c "
+                       f"FROM embeddings WHERE embedding IS NOT NULL GROUP BY vec_id % {WIDE}"),
+            S.cte("d", "SELECT vec_id, cluster, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) "
+                       "AS dist2 FROM p, c"),
+            S.cte("n", "SELECT vec_id, arg_min(cluster, (dist2, cluster)) AS cluster, min(dist2) AS dist2 FROM d GROUP BY vec_id")]
+
+
+@query("kmeans_assign_wide", lambda: S.with_(
+    _emb_near(), "SELECT vec_id, cluster, CAST(round(dist2, 6) AS DOUBLE) AS dist2 FROM n"))
+def kmeans_assign_wide(spark, sf_dir):
+    """C8 at k = 64, d = 64."""
+    pts, start = emb_start(spark, sf_dir)
+    return kmeans.assign(pts, start, keep=["vec_id"]).select("vec_id", "cluster", F.round("dist2", 6).alias("dist2"))
+
+
+@query("kmeans_cost_wide", lambda: S.with_(
+    _emb_near(), "SELECT CAST(round(sum(dist2), 4) AS DOUBLE) AS cost FROM n"))
+def kmeans_cost_wide(spark, sf_dir):
+    """C12 at k = 64, d = 64."""
+    pts, start = emb_start(spark, sf_dir)
+    return spark.createDataFrame([(round(kmeans.compute_cost(pts, start), 4),)], "cost double")
+
+
+@query("kmeans_init_parallel_wide")
+def kmeans_init_parallel_wide(spark, sf_dir):
+    """C4 at k = 64, d = 64 (rows-only)."""
+    pts = X.points_emb(spark, sf_dir).persist()
+    return C.long_form(C.to_df(spark, kmeans.init_parallel(pts, WIDE, 5, seed=5)))

@@ -6,6 +6,7 @@ lineitems linking them (part ids offset by 1e9).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import pic
@@ -19,9 +20,7 @@ EPS = pic.EPSILON
 
 
 def supp_edges(spark, sf_dir):
-    from pyspark import StorageLevel
-    return E.supplier_part_edges(X.table(spark, sf_dir, "lineitem")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    return E.supplier_part_edges(X.table(spark, sf_dir, "lineitem"))
 
 
 def _base():
@@ -74,17 +73,18 @@ def pic_init_degree(spark, sf_dir):
     return _v_out(pic.init_degree(pic._mirrored(supp_edges(spark, sf_dir))))
 
 
-def _power_sql():
+def _power_ctes():
     ctes = _base()
     for t in range(1, STEPS + 1):
         ctes.append(S.cte(f"r{t}", f"SELECT w.src AS id, sum(w.weight * v.v) AS v FROM w "
                                    f"JOIN v{t - 1} v ON w.dst = v.id GROUP BY w.src"))
         ctes.append(S.cte(f"v{t}", f"SELECT id, v / (SELECT sum(abs(v)) FROM r{t}) AS v "
                                    f"FROM r{t}"))
-    return S.with_(ctes, f"SELECT id, CAST(round(v, 12) AS DOUBLE) AS v FROM v{STEPS}")
+    return ctes
 
 
-@query("pic_power_iter", _power_sql)
+@query("pic_power_iter", lambda: S.with_(
+    _power_ctes(), f"SELECT id, CAST(round(v, 12) AS DOUBLE) AS v FROM v{STEPS}"))
 def pic_power_iter(spark, sf_dir):
     """5 power steps from the degree vector."""
     w, deg = pic.normalize(supp_edges(spark, sf_dir), with_degrees=True)
@@ -100,37 +100,65 @@ def pic_init_random(spark, sf_dir):
     return pic.init_random(w, seed=3)
 
 
-@query("pic_assign")
+# K-means from the embedding's least and largest value, six passes at most
+
+PASSES = 6
+
+
+def _starts(v):
+    lo, hi = v.agg(F.min("v"), F.max("v")).first()
+    return np.array([[lo], [hi]])
+
+
+def _labels(w, deg):
+    res = pic.power_iteration(w, pic.init_degree(degrees_df=deg), max_iter=STEPS, fixed_steps=True)
+    return pic.assign(res.v, 2, starts=_starts(res.v), max_iter=PASSES)
+
+
+def _assign_sql():
+    ctes = _power_ctes()
+    ctes.append(S.cte("k0", f"SELECT min(v) AS a, max(v) AS b FROM v{STEPS}"))
+    side = "(v - b) * (v - b) < (v - a) * (v - a)"
+    for t in range(1, PASSES + 1):
+        ctes.append(S.cte(f"k{t}", f"SELECT coalesce(avg(v) FILTER (NOT ({side})), any_value(a)) AS a, "
+                                   f"coalesce(avg(v) FILTER ({side}), any_value(b)) AS b FROM v{STEPS}, k{t - 1}"))
+    return S.with_(ctes, f"SELECT id, CAST(({side}) AS INTEGER) AS cluster FROM v{STEPS}, k{PASSES}")
+
+
+@query("pic_assign", _assign_sql)
 def pic_assign(spark, sf_dir):
-    """k-means (5 runs, seed 0) on the embedding after 5 steps."""
-    w, deg = pic.normalize(supp_edges(spark, sf_dir), with_degrees=True)
-    res = pic.power_iteration(w, pic.init_degree(degrees_df=deg), max_iter=STEPS,
-                              fixed_steps=True)
-    return pic.assign(res.v, k=2)
+    """k-means on the embedding after 5 steps, given starts."""
+    return _labels(*pic.normalize(supp_edges(spark, sf_dir), with_degrees=True))
 
 
-@query("pic_run")
-def pic_run(spark, sf_dir):
-    """whole run, k = 2, up to 100 steps, random start."""
-    return pic.run(supp_edges(spark, sf_dir), k=2, max_iter=100, init="random", seed=1)
+def _directed(spark, sf_dir):
+    e = supp_edges(spark, sf_dir)
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-@query("pic_graph_run")
+@query("pic_graph_run", _assign_sql)
 def pic_graph_run(spark, sf_dir):
-    """A4: the same graph given as a symmetric directed table, degree start."""
-    e = supp_edges(spark, sf_dir)
-    directed = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"),
-                                      "weight"))
-    return pic.run(directed, k=2, max_iter=100, init="degree", symmetric=True)
+    """A4: the same graph given as a symmetric directed table: edges to labels."""
+    return _labels(*pic.normalize_directed(_directed(spark, sf_dir), with_degrees=True))
+
+
+@query("pic_run", _assign_sql)
+def pic_run(spark, sf_dir):
+    """edges to labels by ``run`` itself: degree start, 5 steps, given starts."""
+    return pic.run(supp_edges(spark, sf_dir), k=2, max_iter=STEPS, init="degree", fixed_steps=True,
+                   starts=_starts, kmeans_iter=PASSES)
 
 
-@query("pic_assignments_roundtrip")
+@query("pic_run_random")
+def pic_run_random(spark, sf_dir):
+    """whole run, k = 2, up to 100 steps, random start (rows-only)."""
+    return pic.run(supp_edges(spark, sf_dir), k=2, max_iter=100, init="random", seed=1)
+
+
+@query("pic_assignments_roundtrip", _assign_sql)
 def pic_assignments_roundtrip(spark, sf_dir):
     """(id, cluster) assignments saved and loaded."""
     from ..sources import store
-    w, deg = pic.normalize(supp_edges(spark, sf_dir), with_degrees=True)
-    res = pic.power_iteration(w, pic.init_degree(degrees_df=deg), max_iter=STEPS,
-                              fixed_steps=True)
-    assign = pic.assign(res.v, k=2)
+    assign = _labels(*pic.normalize(supp_edges(spark, sf_dir), with_degrees=True))
     path = store.save_assignments(assign, 2)
     return store.load_assignments(spark, path)

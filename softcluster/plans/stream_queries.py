@@ -6,10 +6,13 @@ the fixture), one micro-batch per block, oldest first.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import centers as C
+from ..session import scratch_table_dir
 from ..sources import points as P
 from ..sources.stream import points_stream, write_feed
 from ..streaming.kmeans import StreamingKMeans
@@ -35,10 +38,14 @@ def start_centers(spark, sf_dir):
 
 
 def run_static(model: StreamingKMeans, feed):
-    """Feed the blocks in order through ``update`` (the foreachBatch body)."""
-    blocks = [r[0] for r in feed.select("blk").distinct().orderBy("blk").collect()]
-    for i, b in enumerate(blocks):
-        model.update(feed.where(F.col("blk") == b), i)
+    """Feed the blocks in order through ``update`` (the foreachBatch body);
+    dealt to a folder per block first, so a block reads its own rows only."""
+    spark = feed.sparkSession
+    root = scratch_table_dir(spark, f"blocks-{uuid.uuid4().hex}")
+    feed.select(P.FEATURES, "blk").write.partitionBy("blk").parquet(root)
+    dealt = spark.read.parquet(root)
+    for i, b in enumerate(sorted(r[0] for r in dealt.select("blk").distinct().collect())):
+        model.update(dealt.where(F.col("blk") == b), i)
     return model
 
 
@@ -72,12 +79,12 @@ def _state_sql(decay, unit, weights=None, far=False):
 
 @query("stream_kmeans_train", lambda: _state_sql(0.5, "batches"))
 def stream_kmeans_train(spark, sf_dir):
-    """G1: Structured Streaming, one file per trigger, foreachBatch update."""
+    """G1: Structured Streaming, one block per trigger, foreachBatch update."""
     feed, start = start_centers(spark, sf_dir)
-    path = write_feed(feed.select(P.FEATURES, "blk"), "blk", "events-feed")
+    path, files = write_feed(feed.select(P.FEATURES, "blk"), "blk", "events-feed")
     schema = feed.select(P.FEATURES).schema
     model = StreamingKMeans(k=K, decay=0.5).set_initial_centers(spark, start, 1.0)
-    q = model.train_on(points_stream(spark, path, schema))
+    q = model.train_on(points_stream(spark, path, schema, files))
     q.awaitTermination()
     return _state_out(model, spark)
 
@@ -145,10 +152,10 @@ def _predict(spark, sf_dir, keep):
     feed, start = start_centers(spark, sf_dir)
     model = StreamingKMeans(k=K, decay=1.0).set_initial_centers(spark, start, 1.0)
     run_static(model, feed)
-    path = write_feed(feed.select("event_id", "user_id", P.FEATURES, "blk"), "blk", "events-feed")
+    path, files = write_feed(feed.select("event_id", "user_id", P.FEATURES, "blk"), "blk", "events-feed")
     schema = feed.select("event_id", "user_id", P.FEATURES).schema
     out_dir = model.state_dir + "-predictions"
-    q = model.predict_on(points_stream(spark, path, schema), out_dir, keep=keep)
+    q = model.predict_on(points_stream(spark, path, schema, files), out_dir, keep=keep)
     q.awaitTermination()
     return spark.read.parquet(out_dir)
 

@@ -65,23 +65,24 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tables/{name}"
 
 
+NARROW = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a narrow input at least one partition per core.
+    """Give a narrow input ``NARROW`` partitions.
 
     A small source (one parquet row group) arrives as one partition and would
-    run every pass in one task.  Only then is it repartitioned; a large input
-    already has more partitions than cores and is returned untouched, so no
+    run every pass in one task.  Only then is it repartitioned, to the same
+    number on any cluster; a larger input is returned untouched, so no
     shuffle is ever added at scale.
     """
     from pyspark.sql import functions as F
 
-    n = df.rdd.getNumPartitions()
-    p = df.sparkSession.sparkContext.defaultParallelism
-    if n >= p:
+    if df.rdd.getNumPartitions() >= NARROW:
         return df
     # Hash on a per-row id: even, deterministic on recompute, and no
     # per-partition sort (which a round-robin repartition needs).
-    return df.repartition(p, F.monotonically_increasing_id())
+    return df.repartition(NARROW, F.monotonically_increasing_id())
 
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -85,13 +85,13 @@ def with_norms(points: DataFrame, col: str = FEATURES, out: str = "norm") -> Dat
 
 
 def prepare(points: DataFrame, col: str = FEATURES, *, persist: bool = True):
-    """Clean + validate + persist for iterative use.  Returns (df, stats).
+    """Clean + persist + validate for iterative use.  Returns (df, stats).
 
-    The persisted copy is MEMORY_AND_DISK: a lost executor recomputes its
-    blocks from the parquet scan, so no state is lost with it.
+    The checks read the persisted copy, so the source is scanned once.  It is
+    MEMORY_AND_DISK: a lost executor recomputes its blocks from the parquet
+    scan, so no state is lost with it.
     """
-    stats = validate(points, col)
     df = spread(clean(points, col))
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df, stats
+    return df, validate(df, col)

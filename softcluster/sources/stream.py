@@ -1,17 +1,14 @@
 """Stream source of points (A5) and a replayable file feed for queries/tests.
 
-``points_stream`` reads a folder of parquet files one file per micro-batch
-(``maxFilesPerTrigger``), oldest first.  ``write_feed`` splits a table into
-ordered sub-folders (one per block value) under the shared checkpoint folder;
-blocks are written one after another, so modification times rise with the
-block order, and on a local file system they are also set explicitly.
+``points_stream`` reads a folder of parquet files, a given number per
+micro-batch (``maxFilesPerTrigger``), oldest first.  ``write_feed`` makes such
+a folder of a table: one pass deals its rows to a folder per block, then each
+block is written in turn as the same number of files, so write times rise
+with the block order in any store, and no task holds a whole block.
 """
 
 from __future__ import annotations
 
-import glob
-import os
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_table_dir
 
-
-def local_path(path: str) -> str | None:
-    """OS path for a local ``file:`` URI or plain path, else None."""
-    if path.startswith("file:"):
-        return "/" + path[len("file:"):].lstrip("/")
-    return path if path.startswith("/") else None
+FILES = 4
+LEAST_ROWS = 1000
 
 
 def points_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1
@@ -35,20 +28,18 @@ def points_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
             .parquet(path))
 
 
-def write_feed(df: DataFrame, block_col: str, name: str = "feed") -> str:
-    """Write one sub-folder per block value, in block order; returns a glob
-    path (``root/*``) for ``points_stream``.  The block list is the distinct
-    block ids only (a few values), never the data."""
+def write_feed(df: DataFrame, block_col: str, name: str = "feed") -> tuple[str, int]:
+    """(glob path, files per block) of a feed with one folder per block value,
+    in block order.  Only block ids and row counts reach the driver."""
     spark = df.sparkSession
     root = scratch_table_dir(spark, f"{name}-{uuid.uuid4().hex}")
-    blocks = [r[0] for r in df.select(block_col).distinct().orderBy(block_col).collect()]
-    base = time.time() - 10 * len(blocks)
-    for i, b in enumerate(blocks):
-        part = f"{root}/b{i:05d}"
-        df.where(F.col(block_col) == b).drop(block_col).coalesce(1).write.mode(
-            "overwrite").parquet(part)
-        lp = local_path(part)
-        if lp:
-            for f in glob.glob(os.path.join(lp, "*.parquet")):
-                os.utime(f, (base + 10 * i, base + 10 * i))
-    return f"{root}/*"
+    df.write.partitionBy(block_col).parquet(f"{root}-dealt")
+    dealt = spark.read.parquet(f"{root}-dealt")
+    blocks = dealt.groupBy(block_col).agg(F.count(F.lit(1)).alias("n")).orderBy(block_col).collect()
+    # A small block could leave one of several files empty.
+    files = FILES if min((r["n"] for r in blocks), default=0) >= LEAST_ROWS else 1
+    schema = df.drop(block_col).schema
+    for i, r in enumerate(blocks):
+        part = spark.read.schema(schema).parquet(f"{root}-dealt/{block_col}={r[0]}")
+        part.repartition(files).write.parquet(f"{root}/b{i:05d}")
+    return f"{root}/*", files

@@ -26,6 +26,7 @@ from ..session import scratch_table_dir
 from ..sources import points as P
 
 BATCHES, POINTS = "batches", "points"
+DYING = 1e-16  # least total weight that divides
 STATE_SCHEMA = T.StructType([
     T.StructField("cluster", T.IntegerType(), False),
     T.StructField("center", T.ArrayType(T.DoubleType(), False), False),
@@ -42,29 +43,38 @@ def decay_from_half_life(half_life: float) -> float:
 
 def apply_update(centers: np.ndarray, weights: np.ndarray, sums: np.ndarray,
                  counts: np.ndarray, decay: float, time_unit: str):
-    """G2-G4 on k-row state.  Returns new (centers, weights, split flag)."""
+    """G2-G4 on k-row state.  Returns new (centers, weights, split flag).
+
+    A centre is the mean of what it has seen, older rows fading: its weight
+    fades by the decay (once, or once per row of the batch), then the batch's
+    rows join it.  A cluster that got no row keeps its centre.
+    """
     if time_unit not in (BATCHES, POINTS):
         raise ValueError(f"invalid time unit {time_unit!r}")
-    c = centers.copy()
-    w = weights.astype(np.float64).copy()
-    n_new = float(counts.sum())
-    discount = decay if time_unit == BATCHES else decay ** n_new
-    w *= discount
-    for j in np.nonzero(counts > 0)[0]:
-        upd = w[j] + counts[j]
-        lam = counts[j] / max(upd, 1e-16)
-        w[j] = upd
-        c[j] = c[j] * (1.0 - lam) + (lam / counts[j]) * sums[j]
-    largest, smallest = int(np.argmax(w)), int(np.argmin(w))
-    split = bool(w[smallest] < 1e-8 * w[largest])
-    if split:
-        avg = (w[largest] + w[smallest]) / 2.0
-        w[largest] = w[smallest] = avg
-        x = c[largest].copy()
-        p = 1e-14 * np.maximum(np.abs(x), 1.0)
-        c[largest] = x + p
-        c[smallest] = x - p
-    return c, w, split
+    faded = weights * decay ** (1.0 if time_unit == BATCHES else float(counts.sum()))
+    total = faded + counts
+    got = counts > 0
+    mixed = (faded[:, None] * centers + sums) / np.maximum(total, DYING)[:, None]
+    return _revive(np.where(got[:, None], mixed, centers), np.where(got, total, faded))
+
+
+def _revive(centers: np.ndarray, weights: np.ndarray):
+    """When the lightest cluster has all but died, the heaviest one is
+    parted: both take half of their weight, a hair to either side of it."""
+    lo, hi = int(weights.argmin()), int(weights.argmax())
+    if not weights[lo] < 1e-8 * weights[hi]:
+        return centers, weights, False
+    pair = [hi, lo]
+    hair = 1e-14 * np.maximum(np.abs(centers[hi]), 1.0)
+    centers[pair] = centers[hi] + np.outer([1.0, -1.0], hair)
+    weights[pair] = weights[pair].mean()
+    return centers, weights, True
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 @dataclass
@@ -76,7 +86,7 @@ class StreamingKMeans:
     time_unit: str = BATCHES
     state_dir: str | None = None
     features: str = P.FEATURES
-    keep_states: int | None = 2  # newest states kept (None: keep all)
+    keep_states: int | None = 8  # newest states kept (None: keep all)
 
     def __post_init__(self):
         if self.time_unit not in (BATCHES, POINTS):
@@ -188,12 +198,20 @@ class StreamingKMeans:
     def predict_on(self, stream: DataFrame, out_dir: str, keep=(),
                    checkpoint: str | None = None, available_now: bool = True):
         """Score each micro-batch with the newest centres (re-read per batch);
-        output folder per batch id, overwritten on replay."""
+        output folder per batch id, overwritten on replay.
+
+        The centres that a batch meets first are written beside the output
+        before it is scored; a replay reads those, whatever states have come
+        or gone since."""
         keep = list(keep)
+        pins = out_dir.rstrip("/") + "-centers"
 
         def score(df, bid):
             spark = df.sparkSession
-            cs = self.latest_centers(spark)
+            pin = f"{pins}/batch_id={bid}"
+            if not exists(spark, f"{pin}/_SUCCESS"):
+                C.to_df(spark, self.latest_centers(spark)).coalesce(1).write.mode("overwrite").parquet(pin)
+            cs = C.from_df(spark.read.parquet(pin))
             pts = P.clean(df, self.features)
             out = kmeans.predict(pts.select(*keep, self.features), cs, self.features)
             out.write.mode("overwrite").parquet(f"{out_dir}/batch_id={bid}")

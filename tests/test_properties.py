@@ -310,15 +310,33 @@ def test_newton_step_climbs(spark):
 
 
 def test_stream_state_retention(spark, sf_dir):
-    import glob
     from softcluster.plans import stream_queries as SQ
-    from softcluster.sources.stream import local_path
     from softcluster.streaming.kmeans import StreamingKMeans
     feed, start = SQ.start_centers(spark, sf_dir)
-    m = StreamingKMeans(k=4, decay=1.0).set_initial_centers(spark, start, 1.0)
+    m = StreamingKMeans(k=4, decay=1.0, keep_states=2).set_initial_centers(spark, start, 1.0)
     SQ.run_static(m, feed)
-    left = sorted(p.rsplit("=", 1)[1] for p in glob.glob(local_path(m.state_dir) + "/batch_id=*"))
-    assert left == ["1", "2"]
+    left = {r[0] for r in spark.read.parquet(m.state_dir).select("batch_id").distinct().collect()}
+    assert left == {1, 2}
+
+
+def test_replayed_batch_is_scored_with_its_own_centres(spark, sf_dir):
+    from softcluster.plans import stream_queries as SQ
+    from softcluster.sources.stream import points_stream, write_feed
+    from softcluster.streaming.kmeans import StreamingKMeans
+    feed, start = SQ.start_centers(spark, sf_dir)
+    m = StreamingKMeans(k=4).set_initial_centers(spark, start, 1.0)
+    path, files = write_feed(feed.select("event_id", P.FEATURES, "blk"), "blk")
+    schema = feed.select("event_id", P.FEATURES).schema
+
+    def scored(checkpoint):
+        out = m.state_dir + "-scored"
+        m.predict_on(points_stream(spark, path, schema, files), out, keep=["event_id"], checkpoint=out + checkpoint).awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(out).select("event_id", "prediction", "batch_id").collect()))
+
+    first = scored("-a")
+    assert len(first) == feed.count() and {r[2] for r in first} == {0, 1, 2}
+    m.set_initial_centers(spark, start[::-1].copy(), 1.0)  # other states come meanwhile
+    assert scored("-b") == first
 
 
 def test_gmm_default_start(spark, sf_dir):
