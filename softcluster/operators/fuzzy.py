@@ -36,25 +36,29 @@ def _check_m(m: float) -> None:
 
 def step_sums(points: DataFrame, centers: np.ndarray, m: float,
               features: str = P.FEATURES, weight: str | None = None) -> np.ndarray:
-    """B3 kernel: (k, d + 2) = [sum u^m x | sum u^m | sum u^m d] per cluster."""
+    """B3 kernel: (k, d + 2) = [sum u^m x | sum u^m | sum u^m d] per cluster;
+    (r, k, d + 2) for the (r, k, d) centres of r runs, all in one pass."""
     _check_m(m)
-    k, d = centers.shape
+    runs = centers if centers.ndim == 3 else centers[None]
+    r, k, d = runs.shape
     cols = [features] + ([weight] if weight else [])
 
     def batch(b):
         x = batch_matrix(b, features, d)
-        dist = sqdist(x, centers)
-        um = fuzzy_u(dist, m) ** m
-        if weight:
-            um = um * np.asarray(b.column(1).to_numpy(zero_copy_only=False),
-                                 dtype=np.float64)[:, None]
-        out = np.empty((k, d + 2))
-        out[:, :d] = um.T @ x
-        out[:, d] = um.sum(axis=0)
-        out[:, d + 1] = (um * dist).sum(axis=0)
-        return out
-
-    return partial_sums(points.select(*cols), (k, d + 2), batch)
+        out = np.empty((r, k, d + 2))
+        for own, c in zip(out, runs):
+            dist = sqdist(x, c)
+            um = fuzzy_u(dist, m) ** m
+            if weight:
+                um = um * np.asarray(b.column(1).to_numpy(zero_copy_only=False),
+                                     dtype=np.float64)[:, None]
+            own[:, :d] = um.T @ x
+            own[:, d] = um.sum(axis=0)
+            own[:, d + 1] = (um * dist).sum(axis=0)
+        return out.reshape(r * k, d + 2)
+
+    sums = partial_sums(points.select(*cols), (r * k, d + 2), batch).reshape(r, k, d + 2)
+    return sums if centers.ndim == 3 else sums[0]
 
 
 def update(centers: np.ndarray, sums: np.ndarray):
@@ -146,29 +150,37 @@ def train(points: DataFrame, k: int = DEFAULTS["k"], m: float = DEFAULTS["m"],
           init="random", seed: int = 0, runs: int = 1,
           features: str = P.FEATURES, weight: str | None = None) -> FuzzyCMeansModel:
     """B1: fuzzy c-means.  ``init`` = "random", "k-means||", a numpy array or
-    a centres DataFrame.  With ``runs`` > 1 (B7) the run with the lowest
-    fuzzy objective sum u^m d wins."""
+    a centres DataFrame.  With ``runs`` > 1 or a (r, k, d) array (B7) all runs
+    share their passes and the one of the lowest fuzzy objective sum u^m d
+    wins."""
     _check_m(m)
-    if k < 1:
-        raise ValueError("k must be >= 1")
-    data, stats = P.prepare(points.select(
+    if k < 1 or runs < 1:
+        raise ValueError("k and runs must be >= 1")
+    data, _ = P.prepare(points.select(
         *([features] + ([weight] if weight else []))), features)
     try:
-        if runs <= 1:  # nothing to compare: no extra scoring pass
-            c0 = _initial(data, k, init, seed, features)
-            return _lloyd_fuzzy(data, c0, m, max_iter, epsilon, features, weight)
-        best = None
-        for r in range(runs):
-            c0 = _initial(data, k, init, seed + r, features)
-            model = _lloyd_fuzzy(data, c0, m, max_iter, epsilon, features, weight)
-            score = objective(data, model.centers, m, features)
-            if best is None or score < best[0]:
-                best = (score, model)
-        return best[1]
+        starts = _starts(data, k, init, seed, runs, features)
+        models = _lloyd_fuzzy(data, starts, m, max_iter, epsilon, features, weight)
+        if len(models) == 1:  # nothing to compare: no scoring pass
+            return models[0]
+        final = step_sums(data, np.stack([x.centers for x in models]), m, features, weight)
+        return models[int(np.argmin(final[:, :, -1].sum(axis=1)))]
     finally:
         data.unpersist()
 
 
+def _starts(data, k, init, seed, runs, features) -> np.ndarray:
+    """(r, k, d) start centres."""
+    if isinstance(init, np.ndarray) and init.ndim == 3:
+        if init.shape[1] != k:
+            raise ValueError("initial centres must have k rows")
+        return np.asarray(init, dtype=np.float64)
+    if isinstance(init, str) and init == "k-means||":
+        from .kmeans import init_parallel_runs
+        return init_parallel_runs(data, k, runs, seed=seed, features=features)
+    return np.stack([_initial(data, k, init, seed + r, features) for r in range(runs)])
+
+
 def _initial(data, k, init, seed, features):
     if isinstance(init, DataFrame):
         return C.from_df(init, k)
@@ -178,24 +190,28 @@ def _initial(data, k, init, seed, features):
         return np.asarray(init, dtype=np.float64)
     if init == "random":
         return init_random(data, k, seed, features)
-    if init == "k-means||":
-        from .kmeans import init_parallel
-        return init_parallel(data, k, seed=seed, features=features)
     raise ValueError(f"unknown init mode {init!r}")
 
 
-def _lloyd_fuzzy(data, centers, m, max_iter, epsilon, features, weight):
-    trace = []
+def _lloyd_fuzzy(data, starts, m, max_iter, epsilon, features, weight) -> list[FuzzyCMeansModel]:
+    """All runs advance in one pass; a run whose centres rest drops out."""
+    models = [FuzzyCMeansModel(centers=c, m=m, epsilon=epsilon) for c in starts]
+    moving = models
     for it in range(1, max_iter + 1):
-        t0 = time.time()
-        sums = step_sums(data, centers, m, features, weight)
-        new, shift2, obj = update(centers, sums)
-        trace.append(dict(iteration=it, value=obj, max_shift=float(np.sqrt(shift2.max())),
-                          seconds=time.time() - t0))
-        centers = new  # quirk Q7: the final pass's centres are kept
-        if not np.any(shift2 > epsilon * epsilon):
+        if not moving:
             break
-    return FuzzyCMeansModel(centers=centers, m=m, epsilon=epsilon, trace=trace)
+        t0 = time.time()
+        sums = step_sums(data, np.stack([x.centers for x in moving]), m, features, weight)
+        still = []
+        for model, own in zip(moving, sums):
+            # quirk Q7: the final pass's centres are kept
+            model.centers, shift2, obj = update(model.centers, own)
+            model.trace.append(dict(iteration=it, value=obj, max_shift=float(np.sqrt(shift2.max())),
+                                    seconds=time.time() - t0))
+            if np.any(shift2 > epsilon * epsilon):
+                still.append(model)
+        moving = still
+    return models
 
 
 def center_step(points: DataFrame, centers: np.ndarray, m: float,

@@ -148,6 +148,35 @@ def fcm_objective(spark, sf_dir):
                                  "objective double")
 
 
+RUNS, RUN_STEPS = 3, 2
+
+
+def _best_run_sql():
+    ctes = _li_prefix()
+    for r in range(RUNS):
+        cols = ", ".join(f"{S.ccol(j, i)} * {1.0 + 0.3 * r!r} AS {S.ccol(j, i)}" for j in range(K) for i in range(D))
+        ctes.append(S.cte(f"r{r}_0", f"SELECT {cols} FROM c0"))
+        for t in range(RUN_STEPS):
+            ctes += S.fuzzy_step(f"r{r}_{t + 1}", "p", f"r{r}_{t}", K, D, M)
+        ctes += S.fuzzy_memberships(f"o{r}", "p", f"r{r}_{RUN_STEPS}", K, D, M, keep=[])
+        total = " + ".join(f"sum(um{j} * d{j})" for j in range(K))
+        ctes.append(S.cte(f"b{r}", f"SELECT {r} AS run, {total} AS objective FROM o{r}_m"))
+    ctes.append(S.cte("b", " UNION ALL ".join(f"SELECT * FROM b{r}" for r in range(RUNS))))
+    ctes.append(S.cte("w", "SELECT w.* FROM (" + " UNION ALL ".join(
+        f"SELECT {r} AS run, * FROM r{r}_{RUN_STEPS}" for r in range(RUNS)) +
+        ") w WHERE run = (SELECT arg_min(run, objective) FROM b)"))
+    return S.with_(ctes, S.centers_long("w", K, D))
+
+
+@query("fcm_best_run", _best_run_sql)
+def fcm_best_run(spark, sf_dir):
+    """Three runs in shared passes; the lowest final objective wins."""
+    pts, start = li_start(spark, sf_dir)
+    starts = np.stack([start * (1.0 + 0.3 * r) for r in range(RUNS)])
+    model = fuzzy.train(pts, k=K, m=M, max_iter=RUN_STEPS, epsilon=0.0, init=starts)
+    return C.long_form(model.centers_df(spark))
+
+
 # B8 -------------------------------------------------------------------------
 
 def _fcm_delta_sql():

@@ -26,6 +26,8 @@ META_SCHEMA = T.StructType([
     T.StructField("alpha", T.ArrayType(T.DoubleType()), True),
     T.StructField("eta", T.DoubleType(), True),
     T.StructField("gamma_shape", T.DoubleType(), True),
+    T.StructField("rows_doc_topics", T.LongType()),
+    T.StructField("rows_term_topics", T.LongType()),
 ])
 
 
@@ -182,7 +184,8 @@ def save_lda_state(token_counts: DataFrame, doc_topics: DataFrame, term_topics:
     _write(doc_topics, path, "doc_topics")
     _write(term_topics, path, "term_topics")
     _write_meta(spark, path, "lda-distributed", k=k, vocab_size=vocab_size,
-                alpha=[float(a) for a in alpha], eta=float(eta))
+                alpha=[float(a) for a in alpha], eta=float(eta),
+                rows_doc_topics=doc_topics.count(), rows_term_topics=term_topics.count())
     return path
 
 
@@ -192,7 +195,10 @@ def load_lda_state(spark: SparkSession, path: str):
     tabs = {n: spark.read.parquet(f"{path}/{n}")
             for n in ("token_counts", "doc_topics", "term_topics")}
     for n in ("doc_topics", "term_topics"):
-        missing = [f"n_{j}" for j in range(k) if f"n_{j}" not in tabs[n].columns]
-        if missing:
-            raise ValueError(f"{path}/{n}: missing topic columns {missing}")
+        types = dict(tabs[n].dtypes)
+        wrong = [f"n_{j}" for j in range(k) if types.get(f"n_{j}") != "double"]
+        if wrong:
+            raise ValueError(f"{path}/{n}: topic columns missing or not double: {wrong}")
+        if tabs[n].count() != meta[f"rows_{n}"]:
+            raise ValueError(f"{path}/{n}: rows differ from the saved table's")
     return tabs["token_counts"], tabs["doc_topics"], tabs["term_topics"], meta
