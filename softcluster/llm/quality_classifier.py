@@ -88,23 +88,31 @@ def _sigmoid(z):
 
 @dataclass
 class Rows:
-    """A sparse matrix by rows."""
-    at: np.ndarray
+    """A sparse matrix by rows: ``first`` has where each row begins, and the end."""
+    first: np.ndarray
     columns: np.ndarray
     values: np.ndarray
     width: int
 
-    def dot(self, w: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(self.at, self.values * w[self.columns], n)
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(self.values * w.astype(np.float32)[self.columns], dtype=float)])
+        return total[self.first[1:]] - total[self.first[:-1]]
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, self.values * g[self.at], self.width)
+        each = np.repeat(g.astype(np.float32), np.diff(self.first))
+        return np.bincount(self.columns, self.values * each, self.width)
+
+    def take(self, keep: np.ndarray) -> Rows:
+        sizes = np.diff(self.first)
+        own = np.repeat(keep, sizes)
+        return Rows(np.concatenate([[0], np.cumsum(sizes[keep])]), self.columns[own], self.values[own], self.width)
 
 
 def ratios(x: Rows, y: np.ndarray, weight: np.ndarray, least: int = 3) -> np.ndarray:
     """How differently the classes show each column: absolute logarithmic ratios
     of the shares of rows with it; 0 for columns of fewer than ``least`` rows."""
-    share = [(np.bincount(x.columns, (weight * (y == c))[x.at], x.width) / weight[y == c].sum()) for c in (0, 1)]
+    sizes = np.diff(x.first)
+    share = [np.bincount(x.columns, np.repeat(weight * (y == c), sizes), x.width) / weight[y == c].sum() for c in (0, 1)]
     seen = np.bincount(x.columns, minlength=x.width)
     smooth = least / len(y)
     return np.where(seen >= least, abs(np.log((share[1] + smooth) / (share[0] + smooth))), 0.0)
@@ -116,7 +124,7 @@ def fit(x: Rows, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, steps
     m, v = np.zeros_like(w), np.zeros_like(w)
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
-        g = weight * (_sigmoid(x.dot(w[:-1], len(y)) + w[-1]) - y)
+        g = weight * (_sigmoid(x.dot(w[:-1]) + w[-1]) - y)
         grad = np.append(x.back(g) + penalty * w[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad ** 2
         w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
@@ -151,12 +159,6 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(a * self.both[0] + b * self.both[1] + self.both[2])
 
 
-def _take(x: Rows, keep: np.ndarray) -> Rows:
-    new = np.cumsum(keep) - 1
-    own = keep[x.at]
-    return Rows(new[x.at[own]], x.columns[own], x.values[own], x.width)
-
-
 def co_train(text: Rows, page: Rows, y: np.ndarray, weight: np.ndarray, held: np.ndarray,
              rounds: int = 3, sure: float = 0.98, per_round: int = 400) -> Model:
     """y: 1, 0 or nan (pool); held: labelled rows kept for calibration."""
@@ -170,12 +172,12 @@ def co_train(text: Rows, page: Rows, y: np.ndarray, weight: np.ndarray, held: np
             target = labels[i][use]
             # Both classes weigh the same while fitting; calibration sets the odds.
             classes = np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum()))
-            own = _take(x, use)
+            own = x.take(use)
             scale = ratios(own, target, classes) if i == 0 else np.ones(x.width)
             scale[x.width - (SHARES if i == 0 else 0):] = 1
-            models[i] = fit(Rows(own.at, own.columns, own.values * scale[own.columns], x.width), target, classes)
+            models[i] = fit(Rows(own.first, own.columns, own.values * scale.astype(np.float32)[own.columns], x.width), target, classes)
             models[i][:-1] *= scale
-            raw = x.dot(models[i][:-1], len(y)) + models[i][-1]
+            raw = x.dot(models[i][:-1]) + models[i][-1]
             cals[i] = calibrate(raw[held][:, None], y[held], weight[held])
             scores.append(raw * cals[i][0] + cals[i][1])
         if turn < rounds:
@@ -212,7 +214,7 @@ def _page(batch, at: int) -> tuple[list, list, list]:
     return tuple(batch.column(at + i).to_pylist() for i in range(3))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 4000, **options) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 2000, pool: int = 3000, **options) -> Model | None:
     """The model of a sample of at most 3 * labelled + pool documents; None
     where the labels do not hold both classes (twenty of each)."""
     ids = _wanted(docs, labels, labelled, pool).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
@@ -235,19 +237,24 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int =
                     names=["doc_id", "columns", "amounts", "shares", "page"])
 
     # The ids are bounded by the sample's size, so they may be broadcast.
-    sample = (docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    got = (docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
               .join(F.broadcast(chosen), "doc_id", "left_semi")
               .mapInArrow(read, "doc_id long, columns array<int>, amounts array<float>, shares array<float>, page array<int>")
-              .toPandas().drop_duplicates("doc_id").merge(ids, on="doc_id").sort_values("doc_id"))
+              .dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id"))
+    sample = got.select(["doc_id"]).to_pandas().merge(ids, on="doc_id")
     n = len(sample)
-    sizes = sample["columns"].map(len).to_numpy()
-    at = np.arange(n)
-    text = Rows(np.concatenate([np.repeat(at, sizes), np.repeat(at, SHARES)]),
-                np.concatenate([np.concatenate([np.asarray(c, np.int64) for c in sample["columns"]]),
-                                np.tile((1 << TEXT_BITS) + np.arange(SHARES), n)]),
-                np.concatenate([np.concatenate([np.asarray(c, float) for c in sample["amounts"]]),
-                                np.concatenate([np.asarray(c, float) for c in sample["shares"]])]), (1 << TEXT_BITS) + SHARES)
-    page = Rows(np.repeat(at, 4), np.concatenate([np.asarray(c, np.int64) for c in sample["page"]]), np.ones(4 * n), 1 << PAGE_BITS)
+    # Rows of the features: hashed columns, then the shares.
+    columns, amounts = got["columns"].combine_chunks(), got["amounts"].combine_chunks()
+    sizes = columns.value_lengths().to_numpy() + SHARES
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    places = first[1:, None] - SHARES + np.arange(SHARES)
+    hashed = np.ones(first[-1], bool)
+    hashed[places] = False
+    text = Rows(first, np.empty(first[-1], np.int32), np.empty(first[-1], np.float32), (1 << TEXT_BITS) + SHARES)
+    text.columns[hashed], text.values[hashed] = columns.flatten().to_numpy(), amounts.flatten().to_numpy()
+    text.columns[places] = (1 << TEXT_BITS) + np.arange(SHARES)
+    text.values[places] = got["shares"].combine_chunks().flatten().to_numpy().reshape(n, SHARES)
+    page = Rows(np.arange(0, 4 * n + 1, 4), got["page"].combine_chunks().flatten().to_numpy(), np.ones(4 * n, np.float32), 1 << PAGE_BITS)
     y = sample.good.to_numpy(float)
     weight = (sample.total / sample.kind.map(counts)).to_numpy(float)
     # Every third labelled document of a kind is held out.

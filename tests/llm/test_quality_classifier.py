@@ -34,15 +34,15 @@ def test_views_teach_each_other():
     y = rng.integers(0, 2, n).astype(float)
     pool = np.arange(n) >= 300
     # Text: a sure sign. Page: a column that tells the label, of 20 of which the labelled rows show two.
-    text = Q.Rows(np.arange(n), y.astype(int), np.full(n, 10.0), 2)
+    text = Q.Rows(np.arange(n + 1), y.astype(int), np.full(n, 10.0), 2)
     site = np.where(pool, rng.integers(2, 20, n), rng.integers(0, 2, n))
-    page = Q.Rows(np.arange(n), (site * 2 + y).astype(int), np.ones(n), 40)
+    page = Q.Rows(np.arange(n + 1), (site * 2 + y).astype(int), np.ones(n), 40)
     known = np.where(pool, np.nan, y)
     held = ~pool & (np.arange(n) % 3 == 0)
     right = {}
     for rounds in (0, 3):
         model = Q.co_train(text, page, known, np.ones(n), held, rounds=rounds)
-        p = Q._sigmoid((page.dot(model.page[:-1], n) + model.page[-1]) * model.page_cal[0] + model.page_cal[1])
+        p = Q._sigmoid((page.dot(model.page[:-1]) + model.page[-1]) * model.page_cal[0] + model.page_cal[1])
         right[rounds] = np.mean((p > 0.5)[pool] == y[pool])
     assert right[0] < 0.7 and right[3] > 0.9
 
