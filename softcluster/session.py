@@ -9,6 +9,7 @@ shared storage so a lost executor never loses a checkpoint.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError(
                 "set spark.checkpoint.dir to a shared folder (HDFS/S3/NFS): lineage is "
                 "cut with reliable checkpoints and state tables are written there")
