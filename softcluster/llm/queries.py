@@ -52,9 +52,12 @@ def op8_secrets(spark, sf_dir):
     """Secrets in every document."""
     found = secrets.scan(load(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < len(secrets.KINDS))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
     return found.select(
-        "doc_id",
-        *[F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(secrets.KINDS)],
+        "doc_id", *[count(i).alias(f"n_{k.name}") for i, k in enumerate(secrets.KINDS)],
         F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
@@ -99,3 +102,6 @@ def op9_licenses(spark, sf_dir):
 def op1_substring_dedup(spark, sf_dir):
     """Documents with passages of 50 words or more that other documents have."""
     return substring_dedup.passages(load(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_secrets"] = sql.secrets_sql(secrets.KINDS, secrets.CANDIDATE, secrets.CLASSES, secrets.ALLOWED)

@@ -28,3 +28,39 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length(text) + length(role) + extra + 24) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+_SPANS = """
+{name}_m AS (SELECT doc_id, regexp_extract_all(t, {pattern}) AS m, regexp_extract_all(t, {pattern}, {group}) AS v, string_split_regex(t, {split}) AS g FROM d),
+{name}_i AS (SELECT doc_id, m, v, g, unnest(generate_series(1, len(m))) AS i FROM {name}_m WHERE len(m) > 0),
+{name} AS (SELECT doc_id, {number} AS kind, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[i]) AS n, m[i] AS m FROM {name}_i WHERE length(v[i]) >= {least})"""
+
+
+def _spans(name: str, number: int, pattern: str, group: int, least: int) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return _SPANS.format(name=name, number=number, pattern=quoted, group=group, split=quoted, least=least)
+
+
+def secrets_sql(kinds, candidate, classes, allowed) -> str:
+    """Op 8, with the operator's patterns; one of them, a repeated character, is written without its back-reference."""
+    parts = [_spans(k.name, i, k.pattern, k.group, k.least) for i, k in enumerate((*kinds, candidate))]
+    quoted = [p.replace("'", "''") for p in allowed if "\\1" not in p]
+    allow = " AND ".join(f"NOT regexp_matches(m, '{p}')" for p in quoted)
+    least = "CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN {bits}" for _, p, bits in classes) + " END"
+    names = "[" + ", ".join(f"'{k.name}'" for k in (*kinds, candidate)) + "]"
+    union = " UNION ALL ".join(f"SELECT doc_id, kind, s, s + n AS e FROM {k.name}" for k in kinds)
+    entropy = ("list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: "
+               "-(length(w) - length(replace(w, c, ''))) / length(w)::DOUBLE * log2((length(w) - length(replace(w, c, ''))) / length(w)::DOUBLE)))")
+    counted = ", ".join(f"CAST(count(*) FILTER (kind = {i}) AS BIGINT) AS n_{k.name}" for i, k in enumerate(kinds))
+    label = f"({names})[kind + 1] || ':' || s || ':' || e"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),{",".join(parts)},
+fixed AS ({union}),
+likely AS (SELECT doc_id, kind, s, s + n AS e, m, {least} AS least FROM entropy
+  WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND len(list_distinct(string_split(m, ''))) > 1 AND {allow}),
+windows AS (SELECT doc_id, kind, s, e, least, unnest(list_transform(generate_series(1, greatest(length(m) - 19, 1)), lambda i: substr(m, i, 20))) AS w FROM likely),
+added AS (SELECT doc_id, kind, s, e FROM windows GROUP BY doc_id, kind, s, e, least HAVING max({entropy}) >= least),
+every AS (SELECT * FROM fixed UNION ALL SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM fixed f WHERE f.doc_id = a.doc_id AND f.s < a.e AND a.s < f.e)),
+per AS (SELECT doc_id, {counted}, string_agg({label}, ',' ORDER BY s, kind, e) FILTER (kind < {len(kinds)}) AS base, string_agg({label}, ',' ORDER BY s, kind, e) AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (doc_id)
+"""

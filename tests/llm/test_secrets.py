@@ -58,12 +58,17 @@ def test_matches_python(spark, sf_dir):
     assert secrets.scan(odd.where("false")).collect() == []
 
 
-def test_query_columns(spark, sf_dir):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    for r in queries.op8_secrets(spark, sf_dir).collect():
-        own = base(texts[r.doc_id])
+def test_query_columns(spark, tmp_path):
+    texts = {i: t for i, t in enumerate(ODD + ["AKIA" + "Z" * 16 + " then AKIA" + "9" * 17 + " " + "ab" * 12, "token=abcdef, secret: 1234567"])}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op8_secrets(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert [sum(x) for x in zip(*((r.n_assign, r.n_access, r.n_hex) for r in rows))][1] >= 3
+    for r in rows:
+        own = base(texts[r.doc_id] or "")
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in own) for i in range(3)]
         assert r.base_sha256 == hashlib.sha256(text_of(own).encode()).hexdigest()
+        assert r.spans == text_of(spans(texts[r.doc_id] or ""))
 
 
 def test_redact(spark):
