@@ -19,6 +19,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,23 +192,22 @@ def co_train(text: Rows, page: Rows, y: np.ndarray, weight: np.ndarray, held: np
     return Model(*models, *cals, both)
 
 
-def _wanted(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> DataFrame:
-    """doc_id, good, weight, held of a bounded sample; pool rows have a null good."""
+def _wanted(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> pd.DataFrame:
+    """doc_id, good, kind, total (labels of the kind) of a bounded sample; pool
+    rows have no good."""
     known = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
-             .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")))
+             .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+             .withColumn("kind", F.expr("CASE WHEN quality = 0 THEN 'poor' WHEN toxic = 1 THEN 'toxic' ELSE 'good' END")))
+    totals = {r["kind"]: r["count"] for r in known.groupBy("kind").count().collect()}
     draw = F.xxhash64(F.col("doc_id"), F.lit("co-training"))
-    parts = []
-    for kind, rule in (("good", "quality = 1 and toxic = 0"), ("toxic", "quality = 1 and toxic = 1"), ("poor", "quality = 0")):
-        own = known.where(rule)
-        parts.append(own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(draw).limit(labelled)
-                     .crossJoin(own.agg(F.count(F.lit(1)).alias("total")))
-                     .select("doc_id", F.lit(int(kind == "good")).alias("good"), F.lit(kind).alias("kind"), "total"))
-    rest = (docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").orderBy(draw).limit(pool)
-            .select("doc_id", F.lit(None).cast("int").alias("good"), F.lit("pool").alias("kind"), F.lit(0).cast("long").alias("total")))
-    out = rest
-    for p in parts:
-        out = out.unionAll(p)
-    return out
+    here = docs.select("doc_id").where("doc_id is not null").distinct()
+    parts = [known.where(F.col("kind") == kind).join(here, "doc_id", "left_semi").orderBy(draw).limit(labelled).select("doc_id", "kind")
+             for kind in totals]
+    parts.append(here.join(known, "doc_id", "left_anti").orderBy(draw).limit(pool).select("doc_id", F.lit("pool").alias("kind")))
+    ids = pd.concat([p.toArrow().to_pandas() for p in parts]).sort_values("doc_id")
+    ids["good"] = ids.kind.map({"good": 1.0, "toxic": 0.0, "poor": 0.0, "pool": np.nan})
+    ids["total"] = ids.kind.map(totals).fillna(0)
+    return ids
 
 
 def _page(batch, at: int) -> tuple[list, list, list]:
@@ -217,7 +217,7 @@ def _page(batch, at: int) -> tuple[list, list, list]:
 def train(docs: DataFrame, labels: DataFrame, labelled: int = 2000, pool: int = 3000, **options) -> Model | None:
     """The model of a sample of at most 3 * labelled + pool documents; None
     where the labels do not hold both classes (twenty of each)."""
-    ids = _wanted(docs, labels, labelled, pool).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    ids = _wanted(docs, labels, labelled, pool)
     counts = ids.groupby("kind").size()
     if counts.get("good", 0) < 20 or counts.get("toxic", 0) + counts.get("poor", 0) < 20:
         return None
