@@ -87,3 +87,26 @@ def test_empty_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    long = " ".join(f"The of and w{i}" for i in range(20000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a token=abcdefgh1 b", "en", None, 19), (3, "a token=abcdefgh1 b", "en", None, 19),
+            (None, "no id", None, "s", 5), (None, "no id", None, "s", 5), (4, long, "en", "s", len(long)), (5, long.upper(), "en", "s", len(long))]
+    names = "row k0 c0 fp ids queue x0 kept score found spans key n start words".split()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
+        "*", *[f"'{n}' as {n}" for n in names]).repartition(3)
+    functions = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert all(r[n] == n for r in kept for n in names)
+        if name == "simhash_near_dedup":  # null and empty texts are one group, as are the long ones
+            assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "None"]
+        elif name == "secret_scan":
+            assert len(kept) == len(rows) and {r.text for r in kept if r.doc_id == 3} == {"a [secret] b"}
+        elif name == "benchmark_decontamination":
+            assert len(kept) == len(rows)
+    pieces = functions["packing"](spark, docs, SF).collect()
+    assert {r.doc_id for r in pieces} == {None, 1, 2, 3, 4, 5}
