@@ -40,9 +40,9 @@ def bitmap(df: DataFrame, column: str, log2_bits: int = 24) -> np.ndarray:
     words = (df.where(F.col(column).isNotNull())
              .groupBy(F.shiftright(value, 6).alias("word"))
              .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits"))
-             .toPandas())
+             .toArrow())
     out = np.zeros(1 << (log2_bits - 6), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
