@@ -174,7 +174,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, queue: str | None) -> Dat
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         task, at = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for lo, hi, data, offsets in W.chunks(batch.column(1), 1 << 21):
+            for lo, hi, data, offsets in W.chunks(batch.column(1), 1 << 20):
                 ids, cuts = encoder(path).encode(data, offsets)
                 n = np.diff(cuts) + 1
                 every = np.insert(ids, cuts[1:], np.uint32(end_id)).astype("<u4")
