@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from softcluster.llm import decontaminate, packing, quality_classifier, secrets, simhash
 from softcluster.llm.queries import tokenizer
 from softcluster.llm.tables import load, written
+from softcluster.session import ensure_importable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage on documents, each one's rows written and read again."""
+    ensure_importable(spark)
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
