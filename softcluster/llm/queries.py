@@ -105,3 +105,4 @@ def op1_substring_dedup(spark, sf_dir):
 
 
 ORACLES["op8_secrets"] = sql.secrets_sql(secrets.KINDS, secrets.CANDIDATE, secrets.CLASSES, secrets.ALLOWED)
+ORACLES["op9_licenses"] = sql.licenses_sql(licenses.TEMPLATES)

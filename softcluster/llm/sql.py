@@ -64,3 +64,33 @@ per AS (SELECT doc_id, {counted}, string_agg({label}, ',' ORDER BY s, kind, e) F
 SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per USING (doc_id)
 """
+
+
+def licenses_sql(templates, threshold: float = 0.8) -> str:
+    """Op 9: every unit against every template that shares a bigram."""
+    words = ("regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+    grams = "CASE WHEN len(w) = 1 THEN w ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END"
+    values = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(templates))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+n AS (SELECT r, doc_id, x, unnest(generate_series(1, len(x))) AS i FROM d),
+lines AS (SELECT r, doc_id, i - 1 AS line, {words.format("x[i]")} AS w FROM n),
+l AS (SELECT *, line - row_number() OVER (PARTITION BY r ORDER BY line) AS p FROM lines WHERE len(w) > 0),
+u AS (SELECT r, doc_id, 0 AS kind, line AS a, line AS b, w FROM l
+      UNION ALL SELECT r, doc_id, 1, min(line), max(line), flatten(list(w ORDER BY line)) FROM l GROUP BY r, doc_id, p
+      UNION ALL SELECT r, doc_id, 2, min(line), max(line), flatten(list(w ORDER BY line)) FROM l GROUP BY r, doc_id),
+k AS (SELECT *, row_number() OVER () AS id FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY r, a, b ORDER BY kind) = 1)),
+ug AS (SELECT id, unnest({grams}) AS g FROM k),
+uc AS (SELECT id, g, count(*) AS c FROM ug GROUP BY ALL),
+un AS (SELECT id, count(*) AS n FROM ug GROUP BY id),
+t AS (SELECT tid, license, {words.format("text")} AS w FROM (VALUES {values}) v(tid, license, text)),
+tg AS (SELECT tid, license, unnest({grams}) AS g FROM t),
+tc AS (SELECT tid, license, g, count(*) AS c FROM tg GROUP BY ALL),
+tn AS (SELECT tid, count(*) AS n FROM tg GROUP BY tid),
+s AS (SELECT id, tid, license, sum(least(uc.c, tc.c)) AS c FROM uc JOIN tc USING (g) GROUP BY ALL),
+h AS (SELECT id, license, 2 * c / (un.n + tn.n)::DOUBLE AS dice FROM s JOIN un USING (id) JOIN tn USING (tid)),
+best AS (SELECT * FROM h WHERE dice >= {threshold} - 1e-12 QUALIFY row_number() OVER (PARTITION BY id ORDER BY dice DESC, license) = 1)
+SELECT doc_id, ['line', 'paragraph', 'text'][kind + 1] AS unit, CAST(a AS BIGINT) AS first_line, CAST(b - a + 1 AS BIGINT) AS n_lines, license, dice
+FROM best JOIN k USING (id)
+"""
