@@ -367,7 +367,9 @@ def test_gmm_recovers_separated_blobs(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal([0, 0], 0.5, (200, 2)), rng.normal([10, 10], 0.5, (200, 2))])
     df = pts_df(spark, x.tolist())
-    fit = mixture.train(df, k=2, max_iter=30, seed=2)
+    # A start's slices may mix both blobs, which EM cannot part: the best of some starts.
+    fit = max((mixture.train(df, k=2, max_iter=30, seed=seed) for seed in range(4)),
+              key=lambda f: f.trace[-1]["llh"])
     mus = sorted(map(tuple, np.round(fit.mus)))
     assert mus == [(0.0, 0.0), (10.0, 10.0)]
     assert np.allclose(sorted(fit.weights), [0.5, 0.5], atol=0.02)
