@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 PARTIAL_SCHEMA = "key int, values array<double>"
 # Cap on the rows x k x d difference block held in memory per task.
 BLOCK_CELLS = 1 << 21
+# Partial sums of all tasks that the driver takes without a combining shuffle.
+DRIVER_BYTES = 16 << 20
 
 
 def batch_matrix(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
@@ -86,9 +88,10 @@ def partial_sums(df: DataFrame, shape: tuple[int, int], batch_fn) -> np.ndarray:
     """Run ``batch_fn(batch) -> ndarray[shape]`` over every Arrow batch, sum
     per partition, then per key over the partitions.
 
-    A task emits one array per key; tasks that each hold some of the keys
-    combine them.  Returns the dense (keys, slots) total on the driver (the
-    model's size, never the data's).
+    A task emits one array per key.  While all tasks' arrays together are
+    under DRIVER_BYTES they are summed as they come in; beyond, tasks that
+    each hold some of the keys combine them first.  Returns the dense (keys,
+    slots) total on the driver (the model's size, never the data's).
     """
     slots = shape[1]
 
@@ -113,9 +116,12 @@ def partial_sums(df: DataFrame, shape: tuple[int, int], batch_fn) -> np.ndarray:
                 [pa.array(list(acc), pa.int32()), pa.array([v.tolist() for v in acc.values()], pa.list_(pa.float64()))],
                 names=["key", "values"])
 
-    rows = df.mapInArrow(run, PARTIAL_SCHEMA).repartition("key").mapInArrow(combine, PARTIAL_SCHEMA).toArrow()
-    total = np.zeros(shape)
-    if rows.num_rows:
-        rows = rows.combine_chunks()
-        total[rows["key"].to_numpy()] = rows["values"].combine_chunks().flatten().to_numpy().reshape(-1, slots)
-    return total
+    parts = df.mapInArrow(run, PARTIAL_SCHEMA)
+    if df.rdd.getNumPartitions() * shape[0] * slots * 8 > DRIVER_BYTES:
+        parts = parts.repartition("key").mapInArrow(combine, PARTIAL_SCHEMA)
+    rows = parts.toArrow()
+    if not rows.num_rows:
+        return np.zeros(shape)
+    rows = rows.combine_chunks()
+    return sums_by_key(rows["key"].to_numpy(),
+                       rows["values"].combine_chunks().flatten().to_numpy().reshape(-1, slots), shape[0])

@@ -50,3 +50,17 @@ def test_row_order_and_partitioning_do_not_matter():
     assert batch.to_pylist() == [{"key": 1, "values": [1.0, 2.0]}]
     keys = rng.integers(0, 5, 50)
     assert np.allclose(sums_by_key(keys, x, 7), [x[keys == j].sum(axis=0) for j in range(7)])
+
+
+def test_partial_sums_are_the_same_with_and_without_the_shuffle(spark, monkeypatch):
+    from softcluster.functions import kernels
+    df = spark.range(1000).selectExpr("array(cast(id as double), 1.0D) as x", "id").repartition(6)
+
+    def batch(b):
+        x = kernels.batch_matrix(b, "x", 2)
+        return kernels.sums_by_key(b.column(1).to_numpy() % 5, x, 7)
+
+    direct = kernels.partial_sums(df, (7, 2), batch)
+    monkeypatch.setattr(kernels, "DRIVER_BYTES", 0)
+    assert np.array_equal(direct, kernels.partial_sums(df, (7, 2), batch))
+    assert direct[:5, 1].tolist() == [200.0] * 5 and not direct[5:].any()
