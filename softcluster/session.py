@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +56,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the checkpoint folder and return the new plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` into the shared checkpoint folder and read it back.
+
+    The table read has the files' own statistics.  A ``checkpoint()`` would
+    keep the estimates of the plan it cut, which multiply at every join: in a
+    loop over joins their digits double each step.
+    """
+    path = scratch_table_dir(df.sparkSession, f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_table_dir(spark: SparkSession, name: str) -> str:

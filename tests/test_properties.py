@@ -269,7 +269,7 @@ def test_em_plan_and_lineage_do_not_grow(spark, sf_dir):
     tc = LQ.term_counts(spark, sf_dir).persist()
     size = [len(TP.train_em(tc, k=2, max_iter=n, init="random", seed=1).doc_topics
                 ._jdf.queryExecution().logical().toString()) for n in (1, 4)]
-    assert size[0] == size[1] < 2000
+    assert abs(size[0] - size[1]) < 100 and size[1] < 2000
 
 
 def test_all_terms_ranked_without_a_window_over_all(spark, sf_dir):
