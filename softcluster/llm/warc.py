@@ -23,12 +23,15 @@ from pyspark.sql import types as T
 
 #: Elements whose content is no text, and elements that end a line.
 HIDDEN = ("script", "style", "noscript", "template", "head", "svg", "iframe", "textarea")
+#: Hidden elements that last to the page's end without an end tag, and what a head may hold.
+RAW = ("script", "style", "textarea")
+IN_HEAD = ("base", "basefont", "bgsound", "head", "html", "link", "meta", "noscript", "script", "style", "template", "title")
 BLOCKS = ("address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "figure", "footer", "form", "h1",
           "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td",
           "th", "tr", "ul")
 
 _NAME = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*>?|/?([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>?)", re.S)
-_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*HIDDEN, "title")}
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
@@ -36,9 +39,45 @@ _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
 
+def _past(page: str, at: int, name: str, endless: set[str]) -> int:
+    """Where the element ends whose start tag ends at ``at``; an element
+    without an end tag is its start tag alone, unless it is raw text.
+    ``endless``: elements that have no end tag from here on."""
+    end = None if name in endless else _ENDS[name].search(page, at)
+    if end:
+        return end.end()
+    endless.add(name)
+    return len(page) if name in RAW else at
+
+
+def _past_head(page: str, at: int, endless: set[str]) -> int:
+    """Where a head ends: after its end tag, at <body>, or, without either,
+    at the first text or element that cannot be in a head."""
+    if "head" in endless:
+        return at
+    first = None
+    while m := _NAME.search(page, at):
+        name, end_tag = (m[2] or "").lower(), m[0].startswith("</")
+        if first is None and page[at:m.start()].strip():
+            first = at
+        if name == "head" and end_tag:
+            return m.end()
+        if name == "body" and not end_tag:
+            return m.start()
+        if first is None and name and (name in ("body", "html") if end_tag else name not in IN_HEAD):
+            first = m.start()
+        at = m.end()
+        if name in _ENDS and name != "head" and not end_tag and not m[0].endswith("/>"):
+            at = _past(page, at, name, endless)
+    endless.add("head")
+    if first is None:
+        first = at
+    return first
+
+
 def plain_text(page: str) -> str:
     """A page's visible text: a line for each block, white space folded, entities resolved."""
-    out, at = [], 0
+    out, at, endless = [], 0, set()
     while True:
         m = _NAME.search(page, at)
         if not m:
@@ -51,9 +90,8 @@ def plain_text(page: str) -> str:
             out.append(m[1])
         elif name in BLOCKS:
             out.append("\n")
-        elif name in _ENDS and m[0][1] != "/" and not m[0].endswith("/>"):
-            end = _ENDS[name].search(page, at)
-            at = end.end() if end else len(page)
+        elif name in HIDDEN and m[0][1] != "/" and not m[0].endswith("/>"):
+            at = _past_head(page, at, endless) if name == "head" else _past(page, at, name, endless)
             out.append("\n" if name == "head" else " ")
     return _LINES.sub("\n", _SPACE.sub(" ", "".join(out))).strip()
 

@@ -106,3 +106,18 @@ def test_given_headers_and_empty(spark):
     assert rows["response"].block == "HTTP/1.1 404 Gone\r\nA: b\r\n\r\n<p>x"
     assert "WARC-Date: 2020-01-02T03:04:05Z\r\n" in rows["conversion"].headers and rows["conversion"].block == "x"
     assert warc.derive(df.where("false")).collect() == []
+
+
+def test_omitted_end_tags():
+    text = warc.plain_text
+    assert text("<html><head><title>x</title><body><p>text <b>on</b>") == "text on"
+    assert text("<html><head><title>x</title><meta a=b><p>one<p>two</html>") == "one\ntwo"
+    assert text("<head><script>'</head><body>'</script><title>x</title>words") == "words"
+    assert text("<head><title>x</title><body>a<textarea></head></textarea>b") == "a b"
+    assert text("<head><div>no</div><title>x</title></head>yes") == "yes"
+    for name in ("svg", "noscript", "template", "iframe"):
+        assert text(f"<p>a<{name}>b<p>c") == "a b\nc"
+        assert text(f"<head><title>x</title><{name}><body>c<p>d") == "c\nd"
+    assert text("<p>a<script>b<p>c") == text("<p>a<style>b") == text("<p>a<textarea>b") == "a"
+    assert text("<head>") == text("<head><title>x</title>") == ""
+    assert len(text("x<svg><head>" * 100_000)) > 100_000
