@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softcluster.llm import chat, decontaminate, licenses, packing, quality_classifier, quality_rules, secrets, simhash, sql, substring_dedup, warc
+from softcluster.llm import chat, decontaminate, licenses, lines, packing, quality_classifier, quality_rules, secrets, simhash, sql, substring_dedup, warc
 from softcluster.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,13 @@ def op1_substring_dedup(spark, sf_dir):
 
 ORACLES["op8_secrets"] = sql.secrets_sql(secrets.KINDS, secrets.CANDIDATE, secrets.CLASSES, secrets.ALLOWED)
 ORACLES["op9_licenses"] = sql.licenses_sql(licenses.TEMPLATES)
+
+
+@query
+def op12_line_dedup(spark, sf_dir):
+    """Every document without the lines that ten documents or more hold."""
+    return lines.line_dedup(load(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_line_dedup"] = sql.LINE_DEDUP

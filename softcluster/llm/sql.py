@@ -29,6 +29,17 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+#: Op 12: keys that ten documents or more hold lose their lines.
+LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT r, doc_id, i, x[i] AS line, trim(translate(x[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+      FROM (SELECT *, unnest(generate_series(1, len(x))) AS i FROM d)),
+gone AS (SELECT k FROM (SELECT DISTINCT r, k FROM l) WHERE length(k) >= 1 GROUP BY k HAVING count(*) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone.k IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone USING (k) GROUP BY r, doc_id
+"""
+
 _SPANS = """
 {name}_m AS (SELECT doc_id, regexp_extract_all(t, {pattern}) AS m, regexp_extract_all(t, {pattern}, {group}) AS v, string_split_regex(t, {split}) AS g FROM d),
 {name}_i AS (SELECT doc_id, m, v, g, unnest(generate_series(1, len(m))) AS i FROM {name}_m WHERE len(m) > 0),
