@@ -4,13 +4,14 @@ A text is split at line feeds.  A line's key is the line without ASCII white
 space at both ends, A-Z lower-cased.  Keys that many documents hold lose all
 their lines in every document; the other lines stay in their order.
 
-1. Each text's distinct keys are exploded and hashed (128 bits), and documents
-   are counted per hash with partial counts before the shuffle.
-2. All lines are exploded with their positions and matched with the hashes
-   over the threshold.  Up to ``broadcast_keys`` hashes are broadcast.  Beyond,
+1. Each text becomes a row of its lines' key digests, written once.
+2. The distinct digests of each row are exploded, and documents are counted
+   per digest with partial counts before the shuffle.
+3. All digests are exploded with their positions and matched with those over
+   the threshold.  Up to ``broadcast_keys`` of them are broadcast.  Beyond,
    only the most frequent ones are, so that no key is hot in the join that
    matches the rest.
-3. Dropped positions come together per text, and the text's lines between
+4. Dropped positions come together per text, and the text's lines between
    them are put together again.
 
 Results for odd rows: every input row is a document and gives one row, also
@@ -30,7 +31,7 @@ from softcluster.llm.tables import written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Hashes of lines that a broadcast may hold (16 bytes each).
+#: Digests of lines that a broadcast may hold (32 bytes each).
 BROADCAST_KEYS = 1 << 17
 
 
@@ -39,13 +40,9 @@ def _split(text: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    return F.btrim(line, F.lit(SPACE))
-
-
-def _hashed(df: DataFrame, key: Column, least_chars: int, *keep: str) -> DataFrame:
-    """Rows whose key is long enough, with the key's hash in two columns."""
-    return (df.withColumn("key", key).where(F.length("key") >= least_chars)
-            .select(*keep, F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
+    """The line stripped and lower-cased; translate() is slow, and lower() the same on ASCII."""
+    ascii_only = F.length(line) == F.octet_length(line)
+    return F.btrim(F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER)), F.lit(SPACE))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -54,28 +51,32 @@ def _rows(docs: DataFrame) -> DataFrame:
                        F.xxhash64(F.lit(1), "doc_id", text).alias("r2"))
 
 
-def frequent_keys(docs: DataFrame, least_documents: int = 10, least_chars: int = 1) -> DataFrame:
-    """h1, h2, n: hashes of the keys of at least ``least_chars`` code points
-    that at least ``least_documents`` documents hold, with their number."""
-    lines = _split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER))
+def digests(rows: DataFrame, least_chars: int = 1) -> DataFrame:
+    """r1, r2, digests: the MD5 digest of every line's key, null for keys of fewer code points."""
+    def digest(line: Column) -> Column:
+        key = _key(line)
+        return F.when(F.length(key) >= least_chars, F.md5(key))
+
+    return rows.select("r1", "r2", F.transform(_split(F.col("text")), digest).alias("digests"))
+
+
+def frequent_keys(digests: DataFrame, least_documents: int = 10) -> DataFrame:
+    """digest, n: keys that at least ``least_documents`` documents hold, with their number."""
     # Distinct per text before the explode: a document counts once per key.
-    keys = docs.select(F.explode(F.array_distinct(F.transform(lines, _key))).alias("line"))
-    return (_hashed(keys, F.col("line"), least_chars)
-            .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents))
+    return (digests.select(F.explode(F.array_distinct("digests")).alias("digest")).where("digest is not null")
+            .groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents))
 
 
-def _dropped(rows: DataFrame, frequent: DataFrame, least_chars: int, broadcast_keys: int) -> DataFrame:
+def _dropped(digests: DataFrame, frequent: DataFrame, broadcast_keys: int) -> DataFrame:
     """r1, r2, at: the sorted positions of the lines that a text loses."""
-    lines = rows.select("r1", "r2", F.posexplode(_split(F.translate("text", UPPER, LOWER))).alias("at", "line"))
-    lines = _hashed(lines, _key(F.col("line")), least_chars, "r1", "r2", "at")
-    on = ["h1", "h2"]
+    lines = digests.select("r1", "r2", F.posexplode("digests").alias("at", "digest")).where("digest is not null")
     if frequent.count() <= broadcast_keys:
-        lost = lines.join(F.broadcast(frequent.select(*on)), on, "left_semi")
+        lost = lines.join(F.broadcast(frequent.select("digest")), "digest", "left_semi")
     else:
         # At most 1/broadcast_keys of all rows share a key beyond these.
-        top = F.broadcast(frequent.orderBy(F.desc("n"), *on).limit(broadcast_keys).select(*on))
-        rest = lines.join(top, on, "left_anti").join(frequent.select(*on).hint("merge"), on, "left_semi")
-        lost = lines.join(top, on, "left_semi").unionByName(rest)
+        top = F.broadcast(frequent.orderBy(F.desc("n"), "digest").limit(broadcast_keys).select("digest"))
+        rest = lines.join(top, "digest", "left_anti").join(frequent.select("digest").hint("merge"), "digest", "left_semi")
+        lost = lines.join(top, "digest", "left_semi").unionByName(rest)
     return lost.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
 
@@ -83,9 +84,10 @@ def line_dedup(docs: DataFrame, least_documents: int = 10, least_chars: int = 1,
                broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """doc_id, n_lines (before dropping), n_dropped and text (the kept lines)."""
     rows = _rows(docs)
-    frequent = written(frequent_keys(docs, least_documents, least_chars), "line-keys")
+    keys = written(digests(rows, least_chars), "line-digests")
+    frequent = written(frequent_keys(keys, least_documents), "line-keys")
     # A table of its own, so that the join below may be broadcast or its hot texts split.
-    lost = written(_dropped(rows, frequent, least_chars, broadcast_keys), "line-drops")
+    lost = written(_dropped(keys, frequent, broadcast_keys), "line-drops")
     return (rows.join(lost, ["r1", "r2"], "left")
             .withColumn("lines", _split(F.col("text")))
             .select("doc_id", F.size("lines").cast("long").alias("n_lines"),
