@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softcluster.llm import chat, decontaminate, licenses, lines, packing, quality_classifier, quality_rules, secrets, simhash, sql, substring_dedup, warc
+from softcluster.llm import chat, decontaminate, licenses, lines, packing, quality_classifier, quality_rules, resampling, secrets, simhash, sql, substring_dedup, warc
 from softcluster.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,13 @@ def op12_line_dedup(spark, sf_dir):
 
 
 ORACLES["op12_line_dedup"] = sql.LINE_DEDUP
+
+
+@query
+def op13_resample(spark, sf_dir):
+    """Weight, noisy score and rank of every document against the benchmark's words."""
+    return resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op13_resample"] = sql.RESAMPLE

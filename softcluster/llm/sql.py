@@ -40,6 +40,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone.k IS NOT NULL) AS n_dr
 FROM l LEFT JOIN gone USING (k) GROUP BY r, doc_id
 """
 
+#: Op 13: CRC-32 byte by byte, by a table made from its polynomial (a fixed value).
+RESAMPLE = r"""
+WITH crc AS (SELECT list(list_reduce([b::BIGINT] || generate_series(1, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) x(b)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT r, f, count(*) AS n FROM (SELECT r, unnest(w) AS f FROM d) GROUP BY ALL),
+bw AS (SELECT f, count(*) AS n FROM (SELECT unnest(w) AS f FROM b) GROUP BY f),
+words AS (SELECT f, hex(encode(f)) AS x, (SELECT t FROM crc) AS t FROM (SELECT f FROM dw UNION SELECT f FROM bw)),
+bucket AS (SELECT f, xor(list_reduce([4294967295] || list_transform(generate_series(1, len(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS k FROM words),
+s AS (SELECT k, sum(n) AS s FROM dw JOIN bucket USING (f) GROUP BY k),
+t AS (SELECT k, sum(n) AS t FROM bw JOIN bucket USING (f) GROUP BY k),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t_all),
+gain AS (SELECT k, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((s::DOUBLE + 1) * (t_all + 10000)))) AS g FROM s LEFT JOIN t USING (k), totals),
+weighed AS (SELECT r, sum(n * g)::BIGINT AS weight FROM dw JOIN bucket USING (f) JOIN gain USING (k) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN weighed USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
 _SPANS = """
 {name}_m AS (SELECT doc_id, regexp_extract_all(t, {pattern}) AS m, regexp_extract_all(t, {pattern}, {group}) AS v, string_split_regex(t, {split}) AS g FROM d),
 {name}_i AS (SELECT doc_id, m, v, g, unnest(generate_series(1, len(m))) AS i FROM {name}_m WHERE len(m) > 0),
