@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softcluster.llm import chat, decontaminate, licenses, lines, packing, quality_classifier, quality_rules, resampling, secrets, simhash, sql, substring_dedup, warc
+from softcluster.llm import chat, decontaminate, licenses, lines, negatives, packing, quality_classifier, quality_rules, resampling, secrets, simhash, sql, substring_dedup, warc
 from softcluster.llm.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,14 @@ def op13_resample(spark, sf_dir):
 
 
 ORACLES["op13_resample"] = sql.RESAMPLE
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    """The hard negatives of every hundredth row for each of its positives."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    points = negatives.integer_rows(load(spark, sf_dir, "embeddings"), moved, F.col("embedding"))
+    return negatives.hard_negatives(points, F.col("id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = sql.HARD_NEGATIVES
