@@ -47,7 +47,7 @@ from softcluster.session import scratch_table_dir
 
 LEAF, FANOUT = 128, 16
 #: Rows of a tile, which a task packs, and of a tree, which a task searches.
-TILE_ROWS = 1 << 16
+TILE_ROWS = 1 << 14
 #: Anchors that are broadcast at once.
 BLOCK_ROWS = 1 << 14
 LARGEST = 1 << 22
