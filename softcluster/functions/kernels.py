@@ -74,7 +74,7 @@ def sums_by_key(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _keyed(acc: np.ndarray) -> pa.RecordBatch:
+def keyed(acc: np.ndarray) -> pa.RecordBatch:
     """Rows (key, values) of the keys that are not all zero."""
     keys = np.flatnonzero(acc.any(axis=1))
     part = acc[keys]
@@ -93,8 +93,6 @@ def partial_sums(df: DataFrame, shape: tuple[int, int], batch_fn) -> np.ndarray:
     each hold some of the keys combine them first.  Returns the dense (keys,
     slots) total on the driver (the model's size, never the data's).
     """
-    slots = shape[1]
-
     def run(batches):
         acc = None
         for b in batches:
@@ -103,7 +101,14 @@ def partial_sums(df: DataFrame, shape: tuple[int, int], batch_fn) -> np.ndarray:
             part = batch_fn(b)
             acc = part if acc is None else acc + part
         if acc is not None:
-            yield _keyed(acc)
+            yield keyed(acc)
+
+    return total_sums(df.mapInArrow(run, PARTIAL_SCHEMA), df.rdd.getNumPartitions(), shape)
+
+
+def total_sums(parts: DataFrame, tasks: int, shape: tuple[int, int]) -> np.ndarray:
+    """The dense (keys, slots) total of rows (key, values) that ``tasks`` tasks give."""
+    slots = shape[1]
 
     def combine(batches):
         acc = {}
@@ -116,8 +121,7 @@ def partial_sums(df: DataFrame, shape: tuple[int, int], batch_fn) -> np.ndarray:
                 [pa.array(list(acc), pa.int32()), pa.array([v.tolist() for v in acc.values()], pa.list_(pa.float64()))],
                 names=["key", "values"])
 
-    parts = df.mapInArrow(run, PARTIAL_SCHEMA)
-    if df.rdd.getNumPartitions() * shape[0] * slots * 8 > DRIVER_BYTES:
+    if tasks * shape[0] * slots * 8 > DRIVER_BYTES:
         parts = parts.repartition("key").mapInArrow(combine, PARTIAL_SCHEMA)
     rows = parts.toArrow()
     if not rows.num_rows:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import centers as C
-from ..operators import kmeans
+from ..operators import kmeans, kmeans_pruned
 from ..sources import points as P
 from . import fixtures as X
 from . import sqlgen as S
@@ -367,3 +367,43 @@ def kmeans_init_parallel_wide(spark, sf_dir):
     """C4 at k = 64, d = 64 (rows-only)."""
     pts = X.points_emb(spark, sf_dir).persist()
     return C.long_form(C.to_df(spark, kmeans.init_parallel(pts, WIDE, 5, seed=5)))
+
+
+# Pruned passes (C8, C9, C11) --------------------------------------------------------
+
+PRUNED_STEPS = 4
+
+
+def _pruned_train_sql():
+    """Lloyd passes over list columns: nearest centre, then means per cluster and coordinate."""
+    ctes = _emb_near()[:2]
+    prev = "c"
+    for s in range(1, PRUNED_STEPS + 1):
+        ctes += [
+            S.cte(f"d{s}", "SELECT vec_id, cluster, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) "
+                           f"AS dist2 FROM p, {prev}"),
+            S.cte(f"a{s}", f"SELECT vec_id, arg_min(cluster, (dist2, cluster)) AS cluster FROM d{s} GROUP BY vec_id"),
+            S.cte(f"u{s}", f"SELECT cluster, unnest(generate_series(1, {WIDE})) AS i, unnest(x) AS v FROM p JOIN a{s} USING (vec_id)"),
+            S.cte(f"m{s}", "SELECT cluster, list(v ORDER BY i) AS c FROM (SELECT cluster, i, avg(v) AS v "
+                           f"FROM u{s} GROUP BY cluster, i) GROUP BY cluster"),
+            S.cte(f"c{s}", f"SELECT o.cluster, coalesce(m.c, o.c) AS c FROM {prev} o LEFT JOIN m{s} m USING (cluster)")]
+        prev = f"c{s}"
+    return S.with_(ctes, f"SELECT cluster, CAST(i - 1 AS INTEGER) AS dim, CAST(round(v, 6) AS DOUBLE) AS value FROM "
+                         f"(SELECT cluster, unnest(generate_series(1, {WIDE})) AS i, unnest(c) AS v FROM {prev})")
+
+
+@query("kmeans_pruned_train", _pruned_train_sql)
+def kmeans_pruned_train(spark, sf_dir):
+    """C8/C9 with bounds between passes at k = 64, d = 64."""
+    pts, start = emb_start(spark, sf_dir)
+    model = kmeans_pruned.train(pts, start, max_iter=PRUNED_STEPS, epsilon=0.0)
+    return C.long_form(model.centers_df(spark))
+
+
+@query("kmeans_pruned_assign", lambda: S.with_(
+    _li() + S.assign_ctes("a", "p", "c0", K, D, keep=["l_orderkey", "l_linenumber"]),
+    "SELECT l_orderkey, l_linenumber, a AS cluster, CAST(round(dmin, 6) AS DOUBLE) AS dist2 FROM a"))
+def kmeans_pruned_assign(spark, sf_dir):
+    """C8/C11 by the norm bound, over lineitem."""
+    pts, start = li_start(spark, sf_dir)
+    return kmeans_pruned.assign(pts, start, keep=LI_KEEP).select(*LI_KEEP, "cluster", F.round("dist2", 6).alias("dist2"))
