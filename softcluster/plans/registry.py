@@ -23,5 +23,5 @@ def load_all() -> None:
     # Importing the modules registers their queries.
     from . import (bisect_queries, fuzzy_queries, gmm_queries, kmeans_queries,  # noqa: F401
                    lda_queries,
-                   pic_queries,
+                   pic_queries, sparse_queries,
                    stream_queries)
