@@ -4,11 +4,13 @@ W = D^-1 A is kept as an edge table; one power step is
     v'(src) = sum over edges of w * v(dst)
 i.e. a join of edges with v on dst and a partial+final aggregate on src
 (map-side combine: a hot source vertex never lands whole in one task).
-Edges are partitioned by dst once, so a step moves only the vertex vector to
-the join; adaptive execution broadcasts it while its measured bytes are small
-and splits a hot destination vertex otherwise.  Every step's vector is
-written by a reliable checkpoint before its parents go, so a step costs the
-same however many came before it, and a lost executor replays one step.
+Edges are dealt once, by destination and, where a destination has many edges,
+by block of sources too: such a vertex is spread over as many cells as its
+edges fill, and the step's vector has a copy of it for each.  So no task holds
+more edges than others, however hot a vertex is, and a step moves only the
+vertex vector to the join.  Every step's vector is written as a table before
+its parents go, so a step costs the same however many came before it, and a
+lost executor replays one step.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from . import kmeans
 
 EPSILON = 2.220446049250313e-16
 DEFAULTS = dict(k=2, max_iter=100, init="random")
+#: Cells of edges per shuffle partition, and a cell's least number of edges.
+CELLS, LEAST_CELL = 32, 4096
 
 
 def normalize(edges: DataFrame, with_degrees: bool = False):
@@ -79,6 +83,40 @@ def init_random(w: DataFrame, seed: int = 0) -> DataFrame:
     return r.select("id", (F.col("r") / F.lit(total)).alias("v"))
 
 
+@dataclass
+class DealtEdges:
+    """Edges (src, dst, cell, weight) partitioned by destination and cell."""
+
+    edges: DataFrame
+    hot: DataFrame  # (dst, cells) of the destinations of more than one cell
+
+    def power_step(self, v: DataFrame) -> DataFrame:
+        """v' = W v (unnormalised), as (id, v)."""
+        cells = F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)
+        copies = (v.select(F.col("id").alias("dst"), F.col("v").alias("_v")).join(F.broadcast(self.hot), "dst", "left")
+                  .select("dst", "_v", F.explode(cells).alias("cell")))
+        return (self.edges.join(copies, ["dst", "cell"]).groupBy(F.col("src").alias("id"))
+                .agg(F.sum(F.col("weight") * F.col("_v")).alias("v")))
+
+
+def deal_edges(w: DataFrame, least_cell: int = LEAST_CELL) -> DealtEdges:
+    """Edges dealt into cells of about 1/CELLS of a task's share of them.
+
+    A destination of more edges than a cell holds is hot.  There are fewer hot
+    ones than cells, CELLS times the shuffle partitions, which bounds the table
+    that is broadcast.
+    """
+    spark = w.sparkSession
+    w = cut_lineage(w)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cell = max(least_cell, w.count() // (CELLS * tasks))
+    hot = cut_lineage(w.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
+                      .select("dst", F.ceil(F.col("n") / cell).cast("int").alias("cells")))
+    block = F.when(F.col("cells").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("src"), F.col("cells"))).cast("int")
+    edges = w.join(F.broadcast(hot), "dst", "left").select("src", "dst", block.alias("cell"), "weight")
+    return DealtEdges(edges.repartition(tasks, "dst", "cell").persist(StorageLevel.MEMORY_AND_DISK), hot)
+
+
 def power_step(w: DataFrame, v: DataFrame) -> DataFrame:
     """v' = W v (unnormalised), as (id, v)."""
     vv = v.select(F.col("id").alias("_dst"), F.col("v").alias("_v"))
@@ -95,10 +133,10 @@ class PowerResult:
 
 
 def power_iteration(w: DataFrame, v0: DataFrame, max_iter: int = 100,
-                    tol: float | None = None, fixed_steps: bool = False) -> PowerResult:
+                    tol: float | None = None, fixed_steps: bool = False, least_cell: int = LEAST_CELL) -> PowerResult:
     """v' = Wv / |Wv|_1, delta = sum |v' - v|; stop when the change of
     delta <= max(1e-5/n, 1e-8) (unless ``fixed_steps``)."""
-    w = w.repartition("dst").persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = deal_edges(w, least_cell)
     v = cut_lineage(v0)
     if tol is None:
         tol = max(1e-5 / v.count(), 1e-8)
@@ -106,7 +144,7 @@ def power_iteration(w: DataFrame, v0: DataFrame, max_iter: int = 100,
     trace, it = [], 0
     while it < max_iter and (fixed_steps or abs(diff_delta) > tol):
         t0 = time.time()
-        raw = cut_lineage(power_step(w, v))
+        raw = cut_lineage(dealt.power_step(v))
         norm = raw.agg(F.sum(F.abs("v"))).first()[0]
         new = raw.select("id", (F.col("v") / F.lit(norm)).alias("v"))
         if fixed_steps:
@@ -119,7 +157,7 @@ def power_iteration(w: DataFrame, v0: DataFrame, max_iter: int = 100,
         it += 1
         v = new
         trace.append(dict(iteration=it, norm=float(norm), delta=float(delta), seconds=time.time() - t0))
-    w.unpersist()
+    dealt.edges.unpersist()
     return PowerResult(v=v, iterations=it, trace=trace)
 
 

@@ -162,3 +162,26 @@ def pic_assignments_roundtrip(spark, sf_dir):
     assign = _labels(*pic.normalize(supp_edges(spark, sf_dir), with_degrees=True))
     path = store.save_assignments(assign, 2)
     return store.load_assignments(spark, path)
+
+
+# F5 with hot destinations: orders as edges between customers and five priorities
+
+HUB_CELL = 256
+
+
+def _hub_sql():
+    ctes = _power_ctes()
+    ctes[0] = S.cte("e", "SELECT CAST(o_custkey AS BIGINT) AS src, CAST(-ascii(o_orderpriority) AS BIGINT) AS dst, "
+                         "CAST(count(*) AS DOUBLE) AS weight FROM orders GROUP BY 1, 2")
+    return S.with_(ctes, f"SELECT id, CAST(round(v, 12) AS DOUBLE) AS v FROM v{STEPS}")
+
+
+@query("pic_power_iter_hubs", _hub_sql)
+def pic_power_iter_hubs(spark, sf_dir):
+    """F5 on a graph whose five hubs hold all edges, each spread over many cells."""
+    orders = X.table(spark, sf_dir, "orders").where("o_custkey is not null and o_orderpriority is not null")
+    edges = orders.groupBy(F.col("o_custkey").cast("long").alias("src"), (-F.ascii("o_orderpriority")).cast("long").alias("dst")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight"))
+    w, deg = pic.normalize(edges, with_degrees=True)
+    res = pic.power_iteration(w, pic.init_degree(degrees_df=deg), max_iter=STEPS, fixed_steps=True, least_cell=HUB_CELL)
+    return _v_out(res.v)
