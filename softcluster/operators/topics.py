@@ -9,14 +9,16 @@ topic shares gamma as generated columns (JVM codegen), scales them by the
 count and sums them back per document and per term (partial+final
 aggregates, so a hot document or term is combined map-side).  Adaptive
 execution broadcasts a state table whose measured bytes are under the
-session's limit and splits hot keys of the others.  Each step reads both
-tables of the step before, so their lineage is cut with a reliable checkpoint
-every step: plan and time per step stay the same however many there are.
+session's limit and splits hot keys of the others.  Both tables are sums over
+the same rows: one aggregate with two grouping sets makes them and one write
+keeps them, so a step runs its joins once, and plan and time per step stay the
+same however many there are.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import add
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranking import number_rows
-from ..session import cut_lineage
+from ..session import scratch_table_dir
 
 DEFAULTS = dict(k=10, max_iter=20, optimizer="em")
 
@@ -55,9 +57,20 @@ def token_table(term_counts: DataFrame) -> DataFrame:
 
 
 def _sum_back(scaled: DataFrame, k: int, cols: list[str]):
-    doc = scaled.groupBy("doc_id").agg(*[F.sum(c).alias(f"n_{j}") for j, c in enumerate(cols)])
-    term = scaled.groupBy("term_id").agg(*[F.sum(c).alias(f"n_{j}") for j, c in enumerate(cols)])
-    return doc, term
+    """(document sums, term sums) of token rows, by one pass over them.
+
+    Every token row counts under its document and under its term (two grouping
+    sets of one aggregate, combined map-side), and both tables are written
+    side by side, so the joins that made the rows run once.
+    """
+    sides = scaled.select(F.expr("stack(2, 'doc', doc_id, 'term', cast(term_id as bigint)) as (side, id)"), *cols)
+    both = sides.groupBy("side", "id").agg(*[F.sum(c).alias(f"n_{j}") for j, c in enumerate(cols)])
+    path = scratch_table_dir(scaled.sparkSession, f"topics-{uuid.uuid4().hex}")
+    both.write.partitionBy("side").parquet(path)
+    # The folder of a side is the only one read for it.
+    rows = scaled.sparkSession.read.schema(both.schema).parquet(path)
+    return (rows.where("side = 'doc'").select(F.col("id").alias("doc_id"), *ncols(k)),
+            rows.where("side = 'term'").select(F.col("id").cast("int").alias("term_id"), *ncols(k)))
 
 
 def init_hash(tokens: DataFrame, k: int):
@@ -247,13 +260,12 @@ def train_em(term_counts: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEF
     tokens = token_table(term_counts).repartition("doc_id").persist(StorageLevel.MEMORY_AND_DISK)
     if vocab_size is None:
         vocab_size = int(tokens.agg(F.max("term_id")).first()[0]) + 1
-    start = init_hash(tokens, k) if init == "hash" else init_random(tokens, k, seed)
-    doc, term = map(cut_lineage, start)
+    doc, term = init_hash(tokens, k) if init == "hash" else init_random(tokens, k, seed)
     n_k = topic_totals(term, k)
     trace = []
     for it in range(1, max_iter + 1):
         t0 = time.time()
-        doc, term = map(cut_lineage, em_step(tokens, doc, term, k, n_k, vocab_size, a, e))
+        doc, term = em_step(tokens, doc, term, k, n_k, vocab_size, a, e)
         n_k = topic_totals(term, k)
         trace.append(dict(iteration=it, seconds=time.time() - t0))
     return EMLDAModel(tokens, doc, term, k, vocab_size, a, e, n_k, trace)
