@@ -296,3 +296,12 @@ def gmm_model_roundtrip(spark, sf_dir):
     new, _ = G.em_step(pts, mix)
     path = store.save_mixture(new.to_df(spark))
     return _components_df(store.load_mixture(spark, path))
+
+
+@query("gmm_table_train", _train_sql)
+def gmm_table_train(spark, sf_dir):
+    """E1/E3 with the components as a table: two steps."""
+    from ..operators import mixture_table
+    pts, mix = start(spark, sf_dir)
+    model = mixture_table.train(pts, mix.to_df(spark), max_iter=2, tol=TOL)
+    return _components_out(spark, G.Mixture.from_df(model.components()))
