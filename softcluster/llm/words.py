@@ -90,6 +90,24 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+_factors = mix(np.arange(1, 1 << 12, dtype=np.uint64) * np.uint64(BASE))
+
+
+def checked_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Another uint64 hash of each word's bytes: every place in a word has a
+    factor of its own, so no words are made to collide as a polynomial's can."""
+    global _factors
+    begin = np.zeros(len(data), np.int64)
+    begin[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(begin)
+    most = int((ends - starts).max(initial=0))
+    if most > len(_factors):
+        _factors = mix(np.arange(1, 2 * most + 1, dtype=np.uint64) * np.uint64(BASE))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _factors[np.minimum(place, len(_factors) - 1)], out=total[1:])
+    return mix(total[ends] - total[starts])
+
+
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """A uint64 hash of each n consecutive words (over row borders too)."""
     m = max(0, len(words) - n + 1)

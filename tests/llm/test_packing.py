@@ -73,7 +73,7 @@ def test_weights_and_the_shared_queue(spark, sf_dir, tokenizer):
         if r.sequence_id == 0:
             first[r.queue] += r.length
     assert abs(first["src1"] - 1536) <= 64 and abs(first["src2"] - 512) <= 64
-    check(tokenizer, texts, packing.pack(docs, PATH, max_queues=4, window=512).collect(), 512)
+    check(tokenizer, texts, packing.pack(docs, PATH, lanes=4, window=512).collect(), 512)
     with pytest.raises(ValueError):
         packing.pack(docs, PATH, weights={"none": 1.0})
 
@@ -100,3 +100,51 @@ def test_edge_rows(spark, tokenizer):
     assert packing.pack(df.where("false"), PATH).collect() == []
     twice = packing.pack(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string"), PATH, queue=None).collect()
     assert sorted((r.start, r.length, r.sequence_id, r.offset) for r in twice) == [(0, 3, 0, 0), (0, 3, 0, 3)]
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_words_that_collide_as_polynomials(tokenizer):
+    """Two words of 1,024 letters whose polynomial hashes are equal, in one chunk and in two."""
+    import pyarrow as pa
+    words = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    flat = packing.W.flat(pa.array([" ".join(words)]))
+    starts, ends = np.array([0, 1025]), np.array([1024, 2049])
+    assert len(set(packing.W.hashes(flat[0], starts, ends).tolist())) == 1
+    assert len(set(packing.W.checked_hashes(flat[0], starts, ends).tolist())) == 2
+    one, two = packing.Encoder(PATH), packing.Encoder(PATH)
+    for encoder, parts in ((one, [list(words)]), (two, [[w] for w in words])):
+        for part in parts:
+            ids, cuts = encoder.encode(*packing.W.flat(pa.array(part)))
+            assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [ids_of(tokenizer, w)[:-1] for w in part]
+
+
+def test_pieces_of_one_hash_are_encoded_by_themselves(tokenizer, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(packing.W, "checked_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["some words of few lengths, e.g. these", "and others, don't they", "", "é 漢字 words", "some words"]
+    encoder = packing.Encoder(PATH)
+    for part in (texts[:2], texts[2:], texts):
+        ids, cuts = encoder.encode(*packing.W.flat(pa.array(part)))
+        for i, t in enumerate(part):
+            assert ids[cuts[i]:cuts[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_three_thousand_sources_hold_their_shares(spark, tokenizer):
+    """Every source has its part of every run of windows, the smallest one by its weight."""
+    rows = [(i, "word " * 40, f"s{i % 3000}") for i in range(9000)] + [(9000 + i, "tiny " * 30, "least") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = packing.pack(df, PATH, window=512, quantum=8, lanes=100).collect()
+    check(tokenizer, {r[0]: r[1] for r in rows}, got, 512)
+    half, total = defaultdict(int), defaultdict(int)
+    last = max(r.sequence_id for r in got)
+    for r in got:
+        total[r.queue] += r.length
+        half[r.queue] += r.length if r.sequence_id <= last // 2 else 0
+    assert all(0.25 < half[q] / total[q] < 0.75 for q in total)
+    weights = {f"s{i}": 1.0 for i in range(3000)} | {"least": 1000.0}
+    first = [r for r in packing.pack(df, PATH, weights=weights, window=512, quantum=8, lanes=100).collect() if r.sequence_id == 0]
+    least = sum(r.length for r in first if r.queue == "least")
+    assert least >= min(62, 512 // 4 - 16)
