@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from ..functions import centers as C
 from ..functions.columns import explode_clusters, first_argmax
+from ..functions.draws import first_distinct, uniform
 from ..functions.kernels import batch_matrix, fuzzy_u, partial_sums, sqdist
 from ..functions.scoring import memberships
 from ..sources import points as P
@@ -119,30 +120,16 @@ def trace_df(spark: SparkSession, trace: list) -> DataFrame:
           float(t["seconds"])) for t in trace], TRACE_SCHEMA)
 
 
-def init_random(points: DataFrame, k: int, seed: int = 0,
-                features: str = P.FEATURES) -> np.ndarray:
+def init_random(points: DataFrame, k: int, seed: int = 0, features: str = P.FEATURES, key=None) -> np.ndarray:
     """B2: k distinct rows drawn at random (quirk Q4: never duplicates).
 
-    ``orderBy(rand).limit(n)`` runs as a per-partition top-n plus an n-row
-    merge: no full sort and no shuffle of the data.  If duplicates leave
-    fewer than k distinct rows, the draw doubles until it has k or has seen
-    every row, so the result is exact, never capped.
+    Draws are keyed by the row's values (or a column ``key`` made of them), and
+    equal rows are aggregated before any reaches the driver, which sees k rows.
     """
-    ordered = points.select(features).orderBy(F.rand(seed))
-    n = k
-    while True:
-        rows = ordered.limit(n).collect()
-        seen, out = set(), []
-        for r in rows:
-            key = tuple(r[0])
-            if key not in seen:
-                seen.add(key)
-                out.append(r[0])
-            if len(out) == k:
-                return np.array(out, dtype=np.float64)
-        if len(rows) < n:
-            raise ValueError(f"only {len(out)} distinct rows for k={k}")
-        n *= 2
+    rows = first_distinct(points, [features], k, seed, key)
+    if len(rows) < k:
+        raise ValueError(f"only {len(rows)} distinct rows for k={k}")
+    return np.array([r[0] for r in rows], dtype=np.float64)
 
 
 def train(points: DataFrame, k: int = DEFAULTS["k"], m: float = DEFAULTS["m"],
@@ -293,11 +280,10 @@ def init_membership(points: DataFrame, k: int, seed: int = 0, id_col: str = "id"
                     ) -> DataFrame:
     """Random memberships per row, normalised to sum to 1.
 
-    Drawn as k columns on the row (no shuffle), normalised in the same
+    k draws keyed by the row's id (no shuffle), normalised in the same
     projection, then exploded to (id, cluster, u).
     """
-    raw = [F.rand(seed + j) + F.lit(1e-12) for j in range(k)]
-    wide = points.select(id_col, F.array(*raw).alias("r"))
+    wide = points.select(id_col, F.array(*[uniform(seed, id_col, F.lit(j)) for j in range(k)]).alias("r"))
     total = F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x)
     norm = wide.select(id_col, F.transform("r", lambda x: x / total).alias("u"))
     return explode_clusters(norm, [id_col], k)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import centers as C
+from ..functions.draws import sample_rows
 from ..functions.kernels import batch_matrix, batch_vector, partial_sums, sqdist, sums_by_key
 from ..functions.scoring import least_distances, nearest
 from ..sources import points as P
@@ -177,9 +178,10 @@ def lloyd(data: DataFrame, starts: np.ndarray, max_iter: int, epsilon: float,
 # --- seeding ---------------------------------------------------------------
 
 def init_random(points: DataFrame, k: int, runs: int = 1, seed: int = 0,
-                features: str = P.FEATURES) -> np.ndarray:
-    """runs*k rows in one scan (per-partition top-n by a random key)."""
-    rows = points.select(features).orderBy(F.rand(seed)).limit(runs * k).collect()
+                features: str = P.FEATURES, key=None) -> np.ndarray:
+    """runs*k rows, drawn without replacement by a hash of the row (or of a
+    column ``key`` that tells rows apart) and the seed."""
+    rows = sample_rows(points, [features], runs * k, seed, key).orderBy("place").collect()
     if len(rows) < runs * k:
         raise ValueError(f"need {runs * k} rows, table has {len(rows)}")
     return np.array([r[0] for r in rows], dtype=np.float64).reshape(runs, k, -1)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.centers import MAX_STATE_VALUES
+from ..functions.draws import sample_rows
 from ..functions.kernels import batch_matrix, partial_sums
 from ..sources import points as P
 
@@ -185,15 +186,10 @@ def init_from_sample(sample: DataFrame, k: int, features: str = P.FEATURES,
 
 def draw_sample(points: DataFrame, k: int, n_samples: int = DEFAULTS["n_samples"],
                 seed: int = 0, features: str = P.FEATURES) -> DataFrame:
-    """E2 draw: k * n_samples random rows in ONE pass (per-partition top-n by
-    a random key, then an n-row merge), cut into k slices of n_samples.
-    Rows are distinct positions (like the decision for Q4)."""
-    from pyspark.sql.window import Window
-
-    smp = points.select(features, F.rand(seed).alias("_r")).orderBy("_r").limit(k * n_samples)
-    w = Window.orderBy("_r")  # k * n_samples rows only
-    return smp.select(features, ((F.row_number().over(w) - 1) / n_samples).cast("int")
-                      .alias("slice"))
+    """E2 draw: k * n_samples rows without replacement, cut into k slices of
+    n_samples.  Rows are distinct positions (like the decision for Q4)."""
+    sample = sample_rows(points, [features], k * n_samples, seed)
+    return sample.select(features, F.floor(F.col("place") / n_samples).cast("int").alias("slice"))
 
 
 def train(points: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEFAULTS["max_iter"],

@@ -15,7 +15,6 @@ lost executor replays one step.
 
 from __future__ import annotations
 
-import math
 import time
 from dataclasses import dataclass, field
 
@@ -23,6 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import normal
 from ..session import cut_lineage
 from ..sources.edges import checked
 from . import kmeans
@@ -72,13 +72,8 @@ def init_degree(a: DataFrame = None, degrees_df: DataFrame | None = None) -> Dat
 
 
 def init_random(w: DataFrame, seed: int = 0) -> DataFrame:
-    """a gaussian per vertex divided by the L1 norm.  The draw is made of
-    two hashes of vertex and seed (Box-Muller): the same on any cluster."""
-    def uniform(salt):
-        return (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 1) / float(1 << 52)
-
-    r = w.select(F.col("src").alias("id")).distinct().select(
-        "id", (F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))).alias("r"))
+    """a gaussian per vertex divided by the L1 norm, keyed by the vertex."""
+    r = w.select(F.col("src").alias("id")).distinct().select("id", normal(seed, "id").alias("r"))
     total = r.agg(F.sum(F.abs("r"))).first()[0]
     return r.select("id", (F.col("r") / F.lit(total)).alias("v"))
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import centers as C
+from ..functions import draws
 from ..operators import fuzzy
 from ..sources import points as P
 from . import fixtures as X
@@ -199,18 +200,46 @@ def fcm_membership_delta(spark, sf_dir):
     return out.select(F.round("delta", 6).alias("delta"))
 
 
-# B2 / B9 (random: rows-only) ----------------------------------------------------
+# Draws keyed by the rows' values and ids ---------------------------------
 
-@query("fcm_init_random")
+def value_key():
+    """A point as text that both engines write alike: millionths, as integers."""
+    return F.array_join(F.transform(P.FEATURES, lambda x: F.floor(x * 1e6 + 0.5).cast("string")), ",")
+
+
+VALUE_KEY_SQL = "concat_ws(',', " + ", ".join(f"CAST(floor(x{i} * 1e6 + 0.5) AS BIGINT)" for i in range(D)) + ")"
+
+
+def drawn_sql(rows, draw):
+    """The first K of ``rows`` by ``draw``, then by value, in long form."""
+    xs = ", ".join(f"x{i}" for i in range(D))
+    first = S.cte("f", f"SELECT row_number() OVER (ORDER BY u, {xs}) - 1 AS j, {xs} FROM (SELECT *, {draw} AS u FROM ({rows})) "
+                       f"QUALIFY j < {K}")
+    return S.with_([S.li_points("p"), first], "\nUNION ALL\n".join(
+        f"SELECT CAST(j AS INTEGER) AS cluster, CAST({i} AS INTEGER) AS dim, CAST(round(x{i}, 6) AS DOUBLE) AS value FROM f" for i in range(D)))
+
+
+@query("fcm_init_random", lambda: drawn_sql(
+    "SELECT DISTINCT " + ", ".join(f"x{i}" for i in range(D)) + " FROM p", draws.uniform_sql(7, VALUE_KEY_SQL)))
 def fcm_init_random(spark, sf_dir):
+    """B2: distinct rows of the least draws."""
     pts = X.points_li(spark, sf_dir)
-    return C.long_form(C.to_df(spark, fuzzy.init_random(pts, K, seed=7)))
+    return C.long_form(C.to_df(spark, fuzzy.init_random(pts, K, seed=7, key=value_key())))
+
 
+def _init_membership_sql():
+    us = [draws.uniform_sql(11, "event_id", str(j)) for j in range(K)]
+    ctes = [S.ev_points("p"), S.cte("r", "SELECT event_id, " + ", ".join(f"{u} AS r{j}" for j, u in enumerate(us)) + " FROM p")]
+    total = " + ".join(f"r{j}" for j in range(K))
+    return S.with_(ctes, "\nUNION ALL\n".join(
+        f"SELECT event_id, CAST({j} AS INTEGER) AS cluster, CAST(round(r{j} / ({total}), 12) AS DOUBLE) AS u FROM r" for j in range(K)))
 
-@query("fcm_init_membership")
+
+@query("fcm_init_membership", _init_membership_sql)
 def fcm_init_membership(spark, sf_dir):
-    pts = X.points_ev(spark, sf_dir)
-    return fuzzy.init_membership(pts, K, seed=11, id_col="event_id")
+    """Memberships drawn by row id."""
+    u = fuzzy.init_membership(X.points_ev(spark, sf_dir), K, seed=11, id_col="event_id")
+    return u.withColumn("u", F.round("u", 12))
 
 
 # A7 ---------------------------------------------------------------------------

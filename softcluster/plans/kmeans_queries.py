@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import centers as C
+from ..functions import draws
 from ..operators import kmeans, kmeans_pruned
 from ..sources import points as P
 from . import fixtures as X
 from . import sqlgen as S
-from .fuzzy_queries import GROUP_SQL, LI_KEEP, ev_start, li_start
+from .fuzzy_queries import GROUP_SQL, LI_KEEP, VALUE_KEY_SQL, drawn_sql, ev_start, li_start, value_key
 from .registry import query
 
 K, D, STEPS = 4, 4, 5
@@ -275,12 +276,15 @@ def kmeans_cost(spark, sf_dir):
     return a.agg(F.round(F.sum("dist2"), 6).alias("cost"))
 
 
-# C3 / C4 / C5 sample (random: rows-only) ----------------------------------------
+# C3 (keyed draws), C4 / C5 sample (random: rows-only) ---------------------------
 
-@query("kmeans_init_random")
+@query("kmeans_init_random", lambda: drawn_sql(
+    "SELECT * FROM p", draws.uniform_sql(3, "l_orderkey", "l_linenumber", VALUE_KEY_SQL)))
 def kmeans_init_random(spark, sf_dir):
+    """Rows of the least draws, keyed by order line and values."""
     pts = X.points_li(spark, sf_dir)
-    return C.long_form(C.to_df(spark, kmeans.init_random(pts, K, 1, seed=3)[0]))
+    key = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), value_key())
+    return C.long_form(C.to_df(spark, kmeans.init_random(pts, K, 1, seed=3, key=key)[0]))
 
 
 @query("kmeans_init_parallel")

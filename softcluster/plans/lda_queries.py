@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..operators import topics as TP
 from ..sources import bags, store
 from . import fixtures as X
@@ -448,7 +449,13 @@ def _bound_ctes():
 + {K} * lgamma({e!r} * {V}) - (SELECT {_each('lgamma(s{j})', ' + ')} FROM ls) AS bound""")]
 
 
-@query("lda_minibatch")
+def _minibatch_sql():
+    steps = ", ".join(f"{s!r}::DOUBLE" for s in draws.poisson_steps(OFRACTION))
+    return S.with_([*_corpus(), S.cte("u", f"SELECT doc_id, {draws.uniform_sql(3, 'doc_id')} AS u FROM (SELECT DISTINCT doc_id FROM tok)")],
+                   f"SELECT doc_id FROM (SELECT doc_id, unnest(generate_series(1, len(list_filter([{steps}], lambda s: s <= u)))) FROM u)")
+
+
+@query("lda_minibatch", _minibatch_sql)
 def lda_minibatch(spark, sf_dir):
     """Documents drawn with replacement, fraction 0.05."""
     return OL.minibatch(_bags(spark, sf_dir), OFRACTION, True, seed=3).select("doc_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..operators import pic
 from ..sources import edges as E
 from . import fixtures as X
@@ -93,11 +94,13 @@ def pic_power_iter(spark, sf_dir):
     return _v_out(res.v)
 
 
-@query("pic_init_random")
+@query("pic_init_random", lambda: S.with_(
+    [*_base(), S.cte("g", f"SELECT id, {draws.normal_sql(3, 'id')} AS r FROM v0")],
+    "SELECT id, CAST(round(r / (SELECT sum(abs(r)) FROM g), 12) AS DOUBLE) AS v FROM g"))
 def pic_init_random(spark, sf_dir):
-    """gaussian start / L1 norm (rows-only)."""
+    """gaussian start / L1 norm, drawn by vertex."""
     w = pic.normalize(supp_edges(spark, sf_dir))
-    return pic.init_random(w, seed=3)
+    return _v_out(pic.init_random(w, seed=3))
 
 
 # K-means from the embedding's least and largest value, six passes at most

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import centers as C
+from ..functions import draws
 from ..session import scratch_table_dir
 from ..sources import points as P
 from ..sources.stream import points_stream, write_feed
@@ -132,7 +133,15 @@ def stream_kmeans_split(spark, sf_dir):
     return _state_out(run_static(model, feed), spark)
 
 
-@query("stream_kmeans_random_centers")
+def _random_centers_sql():
+    start = S.cte("c0", "SELECT " + ", ".join(f"{draws.normal_sql(13, str(j), str(i))} AS {S.ccol(j, i)}" for j in range(K) for i in range(D)))
+    ctes = [S.ev_blocks("p"), start, S.stream_state("s0", "c0", K, D, ["0.0"] * K)]
+    for b in range(BLOCKS):
+        ctes += S.stream_update(f"s{b + 1}", "p", f"s{b}", b, K, D, 1.0, "batches")
+    return S.with_(ctes, S.state_long(f"s{BLOCKS}", K, D))
+
+
+@query("stream_kmeans_random_centers", _random_centers_sql)
 def stream_kmeans_random_centers(spark, sf_dir):
     """N(0, 1) start centres, then the event blocks."""
     feed, _ = start_centers(spark, sf_dir)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import centers as C
+from ..functions.draws import normal_value
 from ..operators import kmeans
 from ..session import scratch_table_dir
 from ..sources import points as P
@@ -117,9 +118,9 @@ class StreamingKMeans:
 
     def set_random_centers(self, spark: SparkSession, dim: int, weight: float,
                            seed: int = 0) -> "StreamingKMeans":
-        rng = np.random.default_rng(seed)
-        return self.set_initial_centers(spark, rng.standard_normal((self.k, dim)),
-                                        np.full(self.k, weight))
+        """Normal draws keyed by cluster and coordinate."""
+        drawn = np.array([[normal_value(seed, j, i) for i in range(dim)] for j in range(self.k)])
+        return self.set_initial_centers(spark, drawn, np.full(self.k, weight))
 
     def _write(self, spark, batch_id, centers, weights):
         rows = [(j, [float(v) for v in centers[j]], float(weights[j]))
