@@ -21,12 +21,17 @@ from ..functions import centers as C
 from ..functions.draws import sample_rows
 from ..functions.kernels import batch_matrix, batch_vector, partial_sums, sqdist, sums_by_key
 from ..functions.scoring import least_distances, nearest
+from ..session import cut_lineage
 from ..sources import points as P
 
 log = logging.getLogger(__name__)
 
 DEFAULTS = dict(k=2, max_iter=20, runs=1, init="k-means||", init_steps=5, epsilon=1e-4)
 INIT_MODES = ("random", "k-means||")
+#: Draws of k-means++ between written cost columns.
+CUT = 16
+#: Candidates of a run beyond which they are reduced in groups, of at most this many rows each.
+ONE_GROUP, GROUP_ROWS = 4096, 1024
 
 
 def _weights(b, weight):
@@ -277,10 +282,7 @@ def init_parallel_runs(points: DataFrame, k: int, runs: int = 1, init_steps: int
     for r, u in enumerate(uniq):
         padded[r, :len(u)] = u
     w = step_sums(points, padded, features, weight)[:, d].reshape(runs, cmax)
-    rows = [(r, [float(v) for v in uniq[r][i]], float(w[r, i]))
-            for r in range(runs) for i in range(len(uniq[r]))]
-    table = spark.createDataFrame(rows, f"run int, {features} array<double>, weight double")
-    out = weighted_kmeans_runs(table, k, runs, seed=seed, features=features)
+    out = _reduce_runs(spark, uniq, list(w[r, :len(u)] for r, u in enumerate(uniq)), k, 30, seed)
     for r, cs in enumerate(out):
         if len(cs) < k:
             log.warning("k-means||: only %d distinct candidates for k=%d (Q10)", len(cs), k)
@@ -293,7 +295,7 @@ def init_parallel_runs(points: DataFrame, k: int, runs: int = 1, init_steps: int
 
 
 def _reduce_candidates(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator,
-                       max_iter: int, pp_only: bool = False) -> np.ndarray:
+                       max_iter: int) -> np.ndarray:
     """Weighted k-means++ then weighted Lloyd on one run's candidates (numpy
     inside one task; the candidate set is model-sized).  The k-means++ draw
     is an exponential race: argmin of -ln(U)/(w*cost) picks row i with
@@ -314,8 +316,6 @@ def _reduce_candidates(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Gene
         centers.append(c)
         cost = np.minimum(cost, np.sum((x - c) ** 2, axis=1))
     cs = np.array(centers)
-    if pp_only:
-        return cs
     for _ in range(max_iter):
         a = np.argmin(sqdist(x, cs), axis=1)
         new = cs.copy()
@@ -332,26 +332,82 @@ def _reduce_candidates(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Gene
     return cs
 
 
-def _reduce_runs(table: DataFrame, k: int, max_iter: int, seed: int, features: str,
-                 weight: str, pp_only: bool = False) -> dict:
-    """C7 for every run in ONE job: ``applyInPandas`` grouped by run over the
-    run-keyed candidate table."""
+def _compact_groups(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers of groups of at most ``size`` rows that lie close together:
+    halved at the median of the widest coordinate until they fit."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        wide = int(np.argmax(x[rows].max(axis=0) - x[rows].min(axis=0)))
+        rows = rows[np.argsort(x[rows, wide], kind="stable")]
+        todo += [rows[:len(rows) // 2], rows[len(rows) // 2:]]
+    return out
+
+
+def _shares(x: np.ndarray, w: np.ndarray, groups: list[np.ndarray], k: int) -> list[int]:
+    """How many of k centres each group gets: one, and the rest by the root of
+    its weight times its cost around its mean; no more than its distinct rows."""
+    most = np.array([len(np.unique(x[g], axis=0)) for g in groups])
+    need = np.empty(len(groups))
+    for i, g in enumerate(groups):
+        mean = np.average(x[g], axis=0, weights=w[g])
+        need[i] = np.sqrt(w[g].sum() * (w[g] @ np.sum((x[g] - mean) ** 2, axis=1)))
+    got = np.minimum(1, most)
+    while (left := min(k, most.sum()) - got.sum()) > 0:
+        open_ = got < most
+        part = np.where(open_, need + 1e-300, 0.0)
+        more = np.minimum(np.floor(left * part / part.sum()).astype(int), most - got)
+        if not more.any():
+            first = np.argsort(-part / (got + 1.0), kind="stable")[:left]
+            more[first[open_[first]]] = 1
+        got = got + more
+    return got.tolist()
+
+
+def _reduce_runs(spark: SparkSession, cands: list, weights: list, k: int, max_iter: int, seed: int,
+                 one_group: int | None = None, polish: int = 3) -> list:
+    """C7 for all runs: each run's weighted candidates to (<= k, d) centres.
+
+    A run of few candidates is one group.  More of them are parted into compact
+    groups, every group is reduced to its share of the centres, and a few
+    weighted passes over all candidates move the union.  Candidates are model
+    state (2k a round and run), the groups are tasks of one job.
+    """
     import pandas as pd
 
-    def per_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        run = int(pdf["run"].iloc[0])
-        x = np.array(pdf[features].tolist(), dtype=np.float64)
-        w = pdf[weight].to_numpy(dtype=np.float64)
-        cs = _reduce_candidates(x, w, k, np.random.default_rng([seed, run]), max_iter, pp_only)
-        return pd.DataFrame({"run": [run] * len(cs), "cluster": list(range(len(cs))),
-                             "center": [c.tolist() for c in cs]})
-
-    rows = table.select("run", features, weight).groupBy("run").applyInPandas(
-        per_run, "run int, cluster int, center array<double>").collect()
-    out: dict = {}
-    for r in sorted(rows, key=lambda r: (r["run"], r["cluster"])):
-        out.setdefault(r["run"], []).append(r["center"])
-    return {r: np.array(c, dtype=np.float64) for r, c in out.items()}
+    one_group = ONE_GROUP if one_group is None else one_group
+    d = cands[0].shape[1]
+    rows, parted = [], []
+    for run, (x, w) in enumerate(zip(cands, weights)):
+        live = w > 0
+        x, w = x[live], w[live]
+        # At most k groups: each one gives a centre at least.
+        size = len(x) if len(x) <= one_group else max(GROUP_ROWS * one_group // ONE_GROUP, -(-2 * len(x) // k))
+        groups = _compact_groups(x, max(1, size))
+        share = [k] if len(groups) == 1 else _shares(x, w, groups, k)
+        parted.append(len(groups) > 1)
+        rows += [(run, g, share[g], x[i].tolist(), float(w[i])) for g, at in enumerate(groups) for i in at.tolist()]
+    table = spark.createDataFrame(rows, "run int, grp int, k int, features array<double>, weight double")
+
+    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        run, grp, share = (int(pdf[c].iloc[0]) for c in ("run", "grp", "k"))
+        x = np.array(pdf["features"].tolist(), dtype=np.float64)
+        rng = np.random.default_rng([seed, run] if grp == 0 else [seed, run, grp])
+        cs = _reduce_candidates(x, pdf["weight"].to_numpy(dtype=np.float64), share, rng, max_iter)
+        return pd.DataFrame({"run": run, "grp": grp, "place": range(len(cs)), "center": [c.tolist() for c in cs]})
+
+    found = table.groupBy("run", "grp").applyInPandas(per_group, "run int, grp int, place int, center array<double>").collect()
+    out = [np.array([r["center"] for r in sorted(found, key=lambda r: (r["grp"], r["place"])) if r["run"] == run]).reshape(-1, d)
+           for run in range(len(cands))]
+    for run in np.flatnonzero(parted).tolist():
+        own = table.where(F.col("run") == run).select("features", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+        for _ in range(polish):
+            out[run] = update(out[run], step_sums(own, out[run], "features", "weight"), 0.0)[0]
+        own.unpersist()
+    return out
 
 
 def _uniform(features: str, seed: int):
@@ -371,15 +427,25 @@ def kmeans_pp(table: DataFrame, k: int, seed: int = 0, features: str = P.FEATURE
     """
     draws = draws or _uniform(features, seed)
     centers: list[np.ndarray] = []
-    rows = table.where(F.col(weight) > 0).withColumn("cost", F.lit(1.0))
-    for step in range(k):
-        if centers:  # all centres anew: no table of costs is kept
-            rows = cost_column(table.where(F.col(weight) > 0), np.array(centers), features)
-        race = -F.log(draws(step)) / (F.col(weight) * F.col("cost"))
-        first = rows.where("cost > 0").select(features, race.alias("race")).orderBy("race", features).limit(1).collect()
-        if not first:
-            break  # Q10: fewer distinct candidates than k
-        centers.append(np.array(first[0][0], dtype=np.float64))
+    rows, held = table.where(F.col(weight) > 0).withColumn("cost", F.lit(1.0)), None
+    try:
+        for step in range(k):
+            race = -F.log(draws(step)) / (F.col(weight) * F.col("cost"))
+            first = rows.where("cost > 0").select(features, race.alias("race")).orderBy("race", features).limit(1).collect()
+            if held is not None and held is not rows:
+                held.unpersist()
+            held = rows
+            if not first:
+                break  # Q10: fewer distinct candidates than k
+            centers.append(np.array(first[0][0], dtype=np.float64))
+            if step + 1 < k:
+                # The running minimum: a row meets each centre once.
+                rows = cost_column(rows, centers[-1][None], features, "cost" if step else None)
+                rows = rows.persist(StorageLevel.MEMORY_AND_DISK) if (step + 1) % CUT else cut_lineage(rows)
+    finally:
+        for df in (held, rows):
+            if df is not None:
+                df.unpersist()
     return np.array(centers)
 
 
@@ -402,15 +468,6 @@ def weighted_kmeans(table: DataFrame, k: int, max_iter: int = 30, seed: int = 0,
     return cs
 
 
-def weighted_kmeans_runs(table: DataFrame, k: int, runs: int, max_iter: int = 30,
-                         seed: int = 0, features: str = P.FEATURES,
-                         weight: str = "weight") -> list:
-    """C7 for all runs in one job.  A run with fewer than k distinct
-    candidates returns them all (Q10); the caller pads if it needs k."""
-    got = _reduce_runs(table, k, max_iter, seed, features, weight)
-    return [got.get(r, np.zeros((0, 0))) for r in range(runs)]
-
-
 def weighted_step(table: DataFrame, centers: np.ndarray, features: str = P.FEATURES,
                   weight: str = "weight") -> DataFrame:
     """C7 step as a table: (cluster, weight, center) after one weighted pass."""
