@@ -15,7 +15,7 @@ from ..functions import centers as C
 from ..functions import draws
 from ..session import scratch_table_dir
 from ..sources import points as P
-from ..sources.stream import points_stream, write_feed
+from ..sources.stream import write_feed
 from ..streaming.kmeans import StreamingKMeans
 from . import fixtures as X
 from . import sqlgen as S
@@ -82,10 +82,9 @@ def _state_sql(decay, unit, weights=None, far=False):
 def stream_kmeans_train(spark, sf_dir):
     """G1: Structured Streaming, one block per trigger, foreachBatch update."""
     feed, start = start_centers(spark, sf_dir)
-    path, files = write_feed(feed.select(P.FEATURES, "blk"), "blk", "events-feed")
-    schema = feed.select(P.FEATURES).schema
+    blocks = write_feed(feed.select(P.FEATURES, "blk"), "blk", "events-feed")
     model = StreamingKMeans(k=K, decay=0.5).set_initial_centers(spark, start, 1.0)
-    q = model.train_on(points_stream(spark, path, schema, files))
+    q = model.train_on(blocks)
     q.awaitTermination()
     return _state_out(model, spark)
 
@@ -161,10 +160,9 @@ def _predict(spark, sf_dir, keep):
     feed, start = start_centers(spark, sf_dir)
     model = StreamingKMeans(k=K, decay=1.0).set_initial_centers(spark, start, 1.0)
     run_static(model, feed)
-    path, files = write_feed(feed.select("event_id", "user_id", P.FEATURES, "blk"), "blk", "events-feed")
-    schema = feed.select("event_id", "user_id", P.FEATURES).schema
+    blocks = write_feed(feed.select("event_id", "user_id", P.FEATURES, "blk"), "blk", "events-feed")
     out_dir = model.state_dir + "-predictions"
-    q = model.predict_on(points_stream(spark, path, schema, files), out_dir, keep=keep)
+    q = model.predict_on(blocks, out_dir, keep=keep)
     q.awaitTermination()
     return spark.read.parquet(out_dir)
 

@@ -25,6 +25,7 @@ from ..functions.draws import normal_value
 from ..operators import kmeans
 from ..session import scratch_table_dir
 from ..sources import points as P
+from ..sources.stream import BlockFeed
 
 BATCHES, POINTS = "batches", "points"
 DYING = 1e-16  # least total weight that divides
@@ -78,6 +79,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def _opened(stream: DataFrame | BlockFeed):
+    """(stream, micro-batch -> its points)."""
+    if isinstance(stream, BlockFeed):
+        return stream.stream(SparkSession.active()), stream.rows
+    return stream, lambda df: df
+
+
 @dataclass
 class StreamingKMeans:
     """Model state = k rows; ``state_dir`` holds one folder per batch id."""
@@ -178,11 +186,12 @@ class StreamingKMeans:
             self._prune(spark, batch_id - self.keep_states + 1)
 
     # G1
-    def train_on(self, stream: DataFrame, checkpoint: str | None = None,
+    def train_on(self, stream: DataFrame | BlockFeed, checkpoint: str | None = None,
                  available_now: bool = True):
-        spark = stream.sparkSession
-        ck = checkpoint or self._dir(spark) + "-checkpoint"
-        w = stream.writeStream.foreachBatch(lambda df, bid: self.update(df, bid)).option(
+        """Update by every micro-batch of a stream of points or of a feed of blocks."""
+        stream, rows = _opened(stream)
+        ck = checkpoint or self._dir(stream.sparkSession) + "-checkpoint"
+        w = stream.writeStream.foreachBatch(lambda df, bid: self.update(rows(df), bid)).option(
             "checkpointLocation", ck)
         w = w.trigger(availableNow=True) if available_now else w
         return w.start()
@@ -196,7 +205,7 @@ class StreamingKMeans:
         return self._read(spark)[0]
 
     # G6 / G7
-    def predict_on(self, stream: DataFrame, out_dir: str, keep=(),
+    def predict_on(self, stream: DataFrame | BlockFeed, out_dir: str, keep=(),
                    checkpoint: str | None = None, available_now: bool = True):
         """Score each micro-batch with the newest centres (re-read per batch);
         output folder per batch id, overwritten on replay.
@@ -205,6 +214,7 @@ class StreamingKMeans:
         before it is scored; a replay reads those, whatever states have come
         or gone since."""
         keep = list(keep)
+        stream, rows = _opened(stream)
         pins = out_dir.rstrip("/") + "-centers"
 
         def score(df, bid):
@@ -213,7 +223,7 @@ class StreamingKMeans:
             if not exists(spark, f"{pin}/_SUCCESS"):
                 C.to_df(spark, self.latest_centers(spark)).coalesce(1).write.mode("overwrite").parquet(pin)
             cs = C.from_df(spark.read.parquet(pin))
-            pts = P.clean(df, self.features)
+            pts = P.clean(rows(df), self.features)
             out = kmeans.predict(pts.select(*keep, self.features), cs, self.features)
             out.write.mode("overwrite").parquet(f"{out_dir}/batch_id={bid}")
 

@@ -321,16 +321,15 @@ def test_stream_state_retention(spark, sf_dir):
 
 def test_replayed_batch_is_scored_with_its_own_centres(spark, sf_dir):
     from softcluster.plans import stream_queries as SQ
-    from softcluster.sources.stream import points_stream, write_feed
+    from softcluster.sources.stream import write_feed
     from softcluster.streaming.kmeans import StreamingKMeans
     feed, start = SQ.start_centers(spark, sf_dir)
     m = StreamingKMeans(k=4).set_initial_centers(spark, start, 1.0)
-    path, files = write_feed(feed.select("event_id", P.FEATURES, "blk"), "blk")
-    schema = feed.select("event_id", P.FEATURES).schema
+    blocks = write_feed(feed.select("event_id", P.FEATURES, "blk"), "blk")
 
     def scored(checkpoint):
         out = m.state_dir + "-scored"
-        m.predict_on(points_stream(spark, path, schema, files), out, keep=["event_id"], checkpoint=out + checkpoint).awaitTermination()
+        m.predict_on(blocks, out, keep=["event_id"], checkpoint=out + checkpoint).awaitTermination()
         return sorted(map(tuple, spark.read.parquet(out).select("event_id", "prediction", "batch_id").collect()))
 
     first = scored("-a")
