@@ -522,6 +522,52 @@ def lda_train_online(spark, sf_dir):
     return _online_model(spark, sf_dir, optimize_alpha=True).topics()
 
 
+ONLINE_STEPS = 2
+
+
+def _train_online_sql():
+    """Mini-batches by keyed draws; a document drawn n times counts n times."""
+    steps = ", ".join(f"{s!r}::DOUBLE" for s in draws.poisson_steps(OFRACTION))
+    d = "(SELECT count(DISTINCT doc_id) FROM tok)"
+    dot = _each("b{j} * h{j}", " + ")
+    ctes = _inferred()[:len(_corpus()) + 1]  # the words and the given lambda
+    prev = "lam"
+    for it in range(1, ONLINE_STEPS + 1):
+        rho = (1024.0 + it) ** -0.51
+        ctes += [
+            S.cte(f"ls{it}", f"SELECT {_each('sum(l{j}) AS s{j}')} FROM {prev}"),
+            S.cte(f"be{it}", "SELECT term_id, " + ", ".join(f"exp({_psi(f'l{j}')} - {_psi(f's{j}')}) AS b{j}" for j in range(K)) + f" FROM {prev}, ls{it}"),
+            S.cte(f"dr{it}", f"SELECT doc_id, len(list_filter([{steps}], lambda s: s <= u)) AS n FROM "
+                             f"(SELECT doc_id, {draws.uniform_sql(5 * 100003 + it - 1, 'doc_id')} AS u FROM (SELECT DISTINCT doc_id FROM tok))"),
+            S.cte(f"bt{it}", f"SELECT doc_id, term_id, cnt, n FROM tok JOIN dr{it} USING (doc_id) WHERE n > 0"),
+            S.cte(f"g{it}0", f"SELECT doc_id, {_each('1.0::DOUBLE AS g{j}')} FROM (SELECT DISTINCT doc_id FROM bt{it})")]
+        for t in range(PASSES):
+            ctes += _theta_of(f"{it}{t}")
+            pulled = ", ".join(f"any_value(h{j}) * sum(b{j} * cnt / ({dot} + 1e-100)) + {1.0 / K!r} AS g{j}" for j in range(K))
+            ctes.append(S.cte(f"g{it}{t + 1}", f"SELECT doc_id, {pulled} FROM bt{it} JOIN be{it} USING (term_id) "
+                                               f"JOIN h{it}{t} USING (doc_id) GROUP BY doc_id"))
+        ctes += _theta_of(f"{it}{PASSES}")
+        ctes += [
+            S.cte(f"st{it}", "SELECT term_id, " + ", ".join(f"any_value(b{j}) * sum(n * h{j} * cnt / ({dot} + 1e-100)) AS v{j}" for j in range(K)) +
+                  f" FROM bt{it} JOIN be{it} USING (term_id) JOIN h{it}{PASSES} USING (doc_id) GROUP BY term_id"),
+            S.cte(f"lam{it}", "SELECT term_id, " + ", ".join(
+                f"{1.0 - rho!r} * l{j} + {rho!r} * (coalesce(v{j}, 0.0) * ({d} / ceil({OFRACTION!r} * {d})) + {1.0 / K!r}) AS l{j}" for j in range(K)) +
+                f" FROM {prev} LEFT JOIN st{it} USING (term_id)")]
+        prev = f"lam{it}"
+    return S.with_(ctes, _long("l{j}", "term_id", prev, "weight"))
+
+
+@query("lda_train_online_given", _train_online_sql)
+def lda_train_online_given(spark, sf_dir):
+    """H1 (online): two mini-batches by keyed draws from a given lambda, three inner passes."""
+    tc, _ = corpus(spark, sf_dir)
+    _, model = _given(spark, sf_dir)
+    fit = OL.train_online(tc, k=K, max_iter=ONLINE_STEPS, fraction=OFRACTION, seed=5, optimize_alpha=False,
+                          vocab_size=model.vocab_size, lam=model.lam, how=HOW)
+    return fit.lam.select("term_id", F.posexplode("w").alias("topic", "weight")).select(
+        "term_id", "topic", F.round("weight", 6).alias("weight"))
+
+
 @query("lda_transform", lambda: S.with_(_inferred(), _long("g{j} / gs", "doc_id", f"q{PASSES}", "theta")))
 def lda_transform(spark, sf_dir):
     """Topic mix of every document under the given lambda."""
