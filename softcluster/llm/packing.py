@@ -345,7 +345,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     shared = spark.sparkContext.broadcast(Lanes(sizes, shares, window, quantum, lanes)) if len(sizes) else None
 
     base = F.sum("n").over(Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    bases = sums.select("queue", "task", base.alias("base")).join(numbered.select("queue", "q"), "queue")
+    # Written, so that its size is known when the join with all rows is planned.
+    bases = written(sums.select("queue", "task", base.alias("base")).join(numbered.select("queue", "q"), "queue"), "queue_bases")
     placed = rows.join(bases, ["queue", "task"]).select("doc_id", "queue", "ids", "n", (F.col("start") + F.col("base")).alias("start"), "q")
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
