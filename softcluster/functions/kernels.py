@@ -74,7 +74,7 @@ def sums_by_key(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def keyed(acc: np.ndarray) -> pa.RecordBatch:
+def _keyed(acc: np.ndarray) -> pa.RecordBatch:
     """Rows (key, values) of the keys that are not all zero."""
     keys = np.flatnonzero(acc.any(axis=1))
     part = acc[keys]
@@ -101,7 +101,7 @@ def partial_sums(df: DataFrame, shape: tuple[int, int], batch_fn) -> np.ndarray:
             part = batch_fn(b)
             acc = part if acc is None else acc + part
         if acc is not None:
-            yield keyed(acc)
+            yield _keyed(acc)
 
     return total_sums(df.mapInArrow(run, PARTIAL_SCHEMA), df.rdd.getNumPartitions(), shape)
 

@@ -24,7 +24,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..functions.kernels import BLOCK_CELLS, batch_matrix, keyed, sqdist, sums_by_key, total_sums
+from ..functions.kernels import BLOCK_CELLS, _keyed, batch_matrix, sqdist, sums_by_key, total_sums
 from ..functions.scoring import lists, scored
 from ..session import cut_lineage
 from ..sources import points as P
@@ -107,7 +107,7 @@ def _pass(rows: DataFrame, features: str, centers: np.ndarray, moved: np.ndarray
                 yield pa.RecordBatch.from_arrays(
                     [lists(x), pa.array(cluster.astype(np.int32)), lists(small),
                      pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.list_(pa.float64()))], names=names)
-        sums = keyed(acc)
+        sums = _keyed(acc)
         n = sums.num_rows
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(n, pa.list_(pa.float64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.float32())),
