@@ -104,7 +104,7 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dedup.passages(load(spark, sf_dir, "documents"))
 
 
-ORACLES["op8_secrets"] = sql.secrets_sql(secrets.KINDS, secrets.CANDIDATE, secrets.CLASSES, secrets.ALLOWED)
+ORACLES["op8_secrets"] = sql.secrets_sql(secrets.KINDS, secrets.CANDIDATE, secrets.CLASSES, secrets.ALLOWED, secrets.PLAIN, secrets.SEPARATOR)
 ORACLES["op9_licenses"] = sql.licenses_sql(licenses.TEMPLATES)
 
 

@@ -1,11 +1,13 @@
 """Secret scans with sliding-window entropy, in DataFrame functions (operator 8).
 
 Fixed kinds are regular expressions.  Beyond them, every long run of key
-characters that holds a letter and a digit is a candidate: a window slides
-over it, the count of each character is updated by the one that enters and
-the one that leaves, and with the counts the window's Shannon entropy.  A
-candidate whose best window reaches its character class's threshold is a
-span, unless an allow-list pattern matches it or a fixed kind covers it.
+characters is a candidate.  The characters that fixed kinds cover are taken
+out of it, and words and short numbers between separators off both ends of
+each part that stays (``docs/example/<key>`` leaves the key).  A window slides
+over what is left: the count of each character is updated by the one that
+enters and the one that leaves, and with the counts the window's Shannon
+entropy.  A part whose best window reaches its character class's threshold is
+a span, unless an allow-list pattern matches it.
 
 Places come from the lengths of the texts between matches, summed by a window
 over the matches of one row, so a text's cost grows with its length alone.
@@ -37,15 +39,19 @@ KINDS = (
 )
 CANDIDATE = Kind("entropy", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
 
-#: Least bits per character of a window, by the candidate's character class.
-CLASSES = (("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 2.8), ("upper", r"^[A-Z0-9]+$", 3.4), ("base64", r"", 3.6))
+#: A segment between separators that is a word, some words or a short number, and no part of a key's ends.
+PLAIN = r"^([A-Z]?[a-z]{1,15}([A-Z][a-z]{2,15}){0,3}|[A-Z]{1,15}|[0-9]{0,10})$"
+SEPARATOR = r"[^A-Za-z0-9]"
 
-#: Candidates that these match are no secrets.
+#: Least bits per character of a window, by the candidate's character class (the first that matches).
+CLASSES = (("digits", r"^[0-9]+$", 3.2), ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 2.8), ("one_case", r"^([a-z]+|[A-Z]+)$", 3.8),
+           ("letters", r"^[A-Za-z+/_=-]+$", 4.0), ("upper", r"^[A-Z0-9]+$", 3.4), ("base64", r"", 3.6))
+
+#: Candidates that these match are no secrets: identifiers, alphabets and keys marked as examples.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|placeholder|dummy|changeme|xxxx|0123456789|abcdefgh",
-    r"^[a-z0-9]+([-_/][a-z0-9]+){2,}$",
-    r"^(.)\1*$",
+    r"(?i)^(0123456789|1234567890|abcdefghijklmnopqrstuvwxyz|abcdef){1,8}$",
+    r"EXAMPLE(KEY)?$",
 )
 
 
@@ -90,9 +96,46 @@ def best_entropy(value: Column, width: int) -> Column:
         F.sequence(F.lit(1), F.size(c)), start, lambda s, i: step(s, i, c), lambda s: s["best"])), F.lit(0))
 
 
+def _uncovered(runs: DataFrame, covers: DataFrame, least: int) -> DataFrame:
+    """row, at (start) and m of the stretches of runs (row, start, end, m;
+    apart from each other), ``least`` characters or longer, that no span of
+    covers touches.  The edges of both are swept in order, row by row."""
+    def edge(df: DataFrame, at: str, run: int, cover: int, start: Column) -> DataFrame:
+        return df.select("row", F.col(at).alias("at"), F.lit(run).alias("c"), F.lit(cover).alias("f"), start.cast("int").alias("run"))
+
+    none = F.lit(None)
+    edges = (edge(runs, "start", 1, 0, F.col("start")).unionAll(edge(runs, "end", -1, 0, none))
+             .unionAll(edge(covers, "start", 0, 1, none)).unionAll(edge(covers, "end", 0, -1, none)))
+    points = edges.groupBy("row", "at").agg(F.sum("c").alias("c"), F.sum("f").alias("f"), F.max("run").alias("run"))
+    order = Window.partitionBy("row").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    free = points.select("row", "at", F.sum("c").over(upto).alias("c"), F.sum("f").over(upto).alias("f"), F.max("run").over(upto).alias("start"),
+                         (F.lead("at").over(order) - F.col("at")).alias("size"))
+    free = free.where((F.col("c") > 0) & (F.col("f") == 0) & (F.col("size") >= least))
+    parts = free.groupBy("row", "start").agg(F.collect_list(F.struct("at", "size")).alias("parts"))
+    cut = lambda x: F.struct(x["at"].alias("at"), F.substring(F.col("m"), x["at"] - F.col("start") + 1, x["size"]).alias("m"))
+    return runs.join(parts, ["row", "start"]).select("row", F.explode(F.transform("parts", cut)).alias("x")).select("row", "x.*")
+
+
+def _trimmed(parts: DataFrame, plain: str) -> DataFrame:
+    """row, start, end and m of parts (row, at, m) without the plain segments at
+    their ends; parts of nothing else are left out."""
+    def taken(segments: Column, first: Column) -> Column:
+        """Characters of the segments before the first one that is not plain, separators included."""
+        return F.aggregate(F.slice(segments, F.lit(1), F.greatest(first - 1, F.lit(0))), F.lit(0), lambda n, x: n + F.char_length(x) + 1)
+
+    cut = parts.withColumn("seg", F.split("m", SEPARATOR, -1)).withColumn("plain", F.transform("seg", lambda x: x.rlike(plain)))
+    cut = cut.withColumns({"a": F.array_position("plain", F.lit(False)).cast("int"),
+                           "b": F.array_position(F.reverse("plain"), F.lit(False)).cast("int")}).where(F.col("a") > 0)
+    cut = cut.withColumns({"head": taken(F.col("seg"), F.col("a")), "tail": taken(F.reverse("seg"), F.col("b"))})
+    size = F.char_length("m") - F.col("head") - F.col("tail")
+    return cut.select("row", (F.col("at") + F.col("head")).alias("start"), (F.col("at") + F.col("head") + size).alias("end"),
+                      F.substring(F.col("m"), F.col("head") + 1, size).alias("m"))
+
+
 def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, width: int = 20,
          classes: tuple[tuple[str, str, float], ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED,
-         keep: tuple[str, ...] = ()) -> DataFrame:
+         plain: str = PLAIN, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: row (unique), doc_id, spans, and the columns of ``keep`` as k0, k1, ...
 
     spans: array of start, kind (number in ``kinds``, their count for entropy)
@@ -116,13 +159,12 @@ def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, width: int = 20,
     spans = each.withColumn("end", end).where("ok").select("row", (F.col("end") - F.col("size")).alias("start"), "kind", "end", "m")
     fixed = spans.where(F.col("kind") < len(kinds)).drop("m")
 
-    likely = spans.where(F.col("kind") == len(kinds)).where(F.col("m").rlike("[0-9]") & F.col("m").rlike("[A-Za-z]"))
+    runs = spans.where(F.col("kind") == len(kinds)).select("row", "start", "end", "m")
+    likely = _trimmed(_uncovered(runs, fixed, CANDIDATE.least), plain).where(F.col("end") - F.col("start") >= CANDIDATE.least)
     for pattern in allowed:
         likely = likely.where(~F.col("m").rlike(pattern))
     least = F.coalesce(*[F.when(F.col("m").rlike(p), F.lit(bits)) for _, p, bits in classes])
-    likely = likely.where(best_entropy(F.col("m"), width) >= least)
-    covered = fixed.select("row", F.col("start").alias("s"), F.col("end").alias("e"))
-    added = likely.drop("m").join(covered, (likely["row"] == covered["row"]) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end")), "left_anti")
+    added = likely.where(best_entropy(F.col("m"), width) >= least).select("row", "start", F.lit(len(kinds)).alias("kind"), "end")
     per_row = (fixed.unionAll(added).groupBy("row")
                .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")

@@ -83,11 +83,10 @@ def _spans(name: str, number: int, pattern: str, group: int, least: int) -> str:
     return _SPANS.format(name=name, number=number, pattern=quoted, group=group, split=quoted, least=least)
 
 
-def secrets_sql(kinds, candidate, classes, allowed) -> str:
-    """Op 8, with the operator's patterns; one of them, a repeated character, is written without its back-reference."""
+def secrets_sql(kinds, candidate, classes, allowed, plain: str, separator: str) -> str:
+    """Op 8, with the operator's patterns."""
     parts = [_spans(k.name, i, k.pattern, k.group, k.least) for i, k in enumerate((*kinds, candidate))]
-    quoted = [p.replace("'", "''") for p in allowed if "\\1" not in p]
-    allow = " AND ".join(f"NOT regexp_matches(m, '{p}')" for p in quoted)
+    allow = " AND ".join(f"NOT regexp_matches(m, '{p}')" for p in allowed)
     least = "CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN {bits}" for _, p, bits in classes) + " END"
     names = "[" + ", ".join(f"'{k.name}'" for k in (*kinds, candidate)) + "]"
     union = " UNION ALL ".join(f"SELECT doc_id, kind, s, s + n AS e FROM {k.name}" for k in kinds)
@@ -98,11 +97,24 @@ def secrets_sql(kinds, candidate, classes, allowed) -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),{",".join(parts)},
 fixed AS ({union}),
-likely AS (SELECT doc_id, kind, s, s + n AS e, m, {least} AS least FROM entropy
-  WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND len(list_distinct(string_split(m, ''))) > 1 AND {allow}),
+runs AS (SELECT doc_id, s, s + n AS e, m FROM entropy),
+edges AS (SELECT doc_id, s AS place, 1 AS c, 0 AS f, s AS run FROM runs UNION ALL SELECT doc_id, e, -1, 0, NULL FROM runs
+  UNION ALL SELECT doc_id, s, 0, 1, NULL FROM fixed UNION ALL SELECT doc_id, e, 0, -1, NULL FROM fixed),
+points AS (SELECT doc_id, place, sum(c) AS c, sum(f) AS f, max(run) AS run FROM edges GROUP BY doc_id, place),
+free AS (SELECT doc_id, place, sum(c) OVER w AS c, sum(f) OVER w AS f, max(run) OVER w AS run, lead(place) OVER w - place AS size
+  FROM points WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+parts AS (SELECT free.doc_id, place, substr(m, place - run + 1, size) AS m FROM free JOIN runs ON free.doc_id = runs.doc_id AND run = s
+  WHERE c > 0 AND f = 0 AND size >= {candidate.least}),
+cut AS (SELECT *, list_transform(g, lambda x: regexp_matches(x, '{plain}')) AS plain FROM (SELECT *, string_split_regex(m, '{separator}') AS g FROM parts)),
+ends AS (SELECT *, list_position(plain, false) AS a, list_position(list_reverse(plain), false) AS b FROM cut),
+trimmed AS (SELECT doc_id, place + head AS s, place + length(m) - tail AS e, substr(m, head + 1, length(m) - head - tail) AS m FROM (
+  SELECT *, CAST(coalesce(list_sum(list_transform(g[1:a - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS head,
+         CAST(coalesce(list_sum(list_transform(list_reverse(g)[1:b - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS tail FROM ends WHERE coalesce(a, 0) > 0)),
+likely AS (SELECT doc_id, {len(kinds)} AS kind, s, e, m, {least} AS least FROM trimmed
+  WHERE e - s >= {candidate.least} AND len(list_distinct(string_split(m, ''))) > 1 AND {allow}),
 windows AS (SELECT doc_id, kind, s, e, least, unnest(list_transform(generate_series(1, greatest(length(m) - 19, 1)), lambda i: substr(m, i, 20))) AS w FROM likely),
 added AS (SELECT doc_id, kind, s, e FROM windows GROUP BY doc_id, kind, s, e, least HAVING max({entropy}) >= least),
-every AS (SELECT * FROM fixed UNION ALL SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM fixed f WHERE f.doc_id = a.doc_id AND f.s < a.e AND a.s < f.e)),
+every AS (SELECT * FROM fixed UNION ALL SELECT * FROM added),
 per AS (SELECT doc_id, {counted}, string_agg({label}, ',' ORDER BY s, kind, e) FILTER (kind < {len(kinds)}) AS base, string_agg({label}, ',' ORDER BY s, kind, e) AS spans FROM every GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per USING (doc_id)
