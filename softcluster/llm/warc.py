@@ -30,11 +30,14 @@ BLOCKS = ("address", "article", "aside", "blockquote", "body", "br", "dd", "div"
           "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td",
           "th", "tr", "ul")
 
-_NAME = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*>?|/?([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>?)", re.S)
+# What a tag holds up to its end; possessive, so that no page is read again from an earlier place.
+_INSIDE = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_NAME = re.compile(rf"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*+>?|/?([a-zA-Z][^\s/>]*+){_INSIDE}>?)", re.S)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*HIDDEN, "title")}
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
+_OPEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(a|html|title)(?=[\s/>])({_INSIDE})>?", re.S | re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?", re.S)
+_LANGUAGE = re.compile(r"[A-Za-z0-9-]+")
+_TITLE_END = re.compile(r"</title", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -96,6 +99,27 @@ def plain_text(page: str) -> str:
     return _LINES.sub("\n", _SPACE.sub(" ", "".join(out))).strip()
 
 
+def facts(page: str) -> tuple[str | None, str | None, int]:
+    """A page's title, the language its html element names, and its number of
+    links (elements a with an href), in one pass over its tags."""
+    title = lang = None
+    links, titles, at = 0, True, 0
+    while m := _OPEN.search(page, at):
+        at, name = m.end(), (m[1] or "").lower()
+        if name == "a":
+            links += any(x[1].lower() == "href" for x in _ATTRIBUTE.finditer(m[2]))
+        elif name == "html" and lang is None:
+            value = next((x[2] for x in _ATTRIBUTE.finditer(m[2]) if x[1].lower() == "lang" and x[2]), "")
+            found = _LANGUAGE.match(value.strip("\"' "))
+            lang = found[0].lower() if found else None
+        elif name == "title" and titles:
+            # Without an end tag from here on no later title has one either.
+            titles, end = False, _TITLE_END.search(page, at)
+            if end:
+                title, at = " ".join(html.unescape(page[at:end.start()]).split()), end.start()
+    return title, lang, links
+
+
 def _read(pages: DataFrame) -> DataFrame:
     """pages with text, title, lang and n_links of column payload (null: empty)."""
     schema = T.StructType(list(pages.schema.fields)).add("text", "string").add("title", "string").add("page_lang", "string").add("n_links", "long")
@@ -105,10 +129,7 @@ def _read(pages: DataFrame) -> DataFrame:
         for batch in batches:
             got = []
             for page in batch.column(at).to_pylist():
-                page = page or ""
-                title, lang = _TITLE.search(page), _LANG.search(page)
-                got.append((plain_text(page), " ".join(html.unescape(title[1]).split()) if title else None,
-                            lang[1].lower() if lang else None, len(_LINK.findall(page))))
+                got.append((plain_text(page or ""), *facts(page or "")))
             text, title, lang, links = zip(*got) if got else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(text, pa.string()), pa.array(title, pa.string()), pa.array(lang, pa.string()),
@@ -142,8 +163,9 @@ def derive(responses: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFram
     headers (the record's header lines).
 
     ``responses`` has page_id, url, html; also, where it has them, date and
-    http_headers (strings).  Null pages have an empty payload, null urls no
-    target; identical rows give identical records, each its own.
+    http_headers (strings).  A source without headers or date gets a plain status line and ``date`` in
+    the response, which must have them, and its metadata says "not given".
+    Null pages have an empty payload, null urls no target; identical rows give identical records, each its own.
     """
     have = set(responses.columns)
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -153,16 +175,19 @@ def derive(responses: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFram
     http = F.when(given.isNull(), default).otherwise(F.concat(F.regexp_replace(given, r"(\r\n)+$", ""), F.lit("\r\n")))
     rows = _read(responses.select(
         "page_id", _clean(F.col("url").cast("string")).alias("target_uri"), payload.alias("payload"), http.alias("http"),
-        (F.coalesce(F.col("date").cast("string"), F.lit(date)) if "date" in have else F.lit(date)).alias("date")))
+        (F.coalesce(F.col("date").cast("string"), F.lit(date)) if "date" in have else F.lit(date)).alias("date"),
+        given.isNull().alias("no_http"), (F.col("date").isNull() if "date" in have else F.lit(True)).alias("no_date")))
     source = record_id(F.lit("response"), F.col("page_id"), F.col("target_uri"), F.col("date"), F.col("payload"))
     rows = rows.withColumns({"source_id": source, "payload_digest": digest(F.col("payload"))})
 
     def line(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
-    facts = F.concat(
+    known = F.concat(
         line("title", _clean(F.col("title"))), line("language", F.col("page_lang")), line("outlinks", F.col("n_links").cast("string")),
         line("source-payload-digest", F.col("payload_digest")), line("source-content-length", F.octet_length("payload").cast("string")),
+        F.when(F.col("no_date"), F.lit("source-date: not given\r\n")).otherwise(F.lit("")),
+        F.when(F.col("no_http"), F.lit("source-headers: not given\r\n")).otherwise(F.lit("")),
         F.regexp_replace(F.col("http"), r"(?m)^(?=[^\r\n])", "source-http: "))
     record = lambda kind, block, mime, refers, own: F.struct(
         F.lit(kind).alias("type"), own.alias("record_id"), refers.alias("refers_to"), F.lit(mime).alias("content_type"), block.alias("block"))
@@ -170,7 +195,7 @@ def derive(responses: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFram
     nothing = F.lit(None).cast("string")
     three = F.array(
         record("response", F.concat("http", F.lit("\r\n"), "payload"), "application/http; msgtype=response", nothing, me),
-        record("metadata", facts, "application/warc-fields", me, record_id(F.lit("metadata"), me)),
+        record("metadata", known, "application/warc-fields", me, record_id(F.lit("metadata"), me)),
         record("conversion", F.col("text"), "text/plain; charset=utf-8", me, record_id(F.lit("conversion"), me)))
     out = rows.select("page_id", "target_uri", "date", "payload_digest", F.explode(three).alias("x")).select(
         "page_id", "x.type", "x.record_id", "x.refers_to", "target_uri", "x.content_type",

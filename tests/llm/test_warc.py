@@ -3,6 +3,7 @@
 import glob
 import gzip
 import hashlib
+import time
 from html.parser import HTMLParser
 
 from softcluster.llm import warc
@@ -121,3 +122,21 @@ def test_omitted_end_tags():
     assert text("<p>a<script>b<p>c") == text("<p>a<style>b") == text("<p>a<textarea>b") == "a"
     assert text("<head>") == text("<head><title>x</title>") == ""
     assert len(text("x<svg><head>" * 100_000)) > 100_000
+
+
+def test_hostile_pages_take_linear_time():
+    odd = ["<a ", "<html ", "<title>", "<a '\"", "<head><title>", "<script>", "<!--", "<a ><", "<html lang=\"", "<svg><head>x", "</"]
+    start = time.process_time()
+    for piece in odd:
+        page = piece * (5_000_000 // len(piece))
+        warc.plain_text(page)
+        warc.facts(page)
+    assert time.process_time() - start < 120
+
+
+def test_facts():
+    page = ("<!-- <a href=x> <title>no</title> --><HTML class=q lang = 'PT-br'><TITLE a='>'>A &amp;\n b</title>"
+            "<a title='href='>1</a><a data-href=u>2</a><A\nHREF='v>w'>3</A><abbr href=x><a href>4</a>")
+    assert warc.facts(page) == ("A & b", "pt-br", 2)
+    assert warc.facts("<title>open <a href=x>") == (None, None, 1)
+    assert warc.facts("") == (None, None, 0)
