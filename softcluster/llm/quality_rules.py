@@ -3,13 +3,18 @@
 Counts of each text are transformed to a vector; per language and source, a
 minimum covariance determinant estimate of centre and scatter is made, and
 documents whose Mahalanobis distance is beyond a chi-squared quantile are
-rejected.  The estimate starts from medians and absolute deviations and takes
-concentration steps: the ``keep_share`` of a group's rows nearest to the
-centre give the next centre and scatter.
-
-Everything per group is a grouped sum: quantiles are read off counts of fixed
-bins, and scatter, its Cholesky factor and the distances are columns, so a
-group of any size is combined in part before it is shuffled.
+rejected.  Three deterministic starts have the medians as centre and absolute
+deviations as spreads, with no correlations, those of squashed values and
+those of spatial signs.  Each is moved by concentration steps (the
+``keep_share`` of a group's rows nearest to the centre give the next centre
+and scatter) until no determinant falls, and a group takes its start of the
+least determinant.  A group counts together with ``prior`` rows' worth of all
+groups' core rows, so that small groups are held against what is usual.
+
+Everything per group is a grouped sum: starts are a second key of the same
+sums, quantiles are read off counts of fixed bins, and scatter, its Cholesky
+factor and the distances are columns, so a group of any size is combined in
+part before it is shuffled.
 """
 
 from __future__ import annotations
@@ -22,10 +27,13 @@ from softcluster.llm.tables import written
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 VECTOR = ("x0", "x1", "x2", "x3", "x4")
-#: Least standard deviations of the vector's parts: a group may hold one value only.
-FLOORS = (0.35, 0.06, 0.25, 0.25, 0.2)
+#: Standard deviations added to the vector's parts, against singular scatter: most texts of a group repeat nothing.
+FLOORS = (0.1, 0.03, 0.15, 0.07, 0.07)
+STARTS = ("diagonal", "tanh", "sign")
 #: Quantiles of the chi-squared distribution with five degrees of freedom.
 CHI2_MEDIAN, CHI2_CUTOFF = 4.351, 30.86  # 0.5, 1 - 1e-5
+#: A core of about half of normal rows has a scatter 1.8 (if all five parts vary) to 5.6 times (if one does) too small.
+CONSISTENCY = 3.0
 BIN = 0.005
 
 
@@ -79,21 +87,26 @@ def _quantiles(rows: DataFrame, by: list[str], value: str, share: float) -> Data
             .where(F.col("upto") >= F.col("all") * share).groupBy(*by).agg((F.min("bin") * BIN).alias("q")))
 
 
+def _cells() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
+
+
 def _factor(params: DataFrame) -> DataFrame:
-    """grp, m0.. and the scatter's s00, s10, ... to its Cholesky factor l00, l10, ..."""
-    p = len(VECTOR)
-    for i in range(p):
-        for j in range(i + 1):
-            rest = F.col(f"s{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            # The floors keep the diagonal positive.
-            params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return params.drop(*[f"s{i}{j}" for i in range(p) for j in range(i + 1)])
+    """start, grp, m0.. and the scatter's s00, s10, ... to its Cholesky factor
+    l00, l10, ... and det, half the logarithm of the determinant."""
+    for i, j in _cells():
+        rest = F.col(f"s{i}{j}")
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        # The floors keep the diagonal positive.
+        params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
+    det = sum((F.log(f"l{i}{i}") for i in range(1, len(VECTOR))), F.log("l00"))
+    return params.withColumn("det", det).drop(*[f"s{i}{j}" for i, j in _cells()])
 
 
 def _distances(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """rows with dist, the Mahalanobis distance (not squared) to the group's centre."""
+    """rows, once per start of their group, with start and away, the logarithm
+    of the squared Mahalanobis distance to the group's centre."""
     p = len(VECTOR)
     out = rows.join(params, "grp")
     for i in range(p):
@@ -102,70 +115,101 @@ def _distances(rows: DataFrame, params: DataFrame) -> DataFrame:
             rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
         out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
     total = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0"))
-    return out.select(*rows.columns, F.sqrt(total).alias("dist"))
+    return out.select(*rows.columns, "start", F.log(F.greatest(total, F.lit(1e-9))).alias("away"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and scaled median absolute deviations as a diagonal scatter."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """start, grp, medians m0.. and scatter s00, s10, ... of every start."""
+    p = range(len(VECTOR))
     parts = rows.select("grp", F.posexplode(F.array(*VECTOR)).alias("i", "x"))
-    centre = _quantiles(parts, ["grp", "i"], "x", 0.5)
+    centre = written(_quantiles(parts, ["grp", "i"], "x", 0.5), "mcd_centre")
     spread = _quantiles(parts.join(centre, ["grp", "i"]).select("grp", "i", F.abs(F.col("x") - F.col("q")).alias("a")),
                         ["grp", "i"], "a", 0.5).withColumnRenamed("q", "a")
-    both = centre.join(spread, ["grp", "i"]).groupBy("grp").agg(
-        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"m{i}") for i in range(len(VECTOR))],
-        *[F.max(F.when(F.col("i") == i, F.col("a") * 1.4826)).alias(f"a{i}") for i in range(len(VECTOR))])
-    scatter = {f"s{i}{j}": F.col(f"a{i}") ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)
-               for i in range(len(VECTOR)) for j in range(i + 1)}
-    return both.withColumns(scatter).drop(*[f"a{i}" for i in range(len(VECTOR))])
-
-
-def _estimate(rows: DataFrame) -> DataFrame:
+    both = written(centre.join(spread, ["grp", "i"]).groupBy("grp").agg(
+        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"m{i}") for i in p],
+        *[F.max(F.when(F.col("i") == i, F.sqrt((F.col("a") * 1.4826) ** 2 + FLOORS[i] ** 2))).alias(f"a{i}") for i in p]), "mcd_spread")
+    z = rows.join(both, "grp").select("grp", *[((F.col(VECTOR[i]) - F.col(f"m{i}")) / F.col(f"a{i}")).alias(f"z{i}") for i in p])
+    size = F.sqrt(sum((F.col(f"z{i}") ** 2 for i in p), F.lit(1e-12)))
+    squashed = {"tanh": [F.tanh(f"z{i}") for i in p], "sign": [F.col(f"z{i}") / size for i in p]}
+    products = z.groupBy("grp").agg(*[F.avg(v[i] * v[j]).alias(f"{name}{i}{j}") for name, v in squashed.items() for i, j in _cells()])
+
+    def scatter(name: str, i: int, j: int) -> Column:
+        own = F.col(f"a{i}") * F.col(f"a{j}")
+        if i == j:
+            return own
+        norm = F.sqrt(F.col(f"{name}{i}{i}") * F.col(f"{name}{j}{j}")) if name in squashed else F.lit(0.0)
+        return F.when(norm > 0, 0.99 * own * F.col(f"{name}{i}{j}") / norm).otherwise(0.0) if name in squashed else F.lit(0.0)
+
+    starts = F.array(*[F.struct(F.lit(n).alias("start"), *[scatter(name, i, j).alias(f"s{i}{j}") for i, j in _cells()])
+                       for n, name in enumerate(STARTS)])
+    return both.join(products, "grp").select("grp", *[f"m{i}" for i in p], F.explode(starts).alias("x")).select("grp", *[f"m{i}" for i in p], "x.*")
+
+
+def _estimate(core: DataFrame, prior: float) -> DataFrame:
+    """start, grp, mean and scatter of each group's core rows together with
+    ``prior`` rows that are spread as those of all groups."""
     p = range(len(VECTOR))
-    # Sums of the values less a constant near them would be steadier still;
-    # the vector's parts are of order one.
-    sums = rows.groupBy("grp").agg(
-        *[F.avg(VECTOR[i]).alias(f"m{i}") for i in p],
-        *[F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)])
-    return sums.select("grp", *[f"m{i}" for i in p], *[
-        (F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i in p for j in range(i + 1)])
-
-
-def outliers(rows: DataFrame, keep_share: float = 0.75, steps: int = 4, cutoff: float = CHI2_CUTOFF) -> DataFrame:
-    """rows (grp, x0.., others) with far: whether the row is beyond the cutoff."""
-    params = written(_factor(_start(rows)), "mcd")
-    for _ in range(steps):
+    own = written(core.groupBy("start", "grp").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(VECTOR[i]).alias(f"m{i}") for i in p],
+        *[F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i, j in _cells()]), "mcd_moments")
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    every = own.groupBy("start").agg(*[mean(F.col(f"m{i}")).alias(f"p{i}") for i in p],
+                                     *[mean(F.col(f"c{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}")).alias(f"q{i}{j}") for i, j in _cells()])
+    w = prior / (F.col("n") + prior)
+    apart = [F.col(f"m{i}") - F.col(f"p{i}") for i in p]
+    return own.join(every, "start").select(
+        "start", "grp", *[(F.col(f"m{i}") - w * apart[i]).alias(f"m{i}") for i in p],
+        *[((1 - w) * F.col(f"c{i}{j}") + w * (F.col(f"q{i}{j}") - F.col(f"p{i}") * F.col(f"p{j}")) + w * (1 - w) * apart[i] * apart[j]
+           + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in _cells()])
+
+
+def outliers(rows: DataFrame, keep_share: float = 0.55, most_steps: int = 8, settled: float = 0.01, prior: float = 50.0,
+             cutoff: float = CHI2_CUTOFF) -> DataFrame:
+    """rows (grp, x0.., others) with far: whether the row is beyond the cutoff.
+
+    Steps end when no group's determinant falls by a factor of more than
+    1 - 2 * ``settled`` under any start, and after ``most_steps``.
+    """
+    params, fell = written(_factor(_starts(rows)), "mcd"), True
+    for step in range(most_steps):
         near = _distances(rows, params)
-        reach = _quantiles(near, ["grp"], "dist", keep_share)
-        core = near.join(reach, "grp").where(F.ceil(F.col("dist") / BIN) * BIN <= F.col("q") + BIN / 2)
-        params = written(_factor(_estimate(core)), "mcd")
-    placed = _distances(rows, params)
-    # The core's scatter is too small by a factor that the median shows.
-    scale = _quantiles(placed, ["grp"], "dist", 0.5).select("grp", F.greatest(F.col("q") ** 2 / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    return placed.join(scale, "grp").withColumn("far", F.col("dist") ** 2 > F.col("scale") * cutoff).drop("scale", "dist")
-
-
-def quality_rules(docs: DataFrame, least_rows: int = 200, **options) -> DataFrame:
+        reach = written(_quantiles(near, ["start", "grp"], "away", keep_share), "mcd_reach")
+        core = near.join(reach, ["start", "grp"]).where(F.ceil(F.col("away") / BIN) * BIN <= F.col("q") + BIN / 2)
+        moved = written(_factor(_estimate(core, prior)), "mcd")
+        if step:
+            last = params.select("start", "grp", F.col("det").alias("last"))
+            fell = moved.join(last, ["start", "grp"]).agg(F.max(F.col("last") - F.col("det")) > settled).first()[0]
+        params = moved
+        if not fell:
+            break
+    first = params.groupBy("grp").agg(F.min(F.struct("det", "start")).alias("x")).select("grp", "x.start")
+    placed = _distances(rows, written(params.join(first, ["grp", "start"]), "mcd")).drop("start")
+    # The core's scatter is too small by a factor that the median shows where
+    # all parts vary, and never by less than CONSISTENCY; a small group's
+    # factor is mostly that of all rows.
+    shift = F.log(F.lit(CHI2_MEDIAN))
+    own = _quantiles(placed, ["grp"], "away", 0.5).join(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "grp")
+    every = _quantiles(placed.select(F.lit(0).alias("one"), "away"), ["one"], "away", 0.5).select("one", F.col("q").alias("all"))
+    scale = written(own.withColumn("one", F.lit(0)).join(every, "one").select(
+        "grp", F.greatest((F.col("n") * F.col("q") + prior * F.col("all")) / (F.col("n") + prior) - shift, F.log(F.lit(CONSISTENCY))).alias("scale")), "mcd_scale")
+    return placed.join(scale, "grp").withColumn("far", F.col("away") > F.col("scale") + F.log(F.lit(cutoff))).drop("scale", "away")
+
+
+def quality_rules(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept.
 
     A text fails the base rules with fewer than 50 words or with more than
     half of them in repeated windows of three.  Documents that pass are held
-    against their group: language and source, or the language's sources of
-    fewer than ``least_rows`` such rows together; a group that is smaller even
-    so is kept whole.  Null languages and sources are values of their own,
-    null texts have no words, repeated rows each give a row.
+    against their group, language and source, of any size.  Null languages
+    and sources are values of their own, null texts have no words, repeated
+    rows each give a row.
     """
     rows = counts(docs, "doc_id", "lang", "source")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = written(rows.withColumns({"row": F.monotonically_increasing_id(), "base_failed": failed}
                                     | dict(zip(VECTOR, vector()))), "quality_rules")
-    passed = rows.where("not base_failed").select(
-        "row", F.to_json(F.struct("lang", "source")).alias("grp"), F.to_json(F.struct("lang")).alias("wide"), *VECTOR)
-    sizes = passed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    own = passed.join(sizes, "grp").withColumn("grp", F.when(F.col("n") >= least_rows, F.col("grp")).otherwise(
-        F.concat(F.lit("small "), F.col("wide")))).drop("n", "wide")
-    sizes = own.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows)
-    held = written(own.join(sizes.drop("n"), "grp"), "quality_vectors")
+    held = written(rows.where("not base_failed").select("row", F.to_json(F.struct("lang", "source")).alias("grp"), *VECTOR), "quality_vectors")
     far = outliers(held, **options).where("far").select("row", "far")
     return rows.join(far, "row", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
