@@ -316,3 +316,85 @@ def bisecting_train(spark, sf_dir):
     """D1 defaults (k = 4, 20 passes, seeded uniform noise): rows-only."""
     pts = X.points_li(spark, sf_dir)
     return _tree_out(B.train(pts, k=4, seed=17), spark)
+
+
+# D1 over all levels: every node of a level is divided at once -----------------------
+
+DEEP_K, DEEP_LEVELS = 6, 3
+
+
+def _both(left, right, what):
+    """SQL columns what(i) for the left and the right child."""
+    return ", ".join(f"{what(side, i)} AS {name}{i}" for side, name in ((0, left), (1, right)) for i in range(D))
+
+
+def _side(c):
+    far = [" + ".join(f"(p.x{i} - {c}.{s}{i}) * (p.x{i} - {c}.{s}{i})" for i in range(D)) for s in "lr"]
+    return f"CASE WHEN {far[0]} <= {far[1]} THEN 0 ELSE 1 END"
+
+
+def _deep_ctes():
+    """CTEs ending in ``every``: node, n, m0.., ss, of a run of DEEP_LEVELS
+    levels; each divides its largest open nodes until DEEP_K leaves."""
+    xs = ", ".join(f"p.x{i}" for i in range(D))
+    ms = ", ".join(f"m{i}" for i in range(D))
+    moments = ", ".join([f"sum(x{i}) * (1.0 / count(*)) AS m{i}" for i in range(D)])
+    ctes = [S.li_points("raw"),
+            S.cte("rows0", "SELECT CAST(1 AS BIGINT) AS node, x0, x1, x2, x3 FROM raw"),
+            S.cte("made0", f"SELECT node, count(*) AS n, {moments}, sum({_sumsq()}) AS ss FROM rows0 GROUP BY node"),
+            S.cte("leaves0", "SELECT 1 AS leaves")]
+    for v in range(DEEP_LEVELS):
+        ctes += [
+            S.cte(f"chosen{v}", f"SELECT * FROM made{v} WHERE n >= 1 AND {_cost()} > {EPS!r} * n "
+                                f"QUALIFY row_number() OVER (ORDER BY n DESC, node) <= {DEEP_K} - (SELECT leaves FROM leaves{v})"),
+            S.cte(f"open{v}", f"SELECT p.* FROM rows{v} p SEMI JOIN chosen{v} USING (node)"),
+            S.cte(f"c{v}_0", f"SELECT node, {_split_cols(f'chosen{v}')} FROM chosen{v}")]
+        for s in range(1, ITERS + 1):
+            means = _both("l", "r", lambda side, i: f"coalesce(sum(x{i}) FILTER (a = {side}) * (1.0 / nullif(count(*) FILTER (a = {side}), 0)), 'inf'::DOUBLE)")
+            ctes += [S.cte(f"a{v}_{s}", f"SELECT p.node, {xs}, {_side('c')} AS a FROM open{v} p JOIN c{v}_{s - 1} c USING (node)"),
+                     S.cte(f"c{v}_{s}", f"SELECT node, {means} FROM a{v}_{s} GROUP BY node")]
+        ctes += [
+            S.cte(f"made{v + 1}", f"SELECT 2 * node + a AS node, count(*) AS n, {moments}, sum({_sumsq()}) AS ss FROM a{v}_{ITERS} GROUP BY ALL"),
+            S.cte(f"rows{v + 1}", f"SELECT 2 * p.node + {_side('c')} AS node, {xs} FROM open{v} p JOIN c{v}_{ITERS} c USING (node)"),
+            S.cte(f"leaves{v + 1}", f"SELECT (SELECT leaves FROM leaves{v}) + (SELECT count(*) FROM chosen{v}) AS leaves")]
+    ctes.append(S.cte("every", " UNION ALL ".join(f"SELECT node, n, {ms}, ss FROM made{v}" for v in range(DEEP_LEVELS + 1))))
+    return ctes
+
+
+def _deep_sql():
+    dist = " + ".join(f"(a.m{i} - c.m{i}) * (a.m{i} - c.m{i})" for i in range(D))
+    # A raw index is a 1 and the turns as bits: shifted to one length it orders the tree left first.
+    low = f"node << ({DEEP_LEVELS} - CAST(floor(log2(node)) AS BIGINT))"
+    ctes = _deep_ctes() + [
+        S.cte("inside", f"SELECT a.node, sqrt(max({dist})) AS height FROM every a JOIN every c ON c.node // 2 = a.node GROUP BY a.node"),
+        S.cte("marked", f"SELECT e.*, height, height IS NULL AS is_leaf, {low} AS low FROM every e LEFT JOIN inside USING (node)"),
+        S.cte("placed", "SELECT *, count(*) FILTER (is_leaf) OVER w AS n_leaf, count(*) FILTER (NOT is_leaf) OVER w AS n_inside "
+                        "FROM marked WINDOW w AS (ORDER BY low, node ROWS UNBOUNDED PRECEDING)")]
+    return S.with_(ctes, "\nUNION ALL\n".join(
+        f"SELECT node AS raw_index, CAST(CASE WHEN is_leaf THEN n_leaf - 1 ELSE -n_inside END AS INTEGER) AS node_index, "
+        f"CASE WHEN node > 1 THEN node // 2 END AS parent_raw, n AS size, CAST(round({_cost()}, 2) AS DOUBLE) AS cost, "
+        f"CAST(round(coalesce(height, 0.0), 6) AS DOUBLE) AS height, is_leaf, CAST({i} AS INTEGER) AS dim, "
+        f"CAST(round(m{i}, {TREE_DIGITS}) AS DOUBLE) AS value FROM placed" for i in range(D)))
+
+
+def _deep_model(spark, sf_dir):
+    return B.train(X.points_li(spark, sf_dir), k=DEEP_K, max_iter=ITERS, noise=np.array(NOISE))
+
+
+@query("bisecting_train_given", _deep_sql)
+def bisecting_train_given(spark, sf_dir):
+    """D1 with k = 6 and given noise: three levels, of which the last divides
+    the two largest of four nodes."""
+    return _tree_out(_deep_model(spark, sf_dir), spark)
+
+
+def _levels_sql():
+    return S.with_(_deep_ctes(), " UNION ALL ".join(
+        f"SELECT CAST({v + 1} AS INTEGER) AS level, (SELECT count(*) FROM chosen{v}) AS divided, "
+        f"(SELECT count(*) FROM open{v}) AS rows" for v in range(DEEP_LEVELS)))
+
+
+@query("bisecting_levels", _levels_sql)
+def bisecting_levels(spark, sf_dir):
+    """The nodes that each level divides and the rows that its passes read."""
+    return _deep_model(spark, sf_dir).levels_df(spark).drop("passes")
