@@ -1,15 +1,18 @@
 """License scans by Dice coefficient over word bigrams (operator 9).
 
-A text's units are its lines, its paragraphs (runs of lines that have words)
-and itself.  A unit of a bigrams can reach a Dice coefficient of t with a
-template of b only if t / (2 - t) <= a / b <= (2 - t) / t; units outside every
-template's bounds, or with too few bigrams that any template has, are pruned
-on Arrow's flat buffers.  What is left is compared bigram by bigram.
+Notices are looked for as windows of consecutive words anywhere in a text,
+over line ends or within a line.  A window of n bigrams can reach a Dice
+coefficient of t with a template of b only if t / (2 - t) <= n / b <= (2 - t) / t
+and if enough of its bigrams are the template's; on Arrow's flat buffers all
+places without that many such bigrams close together are pruned, template by
+template.  At what is left, windows grow bigram by bigram from each start with
+running counts, and the best ones that do not overlap are kept.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -48,91 +51,109 @@ TEMPLATES = (
 
 
 def bigrams(text: str) -> np.ndarray:
-    """Hashes of a text's word bigrams; a single word is one."""
+    """Hashes of a text's word bigrams."""
     _, _, data, offsets = next(W.chunks(pa.array([text])))
     data = W.LOWER[data]
     starts, ends, _ = W.spans(data, offsets, W.ALNUM)
-    return _grams(W.hashes(data, starts, ends))
-
-
-def _grams(words: np.ndarray) -> np.ndarray:
-    return W.shingles(words, 2) if len(words) != 1 else W.shingles(words, 1)
-
-
-def _units(lines: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """First and end words and kind (0 line, 1 paragraph, 2 text) of every unit.
-
-    ``lines`` numbers each word's line, with a gap after every row.  A unit of
-    the same words as a smaller one is left out.
+    return W.shingles(W.checked_hashes(data, starts, ends), 2)
+
+
+class Template:
+    """A notice's bigram counts, and what a window needs to reach the threshold."""
+
+    def __init__(self, name: str, text: str, threshold: float):
+        self.name, self.counts = name, Counter(bigrams(text).tolist())
+        self.size, self.threshold = self.counts.total(), threshold
+        if not self.size:
+            raise ValueError(f"a template has two words at least: {text!r}")
+        self.known = np.sort(np.array(list(self.counts), np.uint64))
+        self.most = int(np.floor(self.size * (2 - threshold) / threshold + 1e-9))
+        least = int(np.ceil(self.size * threshold / (2 - threshold) - 1e-9))
+        self.shared = max(1, int(np.ceil(threshold * (least + self.size) / 2 - 1e-9)))
+
+    def windows(self, grams: np.ndarray, place: np.ndarray):
+        """(first place, bigrams, Dice, shared) of the windows that begin and end
+        with a bigram of the template and reach the threshold; ``place`` rises."""
+        mine = _in(grams, self.known)
+        grams, place = grams[mine], place[mine]
+        ahead = place[self.shared - 1:] - place[:max(0, len(place) - self.shared + 1)]
+        grams, at = grams.tolist(), place.tolist()
+        for i in np.flatnonzero(ahead < self.most).tolist():
+            seen, shared = Counter(), 0
+            for j in range(i, len(at)):
+                n = at[j] - at[i] + 1
+                if n > self.most:
+                    break
+                seen[grams[j]] += 1
+                shared += seen[grams[j]] <= self.counts[grams[j]]
+                if 2 * shared >= self.threshold * (n + self.size) - 1e-9:
+                    yield at[i], n, 2 * shared / (n + self.size), shared
+
+
+def _best(windows: dict) -> list[tuple[int, int, float, str]]:
+    """(first word, bigrams, Dice, license) of the windows kept, by place.
+
+    The largest coefficient first, then the most shared bigrams, the first
+    place and the shortest; one that has a word of a kept one is left out.
+    ``windows``: (first word, bigrams) -> [(Dice, shared, license)].
     """
-    n, out = len(lines), []
-    step = np.diff(lines, prepend=-9)
-    cuts = [np.flatnonzero(step > 0), np.flatnonzero(step > 1), np.flatnonzero(np.diff(rows, prepend=-1))]
-    known = set()
-    for kind, first in enumerate(cuts):
-        pairs = np.column_stack([first, np.append(first[1:], n), np.full(len(first), kind)]) if n else np.zeros((0, 3), int)
-        if kind:
-            code = pairs[:, 0] * (n + 1) + pairs[:, 1]
-            pairs = pairs[~np.isin(code, known)]
-            known = np.concatenate([known, code])
-        else:
-            known = pairs[:, 0] * (n + 1) + pairs[:, 1]
-        out.append(pairs)
-    return np.concatenate(out)
+    order = []
+    for (a, n), found in windows.items():
+        dice = max(x[0] for x in found)
+        tied = [x for x in found if x[0] == dice]
+        order.append((-dice, -max(x[1] for x in tied), a, n, "|".join(sorted({x[2] for x in tied}))))
+    kept: list = []
+    for dice, _, a, n, name in sorted(order):
+        i = bisect_left(kept, (a,))
+        if (i == 0 or kept[i - 1][0] + kept[i - 1][1] < a) and (i == len(kept) or kept[i][0] > a + n):
+            insort(kept, (a, n, -dice, name))
+    return kept
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """One row per unit that matches: doc_id, unit, first_line, n_lines (lines
-    from 0, as \\n ends them), license, dice.
-
-    A unit's license is that of the template of the largest coefficient, the
-    least identifier if several.  Bigrams are counted with repeats; words are
-    lower-case runs of letters, digits and anything beyond ASCII.  Null and
-    blank texts have no units; repeated rows each give their rows.
+    """One row per notice found: doc_id, first_word, n_words, first_line,
+    n_lines (words and lines from 0, lines as \\n ends them), license, dice.
+
+    A notice is a window that reaches the threshold with a template, the best
+    of those that overlap.  Its license is that of the template of the largest
+    coefficient; where templates of several licenses tie, as for a notice
+    without its version, all of them, joined by |.  Bigrams are counted with
+    repeats; words are lower-case runs of letters, digits and anything beyond
+    ASCII.  Null and blank texts have no notices; repeated rows each give
+    their rows; further columns of docs are ignored.
     """
-    sets = [(name, Counter(bigrams(text).tolist())) for name, text in templates]
-    sizes = np.array([c.total() for _, c in sets])
-    least, most = np.ceil(sizes * threshold / (2 - threshold) - 1e-9), np.floor(sizes * (2 - threshold) / threshold + 1e-9)
-    vocabulary = np.array(sorted(set().union(*(c for _, c in sets))), np.uint64)
+    wanted = [Template(name, text, threshold) for name, text in templates]
+    vocabulary = np.unique(np.concatenate([t.known for t in wanted]))
+    gap = max(t.most for t in wanted) + 2  # between rows, so that no window spans two
     doc_type = docs.select("doc_id").schema["doc_id"]
-    schema = T.StructType([doc_type, *T.DataType.fromDDL("unit string, first_line long, n_lines long, license string, dice double").fields])
-    kinds = np.array(["line", "paragraph", "text"])
+    schema = T.StructType([doc_type, *T.DataType.fromDDL(
+        "first_word long, n_words long, first_line long, n_lines long, license string, dice double").fields])
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in W.chunks(batch.column(1)):
                 data = W.LOWER[data]
                 starts, ends, first = W.spans(data, offsets, W.ALNUM)
-                h = W.hashes(data, starts, ends)
                 rows = np.repeat(np.arange(hi - lo), np.diff(first))
-                ended = np.cumsum(np.concatenate([[0], data == 10]))
-                lines = ended[starts] - ended[offsets[rows]]
-                units = _units(ended[starts] + 2 * rows, rows)
-                count = np.maximum(1, units[:, 1] - units[:, 0] - 1)
-                fits = ((count[:, None] >= least) & (count[:, None] <= most)).any(axis=1)
-                units, count = units[fits], count[fits]
-                pair = W.shingles(h, 2)
-                shared = np.concatenate([[0], np.cumsum(_in(pair, vocabulary))])
-                # Bigrams of the unit that any template has; single words are left to the comparison.
-                has = shared[np.maximum(units[:, 1] - 1, units[:, 0])] - shared[units[:, 0]]
-                enough = (2 * has >= threshold * (count + sizes.min()) - 1e-9) | (units[:, 1] - units[:, 0] == 1)
-                at, got = [], []
-                for a, b, kind in units[enough].tolist():
-                    own = Counter(_grams(h[a:b]).tolist())
-                    n, best = own.total(), None
-                    for (name, c), size, x, y in zip(sets, sizes, least, most):
-                        if x <= n <= y:
-                            dice = 2 * (own & c).total() / (n + int(size))
-                            if dice >= threshold - 1e-12 and (best is None or (-dice, name) < best):
-                                best = -dice, name
-                    if best:
-                        at.append(lo + int(rows[a]))
-                        got.append((kinds[kind], int(lines[a]), int(lines[b - 1] - lines[a]) + 1, best[1], -best[0]))
-                if got:
-                    cols = list(zip(*got))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(at)), pa.array([str(k) for k in cols[0]]), pa.array(cols[1], pa.int64()),
-                         pa.array(cols[2], pa.int64()), pa.array(cols[3]), pa.array(cols[4], pa.float64())], names=schema.names)
+                grams = W.shingles(W.checked_hashes(data, starts, ends), 2)
+                at = np.flatnonzero(_in(grams, vocabulary) & (rows[1:] == rows[:-1])) if len(grams) else np.zeros(0, int)
+                grams, place = grams[at], at + gap * rows[at]
+                found = defaultdict(list)
+                for t in wanted:
+                    for a, n, dice, shared in t.windows(grams, place):
+                        found[a, n].append((dice, shared, t.name))
+                if not found:
+                    continue
+                kept = _best(found)
+                a, n = (np.array(x) for x in list(zip(*kept))[:2])
+                own = rows[at[np.searchsorted(place, a)]]
+                a = a - gap * own
+                line = np.cumsum(np.concatenate([[0], data == 10]))
+                top, end = line[starts[a]], line[starts[a + n]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(lo + own)), pa.array(a - first[own]), pa.array(n + 1),
+                     pa.array(top - line[offsets[own]]), pa.array(end - top + 1), pa.array([x[3] for x in kept]),
+                     pa.array([x[2] for x in kept], pa.float64())], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -143,5 +164,5 @@ def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """license, n_docs, n_units of scan()'s rows."""
-    return found.groupBy("license").agg(F.count_distinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_units"))
+    """license, n_docs, n_notices of scan()'s rows."""
+    return found.groupBy("license").agg(F.count_distinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_notices"))

@@ -122,30 +122,30 @@ FROM d LEFT JOIN per USING (doc_id)
 
 
 def licenses_sql(templates, threshold: float = 0.8) -> str:
-    """Op 9: every unit against every template that shares a bigram."""
+    """Op 9: windows between any two bigrams of a template, the best first."""
     words = ("regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
              "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
-    grams = "CASE WHEN len(w) = 1 THEN w ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END"
     values = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(templates))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
-n AS (SELECT r, doc_id, x, unnest(generate_series(1, len(x))) AS i FROM d),
-lines AS (SELECT r, doc_id, i - 1 AS line, {words.format("x[i]")} AS w FROM n),
-l AS (SELECT *, line - row_number() OVER (PARTITION BY r ORDER BY line) AS p FROM lines WHERE len(w) > 0),
-u AS (SELECT r, doc_id, 0 AS kind, line AS a, line AS b, w FROM l
-      UNION ALL SELECT r, doc_id, 1, min(line), max(line), flatten(list(w ORDER BY line)) FROM l GROUP BY r, doc_id, p
-      UNION ALL SELECT r, doc_id, 2, min(line), max(line), flatten(list(w ORDER BY line)) FROM l GROUP BY r, doc_id),
-k AS (SELECT *, row_number() OVER () AS id FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY r, a, b ORDER BY kind) = 1)),
-ug AS (SELECT id, unnest({grams}) AS g FROM k),
-uc AS (SELECT id, g, count(*) AS c FROM ug GROUP BY ALL),
-un AS (SELECT id, count(*) AS n FROM ug GROUP BY id),
+n AS (SELECT r, x, unnest(generate_series(1, len(x))) AS i FROM d),
+l AS (SELECT r, i - 1 AS line, {words.format("x[i]")} AS w FROM n),
+e AS (SELECT r, line, unnest(w) AS word, unnest(generate_series(1, len(w))) AS k FROM l),
+p AS (SELECT r, line, word, row_number() OVER (PARTITION BY r ORDER BY line, k) - 1 AS i FROM e),
+g AS (SELECT r, i, word || ' ' || lead(word) OVER (PARTITION BY r ORDER BY i) AS g FROM p),
 t AS (SELECT tid, license, {words.format("text")} AS w FROM (VALUES {values}) v(tid, license, text)),
-tg AS (SELECT tid, license, unnest({grams}) AS g FROM t),
-tc AS (SELECT tid, license, g, count(*) AS c FROM tg GROUP BY ALL),
-tn AS (SELECT tid, count(*) AS n FROM tg GROUP BY tid),
-s AS (SELECT id, tid, license, sum(least(uc.c, tc.c)) AS c FROM uc JOIN tc USING (g) GROUP BY ALL),
-h AS (SELECT id, license, 2 * c / (un.n + tn.n)::DOUBLE AS dice FROM s JOIN un USING (id) JOIN tn USING (tid)),
-best AS (SELECT * FROM h WHERE dice >= {threshold} - 1e-12 QUALIFY row_number() OVER (PARTITION BY id ORDER BY dice DESC, license) = 1)
-SELECT doc_id, ['line', 'paragraph', 'text'][kind + 1] AS unit, CAST(a AS BIGINT) AS first_line, CAST(b - a + 1 AS BIGINT) AS n_lines, license, dice
-FROM best JOIN k USING (id)
+tg AS (SELECT tid, license, len(w) - 1 AS b, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM t),
+tc AS (SELECT tid, license, b, g, count(*) AS c FROM tg GROUP BY ALL),
+h AS (SELECT r, tid, license, b, i, g, c, row_number() OVER (PARTITION BY r, tid ORDER BY i) AS k FROM g JOIN tc USING (g)),
+s AS (SELECT x.r, x.tid, x.license, x.b, x.i, y.i - x.i + 1 AS n FROM h x JOIN h y ON x.r = y.r AND x.tid = y.tid AND y.k >= x.k
+      AND (y.i - x.i + 1) * {threshold} <= x.b * (2 - {threshold}) + 1e-9 AND 2 * (y.k - x.k + 1) >= {threshold} * (y.i - x.i + 1 + x.b) - 1e-9),
+m AS (SELECT s.r, s.tid, s.license, s.b, s.i, s.n, least(count(*), h.c) AS c FROM s JOIN h ON h.r = s.r AND h.tid = s.tid AND h.i BETWEEN s.i AND s.i + s.n - 1
+      GROUP BY s.r, s.tid, s.license, s.b, s.i, s.n, h.g, h.c),
+w AS (SELECT r, license, i, n, sum(c) AS c, 2 * sum(c) / (n + b)::DOUBLE AS dice FROM m GROUP BY r, tid, license, b, i, n HAVING 2 * sum(c) >= {threshold} * (n + b) - 1e-9),
+best AS (SELECT r, i, n, max(c) AS c, dice, string_agg(DISTINCT license, '|' ORDER BY license) AS license
+         FROM (SELECT * FROM w QUALIFY dice = max(dice) OVER (PARTITION BY r, i, n)) GROUP BY r, i, n, dice),
+kept AS (SELECT r, unnest(list_reduce(list([struct_pack(i, n, dice, license)] ORDER BY dice DESC, c DESC, i, n),
+         lambda a, x: CASE WHEN len(list_filter(a, lambda k: k.i <= x[1].i + x[1].n AND x[1].i <= k.i + k.n)) = 0 THEN a || x ELSE a END)) AS x FROM best GROUP BY r)
+SELECT doc_id, x.i AS first_word, x.n + 1 AS n_words, CAST(a.line AS BIGINT) AS first_line, CAST(z.line - a.line + 1 AS BIGINT) AS n_lines, x.license AS license, x.dice AS dice
+FROM kept k JOIN (SELECT r, doc_id FROM d) USING (r) JOIN p a ON a.r = k.r AND a.i = x.i JOIN p z ON z.r = k.r AND z.i = x.i + x.n
 """
