@@ -2,16 +2,19 @@
 
 Centres are held by index: for every index that occurs in a centre, the
 clusters and values there.  Distances and sums touch non-zeros alone, and
-memory follows them, never the dimension.
+memory follows them, never the dimension.  A ``CenterTable`` holds any number
+of non-zeros; ``SparseCenters`` those that a task needs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .centers import MAX_STATE_VALUES
@@ -83,6 +86,28 @@ class SparseCenters:
         return np.maximum(own[:, None] - 2 * self.dots(offsets, index, value) + self.squares, 0.0)
 
 
+@dataclass
+class CenterTable:
+    """k centres as a table (cluster, index, value) of their non-zeros."""
+    k: int
+    table: DataFrame
+
+    @classmethod
+    def of(cls, centers: "SparseCenters | CenterTable", spark) -> "CenterTable":
+        return centers if isinstance(centers, cls) else cls(centers.k, centers.table(spark))
+
+    @staticmethod
+    def cells(table: DataFrame) -> DataFrame:
+        return table.select(F.col("cluster").cast("int"), F.col("index").cast("int"), F.col("value").cast("double")).where("value <> 0")
+
+    def squares(self) -> np.ndarray:
+        """|c|^2 of every centre."""
+        out = np.zeros(self.k)
+        for r in self.table.groupBy("cluster").agg(F.sum(F.col("value") * F.col("value")).alias("s")).collect():
+            out[r["cluster"]] = r["s"]
+        return out
+
+
 def row_blocks(offsets: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
     """Runs of rows whose (rows, k) matrix stays within BLOCK_CELLS."""
     step = max(1, BLOCK_CELLS // (8 * max(1, k)))

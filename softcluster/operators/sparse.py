@@ -1,10 +1,13 @@
 """K-means and fuzzy c-means over sparse points (A1 with B3-B6, C8, C9, C11).
 
 The same passes as over dense rows, by non-zeros: a task adds up the non-zeros
-of its rows by (cluster, index), Spark totals them, and centres travel by their
-non-zeros.  No array of the dimension's length exists anywhere, so a bag of
+of its rows by (cluster, index), and Spark totals them.  No array of the dimension's length exists anywhere, so a bag of
 words over the whole vocabulary is clustered as it is.
 
+Centres are a table of their non-zeros (cluster, index, value).  Rows are dealt
+into blocks (``blocks.Blocks``), and a block fetches the centre values of its
+own indices; the driver sees k weights, costs and shifts a pass.
+
 Distances are |x|^2 - 2 x.c + |c|^2: rows much closer to a centre than their
 norm keep fewer digits than in the dense kernel's direct differences.
 """
@@ -16,19 +19,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import BLOCK_CELLS, fuzzy_u
 from ..functions.scoring import lists
-from ..functions.sparse import PlaceSums, SparseCenters, csr, row_blocks
+from ..functions.sparse import CenterTable, PlaceSums, SparseCenters, csr, row_blocks
 from ..session import cut_lineage, spread
 from ..sources.sparse import INDICES, VALUES, validate
+from .blocks import Blocks, Entries, numbers
 from .fuzzy import _check_m
 
 #: Places of a cluster's weight and cost among its sums.
 WEIGHT, COST = -1, -2
+CELLS = "cluster int, index int, value double"
 
 
 def group_means(points: DataFrame, group: Column) -> tuple[DataFrame, int]:
@@ -37,9 +41,17 @@ def group_means(points: DataFrame, group: Column) -> tuple[DataFrame, int]:
     sizes = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).orderBy("_g").collect()  # k rows
     numbered = points.sparkSession.createDataFrame(
         [(r["_g"], j, r["_n"]) for j, r in enumerate(sizes)], f"_g {rows.schema['_g'].dataType.simpleString()}, cluster int, _n long")
-    cells = rows.select("_g", F.explode(F.arrays_zip(INDICES, VALUES)).alias("c"))
-    sums = cells.groupBy("_g", F.col(f"c.{INDICES}").alias("index")).agg(F.sum(f"c.{VALUES}").alias("s"))
-    return (sums.join(F.broadcast(numbered), "_g").select("cluster", "index", (F.col("s") / F.col("_n")).alias("value")),
+
+    def run(batches):
+        sums = PlaceSums()
+        for b in batches:
+            offsets, index, value = csr(b, INDICES, VALUES)
+            sums.add(np.repeat(numbers(b.column(0)), np.diff(offsets)), index, value)
+        yield from sums.batches()
+
+    own = rows.join(F.broadcast(numbered), "_g").select("cluster", INDICES, VALUES)
+    sums = own.mapInArrow(run, CELLS).groupBy("cluster", "index").agg(F.sum("value").alias("s"))
+    return (sums.join(F.broadcast(numbered), "cluster").select("cluster", "index", (F.col("s") / F.col("_n")).alias("value")),
             len(sizes))
 
 
@@ -53,25 +65,51 @@ def init_random(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
         [(j, int(i), float(v)) for j, r in enumerate(first) for i, v in zip(r[0], r[1])], "cluster int, index int, value double")
 
 
-def _scored(points: DataFrame, centers: SparseCenters, schema: str, columns) -> DataFrame:
-    """id + the columns that ``columns`` makes of a block's squared distances."""
-    shared = points.sparkSession.sparkContext.broadcast(centers)
+def deal(points: DataFrame) -> Blocks:
+    """Points in blocks, by a hash of the whole row."""
+    return Blocks.deal(points.select("id", INDICES, VALUES), F.xxhash64("id", INDICES, VALUES), INDICES)
 
-    def run(batches):
-        for b in batches:
-            offsets, index, value = csr(b, INDICES, VALUES)
-            for s, e in row_blocks(offsets, shared.value.k):
-                part = slice(offsets[s], offsets[e])
-                dist = shared.value.sqdist(offsets[s:e + 1] - offsets[s], index[part], value[part])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), *columns(dist)], names=names)
 
-    rows = points.select("id", INDICES, VALUES)
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, {schema}"
+def _over_blocks(dealt: Blocks, centers: CenterTable, schema: str, fn) -> DataFrame:
+    """fn(a block's rows, the centres at its indices) -> tables of ``schema``."""
+    k, squares = centers.k, centers.squares()
+    by_place = centers.table.groupBy("index").agg(
+        F.collect_list(F.struct("cluster", "value")).alias("c")).select("index", "c.cluster", "c.value")
+
+    def run(own: pa.Table, there: pa.Table):
+        lists = there.column("cluster").combine_chunks()
+        index = np.repeat(numbers(there.column("index")), numbers(lists.value_lengths()))
+        near = SparseCenters(k, numbers(lists.flatten()), index, numbers(there.column("value").combine_chunks().flatten()))
+        near.squares = squares
+        yield from fn(own, near)
+
+    return dealt.map(dealt.fetch(by_place, "index"), schema, run)
+
+
+def _rows(own: pa.Table, k: int):
+    """(first row, end row, offsets, indices, values) of runs of a block's rows."""
+    cells = Entries(own, INDICES, VALUES)
+    offsets = np.append(0, cells.ends)
+    for s, e in row_blocks(offsets, k):
+        part = slice(offsets[s], offsets[e])
+        yield s, e, offsets[s:e + 1] - offsets[s], cells.place[part], cells.value[part]
+
+
+def _scored(points: DataFrame, centers: SparseCenters | CenterTable, schema: str, columns) -> DataFrame:
+    """id + the columns that ``columns`` makes of a run of rows' squared distances."""
+    table = CenterTable.of(centers, points.sparkSession)
+
+    def run(own: pa.Table, near: SparseCenters):
+        ids = own.column("id").combine_chunks()
+        for s, e, offsets, index, value in _rows(own, near.k):
+            yield pa.Table.from_arrays([ids.slice(s, e - s), *columns(near.sqdist(offsets, index, value))], names=names)
+
+    schema = f"id {points.schema['id'].dataType.simpleString()}, {schema}"
     names = [f.split(" ")[0] for f in schema.split(", ")]
-    return rows.mapInArrow(run, schema)
+    return _over_blocks(deal(points), table, schema, run)
 
 
-def assign(points: DataFrame, centers: SparseCenters) -> DataFrame:
+def assign(points: DataFrame, centers: SparseCenters | CenterTable) -> DataFrame:
     """Id, cluster (lowest index on ties) and dist2."""
     def columns(dist):
         best = np.argmin(dist, axis=1)
@@ -80,41 +118,35 @@ def assign(points: DataFrame, centers: SparseCenters) -> DataFrame:
     return _scored(points, centers, "cluster int, dist2 double", columns)
 
 
-def memberships(points: DataFrame, centers: SparseCenters, m: float) -> DataFrame:
+def memberships(points: DataFrame, centers: SparseCenters | CenterTable, m: float) -> DataFrame:
     """Id and u ARRAY<DOUBLE> (sums to 1)."""
     _check_m(m)
     return _scored(points, centers, "u array<double>", lambda dist: (lists(fuzzy_u(dist, m)),))
 
 
-def step_sums(points: DataFrame, centers: SparseCenters, m: float | None = None) -> DataFrame:
+def step_sums(dealt: Blocks, centers: CenterTable, m: float | None = None) -> DataFrame:
     """(cluster, index, value) sums of w x, and of w (index WEIGHT) and
     w dist2 (COST); w is 1 for the nearest centre, or u^m for all of them."""
-    shared = points.sparkSession.sparkContext.broadcast(centers)
-
-    def run(batches):
-        c = shared.value
+    def run(block: pa.Table, c: SparseCenters):
         sums = PlaceSums()
         own = np.arange(c.k)
-        for b in batches:
-            offsets, index, value = csr(b, INDICES, VALUES)
-            for s, e in row_blocks(offsets, c.k):
-                o, i, v = offsets[s:e + 1] - offsets[s], index[offsets[s]:offsets[e]], value[offsets[s]:offsets[e]]
-                dist = c.sqdist(o, i, v)
-                row = np.repeat(np.arange(e - s), np.diff(o))
-                if m is None:
-                    best = np.argmin(dist, axis=1)
-                    sums.add(best[row], i, v)
-                    weight, cost = np.bincount(best, minlength=c.k), np.bincount(best, dist[np.arange(e - s), best], c.k)
-                else:
-                    um = fuzzy_u(dist, m) ** m
-                    _add_all(sums, um, row, i, v)
-                    weight, cost = um.sum(axis=0), (um * dist).sum(axis=0)
-                sums.add(own, np.full(c.k, WEIGHT), weight.astype(np.float64))
-                sums.add(own, np.full(c.k, COST), cost)
-        yield from sums.batches()
-
-    parts = points.select(INDICES, VALUES).mapInArrow(run, "cluster int, index int, value double")
-    return parts.groupBy("cluster", "index").agg(F.sum("value").alias("value"))
+        for s, e, o, i, v in _rows(block, c.k):
+            dist = c.sqdist(o, i, v)
+            row = np.repeat(np.arange(e - s), np.diff(o))
+            if m is None:
+                best = np.argmin(dist, axis=1)
+                sums.add(best[row], i, v)
+                weight, cost = np.bincount(best, minlength=c.k), np.bincount(best, dist[np.arange(e - s), best], c.k)
+            else:
+                um = fuzzy_u(dist, m) ** m
+                _add_all(sums, um, row, i, v)
+                weight, cost = um.sum(axis=0), (um * dist).sum(axis=0)
+            sums.add(own, np.full(c.k, WEIGHT), weight.astype(np.float64))
+            sums.add(own, np.full(c.k, COST), cost)
+        for b in sums.batches():
+            yield pa.Table.from_batches([b])
+
+    return _over_blocks(dealt, centers, CELLS, run).groupBy("cluster", "index").agg(F.sum("value").alias("value"))
 
 
 def _add_all(sums: PlaceSums, um: np.ndarray, row: np.ndarray, index: np.ndarray, value: np.ndarray) -> None:
@@ -129,56 +161,67 @@ def _add_all(sums: PlaceSums, um: np.ndarray, row: np.ndarray, index: np.ndarray
         sums.add(np.tile(np.arange(k), len(places)), np.repeat(places, k), total.reshape(-1))
 
 
-def update(centers: SparseCenters, sums: DataFrame) -> tuple[SparseCenters, np.ndarray, np.ndarray, float]:
+def update(centers: CenterTable, sums: DataFrame) -> tuple[CenterTable, np.ndarray, np.ndarray, float]:
     """(new centres, squared shifts, weights, cost under the old centres).
 
     A cluster without weight keeps its centre."""
-    k = centers.k
-    total = SparseCenters.from_table(cut_lineage(sums), k)
-    weight = np.zeros(k)
-    at = total.index == WEIGHT
-    weight[total.cluster[at]] = total.value[at]
-    cost = float(total.value[total.index == COST].sum())
-    own = total.index >= 0
-    keep = weight[centers.cluster] <= 0
-    new = SparseCenters(k, np.concatenate([total.cluster[own], centers.cluster[keep]]),
-                        np.concatenate([total.index[own], centers.index[keep]]),
-                        np.concatenate([total.value[own] / weight[total.cluster[own]], centers.value[keep]]))
-    places, at = np.unique(np.concatenate([(c.cluster << 32) + c.index for c in (new, centers)]), return_inverse=True)
-    moved = np.bincount(at, weights=np.concatenate([new.value, -centers.value]), minlength=len(places))
-    return new, np.bincount(places >> 32, weights=moved ** 2, minlength=k), weight, cost
+    k, spark = centers.k, sums.sparkSession
+    total = cut_lineage(sums)
+    weight, cost = np.zeros(k), 0.0
+    for r in total.where(F.col("index") < 0).collect():  # 2k rows
+        if r["index"] == WEIGHT:
+            weight[r["cluster"]] = r["value"]
+        else:
+            cost += r["value"]
+    weights = F.broadcast(spark.createDataFrame(list(enumerate(weight.tolist())), "cluster int, _w double"))
+    moved = (total.where(F.col("index") >= 0).join(weights.where("_w > 0"), "cluster")
+             .select("cluster", "index", (F.col("value") / F.col("_w")).alias("value")).where("value <> 0"))
+    kept = centers.table.join(weights.where("_w <= 0"), "cluster").select("cluster", "index", "value")
+    new = CenterTable(k, cut_lineage(moved.unionAll(kept)))
+    shifts = (new.table.unionAll(centers.table.withColumn("value", -F.col("value"))).groupBy("cluster", "index")
+              .agg(F.sum("value").alias("v")).groupBy("cluster").agg(F.sum(F.col("v") * F.col("v")).alias("s")))
+    shift2 = np.zeros(k)
+    for r in shifts.collect():  # k rows
+        shift2[r["cluster"]] = r["s"]
+    return new, shift2, weight, cost
 
 
 @dataclass
 class SparseModel:
-    centers: SparseCenters
+    table: CenterTable
     m: float | None = None
     trace: list = field(default_factory=list)
 
+    @property
+    def centers(self) -> SparseCenters:
+        """The centres as arrays, if they are few enough to hold."""
+        return SparseCenters.from_table(self.table.table, self.table.k)
+
     def centers_df(self, spark: SparkSession) -> DataFrame:
-        return self.centers.table(spark)
+        return self.table.table
 
     def predict(self, points: DataFrame) -> DataFrame:
         """Id and prediction, the centre of least distance (of largest membership, too)."""
-        return assign(points, self.centers).select("id", F.col("cluster").alias("prediction"))
+        return assign(points, self.table).select("id", F.col("cluster").alias("prediction"))
 
 
 def _train(points: DataFrame, k: int, init, m, max_iter, epsilon, seed) -> SparseModel:
-    data = spread(points.select("id", INDICES, VALUES)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread(points.select("id", INDICES, VALUES))
+    if validate(data).rows == 0:
+        raise ValueError("points table holds no row")
+    dealt = deal(data)
     try:
-        if validate(data).rows == 0:
-            raise ValueError("points table holds no row")
-        table = init if isinstance(init, DataFrame) else init_random(data, k, seed)
-        model = SparseModel(SparseCenters.from_table(table, k), m)
+        table = init if isinstance(init, DataFrame) else init_random(dealt.rows, k, seed)
+        model = SparseModel(CenterTable(k, cut_lineage(CenterTable.cells(table))), m)
         for it in range(1, max_iter + 1):
             t0 = time.time()
-            model.centers, shift2, _, cost = update(model.centers, step_sums(data, model.centers, m))
+            model.table, shift2, _, cost = update(model.table, step_sums(dealt, model.table, m))
             model.trace.append(dict(iteration=it, value=cost, max_shift=float(np.sqrt(shift2.max())), seconds=time.time() - t0))
             if (shift2 <= epsilon * epsilon).all():
                 break
         return model
     finally:
-        data.unpersist()
+        dealt.unpersist()
 
 
 def train_kmeans(points: DataFrame, k: int, init="random", max_iter: int = 20, epsilon: float = 1e-4, seed: int = 0) -> SparseModel:

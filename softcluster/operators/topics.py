@@ -4,15 +4,13 @@ State is three tables (section 1 of the survey):
     tokens(doc_id, term_id, cnt)            one row per non-zero count
     doc_topics(doc_id, n_0 .. n_{k-1})      N_kj
     term_topics(term_id, n_0 .. n_{k-1})    N_wk
-An EM step joins tokens with both state tables, computes the k smoothed
-topic shares gamma as generated columns (JVM codegen), scales them by the
-count and sums them back per document and per term (partial+final
-aggregates, so a hot document or term is combined map-side).  Adaptive
-execution broadcasts a state table whose measured bytes are under the
-session's limit and splits hot keys of the others.  Both tables are sums over
-the same rows: one aggregate with two grouping sets makes them and one write
-keeps them, so a step runs its joins once, and plan and time per step stay the
-same however many there are.
+Tokens are held as bags, one row per document, dealt into blocks once
+(``blocks.Blocks``).  In an EM step a block fetches each of its terms' topic
+counts once, numpy computes the k smoothed topic shares gamma of its tokens,
+scales them by the count and adds them up per document and per term of the
+block; so a step moves (block, term) rows, never tokens.  One aggregate totals
+both tables and one write keeps them: plan and time per step stay the same
+however many there are.
 """
 
 from __future__ import annotations
@@ -24,13 +22,15 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranking import number_rows
 from ..session import scratch_table_dir
+from ..sources.bags import entries
+from .blocks import Blocks, Entries, lookup, numbers
 
 DEFAULTS = dict(k=10, max_iter=20, optimizer="em")
 
@@ -56,19 +56,39 @@ def token_table(term_counts: DataFrame) -> DataFrame:
                               F.col("cnt").cast("double")).where(F.col("cnt") != 0)
 
 
+def as_bags(term_counts: DataFrame) -> DataFrame:
+    """(doc_id, terms ARRAY<INT>, counts ARRAY<DOUBLE>), one row per document, of
+    (doc_id, term_id, cnt) rows or of bags; each list is bounded by the
+    document's distinct words."""
+    if "terms" in term_counts.columns:
+        return term_counts
+    g = token_table(term_counts).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "cnt"))).alias("p"))
+    return g.select("doc_id", F.col("p.term_id").alias("terms"), F.col("p.cnt").alias("counts"))
+
+
+def deal_bags(bags: DataFrame) -> Blocks:
+    """Bags in blocks, a document's rows in one of them."""
+    return Blocks.deal(bags.select(F.col("doc_id").cast("long").alias("doc_id"), "terms", "counts"), F.col("doc_id"), "terms")
+
+
 def _sum_back(scaled: DataFrame, k: int, cols: list[str]):
     """(document sums, term sums) of token rows, by one pass over them.
 
     Every token row counts under its document and under its term (two grouping
-    sets of one aggregate, combined map-side), and both tables are written
-    side by side, so the joins that made the rows run once.
+    sets of one aggregate, combined map-side).
     """
-    sides = scaled.select(F.expr("stack(2, 'doc', doc_id, 'term', cast(term_id as bigint)) as (side, id)"), *cols)
+    return _written_sides(scaled.select(
+        F.expr("stack(2, 'doc', doc_id, 'term', cast(term_id as bigint)) as (side, id)"), *cols), k, cols)
+
+
+def _written_sides(sides: DataFrame, k: int, cols: list[str]):
+    """(document sums, term sums) of rows (side, id, ..), written side by side,
+    so that what made the rows runs once."""
     both = sides.groupBy("side", "id").agg(*[F.sum(c).alias(f"n_{j}") for j, c in enumerate(cols)])
-    path = scratch_table_dir(scaled.sparkSession, f"topics-{uuid.uuid4().hex}")
+    path = scratch_table_dir(sides.sparkSession, f"topics-{uuid.uuid4().hex}")
     both.write.partitionBy("side").parquet(path)
     # The folder of a side is the only one read for it.
-    rows = scaled.sparkSession.read.schema(both.schema).parquet(path)
+    rows = sides.sparkSession.read.schema(both.schema).parquet(path)
     return (rows.where("side = 'doc'").select(F.col("id").alias("doc_id"), *ncols(k)),
             rows.where("side = 'term'").select(F.col("id").cast("int").alias("term_id"), *ncols(k)))
 
@@ -104,43 +124,86 @@ def topic_totals(term_topics: DataFrame, k: int) -> np.ndarray:
     return np.array([r[c] or 0.0 for c in ncols(k)], dtype=np.float64)
 
 
-def gamma_cols(k: int, n_k: np.ndarray, vocab_size: int, alpha: float, eta: float,
-               doc: str = "d_", term: str = "w_") -> list[Column]:
-    """gamma_j = (N_wj + eta - 1)(N_dj + alpha - 1) / (N_j + V(eta - 1))."""
-    e1, a1 = eta - 1.0, alpha - 1.0
-    return [(F.col(f"{term}{j}") + F.lit(e1)) * (F.col(f"{doc}{j}") + F.lit(a1)) /
-            F.lit(float(n_k[j]) + vocab_size * e1) for j in range(k)]
-
-
-def joined(tokens: DataFrame, doc_topics: DataFrame, term_topics: DataFrame, k: int
-           ) -> DataFrame:
-    """Tokens with their document's and term's topic counts."""
-    d = doc_topics.select("doc_id", *[F.col(f"n_{j}").alias(f"d_{j}") for j in range(k)])
-    w = term_topics.select("term_id", *[F.col(f"n_{j}").alias(f"w_{j}") for j in range(k)])
-    return tokens.join(d, "doc_id").join(w, "term_id")
-
-
-def gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta):
-    """Per token: normalised gamma_j as columns g_0.. (staged projections)."""
-    j = joined(tokens, doc_topics, term_topics, k)
-    g = j.select("doc_id", "term_id", "cnt", *[c.alias(f"_g{i}") for i, c in enumerate(
-        gamma_cols(k, n_k, vocab_size, alpha, eta))])
-    tot = reduce(add, [F.col(f"_g{i}") for i in range(k)])
-    return g.select("doc_id", "term_id", "cnt",
-                    *[(F.col(f"_g{i}") / tot).alias(f"g_{i}") for i in range(k)])
-
-
-def em_step(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta):
+def _with_state(dealt: Blocks, doc_topics, term_topics, k: int, schema: str, fn) -> DataFrame:
+    """fn(Block) -> lists of columns by ``schema``, over every block's tokens
+    whose document and term have topic counts."""
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(dealt.n)).cast("int")
+    docs = doc_topics.where("doc_id is not null").select(block.alias("of"), F.lit("doc").alias("side"), F.col("doc_id").alias("id"), *ncols(k))
+    terms = dealt.fetch(term_topics, "term_id").select("of", F.lit("term").alias("side"), F.col("term_id").cast("long").alias("id"), *ncols(k))
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def run(own, state):
+        for b in Block.read(own, state, k):
+            yield from (pa.Table.from_arrays(columns, names=names) for columns in fn(b))
+
+    return dealt.map(docs.unionAll(terms), schema, run)
+
+
+class Block:
+    """A block's tokens with the topic counts of its documents and terms."""
+
+    def __init__(self, tokens: Entries, ids, own, term, doc_ids, docs, term_ids, terms):
+        self.tokens, self.ids, self.own, self.term = tokens, ids, own, term
+        self.doc_ids, self.docs, self.term_ids, self.terms = doc_ids, docs, term_ids, terms
+
+    @staticmethod
+    def read(own: pa.Table, state: pa.Table, k: int):
+        if not state.num_rows:
+            return
+        own = own.filter(own.column("doc_id").is_valid())
+        if not own.num_rows:
+            return
+        values = np.column_stack([numbers(state.column(c)) for c in ncols(k)])
+        ids, is_doc = numbers(state.column("id")), numbers(state.column("side").combine_chunks().dictionary_encode().indices)
+        names = state.column("side").combine_chunks().dictionary_encode().dictionary.to_pylist()
+        sides = []
+        for side in ("doc", "term"):
+            rows = np.flatnonzero(is_doc == names.index(side)) if side in names else np.zeros(0, np.int64)
+            rows = rows[np.argsort(ids[rows], kind="stable")]
+            sides += [ids[rows], values[rows]]
+        tokens = Entries(own, "terms", "counts")
+        doc = numbers(own.column("doc_id"))
+        yield Block(tokens, doc, lookup(sides[0], doc), lookup(sides[2], tokens.place), *sides)
+
+    def slices(self, k: int):
+        """(entries, own document rows, places of documents, places of terms) of
+        tokens that have both and count."""
+        for i, to, part in self.tokens.slices(k):
+            row = np.repeat(np.arange(i, to), self.tokens.sizes[i:to])
+            at, doc = self.term[part], self.own[row]
+            met = np.flatnonzero((at >= 0) & (doc >= 0) & (self.tokens.value[part] != 0))
+            yield part.start + met, row[met], doc[met], at[met]
+
+    def gamma(self, doc, at, n_k, vocab_size, alpha, eta) -> np.ndarray:
+        """gamma_j = (N_wj + eta - 1)(N_dj + alpha - 1) / (N_j + V(eta - 1)), normalised."""
+        e1, a1 = eta - 1.0, alpha - 1.0
+        g = (self.terms[at] + e1) * (self.docs[doc] + a1) / (n_k + vocab_size * e1)
+        return g / g.sum(axis=1)[:, None]
+
+
+def em_step(dealt: Blocks, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta):
     """H4: one EM step -> (doc_topics, term_topics)."""
-    g = gamma_table(tokens, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta)
-    scaled = g.select("doc_id", "term_id",
-                      *[(F.col(f"g_{i}") * F.col("cnt")).alias(f"_h{i}") for i in range(k)])
-    return _sum_back(scaled, k, [f"_h{i}" for i in range(k)])
+    def sums(b):
+        sides = [np.zeros_like(b.docs), np.zeros_like(b.terms)]
+        met = [np.zeros(len(x), bool) for x in sides]
+        for at, _, doc, term in b.slices(k):
+            h = b.gamma(doc, term, n_k, vocab_size, alpha, eta) * b.tokens.value[at][:, None]
+            for total, seen, place in zip(sides, met, (doc, term)):
+                for j in range(k):
+                    total[:, j] += np.bincount(place, h[:, j], len(total))
+                seen[place] = True
+        for side, ids, total, seen in zip(("doc", "term"), (b.doc_ids, b.term_ids), sides, met):
+            rows = np.flatnonzero(seen)
+            yield [pa.array([side] * len(rows), pa.string()), pa.array(ids[rows], pa.int64()),
+                   *(pa.array(total[rows, j]) for j in range(k))]
+
+    schema = ", ".join(["side string", "id bigint", *(f"_h{j} double" for j in range(k))])
+    return _written_sides(_with_state(dealt, doc_topics, term_topics, k, schema, sums), k, [f"_h{j}" for j in range(k)])
 
 
 @dataclass
 class EMLDAModel:
-    tokens: DataFrame
+    dealt: Blocks
     doc_topics: DataFrame
     term_topics: DataFrame
     k: int
@@ -150,6 +213,11 @@ class EMLDAModel:
     n_k: np.ndarray
     trace: list = field(default_factory=list)
 
+    @property
+    def tokens(self) -> DataFrame:
+        """H2: (doc_id, term_id, cnt)."""
+        return token_table(entries(self.dealt.rows))
+
     # H6
     def topics_matrix(self) -> DataFrame:
         """(topic, term_id, weight = N_wk), long form via ``stack``."""
@@ -192,25 +260,36 @@ class EMLDAModel:
     def topic_assignments(self) -> DataFrame:
         """(doc_id, terms ARRAY<INT>, topics ARRAY<INT>) sorted by term; the
         per-document list is bounded by the vocabulary size."""
-        g = gamma_table(self.tokens, self.doc_topics, self.term_topics, self.k, self.n_k,
-                        self.vocab_size, self.alpha, self.eta)
-        arr = F.array(*[F.col(f"g_{i}") for i in range(self.k)])
-        best = (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
-        pairs = g.select("doc_id", F.struct(F.col("term_id"), best.alias("topic")).alias("p"))
-        agg = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-        return agg.select("doc_id", F.col("ps.term_id").alias("terms"),
-                          F.col("ps.topic").alias("topics"))
+        args = self.n_k, self.vocab_size, self.alpha, self.eta
+        k = self.k
+
+        def best(b):
+            for at, row, doc, term in b.slices(k):
+                if not len(at):
+                    continue
+                topic = np.argmax(b.gamma(doc, term, *args), axis=1)
+                order = np.lexsort((topic, b.tokens.place[at], row))
+                docs, sizes = np.unique(row, return_counts=True)
+                lists = (pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(x[order].astype(np.int32)))
+                         for x in (b.tokens.place[at], topic))
+                yield [pa.array(b.ids[docs], pa.int64()), *lists]
+
+        return _with_state(self.dealt, self.doc_topics, self.term_topics, k, "doc_id bigint, terms array<int>, topics array<int>", best)
 
     # H10
     def log_likelihood(self) -> float:
         """sum over tokens cnt * ln(phi_w . theta_d), smoothed as in EM."""
         k, e1, a1 = self.k, self.eta - 1.0, self.alpha - 1.0
-        j = joined(self.tokens, self.doc_topics, self.term_topics, k)
-        dsum = reduce(add, [F.col(f"d_{i}") + F.lit(a1) for i in range(k)])
-        dot = reduce(add, [(F.col(f"w_{i}") + F.lit(e1)) /
-                           F.lit(float(self.n_k[i]) + self.vocab_size * e1) *
-                           ((F.col(f"d_{i}") + F.lit(a1)) / dsum) for i in range(k)])
-        return float(j.agg(F.sum(F.col("cnt") * F.log(dot))).first()[0])
+        n_k, v = self.n_k, self.vocab_size
+
+        def parts(b):
+            shares = (b.docs + a1) / (b.docs + a1).sum(axis=1)[:, None]
+            words = (b.terms + e1) / (n_k + v * e1)
+            yield [pa.array([float(sum(b.tokens.value[at] @ np.log(np.einsum("ij,ij->i", words[term], shares[doc]))
+                                       for at, _, doc, term in b.slices(k)))])]
+
+        out = _with_state(self.dealt, self.doc_topics, self.term_topics, k, "part double", parts)
+        return float(out.agg(F.sum("part")).first()[0])
 
     # H11
     def log_prior(self) -> float:
@@ -256,21 +335,21 @@ def train_em(term_counts: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEF
 
     Documents without any term drop out of the state (quirk Q19)."""
     a, e = em_priors(k, alpha, eta)
-    # By document once: the document side of every step then stays in place.
-    tokens = token_table(term_counts).repartition("doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = deal_bags(as_bags(term_counts))
+    tokens = token_table(entries(dealt.rows))
     if vocab_size is None:
-        vocab_size = int(tokens.agg(F.max("term_id")).first()[0]) + 1
+        vocab_size = int(dealt.wanted.agg(F.max("place")).first()[0]) + 1
     doc, term = init_hash(tokens, k) if init == "hash" else init_random(tokens, k, seed)
     n_k = topic_totals(term, k)
     trace = []
     for it in range(1, max_iter + 1):
         t0 = time.time()
-        doc, term = em_step(tokens, doc, term, k, n_k, vocab_size, a, e)
+        doc, term = em_step(dealt, doc, term, k, n_k, vocab_size, a, e)
         n_k = topic_totals(term, k)
         trace.append(dict(iteration=it, seconds=time.time() - t0))
-    return EMLDAModel(tokens, doc, term, k, vocab_size, a, e, n_k, trace)
+    return EMLDAModel(dealt, doc, term, k, vocab_size, a, e, n_k, trace)
 
 
 def model_from_state(tokens, doc_topics, term_topics, k, vocab_size, alpha, eta) -> EMLDAModel:
-    return EMLDAModel(tokens, doc_topics, term_topics, k, vocab_size, alpha, eta,
+    return EMLDAModel(deal_bags(as_bags(tokens)), doc_topics, term_topics, k, vocab_size, alpha, eta,
                       topic_totals(term_topics, k))

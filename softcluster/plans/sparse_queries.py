@@ -8,22 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.sparse import SparseCenters
+from ..functions.sparse import CenterTable
+from ..session import cut_lineage
 from ..operators import sparse
 from ..sources import sparse as P
 from . import sqlgen as S
-from .lda_queries import _corpus, term_counts
+from .lda_queries import _corpus, document_bags, term_counts
 from .registry import query
 
 K, M, STEPS, FUZZY_STEPS = 4, 2.0, 3, 2
 
 
 def points(spark, sf_dir):
-    return P.unit_length(P.from_entries(term_counts(spark, sf_dir), "doc_id", "term_id", "cnt"))
+    return P.unit_length(P.from_bags(document_bags(spark, sf_dir)[0]))
 
 
 def started(spark, sf_dir):
-    pts = points(spark, sf_dir).persist()
+    pts = points(spark, sf_dir)
     table, k = sparse.group_means(pts, F.pmod("id", F.lit(K)))
     assert k == K
     return pts, table
@@ -92,7 +93,7 @@ def sparse_points_norms(spark, sf_dir):
 def sparse_kmeans_assign(spark, sf_dir):
     """C8 over sparse points."""
     pts, table = started(spark, sf_dir)
-    near = sparse.assign(pts, SparseCenters.from_table(table, K))
+    near = sparse.assign(pts, CenterTable(K, cut_lineage(table)))
     return near.select(F.col("id").alias("doc_id"), "cluster", F.round("dist2", 6).alias("dist2"))
 
 
@@ -108,7 +109,7 @@ def sparse_kmeans_train(spark, sf_dir):
 def sparse_fcm_membership(spark, sf_dir):
     """B5 over sparse points."""
     pts, table = started(spark, sf_dir)
-    u = sparse.memberships(pts, SparseCenters.from_table(table, K), M)
+    u = sparse.memberships(pts, CenterTable(K, cut_lineage(table)), M)
     return u.select(F.col("id").alias("doc_id"), F.posexplode("u").alias("cluster", "u")).withColumn("u", F.round("u", 6))
 
 

@@ -28,6 +28,11 @@ def from_entries(entries: DataFrame, row: str, index: str, value: str) -> DataFr
     return rows.select("id", F.col("cells.i").alias(INDICES), F.col("cells.v").alias(VALUES))
 
 
+def from_bags(bags: DataFrame) -> DataFrame:
+    """Bags (doc_id, terms rising, counts) -> (id, indices, values); a null id is left out."""
+    return bags.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("terms").alias(INDICES), F.col("counts").alias(VALUES))
+
+
 def from_dense(points: DataFrame, features: str, id_column: str = "id") -> DataFrame:
     """Dense arrays -> (id, indices, values) of their non-zeros; rows with a null are dropped."""
     cells = F.filter(F.transform(features, lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("v"))), lambda c: c["v"] != 0)
@@ -42,8 +47,9 @@ def norm_expr() -> Column:
 
 def unit_length(points: DataFrame) -> DataFrame:
     """Rows divided by their norm; a row without non-zeros stays as it is."""
-    return (points.withColumn("_norm", norm_expr())
-            .withColumn(VALUES, F.transform(VALUES, lambda x: x / F.col("_norm"))).drop("_norm"))
+    # The norm is an array of its own: named in a lambda it would be computed anew for every value.
+    norms = F.array_repeat(norm_expr(), F.size(VALUES))
+    return points.withColumn(VALUES, F.zip_with(VALUES, norms, lambda x, n: x / n))
 
 
 @dataclass
