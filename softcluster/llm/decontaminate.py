@@ -103,7 +103,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
 
     def match(batches):
         for batch in batches:
-            for lo, hi, data, offsets in W.chunks(batch.column(1)):
+            for lo, hi, data, offsets in W.chunks(batch.column(place)):
                 data = W.LOWER[data]
                 *parts, (starts, ends, first) = _found(lo, hi, data, offsets, prefix_bits.value, sizes)
                 raw = data.tobytes()
@@ -119,14 +119,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
                                                  zip(starts[x:y].tolist(), ends[x:y].tolist())]})
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *part.columns[2:], pa.array(np.diff(first)), pa.array(got, found)], names=schema.names)
+                    [part.column(0), *part.columns[skip:], pa.array(np.diff(first)), pa.array(got, found)], names=schema.names)
 
     found = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int64()), ("from", pa.int64()),
                                 ("words", pa.list_(pa.string()))]))
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    # A text that is kept is sent once.
+    own = [] if "text" in keep else ["text"]
+    skip, place = 1 + len(own), 1 + (keep.index("text") if "text" in keep else 0)
     schema = docs.select("doc_id", *kept).schema.add("n_words", "long").add(
         "found", T.DataType.fromDDL("array<struct<key:long,pos:long,from:long,words:array<string>>>"))
-    rows = written(docs.select("doc_id", "text", *kept).mapInArrow(match, schema)
+    rows = written(docs.select("doc_id", *own, *kept).mapInArrow(match, schema)
                    .withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     seen = rows.where("size(found) > 0").select("row", "n_words", F.explode("found").alias("x")).select("row", "n_words", "x.*")
     hits = (seen.join(prefixes, "key")

@@ -34,6 +34,8 @@ from softcluster.llm.tables import written
 FRACTION = 16
 #: Pieces that a worker remembers at most.
 MEMO = 3_000_000
+#: Documents whose ids a task cuts at once.
+ROWS = 1000
 
 _LETTERS = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
 _SIGNS = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
@@ -351,9 +353,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             n, start, q = (batch.column(i).to_numpy() for i in (3, 4, 5))
             ids = batch.column(2).to_pylist()
             doc, at, length, sequence, offset = pieces(shared.value, q, start, n, window)

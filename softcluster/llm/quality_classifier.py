@@ -214,6 +214,15 @@ def _page(batch, at: int) -> tuple[list, list, list]:
     return tuple(batch.column(at + i).to_pylist() for i in range(3))
 
 
+def _once(docs: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """docs' lang, source, n_chars, the given columns as k0, k1, .. and the text,
+    which is not sent again where it is one of those; and the text's place."""
+    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]
+    own = [] if "text" in columns else ["text"]
+    at = 3 + (columns.index("text") if "text" in columns else len(columns))
+    return docs.select("lang", "source", F.col("n_chars").cast("long").alias("n_chars"), *named, *own), at
+
+
 def train(docs: DataFrame, labels: DataFrame, labelled: int = 2000, pool: int = 3000, **options) -> Model | None:
     """The model of a sample of at most 3 * labelled + pool documents; None
     where the labels do not hold both classes (twenty of each)."""
@@ -272,7 +281,7 @@ def classify(docs: DataFrame, model: Model | None, columns: tuple[str, ...] = ("
     if model is None:
         return docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)], *[
             F.lit(None).cast("double").alias(c) for c in ("text_score", "page_score", "score")], F.lit(True).alias("kept"))
-    rows = docs.select("text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), *named)
+    rows, place = _once(docs, columns)
     schema = docs.select(*named).schema
     for c in ("text_score", "page_score", "score"):
         schema = schema.add(c, "double")
@@ -281,13 +290,13 @@ def classify(docs: DataFrame, model: Model | None, columns: tuple[str, ...] = ("
     def score(batches):
         model = shared.value
         for batch in batches:
-            for lo, hi, data, offsets in W.chunks(batch.column(0)):
+            for lo, hi, data, offsets in W.chunks(batch.column(place)):
                 part = batch.slice(lo, hi - lo)
                 at, cols, values, shares = text_features(data, offsets)
                 text = np.bincount(at, values * model.text[cols], hi - lo) + shares @ model.text[-1 - SHARES:-1] + model.text[-1]
-                page = model.page[:-1][page_columns(*_page(part, 1))].sum(axis=1) + model.page[-1]
+                page = model.page[:-1][page_columns(*_page(part, 0))].sum(axis=1) + model.page[-1]
                 scores = model.combine(text, page)
-                yield pa.RecordBatch.from_arrays(part.columns[4:] + [pa.array(s) for s in scores], names=schema.names)
+                yield pa.RecordBatch.from_arrays(part.columns[3:3 + len(columns)] + [pa.array(s) for s in scores], names=schema.names)
 
     return rows.mapInArrow(score, schema).withColumn("kept", F.col("score") >= threshold)
 

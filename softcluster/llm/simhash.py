@@ -52,16 +52,19 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, columns: list[str], shingle: int = 3) -> DataFrame:
-    """The given columns and ``fp``, the text's fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, columns: list[str], shingle: int = 3, text: str = "text") -> DataFrame:
+    """The given columns and ``fp``, the fingerprint of ``text`` as a signed long.
+    A text that is one of the columns is sent once."""
     schema = docs.select(*columns).schema.add("fp", "long")
-    sent = docs.select(*columns, F.col("text").alias("fp"))
+    own = text in columns
+    sent = docs.select(*columns, *([] if own else [F.col(text).alias("fp")]))
+    at, n = columns.index(text) if own else len(columns), len(columns)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
+            texts = batch.column(at).cast(pa.large_binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(fps.view(np.int64))],
+            yield pa.RecordBatch.from_arrays(batch.columns[:n] + [pa.array(fps.view(np.int64))],
                                              names=[*columns, "fp"])
 
     return sent.mapInArrow(run, schema)
@@ -171,10 +174,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """docs with one row of each component: of the least doc_id (nulls last),
     then the least row in the order of the written table."""
     columns = docs.columns
-    numbered = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], "doc_id", "text")
+    numbered = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], "doc_id")
     kept = [f"c{i}" for i in range(len(columns))]
     rows = written(
-        with_fingerprint(numbered, [*kept, "doc_id"], shingle)
+        with_fingerprint(numbered, [*kept, "doc_id"], shingle, kept[columns.index("text")])
         .withColumn("row", F.monotonically_increasing_id()), "simhash")
     placed = rows.select("row", "doc_id", "fp").join(groups(rows.select("doc_id", "fp"), max_bits), "fp")
     first = placed.groupBy("root").agg(

@@ -110,3 +110,29 @@ def test_odd_rows_and_clashing_columns(spark):
             assert len(kept) == len(rows)
     pieces = functions["packing"](spark, docs, SF).collect()
     assert {r.doc_id for r in pieces} == {None, 1, 2, 3, 4, 5}
+
+
+def test_texts_are_sent_once(spark, monkeypatch):
+    """A text that a stage reads and keeps goes to Python in one column."""
+    from softcluster.llm import decontaminate, quality_classifier, simhash
+
+    docs = spark.createDataFrame([(i, "en", "web", f"some words of text {i}", 20) for i in range(80)],
+                                 "doc_id long, lang string, source string, text string, n_chars int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(0, "some words of text 7")], "item_id long, text string")
+    sent = []
+
+    def noted(df, name):
+        plan = df._jdf.queryExecution().analyzed().toString()
+        sent.extend(line for above, line in zip(plan.split("\n"), plan.split("\n")[1:]) if "MapInArrow run" in above or "MapInArrow match" in above
+                    or "MapInArrow score" in above)
+        return corpus_pipeline.written(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(decontaminate, "written", noted)
+    noted(quality_classifier.keep_good(docs, labels), "quality")
+    assert simhash.keep_one(docs).count() > 0
+    assert decontaminate.keep_clean(docs, items).count() == 79
+    # SimHash names the columns c0, c1, .. before; the text is c3.
+    sent = [line.count("text#") + line.count("c3#") for line in sent if "source#" in line or "c2#" in line]
+    assert sent == [1, 1, 1]
