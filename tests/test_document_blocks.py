@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from softcluster.functions.sparse import CenterTable
 from softcluster.operators import blocks as BL
 from softcluster.operators import sparse
 from softcluster.operators import topics as TP
+from softcluster.operators import topics_online as OL
 from softcluster.sources import bags
 from softcluster.sources import sparse as P
 
@@ -107,3 +109,26 @@ def test_unit_length_computes_the_norm_once_a_row(spark):
     wide = spark.range(1).selectExpr("id", "sequence(0, 199999) as indices", "transform(sequence(0, 199999), x -> 1.0D) as values")
     # A norm per value would take 4 * 10^10 steps.
     assert abs(P.unit_length(wide).first()["values"][7] - 200000 ** -0.5) < 1e-12
+
+
+def test_a_task_holds_one_block(spark, monkeypatch):
+    """Blocks by a hash of their number shared tasks, which then held the entries of several."""
+    monkeypatch.setattr(BL, "BLOCK_ENTRIES", 60)
+    pts = spark.createDataFrame([(i, [i % 7, 10 + i % 50, 100 + i], [1.0, 2.0, 0.5]) for i in range(400)],
+                                "id long, indices array<int>, values array<double>")
+    dealt = sparse.deal(pts)
+    bags_ = pts.select(F.col("id").alias("doc_id"), F.col("indices").alias("terms"), F.col("values").alias("counts"))
+    online, n = OL.blocks(bags_, 3, 180, counted=True)
+    for rows, many in ((dealt.rows, dealt.n), (online, n)):
+        held = rows.select("block", F.spark_partition_id().alias("at")).distinct().collect()
+        assert many == 20 and {r["block"] for r in held} == set(range(many))
+        assert all(r["at"] == r["block"] for r in held)
+    # A step's rows stay there: only the values by block are dealt.
+    table = spark.createDataFrame([(p, 1.0) for p in range(500)], "place_ int, v double")
+    met = dealt.map(dealt.fetch(table, "place_"), "id long, at int", lambda own, there: [
+        pa.table({"id": own.column("id"), "at": pa.array(np.full(own.num_rows, there.num_rows, np.int32))})])
+    wanted = {}
+    for r in dealt.rows.collect():
+        wanted.setdefault(r.block, set()).update(r.indices)
+    own = {r.id: r.block for r in dealt.rows.collect()}
+    assert {r.id: r["at"] for r in met.collect()} == {i: len(wanted[b]) for i, b in own.items()}
