@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from .centers import MAX_STATE_VALUES
 from .kernels import BLOCK_CELLS
 
+#: Values of centres held by (cluster, place).
+FULL_CELLS = 1 << 23
 #: Entries that a task's sums hold before equal places are added up.
 MERGE_AT = 1 << 20
 CENTER_SCHEMA = T.StructType([T.StructField("cluster", T.IntegerType(), False), T.StructField("index", T.IntegerType(), False),
@@ -45,6 +47,18 @@ class SparseCenters:
         self.places, first = np.unique(self.index, return_index=True)
         self.offsets = np.append(first, len(self.index))
         self.squares = np.bincount(self.cluster, weights=self.value ** 2, minlength=k)
+        cells = k * len(self.places)
+        self.full = None
+        if 0 < cells <= FULL_CELLS and 2 * len(self.value) >= cells:
+            self.full = np.zeros((k, len(self.places)))
+            self.full[self.cluster, np.repeat(np.arange(len(self.places)), np.diff(self.offsets))] = self.value
+
+    def at(self, index: np.ndarray) -> np.ndarray:
+        """Where each index stands among the places; -1 where it does not."""
+        if not len(self.places):
+            return np.full(len(index), -1)
+        at = np.minimum(np.searchsorted(self.places, index), len(self.places) - 1)
+        return np.where(self.places[at] == index, at, -1)
 
     @classmethod
     def from_table(cls, table: DataFrame, k: int) -> "SparseCenters":
@@ -66,6 +80,11 @@ class SparseCenters:
         out = np.zeros(n * self.k)
         if not len(self.places):
             return out.reshape(n, self.k)
+        if self.full is not None:  # nearly every place is in every centre
+            at = self.at(index)
+            met = np.flatnonzero(at >= 0)
+            row, at, value = row[met], at[met], value[met]
+            return np.column_stack([np.bincount(row, value * c[at], n) for c in self.full])
         step = max(1, BLOCK_CELLS // self.k)  # an entry meets at most k centre values
         for s in range(0, len(index), step):
             at = np.searchsorted(self.places, index[s:s + step])

@@ -27,7 +27,8 @@ from ..functions.scoring import lists
 from ..functions.sparse import CenterTable, PlaceSums, SparseCenters, csr, row_blocks
 from ..session import cut_lineage, spread
 from ..sources.sparse import INDICES, VALUES, validate
-from .blocks import Blocks, Entries, numbers
+from .blocks import Blocks, Entries, numbers, totals
+from .packed import Runs
 from .fuzzy import _check_m
 
 #: Places of a cluster's weight and cost among its sums.
@@ -50,7 +51,7 @@ def group_means(points: DataFrame, group: Column) -> tuple[DataFrame, int]:
         yield from sums.batches()
 
     own = rows.join(F.broadcast(numbered), "_g").select("cluster", INDICES, VALUES)
-    sums = own.mapInArrow(run, CELLS).groupBy("cluster", "index").agg(F.sum("value").alias("s"))
+    sums = totals(own.mapInArrow(run, CELLS), ["cluster", "index"], F.sum("value").alias("s"))
     return (sums.join(F.broadcast(numbered), "cluster").select("cluster", "index", (F.col("s") / F.col("_n")).alias("value")),
             len(sizes))
 
@@ -65,25 +66,25 @@ def init_random(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
         [(j, int(i), float(v)) for j, r in enumerate(first) for i, v in zip(r[0], r[1])], "cluster int, index int, value double")
 
 
-def deal(points: DataFrame) -> Blocks:
-    """Points in blocks, by a hash of the whole row."""
-    return Blocks.deal(points.select("id", INDICES, VALUES), F.xxhash64("id", INDICES, VALUES), INDICES)
+def deal(points: DataFrame, entries: int | None = None) -> Blocks:
+    """Points in blocks, by a hash of the whole row; ``entries``: their non-zeros, if known."""
+    return Blocks.deal(points.select("id", INDICES, VALUES), F.xxhash64("id", INDICES, VALUES), INDICES, entries=entries)
 
 
 def _over_blocks(dealt: Blocks, centers: CenterTable, schema: str, fn) -> DataFrame:
-    """fn(a block's rows, the centres at its indices) -> tables of ``schema``."""
+    """fn(a block's runs of rows, the centres at its indices) -> tables of ``schema``."""
     k, squares = centers.k, centers.squares()
     by_place = centers.table.groupBy("index").agg(
         F.collect_list(F.struct("cluster", "value")).alias("c")).select("index", "c.cluster", "c.value")
 
-    def run(own: pa.Table, there: pa.Table):
+    def run(held: Runs, there: pa.Table):
         lists = there.column("cluster").combine_chunks()
         index = np.repeat(numbers(there.column("index")), numbers(lists.value_lengths()))
         near = SparseCenters(k, numbers(lists.flatten()), index, numbers(there.column("value").combine_chunks().flatten()))
         near.squares = squares
-        yield from fn(own, near)
+        yield from fn(held, near)
 
-    return dealt.map(dealt.fetch(by_place, "index"), schema, run)
+    return dealt.map_runs(dealt.fetch(by_place, "index"), schema, run)
 
 
 def _rows(own: pa.Table, k: int):
@@ -99,10 +100,11 @@ def _scored(points: DataFrame, centers: SparseCenters | CenterTable, schema: str
     """id + the columns that ``columns`` makes of a run of rows' squared distances."""
     table = CenterTable.of(centers, points.sparkSession)
 
-    def run(own: pa.Table, near: SparseCenters):
-        ids = own.column("id").combine_chunks()
-        for s, e, offsets, index, value in _rows(own, near.k):
-            yield pa.Table.from_arrays([ids.slice(s, e - s), *columns(near.sqdist(offsets, index, value))], names=names)
+    def run(held: Runs, near: SparseCenters):
+        for own in held:
+            ids = own.column("id").combine_chunks()
+            for s, e, offsets, index, value in _rows(own, near.k):
+                yield pa.Table.from_arrays([ids.slice(s, e - s), *columns(near.sqdist(offsets, index, value))], names=names)
 
     schema = f"id {points.schema['id'].dataType.simpleString()}, {schema}"
     names = [f.split(" ")[0] for f in schema.split(", ")]
@@ -127,26 +129,61 @@ def memberships(points: DataFrame, centers: SparseCenters | CenterTable, m: floa
 def step_sums(dealt: Blocks, centers: CenterTable, m: float | None = None) -> DataFrame:
     """(cluster, index, value) sums of w x, and of w (index WEIGHT) and
     w dist2 (COST); w is 1 for the nearest centre, or u^m for all of them."""
-    def run(block: pa.Table, c: SparseCenters):
-        sums = PlaceSums()
+    def run(held: Runs, c: SparseCenters):
+        sums, full = PlaceSums(), FullSums(c) if c.full is not None else None
         own = np.arange(c.k)
-        for s, e, o, i, v in _rows(block, c.k):
+        for s, e, o, i, v in (x for rows in held for x in _rows(rows, c.k)):
             dist = c.sqdist(o, i, v)
             row = np.repeat(np.arange(e - s), np.diff(o))
             if m is None:
                 best = np.argmin(dist, axis=1)
-                sums.add(best[row], i, v)
                 weight, cost = np.bincount(best, minlength=c.k), np.bincount(best, dist[np.arange(e - s), best], c.k)
             else:
                 um = fuzzy_u(dist, m) ** m
-                _add_all(sums, um, row, i, v)
                 weight, cost = um.sum(axis=0), (um * dist).sum(axis=0)
+            if full:
+                row, i, v = full.add(best if m is None else um, row, i, v)
+            if m is None:
+                sums.add(best[row], i, v)
+            else:
+                _add_all(sums, um, row, i, v)
             sums.add(own, np.full(c.k, WEIGHT), weight.astype(np.float64))
             sums.add(own, np.full(c.k, COST), cost)
+        if full:
+            for b in full.batches():
+                yield pa.Table.from_batches([b])
         for b in sums.batches():
             yield pa.Table.from_batches([b])
 
-    return _over_blocks(dealt, centers, CELLS, run).groupBy("cluster", "index").agg(F.sum("value").alias("value"))
+    return totals(_over_blocks(dealt, centers, CELLS, run), ["cluster", "index"], F.sum("value").alias("value"))
+
+
+class FullSums:
+    """Sums by (cluster, place) of the places that the centres have."""
+
+    def __init__(self, c: SparseCenters):
+        self.c, self.sums = c, np.zeros(c.full.shape)
+
+    def add(self, by: np.ndarray, row: np.ndarray, index: np.ndarray, value: np.ndarray):
+        """Entries count in the cluster ``by`` row, or by its weights in all of them; those of other places are left."""
+        k, n = self.sums.shape
+        at = self.c.at(index)
+        met = at >= 0
+        own, place, number = row[met], at[met], value[met]
+        if by.ndim == 1:
+            self.sums += np.bincount(by[own] * n + place, number, k * n).reshape(k, n)
+        else:
+            for j in range(k):
+                self.sums[j] += np.bincount(place, by[own, j] * number, n)
+        return row[~met], index[~met], value[~met]
+
+    def batches(self, size: int = 1 << 16):
+        for j, sums in enumerate(self.sums):
+            live = np.flatnonzero(sums)
+            for s in range(0, len(live), size):
+                at = live[s:s + size]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), j, np.int32)), pa.array(self.c.places[at].astype(np.int32)), pa.array(sums[at])],
+                                                 names=["cluster", "index", "value"])
 
 
 def _add_all(sums: PlaceSums, um: np.ndarray, row: np.ndarray, index: np.ndarray, value: np.ndarray) -> None:
@@ -207,9 +244,10 @@ class SparseModel:
 
 def _train(points: DataFrame, k: int, init, m, max_iter, epsilon, seed) -> SparseModel:
     data = spread(points.select("id", INDICES, VALUES))
-    if validate(data).rows == 0:
+    stats = validate(data)
+    if stats.rows == 0:
         raise ValueError("points table holds no row")
-    dealt = deal(data)
+    dealt = deal(data, stats.nonzeros)
     try:
         table = init if isinstance(init, DataFrame) else init_random(dealt.rows, k, seed)
         model = SparseModel(CenterTable(k, cut_lineage(CenterTable.cells(table))), m)

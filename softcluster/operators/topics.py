@@ -4,7 +4,7 @@ State is three tables (section 1 of the survey):
     tokens(doc_id, term_id, cnt)            one row per non-zero count
     doc_topics(doc_id, n_0 .. n_{k-1})      N_kj
     term_topics(term_id, n_0 .. n_{k-1})    N_wk
-Tokens are held as bags, one row per document, dealt into blocks once
+Tokens are held as packed bags, one row per document, dealt into blocks once
 (``blocks.Blocks``).  In an EM step a block fetches each of its terms' topic
 counts once, numpy computes the k smoothed topic shares gamma of its tokens,
 scales them by the count and adds them up per document and per term of the
@@ -23,6 +23,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,7 +31,8 @@ from pyspark.sql.window import Window
 from ..functions.ranking import number_rows
 from ..session import scratch_table_dir
 from ..sources.bags import entries
-from .blocks import Blocks, Entries, lookup, numbers
+from .blocks import Blocks, Entries, block_of, lookup, numbers, totals
+from .packed import Runs
 
 DEFAULTS = dict(k=10, max_iter=20, optimizer="em")
 
@@ -81,10 +83,11 @@ def _sum_back(scaled: DataFrame, k: int, cols: list[str]):
         F.expr("stack(2, 'doc', doc_id, 'term', cast(term_id as bigint)) as (side, id)"), *cols), k, cols)
 
 
-def _written_sides(sides: DataFrame, k: int, cols: list[str]):
+def _written_sides(sides: DataFrame, k: int, cols: list[str], once: bool = False):
     """(document sums, term sums) of rows (side, id, ..), written side by side,
-    so that what made the rows runs once."""
-    both = sides.groupBy("side", "id").agg(*[F.sum(c).alias(f"n_{j}") for j, c in enumerate(cols)])
+    so that what made the rows runs once; ``once``: a task has a place in one row."""
+    sums = [F.sum(c).alias(f"n_{j}") for j, c in enumerate(cols)]
+    both = totals(sides, ["side", "id"], *sums) if once else sides.groupBy("side", "id").agg(*sums)
     path = scratch_table_dir(sides.sparkSession, f"topics-{uuid.uuid4().hex}")
     both.write.partitionBy("side").parquet(path)
     # The folder of a side is the only one read for it.
@@ -118,6 +121,61 @@ def _split_init(tokens, k, ws):
     return _sum_back(scaled, k, [f"_h{j}" for j in range(k)])
 
 
+def init_hash_blocks(dealt: Blocks, k: int):
+    """``init_hash`` of the blocks' tokens, by numpy."""
+    def shares(doc, term):
+        if len(doc) and max(abs(int(doc.min())), abs(int(doc.max()))) > (1 << 62) // 31:
+            raise OverflowError("a document id is too large for the hash start")
+        w = np.column_stack([1 + np.fmod(doc * 31 + term * 17 + 7 * j, 10) for j in range(k)]).astype(np.float64)
+        total = w.sum(axis=1)
+        if (total == 0).any():
+            raise ZeroDivisionError("the start weights of a token add up to 0")
+        return w / total[:, None]
+
+    def rows(side, ids, values):
+        for s in range(0, len(ids), 1 << 16):
+            part = slice(s, s + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array([side] * len(ids[part]), pa.string()), pa.array(ids[part], pa.int64()), *(
+                pa.nulls(len(ids[part]), pa.float64()) if values is None else pa.array(values[part, j]) for j in range(k))], names=names)
+
+    names = ["side", "id", *(f"_h{j}" for j in range(k))]
+
+    def run(batches):
+        # A partition holds a block, packed: read for its terms, then for its sums.
+        held = Runs([x for b in batches for x in b.column(1)])
+        known, nameless = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for place in held.only("terms"):
+            known = [np.unique(np.concatenate([*known, numbers(place.flatten())]))]
+        known = known[0]
+        total, met = np.zeros((len(known), k)), np.zeros(len(known), bool)
+        for own in held:
+            named = own.column("doc_id").is_valid()
+            lost = Entries(own.filter(pa.compute.invert(named)), "terms", "counts")
+            nameless.append(np.unique(lost.place[lost.value != 0]))
+            own = own.filter(named)
+            tokens, ids = Entries(own, "terms", "counts"), numbers(own.column("doc_id"))
+            docs, seen = np.zeros((len(ids), k)), np.zeros(len(ids), bool)
+            for i, to, part in tokens.slices(k):
+                row = np.repeat(np.arange(i, to), tokens.sizes[i:to])
+                live = np.flatnonzero(tokens.value[part] != 0)
+                row, term, value = row[live], tokens.place[part][live], tokens.value[part][live]
+                h, at = shares(ids[row], term.astype(np.int64)) * value[:, None], np.searchsorted(known, term)
+                for j in range(k):
+                    docs[i:to, j] += np.bincount(row - i, h[:, j], to - i)
+                    total[:, j] += np.bincount(at, h[:, j], len(known))
+                seen[row] = met[at] = True
+            yield from rows("doc", ids[seen], docs[seen])
+        yield from rows("term", known[met], total[met])
+        # Tokens without a document count nothing, but are there.
+        nameless = np.unique(np.concatenate(nameless))
+        yield from rows("term", nameless, None)
+        if len(nameless):
+            yield pa.RecordBatch.from_arrays([pa.array(["doc"]), *(pa.nulls(1, t) for t in (pa.int64(), *[pa.float64()] * k))], names=names)
+
+    schema = ", ".join(["side string", "id bigint", *(f"_h{j} double" for j in range(k))])
+    return _written_sides(dealt.packed.mapInArrow(run, schema), k, [f"_h{j}" for j in range(k)], once=True)
+
+
 def topic_totals(term_topics: DataFrame, k: int) -> np.ndarray:
     """H5: N_k = sum over term rows (one k-column aggregate)."""
     r = term_topics.agg(*[F.sum(c).alias(c) for c in ncols(k)]).first()
@@ -125,34 +183,30 @@ def topic_totals(term_topics: DataFrame, k: int) -> np.ndarray:
 
 
 def _with_state(dealt: Blocks, doc_topics, term_topics, k: int, schema: str, fn) -> DataFrame:
-    """fn(Block) -> lists of columns by ``schema``, over every block's tokens
+    """fn(Blocks' runs) -> lists of columns by ``schema``, over every block's tokens
     whose document and term have topic counts."""
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(dealt.n)).cast("int")
-    docs = doc_topics.where("doc_id is not null").select(block.alias("of"), F.lit("doc").alias("side"), F.col("doc_id").alias("id"), *ncols(k))
+    docs = doc_topics.where("doc_id is not null").select(
+        block_of(F.col("doc_id"), dealt.n).alias("of"), F.lit("doc").alias("side"), F.col("doc_id").alias("id"), *ncols(k))
     terms = dealt.fetch(term_topics, "term_id").select("of", F.lit("term").alias("side"), F.col("term_id").cast("long").alias("id"), *ncols(k))
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def run(own, state):
-        for b in Block.read(own, state, k):
-            yield from (pa.Table.from_arrays(columns, names=names) for columns in fn(b))
+        if state.num_rows:
+            yield from (pa.Table.from_arrays(columns, names=names) for columns in fn(Block.read(own, state, k)))
 
-    return dealt.map(docs.unionAll(terms), schema, run)
+    return dealt.map_runs(docs.unionAll(terms), schema, run)
 
 
 class Block:
-    """A block's tokens with the topic counts of its documents and terms."""
+    """A run of a block's tokens with the topic counts of the block's documents and terms."""
 
     def __init__(self, tokens: Entries, ids, own, term, doc_ids, docs, term_ids, terms):
         self.tokens, self.ids, self.own, self.term = tokens, ids, own, term
         self.doc_ids, self.docs, self.term_ids, self.terms = doc_ids, docs, term_ids, terms
 
     @staticmethod
-    def read(own: pa.Table, state: pa.Table, k: int):
-        if not state.num_rows:
-            return
-        own = own.filter(own.column("doc_id").is_valid())
-        if not own.num_rows:
-            return
+    def read(held: Runs, state: pa.Table, k: int):
+        """The block's runs one by one; what they have of the counts is the same arrays."""
         values = np.column_stack([numbers(state.column(c)) for c in ncols(k)])
         ids, is_doc = numbers(state.column("id")), numbers(state.column("side").combine_chunks().dictionary_encode().indices)
         names = state.column("side").combine_chunks().dictionary_encode().dictionary.to_pylist()
@@ -161,9 +215,12 @@ class Block:
             rows = np.flatnonzero(is_doc == names.index(side)) if side in names else np.zeros(0, np.int64)
             rows = rows[np.argsort(ids[rows], kind="stable")]
             sides += [ids[rows], values[rows]]
-        tokens = Entries(own, "terms", "counts")
-        doc = numbers(own.column("doc_id"))
-        yield Block(tokens, doc, lookup(sides[0], doc), lookup(sides[2], tokens.place), *sides)
+        for own in held:
+            own = own.filter(own.column("doc_id").is_valid())
+            if own.num_rows:
+                tokens = Entries(own, "terms", "counts")
+                doc = numbers(own.column("doc_id"))
+                yield Block(tokens, doc, lookup(sides[0], doc), lookup(sides[2], tokens.place), *sides)
 
     def slices(self, k: int):
         """(entries, own document rows, places of documents, places of terms) of
@@ -183,22 +240,27 @@ class Block:
 
 def em_step(dealt: Blocks, doc_topics, term_topics, k, n_k, vocab_size, alpha, eta):
     """H4: one EM step -> (doc_topics, term_topics)."""
-    def sums(b):
-        sides = [np.zeros_like(b.docs), np.zeros_like(b.terms)]
-        met = [np.zeros(len(x), bool) for x in sides]
-        for at, _, doc, term in b.slices(k):
-            h = b.gamma(doc, term, n_k, vocab_size, alpha, eta) * b.tokens.value[at][:, None]
-            for total, seen, place in zip(sides, met, (doc, term)):
-                for j in range(k):
-                    total[:, j] += np.bincount(place, h[:, j], len(total))
-                seen[place] = True
+    def sums(runs):
+        sides = None
+        for b in runs:
+            if sides is None:
+                sides = [np.zeros_like(b.docs), np.zeros_like(b.terms)]
+                met = [np.zeros(len(x), bool) for x in sides]
+            for at, _, doc, term in b.slices(k):
+                h = b.gamma(doc, term, n_k, vocab_size, alpha, eta) * b.tokens.value[at][:, None]
+                for total, seen, place in zip(sides, met, (doc, term)):
+                    for j in range(k):
+                        total[:, j] += np.bincount(place, h[:, j], len(total))
+                    seen[place] = True
+        if sides is None:
+            return
         for side, ids, total, seen in zip(("doc", "term"), (b.doc_ids, b.term_ids), sides, met):
             rows = np.flatnonzero(seen)
             yield [pa.array([side] * len(rows), pa.string()), pa.array(ids[rows], pa.int64()),
                    *(pa.array(total[rows, j]) for j in range(k))]
 
     schema = ", ".join(["side string", "id bigint", *(f"_h{j} double" for j in range(k))])
-    return _written_sides(_with_state(dealt, doc_topics, term_topics, k, schema, sums), k, [f"_h{j}" for j in range(k)])
+    return _written_sides(_with_state(dealt, doc_topics, term_topics, k, schema, sums), k, [f"_h{j}" for j in range(k)], once=True)
 
 
 @dataclass
@@ -263,8 +325,8 @@ class EMLDAModel:
         args = self.n_k, self.vocab_size, self.alpha, self.eta
         k = self.k
 
-        def best(b):
-            for at, row, doc, term in b.slices(k):
+        def best(runs):
+            for b, at, row, doc, term in ((b, *x) for b in runs for x in b.slices(k)):
                 if not len(at):
                     continue
                 topic = np.argmax(b.gamma(doc, term, *args), axis=1)
@@ -282,11 +344,14 @@ class EMLDAModel:
         k, e1, a1 = self.k, self.eta - 1.0, self.alpha - 1.0
         n_k, v = self.n_k, self.vocab_size
 
-        def parts(b):
-            shares = (b.docs + a1) / (b.docs + a1).sum(axis=1)[:, None]
-            words = (b.terms + e1) / (n_k + v * e1)
-            yield [pa.array([float(sum(b.tokens.value[at] @ np.log(np.einsum("ij,ij->i", words[term], shares[doc]))
-                                       for at, _, doc, term in b.slices(k)))])]
+        def parts(runs):
+            shares = None
+            for b in runs:
+                if shares is None:
+                    shares = (b.docs + a1) / (b.docs + a1).sum(axis=1)[:, None]
+                    words = (b.terms + e1) / (n_k + v * e1)
+                yield [pa.array([float(sum(b.tokens.value[at] @ np.log(np.einsum("ij,ij->i", words[term], shares[doc]))
+                                           for at, _, doc, term in b.slices(k)))])]
 
         out = _with_state(self.dealt, self.doc_topics, self.term_topics, k, "part double", parts)
         return float(out.agg(F.sum("part")).first()[0])
@@ -328,18 +393,22 @@ def top_n(df: DataFrame, group: str, tie: str, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= n)
 
 
-def train_em(term_counts: DataFrame, k: int = DEFAULTS["k"], max_iter: int = DEFAULTS["max_iter"],
+def train_em(term_counts: DataFrame | Blocks, k: int = DEFAULTS["k"], max_iter: int = DEFAULTS["max_iter"],
              alpha: float = -1.0, eta: float = -1.0, vocab_size: int | None = None,
              seed: int = 0, init: str = "random") -> EMLDAModel:
     """H1 (EM).  ``init`` = "random" or "hash" (deterministic start).
 
-    Documents without any term drop out of the state (quirk Q19)."""
+    ``term_counts``: (doc_id, term_id, cnt) rows, bags or bags dealt into blocks by
+    ``deal_bags`` or ``bag_blocks``.  Documents without any term drop out of the
+    state (quirk Q19)."""
     a, e = em_priors(k, alpha, eta)
-    dealt = deal_bags(as_bags(term_counts))
-    tokens = token_table(entries(dealt.rows))
+    dealt = term_counts if isinstance(term_counts, Blocks) else deal_bags(as_bags(term_counts))
     if vocab_size is None:
         vocab_size = int(dealt.wanted.agg(F.max("place")).first()[0]) + 1
-    doc, term = init_hash(tokens, k) if init == "hash" else init_random(tokens, k, seed)
+    if init == "hash":
+        doc, term = init_hash_blocks(dealt, k)
+    else:
+        doc, term = init_random(token_table(entries(dealt.rows)), k, seed)
     n_k = topic_totals(term, k)
     trace = []
     for it in range(1, max_iter + 1):
